@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest_index, mixing, shards
+from . import digest_index, mixing, pii, shards, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,28 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_* count the base spans."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs))
+    counts = [F.size(F.filter("base", pii.is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    base, everything = pii.in_order(F.col("base")), pii.in_order(F.concat("base", "added"))
+    return found.select("doc_id", *counts, F.sha2(pii.written(base).cast("binary"), 256).alias("base_sha256"), pii.written(everything).alias("spans"))
+
+
+URL_RULES = [
+    url_filter.Rule("block", "com/en/"),
+    url_filter.Rule("allow", "example.com/en/7"),
+    url_filter.Rule("allow", "net/de/"),
+    url_filter.Rule("block", "example.net/de/8"),
+    url_filter.Rule("block", "org/es/"),
+]
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shards.external_shuffle(_table(spark, sf_dir, "documents"), n_shards=16)
     text = F.coalesce("text", F.lit("")).cast("binary")
@@ -38,6 +60,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_pii": op8_pii,
+    "op9_url_filter": op9_url_filter,
     "op10_sharding": op10_sharding,
 }
 

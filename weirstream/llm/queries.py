@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest_index, mixing, pii, shards, url_filter
+from . import digest_index, langid, mixing, pieces, pii, shards, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,35 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def default_model_file() -> str:
+    """The public SentencePiece model this machine has; any model file can be given to ``pieces.load``."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ids of every whole text, and whether decoding them gives the text again."""
+    vocabulary = pieces.load(default_model_file())
+    rows = pieces.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    rows = pieces.decoded(rows, vocabulary)
+    return rows.select(
+        "doc_id",
+        F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_byte_tokens"),
+        F.xxhash64("ids").alias("ids_hash"),
+        "ids",
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    profiles = langid.learn(docs.filter(~held_out))
+    return langid.predict(docs.select("doc_id", "text"), profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = digest_index.exact_dedup(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -59,6 +88,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op3_sentencepiece": op3_sentencepiece,
+    "op4_language_id": op4_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,

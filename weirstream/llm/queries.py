@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest_index, langid, mixing, pieces, pii, shards, topk, url_filter
+from . import digest_index, langid, mixing, neardup, pieces, pii, shards, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), neardup.NearDup(words=4, similarity=80))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = digest_index.exact_dedup(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -96,6 +100,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_language_id": op4_language_id,
+    "op5_minhash": op5_minhash,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
@@ -103,6 +108,26 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op5_minhash": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 3], ' ') END AS shingle
+            FROM w, range(1, greatest(len(w) - 2, 2)) r(i) WHERE len(w) > 0
+        ), n AS (
+            SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+        ), inter AS (
+            SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL
+        ), link AS (
+            SELECT a, b FROM inter JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * c >= 80 * (p.n + q.n - c)
+        ), reach AS (
+            SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+        ), least AS (
+            SELECT a, min(b) AS component_id FROM reach GROUP BY a
+        )
+        SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM documents d JOIN least ON d.doc_id = least.a LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
     "op1_topk": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import digest_index, langid, mixing, neardup, pieces, pii, shards, topk, url_filter
+from . import digest_index, langid, mixing, neardup, pieces, pii, repeats, shards, topk, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), neardup.NearDup(words=4, similarity=80))
 
 
+def op6_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.without_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return rows.select(
+        "doc_id",
+        n_bytes.alias("n_bytes"),
+        (n_bytes - F.octet_length("kept")).alias("n_removed"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = digest_index.exact_dedup(_table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -101,6 +113,7 @@ QUERIES = {
     "op3_sentencepiece": op3_sentencepiece,
     "op4_language_id": op4_language_id,
     "op5_minhash": op5_minhash,
+    "op6_suffix": op6_suffix,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
+from .common import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -87,7 +88,7 @@ def judge(
 
     text = F.coalesce(F.col(url), F.lit(""))
     labelled = rows.select(text.alias("u"), "host", "path", (F.col("_ruled") == "block").cast("int").alias("block")).filter("block IS NOT NULL")
-    sample = boosting.bounded(labelled, F.col("u"), max_train)
+    sample = staged(boosting.bounded(labelled, F.col("u"), max_train), "labelled-urls")
     parts = suffixes(F.col("host"), F.col("path"))
     stats = (
         sample.select("block", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in parts.items()])).alias("s"))

@@ -12,6 +12,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WORDS = re.compile(r"[^\W\d_]+")
-#: Entries of a task's counters and caches before they are emptied.
-BOUND = 300_000
+#: Entries of a task's counters before they are handed on.
+BOUND = 200_000
 UNKNOWN = "und"
 
 
@@ -99,46 +100,75 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = 4
     return Profiles(langs, {g: tuple(v) for g, v in sorted(ranks.items())}, size, longest)
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """For every code point whether it is a letter."""
+    return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+
+
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _gram_hashes(text: str, longest: int) -> np.ndarray:
+    """A 64-bit number for every n-gram of a text's words, repeats included; those of ``grams_of`` over all words.
+
+    Words stand in one array with one blank between them; an n-gram is good if
+    no blank lies inside it.
+    """
+    codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters()[codes]
+    keep = letter.copy()
+    keep[1:] |= letter[:-1]  # letters, and what ends a word
+    c = np.concatenate([[0], np.where(letter, codes, 0)[keep], [0]]).astype(np.uint64)
+    blank = c == 0
+    if blank.all():
+        return np.empty(0, np.uint64)
+    h = c + np.uint64(1)
+    out, good = [h[~blank]], np.ones(len(c), bool)
+    good[:-1] = ~(blank[:-1] & blank[1:])
+    for n in range(2, longest + 1):
+        if n > len(c):
+            break
+        h = h[:-1] * _FACTOR + (c[n - 1 :] + np.uint64(1))
+        good = good[:-1] if n == 2 else good[:-1] & ~blank[n - 2 : len(c) - 1]
+        out.append(h[good])
+    return np.concatenate(out)
+
+
 class Ranker:
-    """Compares documents with profiles; keeps the n-grams of words it has seen."""
+    """Compares documents with profiles."""
 
     def __init__(self, profiles: Profiles):
         self.profiles = profiles
-        self.table = np.array(list(profiles.ranks.values()), dtype=np.float64).reshape(-1, len(profiles.langs))
-        self._empty()
-
-    def _empty(self) -> None:
-        self.ids = {g: i for i, g in enumerate(self.profiles.ranks)}
-        self.words: dict[str, np.ndarray] = {}
+        names = {int(self._whole(g)): r for g, r in profiles.ranks.items()}
+        self.keys = np.array(sorted(names), dtype=np.uint64)
+        self.table = np.array([names[int(k)] for k in self.keys], dtype=np.float64).reshape(-1, len(profiles.langs))
 
-    def _grams(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is None:
-            ids = self.ids
-            found = self.words[word] = np.array([ids.setdefault(g, len(ids)) for g in grams_of(word, self.profiles.longest)], dtype=np.int64)
-        return found
+    @staticmethod
+    def _whole(gram: str) -> int:
+        h = 0
+        for ch in gram:
+            h = (h * int(_FACTOR) + (0 if ch == " " else ord(ch)) + 1) % (1 << 64)
+        return h
 
     def judge(self, text: str | None) -> tuple[str, float]:
         """The nearest language and its share of belief (a soft minimum of the mean distances)."""
-        counts = Counter(words_of(text)) if text else {}
-        if len(self.words) > BOUND or len(self.ids) > 4 * BOUND:
-            self._empty()
-        parts = [self._grams(w) for w in counts]
-        ids = np.concatenate(parts) if parts else np.empty(0, np.int64)
-        if not len(ids) or not self.profiles.langs:
+        size = self.profiles.size
+        found = _gram_hashes(text, self.profiles.longest) if text else ()
+        if not len(found) or not self.profiles.langs:
             return UNKNOWN, 0.0
-        weights = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), [len(p) for p in parts])
-        grams, at = np.unique(ids, return_inverse=True)
-        n = np.bincount(at, weights)
-        ordered = np.sort(-n)
-        above = np.searchsorted(ordered, -n, "left")
-        rank = (above + np.searchsorted(ordered, -n, "right") - 1) / 2  # equal counts share their mean rank
-        kept = above < self.profiles.size
-        grams, rank = grams[kept], np.minimum(rank[kept], self.profiles.size)
-        known = grams < len(self.table)
-        theirs = self.table[grams[known]]
-        far = np.where(theirs < self.profiles.size, np.minimum(np.abs(theirs - rank[known][:, None]), self.profiles.size), self.profiles.size)
-        distance = (far.sum(axis=0) + self.profiles.size * (~known).sum()) / (self.profiles.size * len(grams))
+        grams, n = np.unique(found, return_counts=True)
+        ordered = np.sort(n)[::-1]
+        if len(ordered) > size:  # n-grams with fewer are out of the document's profile
+            grams, n = grams[n >= ordered[size - 1]], n[n >= ordered[size - 1]]
+        ordered = -np.sort(-n)
+        above = np.searchsorted(-ordered, -n, "left")
+        rank = np.minimum((above + np.searchsorted(-ordered, -n, "right") - 1) / 2, size)  # equal counts share their mean rank
+        at = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
+        known = self.keys[at] == grams
+        theirs = self.table[at[known]]
+        far = np.where(theirs < size, np.minimum(np.abs(theirs - rank[known][:, None]), size), size)
+        distance = (far.sum(axis=0) + size * (~known).sum()) / (size * len(grams))
         best = int(np.argmin(distance))
         belief = np.exp(-30 * (distance - distance[best]))
         return self.profiles.langs[best], float(belief[best] / belief.sum())

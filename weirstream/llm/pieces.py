@@ -15,10 +15,9 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MARK = "▁"
@@ -249,15 +248,17 @@ class Codec:
                 at = back[at]
             self.cache[chunk] = self._segment(chunk) if -1 in path else tuple(reversed(path))
 
-    def encode(self, text: str) -> list[int]:
-        if not text:
-            return []
-        chunks, cache = self.split(text), self.cache
-        try:
-            return list(chain.from_iterable([cache[c] for c in chunks]))
-        except KeyError:
-            self.remember(set(chunks))
-            return list(chain.from_iterable([cache[c] for c in chunks]))
+    def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin and end (one number more than texts)."""
+        split = [self.split(t) if t else [] for t in texts]
+        self.remember(set(chain.from_iterable(split)))
+        cached = self.cache.__getitem__
+        found = [list(chain.from_iterable(map(cached, chunks))) for chunks in split]
+        ends = np.cumsum([0, *map(len, found)])
+        return np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1])), ends
+
+    def encode(self, text: str | None) -> list[int]:
+        return self.encode_all([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
@@ -276,11 +277,6 @@ def codec(v: Vocabulary) -> Codec:
     return _codecs[key]
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))))
-
-
 def encoded(docs: DataFrame, v: Vocabulary, text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` array<int> and ``n_bytes`` int, the ids that are byte pieces.
 
@@ -298,28 +294,31 @@ def encoded(docs: DataFrame, v: Vocabulary, text: str = "text") -> DataFrame:
         is_byte = np.zeros(len(c.v.pieces) + 1, np.int64)
         is_byte[list(c.v.byte_ids)] = 1
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
-                texts = batch.column(text).to_pylist()
-                c.remember({x for t in texts if t for x in c.split(t)})
-                rows = [c.encode(t) if t else [] for t in texts]
-                ids = _lists(rows)
-                n_bytes = pa.array([int(is_byte[r].sum()) if r else 0 for r in rows], pa.int32())
-                nulls = pa.array([t is None for t in texts])
-                ids = pa.compute.if_else(nulls, pa.scalar(None, ids.type), ids) if any(t is None for t in texts) else ids
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids, n_bytes], names=[*batch.schema.names, "ids", "n_bytes"])
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                texts = batch.column(text)
+                ids, ends = c.encode_all(texts.to_pylist())
+                counts = np.concatenate([[0], np.cumsum(is_byte[ids])])
+                n_bytes = pa.array(counts[ends[1:]] - counts[ends[:-1]], pa.int32())
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+                if texts.null_count:
+                    lists = pc.if_else(texts.is_null(), pa.scalar(None, lists.type), lists)
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists, n_bytes], names=[*batch.schema.names, "ids", "n_bytes"])
 
     return docs.mapInArrow(encode, schema)
 
 
 def decoded(rows: DataFrame, v: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``rows`` with the text of ``ids``. Null gives null. Bytes that aren't UTF-8 become U+FFFD."""
+    rows = rows.drop(out)
     shared = rows.sparkSession.sparkContext.broadcast(v)
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value)
-        for batch in batches:
-            yield pd.Series([None if x is None else c.decode(x.tolist()) for x in batch], dtype=object)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 512):
+                batch = whole.slice(start, 512)
+                texts = pa.array([None if x is None else c.decode(x) for x in batch.column(ids).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out])
 
-    return rows.withColumn(out, decode(F.col(ids)))
+    return rows.mapInArrow(decode, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))

@@ -31,15 +31,17 @@ def default_model_file() -> str:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ids of every whole text, and whether decoding them gives the text again."""
     vocabulary = pieces.load(default_model_file())
-    rows = pieces.encoded(_table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))
+    rows = pieces.encoded(docs, vocabulary).drop("text")
     rows = pieces.decoded(rows, vocabulary)
+    same = F.octet_length("decoded").eqNullSafe(F.col("size")) & (F.xxhash64("decoded") == F.col("hash"))
     return rows.select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_tokens"),
         F.coalesce("n_bytes", F.lit(0)).cast("long").alias("n_byte_tokens"),
         F.xxhash64("ids").alias("ids_hash"),
         "ids",
-        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+        same.alias("round_trip"),
     )
 
 

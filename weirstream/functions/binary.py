@@ -12,9 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def xor_bytes(a: pd.Series, b: pd.Series) -> pd.Series:
     """a XOR b, as long as a; b must be as long at least."""
     return pd.Series(
@@ -75,7 +76,7 @@ def ctr_decrypt(data: Column, key: Column, iv: Column) -> Column:
     return xor_bytes(data, counter_stream(key, iv, F.octet_length(data)))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def without_image_header(data: pd.Series) -> pd.Series:
     """Segments that hide behind an image header, from their first TS packet or box on."""
     magic = (b"\x89PNG", b"\xff\xd8\xff", b"GIF8", b"BM")

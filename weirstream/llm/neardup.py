@@ -8,9 +8,11 @@ allowed chunk error), and such pairs meet under some key for certain. Links are
 confirmed on the full shingle sets.
 
 Equal sets are one node from the start. Under a key the members are linked to the
-least of them first; only members that then still lie in different components are
-compared pairwise, so a group of thousands of near copies needs about as many
-comparisons as it has members.
+least of them first. Only members that then still lie in different components are
+compared further: those outside the key's largest component with all others, in
+blocks, by signature. So a group of thousands of near copies needs about as many
+comparisons as it has members. Every near pair is told under the first key it
+shares and nowhere else.
 """
 
 from __future__ import annotations
@@ -33,15 +35,18 @@ WORD_CACHE = 300_000
 
 @dataclass(frozen=True)
 class NearDup:
-    """words: of a shingle. similarity: least Jaccard in percent. A pair meets if signatures differ in ``2 * chunks - 1`` places or fewer; ``reach`` is the distance up to which a pair that met is checked."""
+    """words: of a shingle. similarity: least Jaccard in percent. Signatures that differ in ``reach`` places or fewer meet for certain and are checked on the full sets; pairs farther apart aren't checked. block: rows a task holds of a key, and sets in one group with a center's set."""
 
     words: int = 5
     similarity: int = 80
     hashes: int = 64
     chunks: int = 14
-    reach: int = 31
     seed: int = 11
-    hot: int = 400
+    block: int = 400
+
+    @property
+    def reach(self) -> int:
+        return 2 * self.chunks - 1
 
     def borders(self) -> np.ndarray:
         return np.array([self.hashes * i // self.chunks for i in range(self.chunks)])
@@ -112,22 +117,30 @@ def signatures(docs: DataFrame, plan: NearDup, id_col: str = "doc_id", text: str
     return rows.mapInPandas(sign, "doc_id long, n_shingles long, set_key binary, sig binary")
 
 
+def _keys_of(sigs: np.ndarray, plan: NearDup) -> np.ndarray:
+    """The keys of signatures (rows): one for each place, over the other places of its chunk."""
+    starts = plan.borders()
+    chunk_of = np.repeat(np.arange(plan.chunks), np.diff([*starts, plan.hashes]))
+    place = _mix(np.arange(plan.hashes, dtype=np.uint64) + np.uint64(1 << 40))
+    each = _mix((sigs.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place)
+    sums = np.add.reduceat(each, starts, axis=1)
+    return _mix(sums[:, chunk_of] - each + place).view(np.int64)
+
+
+def _unpacked(column: pa.Array, plan: NearDup) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, plan.hashes)
+
+
 def _chunk_keys(nodes: DataFrame, plan: NearDup) -> DataFrame:
     """key, node: a node under each chunk with each one of its places left out."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts = plan.borders()
-        chunk_of = np.repeat(np.arange(plan.chunks), np.diff([*starts, plan.hashes]))
-        place = _mix(np.arange(plan.hashes, dtype=np.uint64) + np.uint64(1 << 40))
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint16).reshape(-1, plan.hashes).astype(np.uint64)
-                each = _mix((sigs + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place)
-                sums = np.add.reduceat(each, starts, axis=1)
-                keys = _mix(sums[:, chunk_of] - each + place)
+                keys = _keys_of(_unpacked(batch.column("sig"), plan), plan)
                 node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False).astype(np.int64), plan.hashes)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], names=["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(node)], names=["key", "node"])
 
     return nodes.select("node", "sig").mapInArrow(file, "key long, node long")
 
@@ -187,7 +200,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, plan: NearDup) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(f"sig_{c}").to_pylist()), np.uint16).reshape(-1, plan.hashes) for c in "ab")
+            a, b = (_unpacked(batch.column(f"sig_{c}"), plan) for c in "ab")
             distance = (a != b).sum(axis=1)
             ok = np.flatnonzero(distance <= plan.reach)
             kept = batch.select(names).take(pa.array(ok))
@@ -205,14 +218,15 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, plan: NearDup) -> DataFrame:
     """
     spark = pairs.sparkSession
     pairs = pairs.select("a", "b").distinct()
-    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(plan.hot)).cast("int").alias("parts"))
+    counts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(plan.block)).cast("int").alias("parts"))
     members = pairs.join(counts, "a").select(F.col("b").alias("node"), F.col("a").alias("center"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"))
     heads = counts.select(F.col("a").alias("node"), F.col("a").alias("center"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"))
     wanted = staged(members.union(heads), "wanted")
 
     # one text for each (doc, set of groups): groups of a document are listed, so that its set is made once
     listed = wanted.groupBy("node").agg(F.collect_list(F.struct("center", "part", "role")).alias("at"))
-    texts = docs.select(F.col("doc_id").alias("node"), "text").join(listed, "node")
+    # both sides grow with the documents, so they are merged at every size
+    texts = docs.select(F.col("doc_id").alias("node"), "text").hint("merge").join(listed, "node")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingler = Shingler(plan.words)
@@ -247,29 +261,61 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, plan: NearDup) -> DataFrame:
 
 
 def _left_over(shared: DataFrame, labels: DataFrame, plan: NearDup, nodes: DataFrame) -> DataFrame:
-    """Pairs (a < b) under a common key whose components differ.
+    """Pairs (a, b) in different components that share a key and differ in ``reach`` places at most; ``a`` lies outside the key's largest component.
 
-    Keys with more than ``hot`` components under them are refined: members are
-    filed under the key together with each of their keys from other chunks, and
-    pair up there. A pair within 2 * chunks - 3 places shares at least two chunks
-    up to one error, so refining keeps it.
+    Of each key with several components, rows outside the largest one are held
+    and all rows stream past them. If more than ``block`` are to be held, they
+    are dealt over as many tasks as needed, each of which sees all rows of the
+    key.
     """
-    tagged = staged(
-        shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "tagged"
-    )
-    mixed = staged(tagged.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi"), "mixed")
-    rows = tagged.join(mixed.select("key", "n"), "key")
-    plain = rows.filter(F.col("n") <= plan.hot).select("key", "node", "component")
-    hot = rows.filter(F.col("n") > plan.hot).select("key", "node", "component")
-    if not mixed.filter(F.col("n") > plan.hot).isEmpty():
-        others = _chunk_keys(nodes.join(hot.select("node").distinct(), "node", "left_semi"), plan).withColumnRenamed("key", "other")
-        finer = hot.join(others, "node").filter("key <> other").select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "node", "component").distinct()
-        again = finer.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-        plain = plain.union(finer.join(again.select("key"), "key"))
-    plain = staged(plain, "mixed-rows")
-    x, y = plain.alias("x"), plain.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")))
-    return pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    tagged = staged(shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "tagged")
+    sizes = tagged.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("many")).filter("many > 1")
+    mixed = mixed.select("key", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / F.lit(plan.block)).cast("int").alias("parts"))
+    rows = tagged.join(staged(mixed, "mixed"), "key").join(nodes.select("node", "sig"), "node")
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    held = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("node"), F.col("parts")) == F.col("part"))
+    rows = rows.select("key", "part", held.alias("held"), "node", "component", (F.col("component") == F.col("main")).alias("in_main"), "sig")
+    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", F.col("held").desc(), "node")
+    starts = plan.borders()
+    chunk_of = np.repeat(np.arange(plan.chunks), np.diff([*starts, plan.hashes]))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, []  # the group, and what is held of it: nodes, components, signatures, keys
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, part, hold, node, comp, main = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "held", "node", "component", "in_main"))
+            sigs = _unpacked(batch.column("sig"), plan)
+            edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
+            found: list[np.ndarray] = []
+            for lo, hi in zip(edges, [*edges[1:], len(key)], strict=True):
+                if (key[lo], part[lo]) != now:
+                    now, kept = (key[lo], part[lo]), []
+                mine = np.arange(lo, hi)[hold[lo:hi].astype(bool)]
+                if len(mine):
+                    kept.append((node[mine], comp[mine], sigs[mine], _keys_of(sigs[mine], plan)))
+                if not kept:
+                    continue
+                x_node, x_comp, x_sig, x_keys = (np.concatenate(c) for c in zip(*kept, strict=True))
+                kept = [(x_node, x_comp, x_sig, x_keys)]
+                step = max(1, 20_000 // len(x_node))
+                for at in range(lo, hi, step):
+                    y = slice(at, min(at + step, hi))
+                    distance = (x_sig[:, None, :] != sigs[None, y, :]).sum(axis=2)
+                    # two held outside the largest component meet twice; the smaller node tells
+                    xi, yi = np.nonzero((distance <= plan.reach) & (x_comp[:, None] != comp[None, y]) & (main[None, y].astype(bool) | (x_node[:, None] < node[None, y])))
+                    if not len(xi):
+                        continue
+                    differs = x_sig[xi] != sigs[y][yi]
+                    errors = np.add.reduceat(differs, starts, axis=1, dtype=np.int64)[:, chunk_of]
+                    first = ((errors == 0) | ((errors == 1) & differs)).argmax(axis=1)
+                    ok = x_keys[xi, first] == key[lo]
+                    found.append(np.stack([x_node[xi[ok]], node[y][yi[ok]]]))
+            a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, plan: NearDup = NearDup(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -295,10 +341,9 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup(), id_col: str = "d
     links = staged(_confirmed(best, docs, plan), "links")
     labels = components(links)
 
-    rest = staged(_left_over(shared, labels, plan, nodes).join(best, ["a", "b"], "left_anti"), "rest")
+    rest = staged(_left_over(shared, labels, plan, nodes), "rest")
     if not rest.isEmpty():
-        more = staged(_near(rest, nodes, plan).select("a", "b"), "more")
-        links = links.union(staged(_confirmed(more, docs, plan), "more-links"))
+        links = links.union(staged(_confirmed(rest, docs, plan), "more-links"))
         labels = components(links)
 
     with_set = keyed_min(rows.filter("n_shingles > 0").select("doc_id", "n_shingles", "set_key"), "set_key", "doc_id", "node")

@@ -106,14 +106,14 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     Repeated rows (same id, same text) leave one row; which of them is not told
     apart, but for other columns the least row in their order stays.
     """
-    key = [F.coalesce("doc_id", F.lit(0)).alias("_id"), F.col("doc_id").isNull().alias("_no_id"), F.col("digest").alias("_d")]
+    key = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__no_id"), F.col("digest").alias("__d")]
     kept = exact_dedup(docs, index).filter("kept").select(*key)
-    rank = Window.partitionBy("_id", "_no_id", "_d").orderBy(*[F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")] or [F.lit(1)])
+    rank = Window.partitionBy("__id", "__no_id", "__d").orderBy(*[F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")] or [F.lit(1)])
     return (
         with_digest(docs)
         .select(*docs.columns, *key)
-        .join(kept, ["_id", "_no_id", "_d"], "left_semi")
-        .withColumn("_rn", F.row_number().over(rank))
-        .filter("_rn = 1")
+        .join(kept, ["__id", "__no_id", "__d"], "left_semi")
+        .withColumn("__rn", F.row_number().over(rank))
+        .filter("__rn = 1")
         .select(*docs.columns)
     )

@@ -190,4 +190,4 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
         for texts in batches:
             yield pd.DataFrame([ranker.judge(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_j", judge(F.col(text))).select(*docs.columns, "_j.lang_pred", "_j.score")
+    return docs.withColumn("__j", judge(F.col(text))).select(*docs.columns, "__j.lang_pred", "__j.score")

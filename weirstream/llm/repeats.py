@@ -296,14 +296,14 @@ def _marked(windows: DataFrame, plan: Repeats) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Add k, th: what a row is told by, the same for rows that repeat id and text."""
-    return docs.withColumn("k", F.coalesce(F.col(id_col), F.lit(0)).cast("long")).withColumn("th", F.hash(F.col(text)))
+    """Add __k, __th: what a row is told by, the same for rows that repeat id and text."""
+    return docs.withColumn("__k", F.coalesce(F.col(id_col), F.lit(0)).cast("long")).withColumn("__th", F.hash(F.col(text)))
 
 
 def repeated_spans(docs: DataFrame, plan: Repeats = Repeats(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """k, th, spans: for each document (see ``_keyed``) with repeated strings the stretches of bytes to remove, united and in order."""
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text").select("k", "th", body.alias("body"))
+    rows = _keyed(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), "doc_id", "text").select(F.col("__k").alias("k"), F.col("__th").alias("th"), body.alias("body"))
     hits = staged(_told_apart(_filed(rows, plan)), "windows")
     marks = hits.filter("whole").select("k", "th", "s", (F.col("s") + F.col("n") + plan.length).alias("e"))
 
@@ -369,10 +369,10 @@ def without_repeats(docs: DataFrame, plan: Repeats = Repeats(), id_col: str = "d
     count as different places, so they repeat each other. Columns named ``spans``
     or ``kept`` are replaced; an empty table gives an empty result.
     """
-    docs = docs.drop("spans", "kept", "k", "th")
+    docs = docs.drop("spans", "kept")
     columns = docs.columns
-    spans = staged(repeated_spans(docs, plan, id_col, text), "spans")
-    joined = _keyed(docs, id_col, text).join(spans, ["k", "th"], "left").select(*columns, "spans")
+    spans = staged(repeated_spans(docs, plan, id_col, text), "spans").withColumnsRenamed({"k": "__k", "th": "__th"})
+    joined = _keyed(docs, id_col, text).join(spans, ["__k", "__th"], "left").select(*columns, "spans")
     schema = T.StructType([*docs.schema.fields, spans.schema["spans"], T.StructField("kept", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

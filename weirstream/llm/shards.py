@@ -48,26 +48,26 @@ def external_shuffle(
     total = docs.agg(F.sum(size.cast("long")), F.count(F.lit(1))).first()
     n_rows = total[1]
     n_buckets = max(1, -(-(total[0] or 0) // bucket_bytes))
-    light = docs.select(F.pmod(h, F.lit(n_buckets)).alias("_bucket"))
-    counts = light.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_offset"))
+    light = docs.select(F.pmod(h, F.lit(n_buckets)).alias("__bucket"))
+    counts = light.groupBy("__bucket").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("__bucket", (F.sum("_n").over(Window.orderBy("__bucket")) - F.col("_n")).alias("__offset"))
     if n_buckets <= MAX_BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
-    dealt = docs.withColumn("_h", h).withColumn("_bucket", F.pmod("_h", F.lit(n_buckets))).join(offsets, "_bucket").select(*columns, "_h", "_bucket", "_offset")
+    dealt = docs.withColumn("__h", h).withColumn("__bucket", F.pmod("__h", F.lit(n_buckets))).join(offsets, "__bucket").select(*columns, "__h", "__bucket", "__offset")
     base, extra = divmod(n_rows, n_shards)
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
 
     def shuffle_bucket(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("_h", "ascending"), (id_col, "ascending"), (text, "ascending")])
-        first = {c: table.column(c)[0].as_py() for c in ("_bucket", "_offset")}
-        table = table.take(pa.array(fisher_yates(table.num_rows, seed, first["_bucket"])))
-        place = first["_offset"] + np.arange(table.num_rows)
+        table = table.sort_by([("__h", "ascending"), (id_col, "ascending"), (text, "ascending")])
+        first = {c: table.column(c)[0].as_py() for c in ("__bucket", "__offset")}
+        table = table.take(pa.array(fisher_yates(table.num_rows, seed, first["__bucket"])))
+        place = first["__offset"] + np.arange(table.num_rows)
         long_part = extra * (base + 1)  # the first ``extra`` shards have one row more
         shard = np.where(place < long_part, place // (base + 1), extra + (place - long_part) // max(base, 1))
         slot = place - shard * base - np.minimum(shard, extra)
         return table.select(columns).append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(slot, pa.int64()))
 
-    return dealt.groupBy("_bucket").applyInArrow(shuffle_bucket, schema)
+    return dealt.groupBy("__bucket").applyInArrow(shuffle_bucket, schema)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:

@@ -84,10 +84,10 @@ def judge(
     for r in sorted(rules, key=lambda r: len(r.pattern)):  # the longest is asked first
         fits = r.fits(F.col("host"), F.col("path"))
         rule, verdict = F.when(fits, F.lit(r.pattern)).otherwise(rule), F.when(fits, F.lit(r.verdict)).otherwise(verdict)
-    rows = rows.withColumn("rule", rule).withColumn("_ruled", verdict)
+    rows = rows.withColumn("rule", rule).withColumn("__ruled", verdict)
 
     text = F.coalesce(F.col(url), F.lit(""))
-    labelled = rows.select(text.alias("u"), "host", "path", (F.col("_ruled") == "block").cast("int").alias("block")).filter("block IS NOT NULL")
+    labelled = rows.select(text.alias("u"), "host", "path", (F.col("__ruled") == "block").cast("int").alias("block")).filter("block IS NOT NULL")
     sample = staged(boosting.bounded(labelled, F.col("u"), max_train), "labelled-urls")
     parts = suffixes(F.col("host"), F.col("path"))
     stats = (
@@ -112,10 +112,10 @@ def judge(
 
     known = features(F.col("u"), F.col("host"), F.col("path"))
     model = boosting.fit(sample.select("block", *[c.alias(k) for k, c in known.items()]), list(known), "block", rounds)
-    scored = rows.withColumn("_f", F.struct(*[c.alias(k) for k, c in features(text, F.col("host"), F.col("path")).items()]))
-    score = model.probability(lambda k: F.col("_f")[k])
+    scored = rows.withColumn("__f", F.struct(*[c.alias(k) for k, c in features(text, F.col("host"), F.col("path")).items()]))
+    score = model.probability(lambda k: F.col("__f")[k])
     return (
         scored.withColumn("score", score)
-        .withColumn("verdict", F.coalesce("_ruled", F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))))
-        .drop("_f", "_ruled")
+        .withColumn("verdict", F.coalesce("__ruled", F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))))
+        .drop("__f", "__ruled")
     )

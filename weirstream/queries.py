@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +12,8 @@ from . import views
 from .functions import binary, scalars
 from .operators import cues, jobs, telemetry, window
 from .plans import segments, select
-from .sources import pages
+from .sources import dash, hls, pages, subtitles
+from .streaming import live
 from .views import table, with_views
 
 PICKED = ["manifest_id", "pick", "id", "media_type", "bandwidth"]
@@ -171,7 +175,114 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "file", (F.floor(F.col("n") / 1024)).cast("bigint").alias("kib"))
 
 
+def _replayed(rows: DataFrame, step) -> DataFrame:
+    """Run a streaming step over ``rows`` as a file stream of four batches in the order of the second column, and read what it wrote."""
+    spark = rows.sparkSession
+    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    at = rows.columns[1]
+    lo, hi = rows.agg(F.min(at), F.max(at)).first()
+    for i in range(4):  # the file source takes the oldest file first
+        quarter = F.least(F.floor((F.col(at) - lo) * 4 / F.lit(max(1, (hi or 0) - (lo or 0)))), F.lit(3))
+        rows.filter(quarter == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    out = step(source)
+    run = out.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out")
+    run.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+def live_dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of equal segments comes first depends on batches, so the result has the keys."""
+    rows = views.segments(spark, sf_dir).select("stream_id", "seg_ord", "url")
+    return _replayed(rows, lambda s: live.fresh_segments(s, ["^error-"])).select("stream_id", "url")
+
+
+def live_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.arrivals(spark, sf_dir).select("track_id", "arrival", "duration", "discontinuity")
+    return _replayed(rows, live.live_window).select("track_id", "seq", "dur", "start_ms", "discontinuity")
+
+
+MASTER = """#EXTM3U
+#EXT-X-MEDIA:TYPE=AUDIO,GROUP-ID="aud1",NAME="English",LANGUAGE="en",DEFAULT=YES,CHANNELS="2",URI="audio/en.m3u8"
+#EXT-X-MEDIA:TYPE=SUBTITLES,GROUP-ID="sub1",NAME="Deutsch",LANGUAGE="de",URI="subs/de.m3u8"
+#EXT-X-MEDIA:TYPE=CLOSED-CAPTIONS,GROUP-ID="cc",NAME="CC1",INSTREAM-ID="CC1"
+#EXT-X-STREAM-INF:BANDWIDTH=2000000,AVERAGE-BANDWIDTH=1800000,RESOLUTION=1280x720,FRAME-RATE=29.970,CODECS="avc1.64001f,mp4a.40.2",AUDIO="aud1",SUBTITLES="sub1"
+720p.m3u8
+#EXT-X-STREAM-INF:BANDWIDTH=8000000,RESOLUTION=1920x1080
+1080/index.m3u8
+"""
+
+
+def _bulk(spark: SparkSession, sf_dir: str, body) -> DataFrame:
+    """A playlist for each user: (manifest_id, url, body)."""
+    users = views.table(spark, sf_dir, "events").select("user_id").distinct()
+    return users.select(F.col("user_id").alias("manifest_id"), F.lit("https://ex.com/hls/main.m3u8").alias("url"), body.alias("body"))
+
+
+def hls_master(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hls.parse_masters(_bulk(spark, sf_dir, F.lit(MASTER)))
+    return rows.select("manifest_id", "id", "ord", "media_type", "playlist_url", "bandwidth", "width", "height", "language", "audio_group", "group_id", "muxed_audio")
+
+
+def hls_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Media playlists written from the live windows and parsed again."""
+    win, tracks = _window(spark, sf_dir)
+    bodies = window.media_playlists(win, tracks).select(F.col("track_id").alias("manifest_id"), F.lit("https://ex.com/t/index.m3u8").alias("url"), "body")
+    return hls.parse_media(bodies).select("stream_id", "seq", "duration", "discontinuity", "url")
+
+
+def hls_byterange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte ranges of playlists that name an offset for every fourth segment only."""
+    line = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("@"), (F.col("event_id") * 10).cast("string"))).otherwise(F.lit(""))
+    text = F.concat(F.lit("#EXTINF:2,\n#EXT-X-BYTERANGE:"), (F.col("event_id") % 100 + 1).cast("string"), line, F.lit("\nf.ts\n"))
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("manifest_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", text.alias("t")))), lambda x: x["t"]), "").alias("b"))
+    rows = hls.parse_media(e.select("manifest_id", F.lit("https://ex.com/a/b.m3u8").alias("url"), F.concat(F.lit("#EXTM3U\n"), "b").alias("body")))
+    return rows.select("stream_id", "seg_ord", F.col("range.start").alias("first_byte"), F.col("range.end").alias("last_byte"))
+
+
+def dash_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Timelines of the published windows, parsed from MPD text again."""
+    return dash.parse_segments(mpd(spark, sf_dir).select(F.lit("m").alias("manifest_id"), F.lit("https://ex.com/live.mpd").alias("url"), "body")).select("stream_id", "seq", "duration", "url")
+
+
+def vtt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered subtitle files parsed again."""
+    files = cues.rendered(cues.rebased(cues.merged(views.cues(spark, sf_dir))), "vtt").withColumn("track_id", F.col("track_id"))
+    rows = subtitles.parse_vtt(files)
+    return rows.select("track_id", F.col("cue_ord").alias("cue_no"), F.round("start", 3).alias("start"), F.round("end", 3).alias("end"), "text")
+
+
+def key_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Content keys for suppliers: by their own KID, else by their nation's."""
+    kid = lambda c: F.unhex(F.md5(c.cast("string").cast("binary")))
+    wanted = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("stream_id"), kid(F.col("s_suppkey")).alias("tenc_kid"), kid(F.col("s_nationkey") + 1000).alias("manifest_kid"))
+    own = wanted.filter("stream_id % 3 = 0").select(F.col("tenc_kid").alias("kid"), F.unhex(F.md5("tenc_kid")).alias("key"))
+    shared = table(spark, sf_dir, "nation").filter("n_nationkey % 2 = 0").select(kid(F.col("n_nationkey") + 1000).alias("kid"), F.unhex(F.md5(kid(F.col("n_nationkey")))).alias("key"))
+    rows = pages.resolve_keys(wanted, own.union(shared))
+    return rows.select("stream_id", F.lower(F.hex("key")).alias("key_hex"))
+
+
+def aes128(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts encrypted by Spark and decrypted as segments; whether each comes back, and whether CTR does."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").cast("binary").alias("plain"), F.unhex(F.md5(F.col("p_partkey").cast("string").cast("binary"))).alias("key"))
+    iv = binary.sequence_iv(F.col("p_partkey"))
+    sealed = F.aes_encrypt("plain", "key", F.lit("CBC"), F.lit("PKCS"), iv)
+    data = F.substr(sealed, F.lit(17), F.octet_length(sealed))
+    rows = p.withColumns({"cbc": binary.segment_decrypt(data, F.col("key"), F.lit(None).cast("binary"), F.col("p_partkey")), "ctr": binary.ctr_decrypt(F.col("plain"), F.col("key"), iv)})
+    again = binary.ctr_decrypt(F.col("ctr"), F.col("key"), iv)
+    return rows.select("p_partkey", (F.col("cbc") == F.col("plain")).alias("cbc_back"), (again == F.col("plain")).alias("ctr_back"), F.octet_length("ctr").cast("long").alias("n"))
+
+
 QUERIES = {
+    "live_dedupe_stream": live_dedupe_stream,
+    "live_window_stream": live_window_stream,
+    "hls_master": hls_master,
+    "hls_media": hls_media,
+    "hls_byterange": hls_byterange,
+    "dash_timeline": dash_timeline,
+    "vtt_parse": vtt_parse,
+    "key_resolve": key_resolve,
+    "aes128": aes128,
     "select_default": _selected(),
     "select_best_n": _selected(video="best3", audio="best2", subs="best"),
     "select_worst_n": _selected(video="worst2", audio="worst2", subs="none"),
@@ -271,6 +382,38 @@ def _fold_sql(start: str, step: str, columns: str) -> str:
 
 
 ORACLE = {
+    "live_dedupe_stream": with_views("SELECT DISTINCT stream_id, url FROM v_segments WHERE NOT regexp_matches(url, '^error-')", "v_segments"),
+    "live_window_stream": with_views("SELECT track_id, seq, dur, start_ms, discontinuity FROM v_window", *_WINDOW),
+    "hls_master": """
+        SELECT DISTINCT user_id AS manifest_id, x.* FROM events, (VALUES
+            ('a1', 0::BIGINT, 'audio', 'https://ex.com/hls/audio/en.m3u8', 0::BIGINT, 0, 0, 'en', '', 'aud1', false),
+            ('s1', 1, 'subtitles', 'https://ex.com/hls/subs/de.m3u8', 0, 0, 0, 'de', '', 'sub1', false),
+            ('v1', 2, 'video', 'https://ex.com/hls/720p.m3u8', 1800000, 1280, 720, '', 'aud1', '', true),
+            ('v2', 3, 'video', 'https://ex.com/hls/1080/index.m3u8', 8000000, 1920, 1080, '', '', '', false)
+        ) x(id, ord, media_type, playlist_url, bandwidth, width, height, language, audio_group, group_id, muxed_audio)""",
+    "hls_media": with_views(
+        """SELECT track_id AS stream_id, seq, ms / 1000.0::DOUBLE AS duration, discontinuity,
+               'https://ex.com/t/' || CASE WHEN len(seq::VARCHAR) < 6 THEN lpad(seq::VARCHAR, 6, '0') ELSE seq::VARCHAR END || CASE WHEN fmp4 THEN '.m4s' ELSE '.ts' END AS url FROM v_visible""",
+        *_WINDOW,
+    ),
+    "hls_byterange": """
+        WITH a AS (SELECT user_id AS stream_id, row_number() OVER w - 1 AS seg_ord, event_id, event_id % 100 + 1 AS n, CASE WHEN event_id % 4 = 0 THEN event_id * 10 END AS o,
+                   count(CASE WHEN event_id % 4 = 0 THEN 1 END) OVER w AS chain FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+        b AS (SELECT *, coalesce(first_value(o) OVER (PARTITION BY stream_id, chain ORDER BY event_id), 0) + (sum(n) OVER (PARTITION BY stream_id, chain ORDER BY event_id) - n)::BIGINT AS first_byte FROM a)
+        SELECT stream_id, seg_ord, first_byte, first_byte + n - 1 AS last_byte FROM b""",
+    "dash_timeline": with_views(
+        """, t AS (SELECT track_id, media_type, (row_number() OVER (PARTITION BY media_type ORDER BY track_id)) - 1 AS i, count(*) FILTER (media_type = 'video') OVER () AS n_video FROM v_tracks WHERE media_type IN ('video', 'audio'))
+        SELECT track_id || '.' || (CASE media_type WHEN 'video' THEN i ELSE n_video + i END) || '.0' AS stream_id, seq, ms / 1000.0::DOUBLE AS duration,
+               'https://ex.com/' || track_id || '/' || CASE WHEN len(seq::VARCHAR) < 6 THEN lpad(seq::VARCHAR, 6, '0') ELSE seq::VARCHAR END || '.m4s' AS url
+        FROM v_visible JOIN t USING (track_id)""",
+        *_WINDOW,
+    ).replace(") , t AS", "), t AS"),
+    "vtt_parse": with_views('SELECT track_id, cue_no, round(start, 3) AS start, round("end", 3) AS "end", text FROM v_rebased', "v_cues", "v_merged", "v_rebased"),
+    "key_resolve": """
+        WITH w AS (SELECT s_suppkey AS stream_id, md5(s_suppkey::VARCHAR) AS t, s_nationkey AS n FROM supplier)
+        SELECT stream_id, CASE WHEN stream_id % 3 = 0 THEN md5(unhex(t)) WHEN n % 2 = 0 THEN md5(unhex(md5(n::VARCHAR)))
+               WHEN false THEN '' END AS key_hex FROM w""",
+    "aes128": "SELECT p_partkey, true AS cbc_back, true AS ctr_back, octet_length(encode(p_name)) AS n FROM part",
     "select_default": _select_sql("lo = 1", _DEFAULT_AUDIO, ("", "true")),
     "select_best_n": _select_sql("lo <= 3", ("", "lo <= 2"), ("", "lo <= 1")),
     "select_worst_n": _select_sql("hi <= 2", ("", "hi <= 2"), ("", "false")),

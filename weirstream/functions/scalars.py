@@ -76,7 +76,7 @@ def retriable(status: Column) -> Column:
 
 def retry_after(header: Column, now: Column) -> Column:
     """Seconds to wait: a number or an HTTP date; never below 0, 0 if neither."""
-    date = F.try_to_timestamp(header, F.lit("EEE, dd MMM yyyy HH:mm:ss 'GMT'"))
+    date = F.try_to_timestamp(F.regexp_replace(header, "^[A-Za-z]+, ", ""), F.lit("dd MMM yyyy HH:mm:ss 'GMT'"))
     wait = F.coalesce(F.trim(header).try_cast("double"), F.unix_timestamp(date) - F.unix_timestamp(now), F.lit(0.0))
     return F.greatest(wait, F.lit(0.0))
 

@@ -75,3 +75,16 @@ def resolve_keys(wanted: DataFrame, known: DataFrame) -> DataFrame:
     only = known.agg(F.when((F.count(F.lit(1)) == 1) & (F.max("kid") == zero), F.max("key")).alias("only"))  # one row
     rows = wanted.join(lookup("tenc_kid"), "tenc_kid", "left").join(lookup("manifest_kid"), "manifest_kid", "left").join(F.broadcast(only))
     return rows.select("stream_id", F.coalesce("key_of_tenc_kid", "key_of_manifest_kid", "only").alias("key"))
+
+
+def data_uri_keys(uris: DataFrame) -> DataFrame:
+    """uri, key of distinct ``data:`` URIs (uri): base64 or plain; keys that don't have 16 bytes are null."""
+    rows = uris.select("uri").distinct().filter(F.col("uri").startswith("data:"))
+    head, payload = F.regexp_extract("uri", "^([^,]*),", 1), F.regexp_extract("uri", "^[^,]*,(?s)(.*)$", 1)
+    key = F.when(F.contains(head, F.lit("base64")), F.try_to_binary(payload, F.lit("base64"))).otherwise(payload.cast("binary"))
+    return rows.select("uri", F.when(F.octet_length(key) == 16, key).alias("key"))
+
+
+def with_keys(segments: DataFrame, keys: DataFrame) -> DataFrame:
+    """Segments with ``aes_key`` by their key's URI; each URI is looked up once."""
+    return segments.withColumn("uri", F.col("key.uri")).join(keys.select("uri", F.col("key").alias("aes_key")), "uri", "left").drop("uri")

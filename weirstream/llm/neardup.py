@@ -8,11 +8,11 @@ allowed chunk error), and such pairs meet under some key for certain. Links are
 confirmed on the full shingle sets.
 
 Equal sets are one node from the start. Under a key the members are linked to the
-least of them first. Only members that then still lie in different components are
-compared further: those outside the key's largest component with all others, in
-blocks, by signature. So a group of thousands of near copies needs about as many
-comparisons as it has members. Every near pair is told under the first key it
-shares and nowhere else.
+least of them first, and each document is confirmed against the nearest of these.
+Components that hold a near pair after that are one cluster. In a cluster the
+members outside its largest component are compared with all its members on the
+full sets, in blocks. Tasks tell only links that unite components, so neither near
+pairs nor links of a group are listed, and none is lost.
 """
 
 from __future__ import annotations
@@ -59,6 +59,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class Forest:
+    """Which components a task has united: held members, and those that stream past them."""
+
+    def __init__(self):
+        self.comps = np.empty(0, np.int64)  # of held members
+        self.root = np.empty(0, np.int64)  # a held member's place for all members united with it
+        self.place: dict[int, int] = {}  # component -> a held member united with it
+
+    def hold(self, comps: np.ndarray) -> None:
+        at = len(self.root)
+        self.comps = np.concatenate([self.comps, comps])
+        roots = []
+        for i, c in enumerate(comps.tolist()):
+            known = self.place.setdefault(c, at + i)
+            roots.append(at + i if known == at + i else self.root[known] if known < at else roots[known - at])
+        self.root = np.concatenate([self.root, np.array(roots, np.int64)])
+
+    def meet(self, held: np.ndarray, comp: int) -> np.ndarray:
+        """A member of ``comp`` goes with the held members at these places; returns one of them for each component that this unites it with."""
+        roots, first = np.unique(self.root[held], return_index=True)
+        known = self.place.get(comp)
+        fresh = roots != (self.root[known] if known is not None else -1)
+        if not fresh.any():
+            return held[:0]
+        everything = roots if known is None else np.append(roots, self.root[known])
+        self.root[np.isin(self.root, everything)] = everything.min()
+        self.place[comp] = int(held[0])
+        return held[first[fresh]]
+
+
 class Shingler:
     """Sets of hashed word shingles: ASCII letters lower-cased, words between ASCII white space."""
 
@@ -260,8 +290,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, plan: NearDup) -> DataFrame:
     return rows.mapInArrow(confirm, "a long, b long").distinct()
 
 
-def _left_over(shared: DataFrame, labels: DataFrame, plan: NearDup, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) in different components that share a key and differ in ``reach`` places at most; ``a`` lies outside the key's largest component.
+def _groups(key: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where runs of equal keys begin and end."""
+    change = np.zeros(len(key) - 1, bool)
+    for k in (key, *more):
+        change |= k[1:] != k[:-1]
+    edges = np.flatnonzero(np.concatenate([[True], change]))
+    return zip(edges.tolist(), [*edges[1:].tolist(), len(key)], strict=True)
+
+
+def _clusters(shared: DataFrame, labels: DataFrame, plan: NearDup, nodes: DataFrame) -> DataFrame:
+    """component, cluster: components with members of others near them under a common key, that is ``reach`` places away at most.
 
     Of each key with several components, rows outside the largest one are held
     and all rows stream past them. If more than ``block`` are to be held, they
@@ -275,47 +314,106 @@ def _left_over(shared: DataFrame, labels: DataFrame, plan: NearDup, nodes: DataF
     rows = tagged.join(staged(mixed, "mixed"), "key").join(nodes.select("node", "sig"), "node")
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     held = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("node"), F.col("parts")) == F.col("part"))
-    rows = rows.select("key", "part", held.alias("held"), "node", "component", (F.col("component") == F.col("main")).alias("in_main"), "sig")
+    rows = rows.select("key", "part", held.alias("held"), "node", "component", "sig")
     rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", F.col("held").desc(), "node")
-    starts = plan.borders()
-    chunk_of = np.repeat(np.arange(plan.chunks), np.diff([*starts, plan.hashes]))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kept = None, []  # the group, and what is held of it: nodes, components, signatures, keys
+        now, forest, sigs = None, Forest(), np.empty((0, plan.hashes), np.uint16)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, part, hold, node, comp, main = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "held", "node", "component", "in_main"))
-            sigs = _unpacked(batch.column("sig"), plan)
-            edges = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])]))
-            found: list[np.ndarray] = []
-            for lo, hi in zip(edges, [*edges[1:], len(key)], strict=True):
+            key, part, hold, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "held", "component"))
+            mine, hold = _unpacked(batch.column("sig"), plan), hold.astype(bool)
+            found = []
+            for lo, hi in _groups(key, part):
                 if (key[lo], part[lo]) != now:
-                    now, kept = (key[lo], part[lo]), []
-                mine = np.arange(lo, hi)[hold[lo:hi].astype(bool)]
-                if len(mine):
-                    kept.append((node[mine], comp[mine], sigs[mine], _keys_of(sigs[mine], plan)))
-                if not kept:
-                    continue
-                x_node, x_comp, x_sig, x_keys = (np.concatenate(c) for c in zip(*kept, strict=True))
-                kept = [(x_node, x_comp, x_sig, x_keys)]
-                step = max(1, 20_000 // len(x_node))
+                    now, forest, sigs = (key[lo], part[lo]), Forest(), np.empty((0, plan.hashes), np.uint16)
+                if hold[lo]:
+                    kept = slice(lo, lo + int(hold[lo:hi].sum()))
+                    forest.hold(comp[kept])
+                    sigs = np.concatenate([sigs, mine[kept]])
+                step = max(1, 20_000 // max(1, len(sigs)))
                 for at in range(lo, hi, step):
                     y = slice(at, min(at + step, hi))
-                    distance = (x_sig[:, None, :] != sigs[None, y, :]).sum(axis=2)
-                    # two held outside the largest component meet twice; the smaller node tells
-                    xi, yi = np.nonzero((distance <= plan.reach) & (x_comp[:, None] != comp[None, y]) & (main[None, y].astype(bool) | (x_node[:, None] < node[None, y])))
-                    if not len(xi):
+                    near = (sigs[None, :, :] != mine[y, None, :]).sum(axis=2) <= plan.reach
+                    for i in np.flatnonzero(near.any(axis=1)):
+                        found += [(int(forest.comps[x]), int(comp[at + i])) for x in forest.meet(np.flatnonzero(near[i]), int(comp[at + i]))]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    united = components(rows.mapInArrow(compare, "a long, b long"))
+    return united.select(F.col("node").alias("component"), F.col("component").alias("cluster"))
+
+
+def _cluster_links(clusters: DataFrame, labels: DataFrame, docs: DataFrame, plan: NearDup, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that unite components within a cluster, found on the full sets.
+
+    Members outside a cluster's largest component are held in blocks; every
+    member streams past every block, in slices, so that neither a cluster with
+    very many members nor one with very many components is one task.
+    """
+    member = nodes.select("node").join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")).join(clusters, "component")
+    member = staged(member, "members")
+    sizes = member.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    about = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    about = about.select(
+        "cluster", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / F.lit(plan.block)).cast("int").alias("parts"), F.ceil(F.col("n") / F.lit(4 * plan.block)).cast("int").alias("slices")
+    )
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    wanted = member.join(about, "cluster").select("node", "component", "cluster", "parts", "slices", (F.col("component") != F.col("main")).alias("held"), deal("parts").alias("part"), deal("slices").alias("slice"))
+    wanted = staged(wanted, "wanted")
+
+    def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shingler = Shingler(plan.words)
+        for frame in frames:
+            yield frame.drop(columns="text").assign(s=[shingler.of(t).tobytes() for t in frame["text"]])
+
+    # both sides grow with the documents, so they are merged at every size
+    texts = docs.select(F.col("doc_id").alias("node"), "text").hint("merge").join(wanted, "node")
+    columns = ["node", "component", "cluster", "parts", "slices", "held", "part", "slice"]
+    found = texts.select(*columns, "text").mapInPandas(sets, "node long, component long, cluster long, parts int, slices int, held boolean, part int, slice int, s binary")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    streams = F.transform(every("parts"), lambda i: F.struct(i.alias("part"), F.col("slice").alias("slice"), F.lit(1).alias("role")))
+    holds = F.transform(every("slices"), lambda i: F.struct(F.col("part").alias("part"), i.alias("slice"), F.lit(0).alias("role")))
+    rows = found.select("node", "component", "cluster", "s", F.explode(F.when(F.col("held"), F.concat(holds, streams)).otherwise(streams)).alias("at"))
+    rows = rows.select("cluster", "at.part", "at.slice", "at.role", "node", "component", "s").repartition("cluster", "part", "slice").sortWithinPartitions("cluster", "part", "slice", "role", "node")
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, forest, ids, held = None, Forest(), np.empty(0, np.int64), []
+        table: tuple | None = None  # the held sets' hashes in order, whose they are, how many each has
+        for whole in batches:
+            links = []
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                cluster, part, cut, role, node, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cluster", "part", "slice", "role", "node", "component"))
+                own = [np.frombuffer(s, np.uint64) for s in batch.column("s").to_pylist()]
+                for lo, hi in _groups(cluster, part, cut, role):
+                    if (cluster[lo], part[lo], cut[lo]) != now:
+                        now, forest, ids, held, table = (cluster[lo], part[lo], cut[lo]), Forest(), np.empty(0, np.int64), [], None
+                    if role[lo] == 0:
+                        forest.hold(comp[lo:hi])
+                        ids = np.concatenate([ids, node[lo:hi]])
+                        held += own[lo:hi]
+                        table = None
+                        continue
+                    if table is None:
+                        owner = np.repeat(np.arange(len(held)), [len(x) for x in held])
+                        hashes = np.concatenate(held) if held else np.empty(0, np.uint64)
+                        order = np.argsort(hashes, kind="stable")
+                        table = hashes[order], owner[order], np.array([len(x) for x in held])
+                    hashes, owner, n = table
+                    if not len(hashes):
                         continue
-                    differs = x_sig[xi] != sigs[y][yi]
-                    errors = np.add.reduceat(differs, starts, axis=1, dtype=np.int64)[:, chunk_of]
-                    first = ((errors == 0) | ((errors == 1) & differs)).argmax(axis=1)
-                    ok = x_keys[xi, first] == key[lo]
-                    found.append(np.stack([x_node[xi[ok]], node[y][yi[ok]]]))
-            a, b = np.concatenate(found, axis=1) if found else np.empty((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    for i in range(lo, hi):
+                        first, last = np.searchsorted(hashes, own[i], "left"), np.searchsorted(hashes, own[i], "right")
+                        count = last - first
+                        places = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                        both = np.bincount(owner[places], minlength=len(n))
+                        link = np.flatnonzero((both > 0) & (100 * both >= plan.similarity * (n + len(own[i]) - both)))
+                        if len(link):
+                            links += [(int(ids[x]), int(node[i])) for x in forest.meet(link, int(comp[i]))]
+            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return rows.mapInArrow(compare, "a long, b long")
+    return rows.mapInArrow(confirm, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, plan: NearDup = NearDup(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -341,9 +439,9 @@ def near_duplicates(docs: DataFrame, plan: NearDup = NearDup(), id_col: str = "d
     links = staged(_confirmed(best, docs, plan), "links")
     labels = components(links)
 
-    rest = staged(_left_over(shared, labels, plan, nodes), "rest")
-    if not rest.isEmpty():
-        links = links.union(staged(_confirmed(rest, docs, plan), "more-links"))
+    clusters = _clusters(shared, labels, plan, nodes)
+    if not clusters.isEmpty():
+        links = links.union(staged(_cluster_links(clusters, labels, docs, plan, nodes), "more-links"))
         labels = components(links)
 
     with_set = keyed_min(rows.filter("n_shingles > 0").select("doc_id", "n_shingles", "set_key"), "set_key", "doc_id", "node")

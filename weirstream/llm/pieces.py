@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -121,6 +122,10 @@ def vocabulary(pieces: list[str], scores: dict[int, float], byte_ids: tuple[int,
     )
 
 
+def _packed(ids) -> bytes:
+    return array("i", ids).tobytes()
+
+
 class Codec:
     def __init__(self, v: Vocabulary):
         self.v = v
@@ -133,7 +138,7 @@ class Codec:
         apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in matchable)
         line = "\n" if not any("\n" in p for p in matchable) else ""
         self.chunks = re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + (f"|{line}" if line else "") if apart else "(?s).+").findall
-        self.cache: dict[str, tuple[int, ...]] = {}
+        self.cache: dict[str, bytes] = {}  # a chunk's ids as 32-bit numbers in a row
         self.spelled = [p.encode() for p in v.pieces]
         for b, i in enumerate(v.byte_ids):
             self.spelled[i] = bytes([b])
@@ -198,7 +203,7 @@ class Codec:
             if len(data) <= 40:
                 short.append((len(data), data, c))
             else:
-                self.cache[c] = self._segment(c)
+                self.cache[c] = _packed(self._segment(c))
         short.sort()
         for start in range(0, len(short), 20_000):
             self._segment_many(short[start : start + 20_000])
@@ -246,16 +251,16 @@ class Codec:
             while at:
                 path.append(piece[at])
                 at = back[at]
-            self.cache[chunk] = self._segment(chunk) if -1 in path else tuple(reversed(path))
+            path.reverse()
+            self.cache[chunk] = _packed(self._segment(chunk) if -1 in path else path)
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin and end (one number more than texts)."""
         split = [self.split(t) if t else [] for t in texts]
         self.remember(set(chain.from_iterable(split)))
         cached = self.cache.__getitem__
-        found = [list(chain.from_iterable(map(cached, chunks))) for chunks in split]
-        ends = np.cumsum([0, *map(len, found)])
-        return np.fromiter(chain.from_iterable(found), np.int32, int(ends[-1])), ends
+        found = [b"".join(map(cached, chunks)) for chunks in split]
+        return np.frombuffer(b"".join(found), np.int32), np.cumsum([0, *map(len, found)]) // 4
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_all([text])[0].tolist()

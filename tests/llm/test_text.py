@@ -176,3 +176,23 @@ def test_trees_add_spans_like_the_base(spark, odd_docs, no_docs):
     assert pii.redacted(new, model).first().text == "please call <phone> now"
     assert pii.find(odd_docs, model).count() == odd_docs.count()
     assert pii.fit(no_docs).cut > 1 and pii.find(no_docs, model).count() == 0
+
+
+def test_rare_spans_among_many_texts_still_calibrate(spark):
+    rng = random.Random(4)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    rows = [f"please call +1 ({number(3)}) {number(3)}-{number(4)} now" for _ in range(400)] + [f"order number {number(9)} of today" for _ in range(400)]
+    rows += [f"page {i} of a book" for i in range(20_000)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, text string")
+    model = pii.fit(frame, rounds=3, max_docs=500, key="id")
+    assert model.cut <= 1
+    new = spark.createDataFrame([("please call (555) 123-4567 now",), ("order number 123456789 of today",)], "text string")
+    assert [[x.kind for x in r.added] for r in pii.find(new, model).collect()] == [["phone"], []]
+
+
+def test_classes_are_bounded_apart(spark):
+    from weirstream.llm import boosting
+
+    rows = spark.range(50_000).select("id", (F.col("id") % 100 == 0).cast("int").alias("label"))
+    counts = {r[0]: r[1] for r in boosting.bounded_classes(rows, "label", F.col("id"), 1000).groupBy("label").count().collect()}
+    assert counts[1] == 500 and 800 < counts[0] < 1200

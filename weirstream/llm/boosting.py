@@ -101,3 +101,11 @@ def bounded(rows: DataFrame, key: Column, at_most: int) -> DataFrame:
     if n <= at_most:
         return rows
     return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < F.lit(int((1 << 20) * at_most / n)))
+
+
+def bounded_classes(rows: DataFrame, label: str, key: Column, at_most: int) -> DataFrame:
+    """About ``at_most`` rows of either class (``label`` 0 or 1), chosen by a hash of ``key`` so that reruns choose the same."""
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # a row per class
+    place = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20))
+    part = {c: (1 << 20) if n <= at_most else int((1 << 20) * at_most / n) for c, n in counts.items()}
+    return rows.filter(place < F.when(F.col(label) == 1, F.lit(part.get(1, 0))).otherwise(F.lit(part.get(0, 0))))

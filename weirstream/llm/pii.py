@@ -163,23 +163,34 @@ def _touches(x: Column, base: Column) -> Column:
     return F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
 
 
-def fit(docs: DataFrame, text: str = "text", max_docs: int = 20_000, precision: float = 0.98, rounds: int = 10, depth: int = 3) -> PiiModel:
-    """Trees and threshold from at most about ``max_docs`` documents, taken by a hash of the text.
-
-    A candidate is positive if it touches a base span. Three quarters of the
-    documents fit the trees, the rest calibrates the threshold: the least score
-    from which ``precision`` of the candidates are positive. With under 50
-    candidates of either class nothing can be calibrated and nothing is added.
+def fit(
+    docs: DataFrame, text: str = "text", max_docs: int = 20_000, precision: float = 0.98, rounds: int = 10, depth: int = 3, key: str | None = None
+) -> PiiModel:
+    """Trees and threshold from the candidates of all documents.
+
+    A candidate is positive if it touches a base span. The candidates of three
+    quarters of the texts are for the trees, which are fitted on at most about
+    ``max_docs`` of either class, taken by a hash of ``key`` (a column that tells
+    documents apart), text and place. All candidates of the rest calibrate the
+    threshold: the least score from which ``precision`` of them are positive. With
+    under 50 of either class there nothing can be calibrated and nothing is added.
+
+    Without ``key``, or where it is null, copies of a text are taken together.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    sample = boosting.bounded(docs.select(t.alias("t")).filter(F.col("t").rlike("[0-9@]|[\\[(][Aa][Tt][\\])]")), F.col("t"), max_docs)
-    base = sample.select("t", F.concat(*base_spans(F.col("t")).values()).alias("base"), (F.pmod(F.xxhash64(F.lit("fold"), "t"), F.lit(4)) == 0).alias("held"))
-    rows = base.select("held", "base", F.explode(candidates(F.col("t"))).alias("x")).select(
-        "held", _touches(F.col("x"), F.col("base")).cast("int").alias("label"), *[c.alias(k) for k, c in features(F.col("x")).items()]
+    place = F.xxhash64(t, *([F.col(key)] if key else []))
+    shown = docs.select(t.alias("t"), place.alias("place")).filter(F.col("t").rlike("[0-9@]|[\\[(][Aa][Tt][\\])]"))
+    base = shown.select("t", "place", F.concat(*base_spans(F.col("t")).values()).alias("base"), (F.pmod(F.xxhash64(F.lit("fold"), "t"), F.lit(4)) == 0).alias("held"))
+    rows = base.select("held", "place", "base", F.explode(candidates(F.col("t"))).alias("x")).select(
+        "held",
+        F.xxhash64("place", "x.s", "x.e").alias("place"),
+        _touches(F.col("x"), F.col("base")).cast("int").alias("label"),
+        *[c.alias(k) for k, c in features(F.col("x")).items()],
     )
     names = list(features(F.struct(*[F.lit("").alias(k) for k in ("hit", "before", "after")])))
     rows = staged(rows, "candidates")
-    trees = boosting.fit(rows.filter("NOT held"), names, "label", rounds, depth)
+    sample = staged(boosting.bounded_classes(rows.filter("NOT held"), "label", F.col("place"), max_docs), "fitting-candidates")
+    trees = boosting.fit(sample, names, "label", rounds, depth)
     cut = boosting.threshold(rows.filter("held").withColumn("p", trees.probability(F.col)), "label", precision)
     return PiiModel(trees, cut)
 

@@ -138,3 +138,24 @@ def test_trees_as_columns_score_as_the_model(spark):
     got = [r.p for r in frame.select(ours.probability(F.col).alias("p")).collect()]
     want = [r.probability[1] for r in theirs.transform(data).collect()]
     assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-9
+
+
+def test_url_shares_count_all_labelled_urls(spark):
+    alike = "q" * 40
+    urls = [(f"http://site{i % 60}.ex.com/{alike}{'bad' if i % 2 else 'good'}/{i}") for i in range(3000)]
+    urls += [f"http://new.ex.net/{alike}{'bad' if i % 2 else 'good'}/x{i}" for i in range(40)]
+    frame = spark.createDataFrame([(u,) for u in urls], "url string")
+    rules = [url_filter.Rule("block", f"ex.com/{alike}bad/"), url_filter.Rule("allow", f"ex.com/{alike}good/")]
+    with_path = frame.withColumn("host", url_filter.host_and_path(F.col("url"))[0]).withColumn("path", url_filter.host_and_path(F.col("url"))[1])
+    ruled = with_path.withColumn("__ruled", F.when(F.col("host").endswith(".net"), F.lit(None)).when(F.col("path").contains("bad/"), F.lit("block")).otherwise(F.lit("allow")))
+    counted = url_filter._counted(ruled, 20)
+    shares = {(r["kind"], r["value"]): r["share"] for r in counted.collect()}
+    assert shares["second", "ex.com"] == 1501 / 3002 and ("second", "ex.net") not in shares
+    assert shares["first_part", f"{alike}bad"] == 1501 / 1502 and shares["first_part", f"{alike}good"] == 1 / 1502
+    want = [(r["url"], shares.get(("second", "ex." + r["host"][-3:]), 0.5), shares["first_part", r["path"].split("/")[1]]) for r in ruled.collect()]
+    for small in (True, False):  # False joins cold values and spreads hot ones
+        got = url_filter._with_shares(ruled, counted, small).select("url", "__share_second", "__share_first_part").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+    few = {r["url"]: r["verdict"] for r in url_filter.judge(frame, rules, max_train=200, rounds=2).filter("rule IS NULL").collect()}
+    assert len(few) == 40 and all((v == "block") == ("bad/" in u) for u, v in few.items())
+    assert url_filter.judge(frame, rules, max_train=200, rounds=2, max_broadcast=0).count() == len(urls)

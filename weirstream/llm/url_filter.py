@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import staged
+from .common import n_salts, staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,20 +57,58 @@ def suffixes(host: Column, path: Column) -> dict[str, Column]:
     return {
         "top": F.substring_index(host, ".", -1),
         "second": F.substring_index(host, ".", -2),
-        "first_part": F.regexp_extract(path, "^/([^/]{0,40})", 1),
+        "first_part": F.regexp_extract(path, "^/([^/]*)", 1),
     }
 
 
+def _counted(rows: DataFrame, min_suffix: int) -> DataFrame:
+    """kind, value, share, hot of every suffix value that has a share or is hot, counted over all of ``rows``.
+
+    A hot value has more than a thousandth of the rows, so there are under 1,000 of
+    a kind. One with fewer than ``min_suffix`` labelled URLs has a share of 0.5.
+    """
+    hot_from = max(1000, rows.count() // 1000)
+    parts = suffixes(F.col("host"), F.col("path"))
+    values = rows.select("__ruled", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in parts.items()])).alias("s"))
+    counts = values.groupBy("s.kind", "s.value").agg(F.count_if(F.col("__ruled") == "block").alias("ones"), F.count("__ruled").alias("n"), F.count(F.lit(1)).alias("rows"))
+    share = F.when(F.col("n") >= min_suffix, (F.col("ones") + 1) / (F.col("n") + 2)).otherwise(F.lit(0.5))
+    found = counts.select("kind", "value", share.alias("share"), (F.col("rows") > hot_from).alias("hot"), "n").filter((F.col("n") >= min_suffix) | F.col("hot"))
+    return staged(found.drop("n"), "suffix-shares")
+
+
+def _with_shares(rows: DataFrame, counted: DataFrame, small: bool) -> DataFrame:
+    """``rows`` with ``__share_<kind>``: the share of its value, 0.5 for one that has none.
+
+    All shares are broadcast if they are few, else those of hot values only. The
+    others are joined by value; there a salt, 0 for values that are not hot, spreads
+    the rows of hot ones, which have found their share before.
+    """
+    salts = n_salts(rows.sparkSession)
+    for kind, value in suffixes(F.col("host"), F.col("path")).items():
+        of_kind = counted.filter(F.col("kind") == kind)
+        hot = (of_kind if small else of_kind.filter("hot")).select(F.col("value").alias("__v"), F.col("share").alias("__hot"))
+        rows = rows.withColumn("__value", value)
+        rows = rows.join(F.broadcast(hot), F.col("__value") == F.col("__v"), "left").drop("__v")
+        if small:
+            rows = rows.withColumn(f"__share_{kind}", F.coalesce("__hot", F.lit(0.5))).drop("__hot", "__value")
+            continue
+        cold = of_kind.filter("NOT hot").select(F.col("value").alias("__v"), F.lit(0).alias("__s"), F.col("share").alias("__cold"))
+        rows = rows.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise((F.monotonically_increasing_id() % salts + 1).cast("int")))
+        rows = rows.join(cold.hint("merge"), (F.col("__value") == F.col("__v")) & (F.col("__salt") == F.col("__s")), "left")
+        rows = rows.withColumn(f"__share_{kind}", F.coalesce("__hot", "__cold", F.lit(0.5))).drop("__v", "__s", "__salt", "__hot", "__cold", "__value")
+    return rows
+
+
 def judge(
-    pages: DataFrame, rules: list[Rule], url: str = "url", max_train: int = 20_000, min_suffix: int = 20, rounds: int = 12
+    pages: DataFrame, rules: list[Rule], url: str = "url", max_train: int = 20_000, min_suffix: int = 20, rounds: int = 12, max_broadcast: int = 20_000
 ) -> DataFrame:
     """``pages`` with host, path, rule, score (probability of ``block``) and verdict.
 
-    URLs that a rule decides are the labelled ones. The trees are fitted on at
-    most about ``max_train`` of them, taken by a hash of the URL; shares of blocked
-    URLs are kept for suffixes with at least ``min_suffix`` of those, so their table
-    is bounded by the sample. Every URL is then scored in place: no join, no
-    shuffle, so a host with most of the rows makes no difference.
+    URLs that a rule decides are the labelled ones. Shares of blocked URLs are
+    counted over all of them, for suffixes with at least ``min_suffix``; only the
+    trees are fitted on at most about ``max_train``, taken by a hash of the URL.
+    Shares are broadcast if there are at most ``max_broadcast`` of them (and 8 MB),
+    else joined by value, where a value with many of the rows is spread.
 
     A null URL or one without ``://`` has empty host and path and is scored like
     the others. Without labelled URLs of both kinds the model is a constant;
@@ -87,35 +125,23 @@ def judge(
     rows = rows.withColumn("rule", rule).withColumn("__ruled", verdict)
 
     text = F.coalesce(F.col(url), F.lit(""))
+    counted = _counted(rows.select("host", "path", "__ruled"), min_suffix)
+    n, size = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))).first()
+    small = n <= max_broadcast and size <= 8 << 20
+
+    def features(u: Column) -> dict[str, Column]:
+        h, p = F.col("host"), F.col("path")
+        return lexical(u, h, p) | {f"share_{k}": F.col(f"__share_{k}") for k in suffixes(h, p)}
+
     labelled = rows.select(text.alias("u"), "host", "path", (F.col("__ruled") == "block").cast("int").alias("block")).filter("block IS NOT NULL")
-    sample = staged(boosting.bounded(labelled, F.col("u"), max_train), "labelled-urls")
-    parts = suffixes(F.col("host"), F.col("path"))
-    stats = (
-        sample.select("block", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in parts.items()])).alias("s"))
-        .groupBy("s.kind", "s.value")
-        .agg(F.sum("block").alias("ones"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("n") >= min_suffix)
-        .collect()  # at most 3 * max_train / min_suffix rows
-    )
-    shares: dict[str, dict[str, float]] = {k: {} for k in parts}
-    for s in sorted(stats, key=lambda s: (s["kind"], s["value"])):
-        shares[s["kind"]][s["value"]] = (s["ones"] + 1) / (s["n"] + 2)
-
-    def share_of(kind: str, value: Column) -> Column:
-        if not shares[kind]:
-            return F.lit(0.5)
-        known = F.create_map(*[F.lit(x) for pair in shares[kind].items() for x in pair])
-        return F.coalesce(F.try_element_at(known, value), F.lit(0.5))
-
-    def features(u: Column, h: Column, p: Column) -> dict[str, Column]:
-        return lexical(u, h, p) | {f"share_{k}": share_of(k, c) for k, c in suffixes(h, p).items()}
-
-    known = features(F.col("u"), F.col("host"), F.col("path"))
-    model = boosting.fit(sample.select("block", *[c.alias(k) for k, c in known.items()]), list(known), "block", rounds)
-    scored = rows.withColumn("__f", F.struct(*[c.alias(k) for k, c in features(text, F.col("host"), F.col("path")).items()]))
+    sample = _with_shares(boosting.bounded(labelled, F.col("u"), max_train), counted, small)
+    known = features(F.col("u"))
+    sample = staged(sample.select("block", *[c.alias(k) for k, c in known.items()]), "labelled-urls")
+    model = boosting.fit(sample, list(known), "block", rounds)
+    scored = _with_shares(rows, counted, small).withColumn("__f", F.struct(*[c.alias(k) for k, c in features(text).items()]))
     score = model.probability(lambda k: F.col("__f")[k])
     return (
         scored.withColumn("score", score)
         .withColumn("verdict", F.coalesce("__ruled", F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))))
-        .drop("__f", "__ruled")
+        .drop("__f", "__ruled", *[k for k in scored.columns if k.startswith("__share_")])
     )

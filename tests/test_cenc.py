@@ -1,6 +1,7 @@
 import random
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
 from weirstream.functions import cenc
@@ -102,3 +103,29 @@ def test_whole_sample_chaining(spark):
     plain, iv = rng.randbytes(70), rng.randbytes(16)
     sealed = cbc(spark, plain[:64], iv) + plain[64:]
     assert run(spark, fragment([sealed], [iv], [[]]), "cbc1", 16) == fragment([plain], [iv], [[]])
+
+
+def based(samples, ivs, base, offset, flags=1):
+    """A fragment whose tfhd has a base data offset."""
+    sizes = b"".join(struct.pack(">I", len(s)) for s in samples)
+    tfhd = box(b"tfhd", struct.pack(">IIQ", flags, 1, base))
+    trun = box(b"trun", struct.pack(">IIi", 0x201, len(samples), offset) + sizes)
+    senc = box(b"senc", struct.pack(">II", 0, len(ivs)) + b"".join(ivs))
+    return box(b"moof", box(b"traf", tfhd + trun + senc)) + box(b"mdat", b"\xee" * 24 + b"".join(samples))
+
+
+def test_explicit_base_data_offset(spark):
+    rng = random.Random(4)
+    plain, ivs = [rng.randbytes(48), rng.randbytes(33)], [struct.pack(">Q", i + 3) for i in range(2)]
+    sealed = [ctr(spark, p, iv) for p, iv in zip(plain, ivs)]
+    first = fragment([plain[0]], [ivs[0]], [[]])
+    head = len(based(plain, ivs, 0, 0)) - 24 - 81  # up to the mdat's bytes
+    for before in (b"", first):
+        at = len(before) + head + 24
+        want = (fragment([ctr(spark, plain[0], ivs[0])], [ivs[0]], [[]]) if before else b"") + based(plain, ivs, at - 10, 10)
+        assert run(spark, before + based(sealed, ivs, at - 10, 10), "cenc") == want
+        # default-base-is-moof goes before it
+        moof = based(sealed, ivs, 5, head + 24, 0x20001)
+        assert run(spark, before + moof, "cenc")[-81:] == b"".join(plain)
+    with pytest.raises(ValueError, match="outside mdat"):
+        cenc.fragment_samples(based(sealed, ivs, 10_000, 0), 8)

@@ -54,6 +54,14 @@ def _sizes(b: bytes, start: int, end: int) -> tuple[int | None, list[int]]:
     return offset, sizes
 
 
+def _explicit_base(b: bytes, start: int, end: int) -> int | None:
+    """Base data offset of a tfhd; none where it has none or says that the moof is the base."""
+    flags = int.from_bytes(b[start + 1 : start + 4], "big")
+    if flags & 0x20000 or not flags & 0x1 or end - start < 16:
+        return None
+    return struct.unpack(">q", b[start + 8 : start + 16])[0]
+
+
 def _entry(b: bytes, at: int, iv_size: int, split: bool) -> tuple[int, bytes, list[tuple[int, int]]]:
     """One sample's IV and subsamples, and where the next begins."""
     iv = b[at : at + iv_size]
@@ -70,14 +78,18 @@ def fragment_samples(b: bytes, iv_size: int) -> list[tuple]:
     """sample, at, size, iv, subsamples of the samples of every fragment in a segment.
 
     IVs come from senc, else from the auxiliary data that saiz and saio point to.
-    Of several truns in a track fragment the last counts.
+    Of several truns in a track fragment the last counts. Samples are placed from
+    the moof, or from tfhd's base data offset, counted from the segment's start; if
+    that leads outside the mdat that follows, a ValueError tells so.
     """
     out = []
     number = 0
-    for kind, start, end in _boxes(b, 0, len(b)):
+    tops = list(_boxes(b, 0, len(b)))
+    for n, (kind, start, end) in enumerate(tops):
         if kind != b"moof":
             continue
         moof = start - 8
+        mdat = next(((x, y) for name, x, y in tops[n + 1 :] if name == b"mdat"), (end, end))
         for k, s, e in _boxes(b, start, end):
             if k != b"traf":
                 continue
@@ -86,6 +98,11 @@ def fragment_samples(b: bytes, iv_size: int) -> list[tuple]:
                 continue
             offset, sizes = _sizes(b, *inside[b"trun"])
             at = moof + offset if offset is not None else end + 8
+            base = _explicit_base(b, *inside[b"tfhd"]) if b"tfhd" in inside else None
+            if base is not None:
+                at = base + (offset or 0)
+                if at < mdat[0] or at + sum(sizes) > mdat[1]:
+                    raise ValueError(f"samples at {at} of {sum(sizes)} bytes lie outside mdat ({mdat[0]} to {mdat[1]})")
             entries: list[tuple[bytes, list]] = []
             if b"senc" in inside:
                 x, _ = inside[b"senc"]

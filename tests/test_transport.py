@@ -1,3 +1,5 @@
+import re
+
 from weirstream.sources import transport
 
 
@@ -24,3 +26,21 @@ def test_programs(spark):
     data = packet(0, 0, b"\0" + pat, True) + packet(256, 0, b"\0" + pmt, True)
     got = [(r.program, r.pmt_pid, r.pid, r.stream_type) for r in transport.programs(frame(spark, data)).collect()]
     assert got == [(1, 256, 257, 0x1B), (1, 256, 258, 0x0F)]
+
+
+def test_packets_are_numbered_within_segments(spark):
+    from weirstream.functions import binary
+
+    rows = [(t, g, n, p, 2 if n % 5 == 0 else 1, 9) for t in ("a", None) for g in (0, 1, 3) for n in range(30) for p in (256, 257, 0x1FFF)]
+    frame = spark.createDataFrame(rows, "stream string, segment int, pkt_no int, pid int, afc int, cc int")
+    out = binary.continuity(frame)
+    got = {tuple(r)[:4]: r["out_cc"] for r in out.collect()}
+    seen, want = {}, {}
+    for t, g, n, p, afc, cc in rows:
+        goes_on = afc == 1 and p != 0x1FFF
+        want[t, g, n, p] = seen.get((t, p), 0) % 16 if goes_on else cc
+        seen[t, p] = seen.get((t, p), 0) + goes_on
+    assert got == want and out.columns == [*frame.columns, "out_cc"] and out.count() == len(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    numbering = [x for x in plan.splitlines() if "row_number" in x]
+    assert numbering and not any(re.search(r"segment#\d+ ASC", x) for x in numbering)

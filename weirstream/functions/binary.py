@@ -169,5 +169,11 @@ def continuity(packets: DataFrame) -> DataFrame:
     Null packets and packets without payload keep their counter.
     """
     counts = F.col("afc").isin(1, 3) & (F.col("pid") != 0x1FFF)
-    order = Window.partitionBy("stream", "pid", counts).orderBy("segment", "pkt_no")
-    return packets.withColumn("out_cc", F.when(counts, ((F.row_number().over(order) - 1) % 16).cast("int")).otherwise(F.col("cc")))
+    earlier = Window.partitionBy("_st", "_pid").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = packets.filter(counts).groupBy(F.col("stream").alias("_st"), F.col("pid").alias("_pid"), F.col("segment").alias("_seg")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_st", "_pid", "_seg", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("stream", "pid", "segment", counts).orderBy("pkt_no")) - 1
+    rows = packets.withColumn("_within", within)
+    rows = rows.join(before, F.col("stream").eqNullSafe(F.col("_st")) & (F.col("pid") == F.col("_pid")) & F.col("segment").eqNullSafe(F.col("_seg")), "left")
+    out = F.when(counts, ((F.col("_before") + F.col("_within")) % 16).cast("int")).otherwise(F.col("cc"))
+    return rows.withColumn("out_cc", out).drop("_st", "_pid", "_seg", "_before", "_within")

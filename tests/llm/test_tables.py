@@ -31,10 +31,39 @@ def test_topk_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (50, [0.5, float("nan")]), (1, None), (2, [None, 1.0]), (3, [float("inf"), 1.0]), (4, [1.0, -1.0]), (None, [1.0, 1.0]), (4, [1.0, -1.0]), (5, [2.0]), (6, [])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").select("vec_id", topk.quantised(F.col("embedding")).alias("v"))
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(frame, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
-    assert got == [(0, 1, 5, 256 * 512), (0, 2, 6, 0), (0, 3, 4, 256 * 256 - 512 * 256)]
+    assert got == [(0, 1, 5, 256 * 512), (0, 2, 6, 0), (0, 3, 4, 256 * 256 - 512 * 256), (0, 4, 4, 256 * 256 - 512 * 256)]
     assert topk.search(frame.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_repeated_ids_are_rows(spark):
+    """Every row but the query's own is a candidate, also one with the query's id; each query row has its answers."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i), rng.integers(-9, 9, 4).tolist()) for i in rng.integers(40, 60, 300)] + [(50, [9, 9, 9, 9])] * 3 + [(7, [9, 9, 9, 8])] * 9
+    want = []
+    for at, (q, v) in enumerate(rows):
+        if q % 50 == 0:
+            scored = sorted((-int(np.dot(v, w)), i) for other, (i, w) in enumerate(rows) if other != at)[:5]
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
+    frame = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    assert sorted(map(tuple, topk.search(frame, F.col("vec_id") % 50 == 0, 5).collect())) == sorted(want)
+
+
+def test_topk_bands_prune(spark):
+    """Lengths that fall off: bands of short vectors are still searched for queries without k answers, and give none to the others."""
+    rng = np.random.default_rng(4)
+    vectors = {i: (rng.integers(-500, 500, 8) // (1 + i % 40)) for i in range(500)}
+    vectors |= {500: np.array([1, 0, 0, 0, 0, 0, 0, 0]), 550: np.zeros(8, int)}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, v array<long>")
+    got = defaultdict(list)
+    old, topk.SEEDS = topk.SEEDS, 3
+    try:
+        for r in topk.search(frame, F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r.vec_id, r.score))
+    finally:
+        topk.SEEDS = old
+    assert got == brute_top(vectors, 5)
+
+
 def test_mix_meets_targets(spark, odd_docs, no_docs):
     rng = random.Random(2)
     rows = [(i, " ".join("w" for _ in range(rng.randrange(0, 40))), None if i % 10 == 0 else f"s{min(i % 9, 3)}") for i in range(600)]
@@ -53,6 +82,9 @@ def test_mix_meets_targets(spark, odd_docs, no_docs):
     assert max(level) - min(level) < 1e-6
     again = mixing.mix(frame.repartition(7), mixing.Curriculum(rows_per_part=20)).collect()
     assert sorted((r.doc_id, r.taken, tuple(r.positions)) for r in got) == sorted((r.doc_id, r.taken, tuple(r.positions)) for r in again)
+    blank = spark.createDataFrame([(1, " ", "a"), (2, None, "a"), (3, "w w", "b"), (4, "w", "b")], "doc_id long, text string, source string")
+    assert {r.doc_id: (r.target, r.taken, r.positions) for r in mixing.mix(blank).filter("source = 'a'").collect()} == {1: (0.0, 0, []), 2: (0.0, 0, [])}
+    assert mixing.mix(blank.filter("source = 'a'")).select("positions").collect() and mixing.training_order(blank).count() > 0
     assert mixing.mix(odd_docs).count() == odd_docs.count() and mixing.mix(no_docs).count() == 0
     assert mixing.training_order(odd_docs).columns == odd_docs.columns and mixing.training_order(no_docs).count() == 0
 
@@ -147,8 +179,8 @@ def test_url_shares_count_all_labelled_urls(spark):
     frame = spark.createDataFrame([(u,) for u in urls], "url string")
     rules = [url_filter.Rule("block", f"ex.com/{alike}bad/"), url_filter.Rule("allow", f"ex.com/{alike}good/")]
     with_path = frame.withColumn("host", url_filter.host_and_path(F.col("url"))[0]).withColumn("path", url_filter.host_and_path(F.col("url"))[1])
-    ruled = with_path.withColumn("__ruled", F.when(F.col("host").endswith(".net"), F.lit(None)).when(F.col("path").contains("bad/"), F.lit("block")).otherwise(F.lit("allow")))
-    counted = url_filter._counted(ruled, 20)
+    ruled = with_path.withColumn("__fold", url_filter._fold(F.col("url"))).withColumn("__ruled", F.when(F.col("host").endswith(".net"), F.lit(None)).when(F.col("path").contains("bad/"), F.lit("block")).otherwise(F.lit("allow")))
+    counted = url_filter._counted(ruled)
     shares = {(r["kind"], r["value"]): r["share"] for r in counted.collect()}
     assert shares["second", "ex.com"] == 1501 / 3002 and ("second", "ex.net") not in shares
     assert shares["first_part", f"{alike}bad"] == 1501 / 1502 and shares["first_part", f"{alike}good"] == 1 / 1502
@@ -156,6 +188,10 @@ def test_url_shares_count_all_labelled_urls(spark):
     for small in (True, False):  # False joins cold values and spreads hot ones
         got = url_filter._with_shares(ruled, counted, small).select("url", "__share_second", "__share_first_part").collect()
         assert sorted(map(tuple, got)) == sorted(want)
+    labels = [(r["host"].split(".", 1)[1], r["__fold"], r["__ruled"] == "block") for r in ruled.filter("__ruled IS NOT NULL").collect()]
+    for row in url_filter._with_shares(ruled.filter("__ruled IS NOT NULL"), counted, True, fitting=True).select("__fold", "__share_second").distinct().collect():
+        others = [b for s, f, b in labels if s == "ex.com" and f != row["__fold"]]
+        assert abs(row["__share_second"] - (sum(others) + 1) / (len(others) + 2)) < 1e-12
     few = {r["url"]: r["verdict"] for r in url_filter.judge(frame, rules, max_train=200, rounds=2).filter("rule IS NULL").collect()}
     assert len(few) == 40 and all((v == "block") == ("bad/" in u) for u, v in few.items())
     assert url_filter.judge(frame, rules, max_train=200, rounds=2, max_broadcast=0).count() == len(urls)

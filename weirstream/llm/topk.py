@@ -59,13 +59,14 @@ def _rotation(vectors: DataFrame, width: int) -> np.ndarray:
 
 
 def _blocks(vectors: DataFrame, width: int, size: int) -> DataFrame:
-    """Rows of up to ``size`` vectors in order of descending length: top (the greatest length), ids, data."""
+    """Rows of up to ``size`` vectors in order of descending length: top (the greatest length), uids, ids, copies, data, least."""
 
     def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
 
         def out(frame: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"top": [float(frame["norm"].max())], "ids": [frame["id"].to_numpy(np.int64).tobytes()], "data": [_matrix(frame["v"], width).tobytes()]})
+            longs = {name: [frame[c].to_numpy(np.int64).tobytes()] for name, c in (("uids", "uid"), ("ids", "id"), ("copies", "copies"), ("least", "least"))}
+            return pd.DataFrame({"top": [float(frame["norm"].max())], "data": [_matrix(frame["v"], width).tobytes()]} | longs)
 
         for frame in frames:
             held.append(frame)
@@ -77,18 +78,20 @@ def _blocks(vectors: DataFrame, width: int, size: int) -> DataFrame:
         if len(whole):
             yield out(whole)
 
-    order = [F.col("norm").desc(), F.col("id")]
-    return vectors.repartitionByRange(*order).sortWithinPartitions(*order).mapInPandas(pack, "top double, ids binary, data binary")
+    order = [F.col("norm").desc(), F.col("uid")]
+    dealt = vectors.select("uid", "id", "copies", "v", "norm", "least").repartitionByRange(*order).sortWithinPartitions(*order)
+    return dealt.mapInPandas(pack, "top double, data binary, uids binary, ids binary, copies binary, least binary")
 
 
-def _unpack(ids: bytes, data: bytes, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(data, np.int64).reshape(-1, width)
+def _longs(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, np.int64)
 
 
-def best_pairs(qid, q, vid, v, least, k: int, axes: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_pairs(own, q, uid, vid, v, least, k: int, axes: np.ndarray, step: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best vectors of a block for each query, if they score ``least`` (one for each query) or more; ties to the smaller id.
 
-    Returns places of queries, places of vectors, scores.
+    A query does not meet the vector whose ``uid`` is its ``own``. Returns places
+    of queries, places of vectors, scores.
     """
     width = axes.shape[1]
     head = max(1, width // 4)
@@ -100,13 +103,13 @@ def best_pairs(qid, q, vid, v, least, k: int, axes: np.ndarray, step: int = 512)
     found = []
     for a in range(0, len(q), step):
         rows = slice(a, a + step)
-        at = least[rows].copy()
+        at = np.nextafter(least[rows].astype(np.float64), -np.inf)  # a float is never above the whole number
         kept: list[np.ndarray] = []
         for b in range(0, len(v), 1024):
             cols = slice(b, b + 1024)
             reach = q_norm[rows, None] * v_norm[None, cols]
             bound = qr[rows, :head] @ vr[cols, :head].T + q_rest[rows, None] * v_rest[None, cols] + SLACK * reach + 1e-6
-            qi, vi = np.nonzero((bound >= at[:, None]) & (qid[rows, None] != vid[None, cols]))
+            qi, vi = np.nonzero((bound >= at[:, None]) & (own[rows, None] != uid[None, cols]))
             if not len(qi):
                 continue
             if small and len(qi) > 0.1 * bound.size:
@@ -129,57 +132,79 @@ def best_pairs(qid, q, vid, v, least, k: int, axes: np.ndarray, step: int = 512)
     return tuple(np.concatenate(found, axis=1))
 
 
+def _ranked(rows: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` rows of each query, those with several copies counted as often; ``rank`` from 1."""
+    order = Window.partitionBy("uid").orderBy(F.col("score").desc(), "vec_id")
+    each = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.col("times"), F.lit(k)).cast("int")))).drop("copy", "times")
+    return each.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
 def search(items: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector: str = "v") -> DataFrame:
-    """The ``k`` items with the greatest inner product for every item that is a query: query_id, rank (from 1), vec_id, score.
+    """The ``k`` items with the greatest inner product for every row that is a query: query_id, rank (from 1), vec_id, score.
 
     ``vector`` holds whole numbers (see ``quantised``); rows whose vector or id is
-    null take no part. A query is never its own answer. Ties go to the smaller
-    id. Shorter vectors count as filled with zeros. Of rows that repeat an id the
-    least vector counts. Scores must fit a long. No rows give no rows.
-
-    Queries and items meet in blocks: every query block is sent to every slot
-    that has item blocks, less those too short to matter, and each pair of
-    blocks gives k rows a query at most. What the driver holds is bounded: the
-    Gram matrix and the ``SEEDS`` longest vectors, whose scores are the first
-    bounds.
+    null take no part. A row is never its own answer, but another row with the
+    same id is a candidate like any other, and each of them that is a query has
+    its own answers. Ties go to the smaller id. Shorter vectors count as filled
+    with zeros. Scores must fit a long. No rows give no rows.
+
+    Items are taken in bands of descending length. Each query carries its k-th
+    best score from band to band and leaves when no vector of a band is long
+    enough to reach it. Within a band query blocks and item blocks meet in
+    slots, whose number grows with the items. What the driver holds is bounded:
+    the Gram matrix and the ``SEEDS`` longest vectors, whose scores are the
+    first bounds.
     """
     spark = items.sparkSession
     rows = items.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), is_query.alias("q")).filter("id IS NOT NULL AND v IS NOT NULL")
-    rows = rows.groupBy("id").agg(F.min("v").alias("v"), F.max("q").alias("q"))
+    # rows that repeat id and vector are one row with a number of copies
+    rows = rows.groupBy("id", "v").agg(F.max("q").alias("q"), F.count(F.lit(1)).alias("copies"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    rows = staged(rows.withColumn("norm", norm), "vectors")
-    width = max(1, rows.agg(F.max(F.size("v"))).first()[0] or 1)
+    rows = staged(rows.withColumn("norm", norm).withColumn("uid", F.monotonically_increasing_id()).withColumn("least", F.lit(-(1 << 63))), "vectors")
+    n, width, longest, edges = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max("norm"), F.percentile_approx("norm", [1 - 1 / 16, 3 / 4])).first()
+    width = max(1, width or 1)
     axes = _rotation(rows, width)
-    seeds = rows.orderBy(F.col("norm").desc(), "id").limit(SEEDS).select("id", "v").collect()
-    seed_ids, seed_vectors = np.array([r["id"] for r in seeds], np.int64), _matrix([r["v"] for r in seeds], width)
-    slots = n_salts(spark)
+    seeds = rows.orderBy(F.col("norm").desc(), "uid").limit(SEEDS).select("uid", "id", "v").collect()
+    seed_uids, seed_ids, seed_vectors = np.array([r["uid"] for r in seeds], np.int64), np.array([r["id"] for r in seeds], np.int64), _matrix([r["v"] for r in seeds], width)
+    slots = max(n_salts(spark), -(-n // (64 * ITEM_BLOCK)))
 
     def first_bounds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            least = []
-            for ids, data in zip(frame["ids"], frame["data"], strict=True):
-                qid, q = _unpack(ids, data, width)
-                at = np.full(len(qid), np.iinfo(np.int64).min)
-                qi, _, score = best_pairs(qid, q, seed_ids, seed_vectors, at.astype(np.float64), k, axes)
-                full = (np.arange(len(qi)) - np.searchsorted(qi, qi)) == k - 1
-                at[qi[full]] = score[full]
-                least.append(at)
-            yield frame.assign(least=[a.tobytes() for a in least], lowest=[float(a.min()) for a in least])
+            own = np.where(frame["copies"] > 1, -1, frame["uid"]).astype(np.int64)
+            least = frame["least"].to_numpy(np.int64).copy()
+            qi, _, score = best_pairs(own, _matrix(frame["v"], width), seed_uids, seed_ids, seed_vectors, least, k, axes)
+            full = (np.arange(len(qi)) - np.searchsorted(qi, qi)) == k - 1
+            least[qi[full]] = score[full]
+            yield frame.assign(least=least)
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
-                qid, q = _unpack(r.ids, r.data, width)
-                vid, v = _unpack(r.item_ids, r.item_data, width)
-                qi, vi, score = best_pairs(qid, q, vid, v, np.frombuffer(r.least, np.int64).astype(np.float64), k, axes)
-                yield pd.DataFrame({"query_id": qid[qi], "vec_id": vid[vi], "score": score})
-
-    queries = _blocks(rows.filter("q"), width, QUERY_BLOCK).mapInPandas(first_bounds, "top double, ids binary, data binary, least binary, lowest double")
-    queries = queries.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    blocks = _blocks(rows, width, ITEM_BLOCK).select(
-        F.pmod(F.xxhash64("ids"), F.lit(slots)).cast("int").alias("slot"), F.col("top").alias("item_top"), F.col("ids").alias("item_ids"), F.col("data").alias("item_data")
-    )
-    pairs = queries.join(blocks, "slot").filter(F.col("top") * F.col("item_top") * (1 + SLACK) + 1 >= F.col("lowest"))
-    spark_rows = pairs.select("ids", "data", "least", "item_ids", "item_data").mapInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return spark_rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                quid, q, uid, vid, copies = _longs(r.uids), _longs(r.data).reshape(-1, width), _longs(r.item_uids), _longs(r.item_ids), _longs(r.item_copies)
+                own = np.where(_longs(r.copies) > 1, -1, quid)
+                qi, vi, score = best_pairs(own, q, uid, vid, _longs(r.item_data).reshape(-1, width), _longs(r.least), k, axes)
+                yield pd.DataFrame({"uid": quid[qi], "vec_id": vid[vi], "score": score, "times": copies[vi] - (quid[qi] == uid[vi])})
+
+    queries = rows.filter("q").select("uid", "id", "copies", "v", "norm", "least")
+    queries = staged(queries.mapInPandas(first_bounds, queries.schema), "queries")
+    best = None  # uid, vec_id, score, rank of what was found so far
+    tops = [longest, *edges] if n else []
+    for top, bottom in zip(tops, [*tops[1:], -1.0][: len(tops)], strict=True):
+        open_queries = queries
+        if best is not None:
+            bounds = best.groupBy("uid").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("found")).filter(F.col("found") == k)
+            open_queries = queries.join(bounds, "uid", "left").withColumn("least", F.greatest("least", F.coalesce("kth", "least")))
+        open_queries = open_queries.filter(F.col("norm") * F.lit(top) * (1 + SLACK) + 1 >= F.col("least"))
+        asked = _blocks(open_queries, width, QUERY_BLOCK).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+        band = rows.filter((F.col("norm") <= F.lit(top)) & (F.col("norm") > F.lit(bottom)))
+        blocks = _blocks(band, width, ITEM_BLOCK).drop("least").select(F.pmod(F.xxhash64("uids"), F.lit(slots)).cast("int").alias("slot"), *[F.col(c).alias(f"item_{c}") for c in ("uids", "ids", "copies", "data")])
+        pairs = asked.join(blocks, "slot").select("uids", "copies", "data", "least", "item_uids", "item_ids", "item_copies", "item_data")
+        found = pairs.mapInPandas(meet, "uid long, vec_id long, score long, times long")
+        if best is not None:
+            found = found.union(best.select("uid", "vec_id", "score", F.lit(1).cast("long").alias("times")))
+        best = staged(_ranked(found, k), "best")
+    if best is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    answers = best.join(queries.select("uid", F.col("id").alias("query_id"), "copies"), "uid")
+    each = answers.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return each.select(F.col("query_id").cast("long").alias("query_id"), "rank", F.col("vec_id").cast("long").alias("vec_id"), "score")

@@ -142,7 +142,7 @@ class Ranker:
         self.profiles = profiles
         names = {int(self._whole(g)): r for g, r in profiles.ranks.items()}
         self.keys = np.array(sorted(names), dtype=np.uint64)
-        self.table = np.array([names[int(k)] for k in self.keys], dtype=np.float64).reshape(-1, len(profiles.langs))
+        self.table = np.array([names[int(k)] for k in self.keys], dtype=np.float64).reshape(len(self.keys), len(profiles.langs))
 
     @staticmethod
     def _whole(gram: str) -> int:

@@ -70,3 +70,32 @@ def test_windows_cover_every_start_once():
     data = np.frombuffer(random.Random(3).randbytes(1000), np.uint8)
     _, _, s, n = repeats.windows_of(data, plan, rolls)
     assert sorted(x for a, b in zip(s, n, strict=True) for x in range(a, a + b + 1)) == list(range(1000 - 40 + 1))
+
+
+def test_rows_without_id_keep_their_own_spans(spark):
+    """Texts of rows without id that share a 32-bit hash, and id 0 beside none, are told apart."""
+    from pyspark.sql import functions as F
+
+    texts = spark.range(300_000).select(F.concat(F.lit("seed "), F.sha2(F.col("id").cast("string"), 256)).alias("t"))
+    pair = texts.groupBy(F.hash("t")).agg(F.collect_list("t").alias("ts"), F.count("*").alias("n")).filter("n > 1").first().ts[:2]
+    shared = "the passage that is in both of them " * 3
+    rows = [(None, pair[0] + shared), (None, pair[1] + shared[::-1]), (0, shared), (None, shared), (5, shared[::-1])]
+    rows = [(i, t) for i, t in rows] + [(None, pair[0]), (None, pair[1]), (0, pair[1])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(bytes(r.kept) for r in repeats.without_repeats(frame, repeats.Repeats(length=40, gram=12)).collect())
+    assert got == sorted(brute([t for _, t in rows], 40))
+
+
+def test_query_matches_brute_force(spark, tmp_path):
+    import hashlib
+
+    from weirstream.llm.queries import op6_suffix
+
+    rng = random.Random(5)
+    passage = "".join(rng.choice("abcdefgh é ") for _ in range(400))
+    docs = ["".join(rng.choice("abcdefgh é ") for _ in range(rng.randrange(0, 500))) + (passage[rng.randrange(100) :] if i % 3 == 0 else "") for i in range(30)] + [None, "", passage]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.kept_sha256) for r in op6_suffix(spark, str(tmp_path)).collect()}
+    for i, (text, kept) in enumerate(zip(docs, brute(docs, 200), strict=True)):
+        n = len((text or "").encode())
+        assert got[i] == (n, n - len(kept), hashlib.sha256(kept).hexdigest())

@@ -103,7 +103,7 @@ def windows_of(data: np.ndarray, plan: Repeats, rolls: tuple[Roller, Roller]):
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
-_ROW = "k long, th int, fp long, wh long, s long, n int, sure boolean"
+_ROW = "k long, th long, fp long, wh long, s long, n int, sure boolean"
 
 
 def _filed(docs: DataFrame, plan: Repeats) -> DataFrame:
@@ -116,7 +116,7 @@ def _filed(docs: DataFrame, plan: Repeats) -> DataFrame:
             for k, th, body in zip(*(batch.column(c).to_pylist() for c in ("k", "th", "body")), strict=True):
                 if len(body) >= plan.length:
                     w = windows_of(np.frombuffer(body, np.uint8), plan, rolls)
-                    found.append((np.full(len(w[0]), k), np.full(len(w[0]), th, np.int32), *w))
+                    found.append((np.full(len(w[0]), k), np.full(len(w[0]), th), *w))
             if not found:
                 continue
             k, th, fp, wh, s, n = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -185,7 +185,7 @@ def _told_apart(rows: DataFrame) -> DataFrame:
     # sure rows only pass: they are dealt by place
     route = F.when(F.col("sure"), F.xxhash64("k", "th", "s")).otherwise(F.col("fp"))
     dealt = rows.withColumn("route", route).repartition("route").sortWithinPartitions("fp", "wh").select(*names)
-    return dealt.mapInArrow(tell, "k long, th int, fp long, s long, n int, whole boolean, member boolean")
+    return dealt.mapInArrow(tell, "k long, th long, fp long, s long, n int, whole boolean, member boolean")
 
 
 class RunLengthIndex:
@@ -292,12 +292,13 @@ def _marked(windows: DataFrame, plan: Repeats) -> DataFrame:
         take = pa.array(which)
         return pa.table({"k": table.column("k").take(take), "th": table.column("th").take(take), "s": pa.array(s, pa.int64()), "e": pa.array(s + hi - lo + plan.length, pa.int64())})
 
-    return windows.groupBy("shard").applyInArrow(index, "k long, th int, s long, e long")
+    return windows.groupBy("shard").applyInArrow(index, "k long, th long, s long, e long")
 
 
 def _keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """Add __k, __th: what a row is told by, the same for rows that repeat id and text."""
-    return docs.withColumn("__k", F.coalesce(F.col(id_col), F.lit(0)).cast("long")).withColumn("__th", F.hash(F.col(text)))
+    """Add __k, __th: 128 bits that tell a row by its id (null is an id of its own) and text, the same for rows that repeat both."""
+    parts = (F.col(id_col).isNull(), F.col(id_col), F.col(text).isNull(), F.col(text))
+    return docs.withColumn("__k", F.xxhash64(F.lit("k"), *parts)).withColumn("__th", F.xxhash64(F.lit("th"), *parts))
 
 
 def repeated_spans(docs: DataFrame, plan: Repeats = Repeats(), id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -318,14 +319,14 @@ def repeated_spans(docs: DataFrame, plan: Repeats = Repeats(), id_col: str = "do
                 for i in range(0, len(at), 2000):
                     part = at[i : i + 2000]
                     columns = [
-                        pa.array([k] * len(part), pa.int64()), pa.array([th] * len(part), pa.int32()),
+                        pa.array([k] * len(part), pa.int64()), pa.array([th] * len(part), pa.int64()),
                         *(pa.array([x[c] for x in part], kind) for c, kind in (("fp", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("crowd", pa.bool_()))),
                         pa.array([body[x["s"] : x["s"] + x["n"] + plan.length] for x in part], pa.binary()),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names=["k", "th", "fp", "s", "n", "crowd", "body"])
 
     # rows that repeat id and text have the same windows: one of them is enough
-    texts = rows.join(at, ["k", "th"]).mapInArrow(cut, "k long, th int, fp long, s long, n int, crowd boolean, body binary")
+    texts = rows.join(at, ["k", "th"]).mapInArrow(cut, "k long, th long, fp long, s long, n int, crowd boolean, body binary")
     any_crowd = not crowds.isEmpty()
     if any_crowd:
         texts = staged(texts, "window-texts")
@@ -333,15 +334,21 @@ def repeated_spans(docs: DataFrame, plan: Repeats = Repeats(), id_col: str = "do
     marks = marks.union(_marked(texts.filter("NOT crowd").dropDuplicates(["k", "th", "s"]).withColumn("shard", shard).drop("crowd"), plan))
     if any_crowd:
         marks = marks.union(_crowded(texts.filter("crowd"), plan))
-    spans = marks.groupBy("k", "th").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("m"))
-    element = "array<struct<s:bigint,e:bigint>>"
+    spans = marks.groupBy("k", "th").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("spans"))
 
-    def unite(a, x):
-        touches = (F.size(a) > 0) & (x["s"] <= F.try_element_at(a, F.lit(-1))["e"])
-        joined = F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(a, F.lit(-1))["s"].alias("s"), F.greatest(F.try_element_at(a, F.lit(-1))["e"], x["e"]).alias("e"))))
-        return F.when(touches, joined).otherwise(F.concat(a, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("spans")
+            s, e = (lists.values.field(c).to_numpy(zero_copy_only=False) for c in ("s", "e"))
+            out = []
+            for lo, hi in zip(lists.offsets[:-1].to_pylist(), lists.offsets[1:].to_pylist(), strict=True):
+                reach = np.maximum.accumulate(e[lo:hi])
+                new = np.concatenate([[True], s[lo + 1 : hi] > reach[:-1]])  # begins after all before it have ended
+                last = np.concatenate([np.flatnonzero(new)[1:] - 1, [hi - lo - 1]])
+                out.append([{"s": a, "e": b} for a, b in zip(s[lo:hi][new].tolist(), reach[last].tolist(), strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("th"), pa.array(out, lists.type)], names=["k", "th", "spans"])
 
-    return spans.select("k", "th", F.aggregate("m", F.array().cast(element), unite).alias("spans"))
+    return spans.mapInArrow(unite, spans.schema)
 
 
 def _crowded(windows: DataFrame, plan: Repeats) -> DataFrame:
@@ -354,7 +361,7 @@ def _crowded(windows: DataFrame, plan: Repeats) -> DataFrame:
                 data = np.frombuffer(body, np.uint8)
                 at = np.arange(n + 1)
                 h = [r.of(r.prefix(data), at, at + plan.length).view(np.int64) for r in rolls]
-                columns = [np.full(n + 1, k), np.full(n + 1, th, np.int32), *h, s + at, np.zeros(n + 1, np.int32), np.zeros(n + 1, bool)]
+                columns = [np.full(n + 1, k), np.full(n + 1, th), *h, s + at, np.zeros(n + 1, np.int32), np.zeros(n + 1, bool)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["k", "th", "fp", "wh", "s", "n", "sure"])
 
     strings = windows.dropDuplicates(["k", "th", "s"]).mapInArrow(each, _ROW)

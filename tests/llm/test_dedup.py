@@ -40,6 +40,19 @@ def test_index_knows_earlier_batches(spark, tmp_path):
     again.drop()
 
 
+def test_index_is_read_by_its_buckets(spark, tmp_path):
+    """A batch is shuffled into the buckets of the index; the index itself stays where it is, and no table is left behind."""
+    rows = spark.range(100).selectExpr("id AS doc_id", "concat('t', id % 60) AS text")
+    index = digest_index.DigestIndex(spark, str(tmp_path / "index"), 8)
+    assert digest_index.exact_dedup(rows, index).filter("kept").count() == 60
+    plan = index.lacking(digest_index.with_digest(rows).select("digest"))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan and plan.count("Exchange") == 1
+    assert plan.index("Exchange") < plan.index("FileScan")
+    index.drop()
+    before = len(spark.catalog.listTables())
+    assert digest_index.exact_dedup(rows).filter("kept").count() == 60 and len(spark.catalog.listTables()) == before
+
+
 def test_drop_copies_keeps_columns_and_one_row(odd_docs):
     out = digest_index.drop_copies(odd_docs)
     assert out.columns == odd_docs.columns

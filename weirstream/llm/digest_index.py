@@ -2,8 +2,9 @@
 
 The index is a Parquet table, bucketed and sorted by the SHA-256 of a text, with
 one row per known text. A batch is digested, reduced to its distinct digests,
-anti-joined against the index (both sides lie in hash order, so the join merges)
-and what is new is appended.
+anti-joined against the index (a merge join that reads the index by its buckets,
+without moving it) and what is new is appended. What the index then holds decides
+which rows stay.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_at_end, n_salts, shared_dir, staged
 
-_INDEX_SCHEMA = "digest BINARY, keep_id BIGINT, group_size BIGINT"
+_INDEX_SCHEMA = "digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING"
 
 
 class DigestIndex:
@@ -40,11 +41,14 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def append_new(self, groups: DataFrame) -> DataFrame:
-        """Append the groups whose digest the index lacks; returns those groups."""
-        fresh = staged(groups.hint("merge").join(self.read().select("digest"), "digest", "left_anti"), "fresh")
-        fresh.select("digest", "keep_id", "group_size").repartition(self.buckets, "digest").write.insertInto(self.table)
-        return fresh
+    def lacking(self, groups: DataFrame) -> DataFrame:
+        """The groups whose digest the index lacks. Only the groups are shuffled, into the index's buckets."""
+        return groups.hint("merge").join(self.read().select("digest"), "digest", "left_anti")
+
+    def append_new(self, groups: DataFrame, batch: str) -> None:
+        """Append the groups whose digest the index lacks, as those of ``batch``."""
+        fresh = staged(self.lacking(groups), "fresh")
+        fresh.select("digest", "keep_id", "group_size", F.lit(batch).alias("batch")).repartition(self.buckets, "digest").write.insertInto(self.table)
 
     def drop(self) -> None:
         """Forget the table in this session; its files stay."""
@@ -70,7 +74,9 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     grouped by (digest, salt of the id) first.
     """
     spark = docs.sparkSession
+    own = index is None
     index = index or DigestIndex(spark)
+    batch = uuid.uuid4().hex
     salts = n_salts(spark)
     rows = with_digest(docs.select(F.col(id_col).alias("id"), F.col(text).alias("_t")), "_t").select(
         "id", "digest", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt")
@@ -82,21 +88,21 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str =
     )
     parts = rows.filter("rn = 1").select("digest", "salt", "id", "n")
     groups = parts.groupBy("digest").agg(F.max("id").alias("keep_id"), F.sum("n").alias("group_size"))
-    known = staged(index.read(), "known")
-    index.append_new(groups)
-    group_of = groups.join(known.select("digest", F.col("keep_id").alias("known_id"), F.lit(True).alias("seen")), "digest", "left")
-    labels = parts.select("digest", "salt").join(group_of, "digest")
-    return (
-        rows.join(labels, ["digest", "salt"])
-        .withColumn("seen_before", F.coalesce("seen", F.lit(False)))
-        .select(
-            F.col("id").alias(id_col),
-            "digest",
-            F.when(F.col("seen_before"), F.col("known_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-            "group_size",
-            (~F.col("seen_before") & (F.col("rn") == 1) & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-            "seen_before",
-        )
+    groups = staged(groups, "groups")
+    index.append_new(groups, batch)
+    # every digest of the batch is in the index now; its row says which batch brought it and which id stays
+    held = index.read().select("digest", F.col("keep_id"), (F.col("batch") != batch).alias("seen_before"))
+    group_of = groups.select("digest", "group_size").hint("merge").join(held, "digest")
+    labels = staged(parts.select("digest", "salt").join(group_of, "digest"), "labels")
+    if own:
+        index.drop()
+    return rows.join(labels, ["digest", "salt"]).select(
+        F.col("id").alias(id_col),
+        "digest",
+        "keep_id",
+        "group_size",
+        (~F.col("seen_before") & (F.col("rn") == 1) & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+        "seen_before",
     )
 
 

@@ -156,43 +156,63 @@ def test_base_spans_are_those_of_the_plain_patterns(spark):
     rng = random.Random(9)
     texts = TRICKY + ["".join(rng.choice("a1.@+- (5)4\n") for _ in range(80)) for _ in range(300)]
     frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
-    model = pii.PiiModel(None, 2.0)
+    model = pii.PiiModel(None, ())
     got = {r.id: [(x.kind, x.s, x.e) for x in r.base] for r in pii.find(frame, model).select("id", pii.in_order(F.col("base")).alias("base")).collect()}
     for i, t in enumerate(texts):
         order = lambda x: (pii.KINDS.index(x[0]), x[1])
         assert got[i] == sorted(plain_spans(t or ""), key=order), t and t[:60]
 
 
-def test_trees_add_spans_like_the_base(spark, odd_docs, no_docs):
-    rng = random.Random(3)
-    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    rows = [f"please call +1 ({number(3)}) {number(3)}-{number(4)} now" for _ in range(400)] + [f"order number {number(9)} of today" for _ in range(400)]
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, text string")
-    model = pii.fit(frame, rounds=3)
-    assert model.cut <= 1
-    new = spark.createDataFrame([("please call (555) 123-4567 now",), ("order number 123456789 of today",)], "text string")
-    got = [[x.kind for x in r.added] for r in pii.find(new, model).collect()]
-    assert got == [["phone"], []]
-    assert pii.redacted(new, model).first().text == "please call <phone> now"
-    assert pii.find(odd_docs, model).count() == odd_docs.count()
-    assert pii.fit(no_docs).cut > 1 and pii.find(no_docs, model).count() == 0
-
-
-def test_rare_spans_among_many_texts_still_calibrate(spark):
-    rng = random.Random(4)
-    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
-    rows = [f"please call +1 ({number(3)}) {number(3)}-{number(4)} now" for _ in range(400)] + [f"order number {number(9)} of today" for _ in range(400)]
-    rows += [f"page {i} of a book" for i in range(20_000)]
-    frame = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "id int, text string")
-    model = pii.fit(frame, rounds=3, max_docs=500, key="id")
-    assert model.cut <= 1
-    new = spark.createDataFrame([("please call (555) 123-4567 now",), ("order number 123456789 of today",)], "text string")
-    assert [[x.kind for x in r.added] for r in pii.find(new, model).collect()] == [["phone"], []]
-
-
-def test_classes_are_bounded_apart(spark):
-    from weirstream.llm import boosting
-
-    rows = spark.range(50_000).select("id", (F.col("id") % 100 == 0).cast("int").alias("label"))
-    counts = {r[0]: r[1] for r in boosting.bounded_classes(rows, "label", F.col("id"), 1000).groupBy("label").count().collect()}
-    assert counts[1] == 500 and 800 < counts[0] < 1200
+@pytest.fixture(scope="module")
+def pii_model(spark):
+    return pii.fit(spark, n_plants=6000, rounds=8)
+
+
+def added(spark, model, texts):
+    rows = pii.find(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string"), model).orderBy("id").collect()
+    return [[(x.kind, r.text[x.s : x.e]) for x in r.added] for r in rows]
+
+
+def test_trees_add_what_base_patterns_lack(spark, pii_model, odd_docs, no_docs):
+    got = added(spark, pii_model, ["please call (555) 123-4567 now", "order number 123456789 of today", "the number 9807915762804490 in a text", "on 2023-05-17 and again", 'a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" here', "mail jo (at) ex.com soon"])
+    assert got == [[("phone", "(555) 123-4567")], [], [("card", "9807915762804490")], [], [("secret", "04dbebab91ab85687d33eeaaf9ac699e1188f962")], [("email", "jo (at) ex.com")]]
+    frame = spark.createDataFrame([("please call (555) 123-4567 now",)], "text string")
+    assert pii.redacted(frame, pii_model).first().text == "please call <phone> now"
+    assert pii.find(odd_docs, pii_model).count() == odd_docs.count() and pii.find(no_docs, pii_model).count() == 0
+
+
+def test_added_spans_on_plants_of_another_seed(spark, pii_model):
+    """Recall and precision where the truth is known."""
+    rows = pii.planted_candidates(pii.plants(spark, 3000, "another")).select("label", pii_model.trees.probability(F.col).alias("p"), "kind").collect()
+    cuts = dict(pii_model.cuts)
+    accepted = [r.label for r in rows if r.p >= cuts[r.kind]]
+    assert sum(accepted) / len(accepted) > 0.9 and sum(accepted) / sum(r.label for r in rows) > 0.9
+
+
+def test_very_many_matches_in_a_text(spark, pii_model):
+    text = "".join(f"u{i}@ex.com (555) 123-{i % 9000 + 1000} \U0001f600 " for i in range(1500))
+    rows = pii.find(spark.createDataFrame([(text,)], "text string"), pii_model).first()
+    assert [text[x.s : x.e] for x in rows.base if x.kind == "email"] == [f"u{i}@ex.com" for i in range(1500)]
+    assert [text[x.s : x.e] for x in rows.added] == [f"(555) 123-{i % 9000 + 1000}" for i in range(1500)]
+
+
+def test_personal_data_query(spark, tmp_path):
+    """The base columns of the whole query against the plain patterns; added spans touch none of the base."""
+    import hashlib
+
+    from weirstream.llm.queries import op8_pii
+
+    rng = random.Random(11)
+    texts = TRICKY + ["".join(rng.choice("a1.@+- (5)4\n") for _ in range(60)) for _ in range(60)] + ["ring (030) 555 12 34 or jo [at] ex [dot] org"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = {r.doc_id: r for r in op8_pii(spark, str(tmp_path)).collect()}
+    order = lambda x: ((*pii.KINDS, "secret").index(x[0]), x[1])
+    for i, t in enumerate(texts):
+        base = sorted(plain_spans(t or ""), key=order)
+        assert [rows[i][f"n_{k}"] for k in pii.KINDS] == [sum(x[0] == k for x in base) for k in pii.KINDS]
+        assert rows[i].base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
+        every = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in rows[i].spans.split(",") if x)]
+        more = [x for x in every if x not in base]
+        assert every == sorted(every, key=order) and rows[i].n_spans == len(every) and set(base) <= set(every)
+        assert not any(a[1] < b[2] and b[1] < a[2] for a in more for b in base)
+    assert {x.split(":")[0] for x in rows[len(texts) - 1].spans.split(",")} == {"phone", "email"}

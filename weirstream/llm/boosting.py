@@ -72,18 +72,15 @@ def fit(rows: DataFrame, features: list[str], label: str, rounds: int = 12, dept
     return BoostedTrees(tuple(features), tuple((float(w), _parsed(t.toDebugString)) for w, t in zip(model.treeWeights, model.trees, strict=True)))
 
 
-def threshold(scored: DataFrame, label: str, precision: float, least: int = 50, bins: int = 200) -> float:
+def threshold(scored: DataFrame, label: str, precision: float, bins: int = 200) -> float:
     """The least probability from which on at least ``precision`` of the rows are of class 1.
 
-    ``scored`` has ``p`` and the label. Needs ``least`` rows of either class, else no
-    threshold can be told and the result is above 1.
+    ``scored`` has ``p`` and the label. Where no rows reach that, the result is above 1.
     """
     counts = scored.groupBy(F.floor(F.least(F.col("p") * bins, F.lit(bins - 1))).cast("int").alias("bin")).agg(
         F.sum(F.col(label).cast("long")).alias("ones"), F.count(F.lit(1)).alias("n")
     )
     found = {r["bin"]: (r["ones"], r["n"]) for r in counts.collect()}  # a row per bin
-    if sum(o for o, _ in found.values()) < least or sum(n - o for o, n in found.values()) < least:
-        return 2.0
     best, ones, n = 2.0, 0, 0
     for b in range(bins - 1, -1, -1):
         o, k = found.get(b, (0, 0))
@@ -101,11 +98,3 @@ def bounded(rows: DataFrame, key: Column, at_most: int) -> DataFrame:
     if n <= at_most:
         return rows
     return rows.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20)) < F.lit(int((1 << 20) * at_most / n)))
-
-
-def bounded_classes(rows: DataFrame, label: str, key: Column, at_most: int) -> DataFrame:
-    """About ``at_most`` rows of either class (``label`` 0 or 1), chosen by a hash of ``key`` so that reruns choose the same."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}  # a row per class
-    place = F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 20))
-    part = {c: (1 << 20) if n <= at_most else int((1 << 20) * at_most / n) for c, n in counts.items()}
-    return rows.filter(place < F.when(F.col(label) == 1, F.lit(part.get(1, 0))).otherwise(F.lit(part.get(0, 0))))

@@ -1,22 +1,29 @@
 """Personal data: wide generators, boosted trees, calibrated thresholds (operator 8, native).
 
-Four base patterns give spans that always stay. Wide generators propose spans of
-looser shapes; boosted trees on their format and context, fitted with the base
-spans as labels, score them, and those above a threshold calibrated on documents
-held out from fitting are added.
+Four base patterns give spans that always stay. Wide generators propose
+overlapping spans of looser shapes: written-out addresses, numbers without a plus
+or with a failing check digit, keys and tokens. Boosted trees on their format and
+context score them, and those above their kind's calibrated threshold are added.
+
+The trees learn from plants: texts with a span of a known kind, or of a kind that
+only looks alike (dates, versions, sums, order numbers, digests), written from
+templates by seeds. What is right is known for each, whatever the base patterns
+say. The thresholds are calibrated on plants that were held out from fitting.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
 from .common import staged
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of added spans: ``secret`` has no base pattern.
+ALL_KINDS = (*KINDS, "secret")
 
 # Equal to the plain patterns but linear in time: possessive where nothing can be given back, and an
 # email starts where its run of characters does (or where the match before it ended).
@@ -31,29 +38,59 @@ BASE = {
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 _PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 
-#: Wide generators: anything round an at sign, written out or not; any run of 7 digits or more with separators.
+#: Wide generators. Each is linear in the text: runs are possessive and start where the characters before them end.
+_NAME, _HOST = r"\p{L}\p{N}._%+-", r"\p{L}\p{N}_-"
+_DOT = r"(?:\.++|\x20?[\[(][Dd][Oo][Tt][\])]\x20?|\x20[Dd][Oo][Tt]\x20)"
 WIDE = {
-    "address": r"[^\s@<>\"',;]{1,64}(?:@|\x20?[\[(][Aa][Tt][\])]\x20?)[^\s@<>\"',;]{1,255}",
-    "number": r"[(]?[0-9](?:[\x20().,/-]{0,2}[0-9]){6,}+",
+    # round an at sign, written out or not
+    "address": rf"(?:\G|(?<![{_NAME}]))[{_NAME}]++(?:(?:@|\x20?[\[(][Aa][Tt][\])]\x20?)[{_HOST}]++(?:{_DOT}[{_HOST}]++)*+|\x20[Aa][Tt]\x20[{_HOST}]++(?:(?:\.|\x20[Dd][Oo][Tt]\x20)[{_HOST}]++)++)",
+    # 7 digits or more with separators
+    "number": r"(?<![0-9])\+?[(]?(?=[0-9]++[\x20().,/-]{1,2}[0-9])[0-9](?:[\x20().,/-]{0,2}[0-9]){6,}+",
+    # 7 digits or more without
+    "run": r"(?<![0-9])[0-9]{7,}+",
+    # 16 characters or more of a key, with letters and digits
+    "key": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+",
 }
+#: A text without a match of this has no candidate.
+WIDE_NEEDS = {"address": "@", "number": "[0-9]", "run": "[0-9]{7}", "key": "[0-9]"}
+#: The same for addresses without an at sign: each begins with one character, which is quick to look for.
+_WRITTEN_AT = (r"[\[(][Aa][Tt][\])]", rf"\x20[Aa][Tt]\x20[{_HOST}]++(?:\.|\x20[Dd][Oo][Tt]\x20)[{_HOST}]")
+
+#: Matches that are added up in one fold; folds of folds keep texts with very many matches linear.
+FOLD = 256
+_SPANS = "array<struct<s:int,e:int,hit:string>>"
+
+
+def _let(value: Column, then) -> Column:
+    """``then(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def spans(text: Column, pattern: str) -> Column:
     """array<struct<s,e,hit>> of the leftmost non-overlapping matches, in code points, end exclusive.
 
     Splitting by the pattern gives what lies between the matches; adding up
-    lengths gives the places.
+    lengths gives the places, in blocks of ``FOLD`` matches first.
     """
     pairs = F.filter(F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("hit"), F.split(text, pattern, -1).alias("gap")), lambda x: x["hit"].isNotNull())
-    element = "array<struct<s:int,e:int,hit:string>>"
 
     def step(a: Column, x: Column) -> Column:
         s = a["at"] + F.length(x["gap"])
         e = s + F.length(x["hit"])
         return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), x["hit"].alias("hit")))).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(element).alias("out"))
-    return F.aggregate(pairs, start, step, lambda a: a["out"])
+    def block(a: Column, b: Column) -> Column:
+        def moved(r: Column) -> Column:
+            out = F.transform(r["out"], lambda x: F.struct((x["s"] + a["at"]).alias("s"), (x["e"] + a["at"]).alias("e"), x["hit"].alias("hit")))
+            return F.struct((a["at"] + r["at"]).alias("at"), F.concat(a["out"], F.array(out)).alias("out"))
+
+        return _let(F.aggregate(b, F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out")), step), moved)
+
+    def in_blocks(p: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(p) / FOLD).cast("int")), lambda i: F.slice(p, i * FOLD + 1, F.lit(FOLD)))
+        return F.flatten(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPANS}>").alias("out")), block, lambda a: a["out"]))
+
+    return _let(pairs, in_blocks)
 
 
 def _digits(hit: Column) -> Column:
@@ -96,10 +133,11 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def candidates(text: Column) -> Column:
-    """array<struct<s,e,hit,before,after>>: what the wide generators propose; spans may overlap."""
-    none = F.array().cast("array<struct<s:int,e:int,hit:string>>")
-    has_at = F.contains(text, F.lit("@")) | text.rlike(r"[\[(][Aa][Tt][\])]")
-    found = F.concat(F.when(has_at, spans(text, WIDE["address"])).otherwise(none), F.when(text.rlike("[0-9]"), spans(text, WIDE["number"])).otherwise(none))
+    """array<struct<s,e,hit,before,after>>: what the wide generators propose; spans of different ones may overlap."""
+    none = F.array().cast(_SPANS)
+    needs = {g: text.rlike(rx) for g, rx in WIDE_NEEDS.items()}
+    needs["address"] = F.contains(text, F.lit("@")) | text.rlike(_WRITTEN_AT[0]) | text.rlike(_WRITTEN_AT[1])
+    found = F.concat(*[F.when(needs[g], spans(text, rx)).otherwise(none) for g, rx in WIDE.items()])
     around = lambda at, n: F.lower(F.substr(text, at, n))
     return F.transform(
         found,
@@ -113,8 +151,11 @@ def candidates(text: Column) -> Column:
     )
 
 
+_AT = r"@|[\[(][Aa][Tt][\])]|\x20[Aa][Tt]\x20"
+
+
 def features(x: Column) -> dict[str, Column]:
-    """Format and context of a candidate. A leading plus is left out: the trees are to find numbers that lack it."""
+    """Format and context of a candidate."""
     hit, before, after = x["hit"], x["before"], x["after"]
     count = lambda c, rx: F.regexp_count(c, F.lit(rx)).cast("double")
     says = lambda rx: before.rlike(rx).cast("double")
@@ -122,99 +163,176 @@ def features(x: Column) -> dict[str, Column]:
     return {
         "length": F.length(hit).cast("double"),
         "digits": digits.cast("double"),
-        "letters": count(hit, "[A-Za-z]"),
-        "at": F.contains(hit, F.lit("@")).cast("double"),
+        "letters": count(hit, r"\p{L}"),
+        "capitals": count(hit, "[A-Z]"),
+        "beyond_hex": count(hit, "[g-zG-Z]"),
+        "at": hit.rlike(_AT).cast("double"),
+        "plus": hit.startswith("+").cast("double"),
         "dots": count(hit, r"\."),
-        "hyphens": count(hit, "-"),
+        "commas": count(hit, ","),
+        "slashes": count(hit, "/"),
+        "hyphens": count(hit, "[-_]"),
         "blanks": count(hit, r"\x20"),
         "brackets": count(hit, r"[()\[\]]"),
         "groups": count(hit, "[0-9]+"),
-        "ends_as_host": hit.rlike(r"(?i)\.[a-z]{2,}$").cast("double"),
-        "ip_shape": hit.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$").cast("double"),
-        "card_check": F.when(digits.between(13, 19), luhn(hit).cast("double")).otherwise(F.lit(0.0)),
-        "first_digit": F.coalesce(F.substr(_digits(hit), F.lit(1), F.lit(1)).try_cast("double"), F.lit(-1.0)),
-        "glued_before": before.rlike("[a-z0-9_=\"/]$").cast("double"),
-        "glued_after": after.rlike("^[a-z0-9_=\"/]").cast("double"),
+        "longest_group": F.coalesce(F.array_max(F.transform(F.regexp_extract_all(hit, F.lit("[0-9]+"), 0), F.length)), F.lit(0)).cast("double"),
+        "first_group": F.length(F.regexp_extract(hit, "[0-9]+", 0)).cast("double"),
+        "last_group": F.length(F.regexp_extract(hit, "([0-9]*)$", 1)).cast("double"),
+        "zero_first": F.regexp_extract(hit, "[0-9]", 0).eqNullSafe("0").cast("double"),
+        "as_year": hit.rlike(r"(?<![0-9])(?:19|20)[0-9]{2}(?![0-9])|^20[0-9]{6}").cast("double"),
+        "ends_as_host": hit.rlike(r"(?i)(?:\.|dot[\])]?\x20?)\p{L}{2,}$").cast("double"),
+        "key_prefix": hit.rlike("^(?:ghp_|gho_|AKIA|sk-|sk_|xox[a-z]-|AIza|eyJ)").cast("double"),
+        "glued_before": before.rlike("[\\p{L}\\p{N}_/.]$").cast("double"),
+        "glued_after": after.rlike("^[\\p{L}\\p{N}_/]").cast("double"),
+        "assigned": before.rlike("[=:]\\x20?[\"']?$").cast("double"),
         "says_mail": says("mail|contact|write to|reach"),
-        "says_phone": says("phone|tel|call|fax|mobile|dial"),
-        "says_card": says("card|visa|pay|account"),
-        "says_host": says("host|server|addr|from ip|ip:"),
-        "says_secret": says("token|key|id|sha|hash|version"),
+        "says_phone": says("phone|tel|call|fax|mobile|dial|whatsapp"),
+        "says_card": says("card|visa|pay|account|iban"),
+        "says_secret": says("token|secret|passw|pwd|api.?key|key|bearer|auth|credential"),
+        "says_digest": says("commit|sha|md5|hash|digest|checksum|etag|uuid|rev"),
+        "says_count": says("order|number|no\\.|page|isbn|ean|version|build|ticket|invoice|total|about|population|since|from|on|at|of|id"),
     }
 
 
 def kind_of(x: Column) -> Column:
     """The kind of an added span, by its shape."""
-    digits = F.length(_digits(x["hit"]))
-    return F.when(x["hit"].rlike("@|[\\[(][Aa][Tt][\\])]"), F.lit("email")).when(x["hit"].rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), F.lit("ip")).when(digits >= 13, F.lit("card")).otherwise(F.lit("phone"))
+    hit, digits = x["hit"], F.length(_digits(x["hit"]))
+    return (
+        F.when(hit.rlike(_AT), F.lit("email"))
+        .when(hit.rlike(r"\p{L}"), F.lit("secret"))
+        .when(hit.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"), F.lit("ip"))
+        .when(digits >= 13, F.lit("card"))
+        .otherwise(F.lit("phone"))
+    )
 
 
 @dataclass(frozen=True)
 class PiiModel:
-    trees: boosting.BoostedTrees
-    cut: float
+    """cuts: for each kind the least probability of an added span; above 1 none of the kind is added."""
 
-    def accepts(self, x: Column) -> Column:
-        known = features(x)
-        return self.trees.probability(lambda k: known[k]) >= F.lit(self.cut)
+    trees: boosting.BoostedTrees | None
+    cuts: tuple[tuple[str, float], ...]
+
+    def accepts(self, kind: Column, f: Column) -> Column:
+        cut = F.lit(2.0)
+        for k, c in self.cuts:
+            cut = F.when(kind == k, F.lit(c)).otherwise(cut)
+        return self.trees.probability(lambda name: f[name]) >= cut
 
 
 def _touches(x: Column, base: Column) -> Column:
     return F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
 
 
-def fit(
-    docs: DataFrame, text: str = "text", max_docs: int = 20_000, precision: float = 0.98, rounds: int = 10, depth: int = 3, key: str | None = None
-) -> PiiModel:
-    """Trees and threshold from the candidates of all documents.
-
-    A candidate is positive if it touches a base span. The candidates of three
-    quarters of the texts are for the trees, which are fitted on at most about
-    ``max_docs`` of either class, taken by a hash of ``key`` (a column that tells
-    documents apart), text and place. All candidates of the rest calibrate the
-    threshold: the least score from which ``precision`` of them are positive. With
-    under 50 of either class there nothing can be calibrated and nothing is added.
-
-    Without ``key``, or where it is null, copies of a text are taken together.
+def _is_base(hit: Column) -> Column:
+    """The candidate as a whole is what a base pattern finds: no need to look for it among the base spans."""
+    n = F.length(_digits(hit))
+    return hit.rlike(r"^[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++$") | (hit.rlike(r"^\+[0-9][\x20().0-9-]+[0-9]$") & n.between(8, 15))
+
+
+# What plants are made of. # is a digit, ~ a hexadecimal digit, ^ a letter or digit, ? a small letter.
+_PLANTS = [
+    # label, cue needed (1), possible (0) or none (-1), cues, templates
+    (1, 0, ("mail", "contact", "write to", "e-mail:", "reach me:"), ("????(at)?????.com", "????.??? [at] ????? [dot] org", "?????? at ????? dot com", "????## (at) ????.net", "??.????@?????é.com", "é???@????.org", "????_## at ???????.de", "?????[AT]????.co.uk", "????? at ???? dot co dot uk", "??(at)??.com", "?? (at) ??.org", "??? [at] ?? [dot] net", "??@??é.com", "?? [at] ???.com")),
+    (1, 0, ("call", "tel.", "phone:", "mobile", "fax", "dial"), ("(###) ###-####", "###-###-####", "###.###.####", "0## #######", "00## ## #######", "0# ## ## ## ##", "0##/#######", "(0##) ### ## ##", "0### ### ###", "(0##) ########")),
+    (1, 1, ("call", "tel.", "phone:", "mobile", "fax", "dial"), ("##########", "0##########", "### ### ####", "########", "## ### ## ##")),
+    (1, 0, ("card", "visa", "pay with", "account", "card no:"), ("################", "#### #### #### ####", "####-####-####-####", "####.####.####.####", "3### ###### #####", "3##############", "################")),
+    (1, 1, ("token =", "secret:", "password =", "api_key =", "key:", "bearer", "auth_token:"), ("~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~", "~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~", "^^^^^^^^^^^^^^^^^^^^^^^^", "^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^", "^^^^^^^^^^^^^^^^^^")),
+    (1, 0, ("token =", "use", "with", "key:"), ("ghp_^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^", "AKIA^^^^^^^^^^^^^^^^", "sk-^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^^", "xoxb-###########-^^^^^^^^^^^^^^^^^^^^")),
+    (0, 0, ("on", "since", "from", "dated", "of"), ("20##-0#-1#", "1#.0#.20##", "0#/1#/20##", "20##-20##", "19##-20##", "20##0#1#", "20##0#1#1#0###", "20##-0#-1# 1#.4#")),
+    (0, 0, ("total", "about", "sum of", "population", "of"), ("#,###,###", "##,###,###.##", "#.###.###,##", "###,###.##", "#.########", "0.########", "##.######, ##.######", "### ### ###", "# ### ###")),
+    (0, 0, ("version", "build", "release", "v"), ("#.#.#.#.#.#.#", "##.#.####.###", "#.##.######", "#.#.#.#, #.#.#.#")),
+    (0, 1, ("order number", "order", "ticket", "invoice no.", "id", "no."), ("#########", "##########", "########", "###########", "######-####", "###-#######")),
+    (0, -1, (), ("#########", "########", "#######", "##########", "1#########", "1############", "####################", "########################")),
+    (0, 0, ("isbn", "ean", "see"), ("97#-#-##-######-#", "97#-##-####-###-#", "97###########", "4############")),
+    (0, 0, ("page", "rows", "of", "see"), ("12, 14, 18, 2#, 3#", "1 2 3 4 5 6 7 #", "1# 2# 3# 4# 5#", "1#/2#/3#/4#", "###, ###, ###")),
+    (0, 1, ("commit", "sha256:", "md5:", "hash", "checksum", "etag:", "rev"), ("~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~", "~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~", "~~~~~~~~-~~~~-~~~~-~~~~-~~~~~~~~~~~~")),
+    (0, -1, (), ("~~~~~~~~-~~~~-~~~~-~~~~-~~~~~~~~~~~~", "?????_??????_????_20##", "IMG_20##0#1#_1#0###", "???????##??????-?????", "?????-???-?????-??-####", "???????????####????", "?????/????/#####/?????")),
+    (0, -1, (), ("????? at ????.??", "?? at ####.#", "@????.??????", "????@?", "?????@????", "????? (at) ###", "???? at ??? dot ?")),
+]
+
+
+def plants(spark: SparkSession, n: int, seed: str = "plants") -> DataFrame:
+    """place, t, s, e, label: ``n`` texts with one plant each, of all families and templates in turn. The same for the same seed."""
+    flat = [(label, need, list(cues) or [""], t) for label, need, cues, templates in _PLANTS for t in templates]
+    families = [[f for f in flat if f[0] == label] for label in (0, 1)]
+    rows = spark.range(n).select("id")
+    pick = lambda salt, m: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col("id")), F.lit(m)).cast("int")
+    literal = lambda fs: F.array(*[F.struct(F.lit(a).alias("label"), F.lit(b).alias("need"), F.array(*map(F.lit, c)).alias("cues"), F.lit(t).alias("template")) for a, b, c, t in fs])
+    place = (F.col("id") / 2).cast("int")
+    one = F.when(F.col("id") % 2 == 0, F.element_at(literal(families[0]), place % len(families[0]) + 1)).otherwise(F.element_at(literal(families[1]), place % len(families[1]) + 1))
+    digest = lambda salt: F.sha2(F.concat_ws("|", F.lit(seed), F.lit(salt), F.col("id")).cast("binary"), 256)
+    pools = {
+        "#": F.translate(digest("d"), "abcdef", "172839"),
+        "~": digest("h"),
+        "^": F.translate(F.concat(F.base64(F.unhex(digest("b"))), F.base64(F.unhex(digest("c")))), "+/=", "x7Q"),
+        "?": F.translate(digest("l"), "0123456789abcdef", "etaoinshrdlucmwp"),
+    }
+    rows = rows.select("id", one.alias("f"), *[c.alias(f"pool{i}") for i, c in enumerate(pools.values())], digest("w").alias("w"))
+
+    def filled(i: Column) -> Column:
+        out = ch = F.substr(F.col("f.template"), i, F.lit(1))
+        for at, mark in enumerate(pools):
+            out = F.when(ch == mark, F.substr(F.col(f"pool{at}"), i, F.lit(1))).otherwise(out)
+        return out
+
+    hit = F.array_join(F.transform(F.sequence(F.lit(1), F.length("f.template")), filled), "")
+    words = F.translate("w", "0123456789abcdef", "etaoin hrd ucm w")
+    cue = F.element_at(F.col("f.cues"), pick("cue", 64) % F.size("f.cues") + 1)
+    with_cue = (F.col("f.need") == 1) | ((F.col("f.need") == 0) & (pick("says", 5) < 2))
+    quote = F.element_at(F.array(*map(F.lit, ("", "", "", '"', "(", "| "))), pick("quote", 6) + 1)
+    before = F.concat(F.substr(words, F.lit(1), F.lit(10) + pick("n", 20)), F.element_at(F.array(F.lit(" "), F.lit(", "), F.lit(". ")), pick("sep", 3) + 1), F.when(with_cue, F.concat(cue, F.lit(" "))).otherwise(F.lit("")), quote)
+    after = F.concat(F.element_at(F.array(*map(F.lit, (" ", ". ", ", ", "!! ", '" ', "### ", ") "))), pick("end", 7) + 1), F.substr(words, F.lit(40), F.lit(20)))
+    rows = rows.select("id", F.col("f.label").alias("label"), before.alias("b"), hit.alias("h"), after.alias("a"))
+    shout = pick("shout", 12) == 0
+    text = F.concat("b", "h", "a")
+    return rows.select(F.col("id").alias("place"), F.when(shout & (F.col("label") == 1), F.upper(text)).otherwise(text).alias("t"), F.length("b").alias("s"), (F.length("b") + F.length("h")).alias("e"), "label")
+
+
+def planted_candidates(rows: DataFrame) -> DataFrame:
+    """place, kind, label and features of the candidates in planted texts; one is right if it is a right plant, to a character at either end."""
+    found = rows.withColumn("x", F.explode(candidates(F.col("t")))).filter(_touches(F.col("x"), F.array(F.struct("s", "e"))))
+    right = (F.col("label") == 1) & (F.abs(F.col("x.s") - F.col("s")) <= 1) & (F.abs(F.col("x.e") - F.col("e")) <= 1)
+    return found.select("place", kind_of(F.col("x")).alias("kind"), right.cast("int").alias("label"), *[c.alias(k) for k, c in features(F.col("x")).items()])
+
+
+def fit(spark: SparkSession, n_plants: int = 16_000, precision: float = 0.97, rounds: int = 14, depth: int = 4) -> PiiModel:
+    """Trees and thresholds from ``n_plants`` texts with plants, a quarter of them held out for the thresholds.
+
+    A kind's threshold is the least probability from which on ``precision`` of its
+    held-out candidates are right. The model depends on the templates and the
+    seed alone, so it is the same for every table, also an empty one.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    place = F.xxhash64(t, *([F.col(key)] if key else []))
-    shown = docs.select(t.alias("t"), place.alias("place")).filter(F.col("t").rlike("[0-9@]|[\\[(][Aa][Tt][\\])]"))
-    base = shown.select("t", "place", F.concat(*base_spans(F.col("t")).values()).alias("base"), (F.pmod(F.xxhash64(F.lit("fold"), "t"), F.lit(4)) == 0).alias("held"))
-    rows = base.select("held", "place", "base", F.explode(candidates(F.col("t"))).alias("x")).select(
-        "held",
-        F.xxhash64("place", "x.s", "x.e").alias("place"),
-        _touches(F.col("x"), F.col("base")).cast("int").alias("label"),
-        *[c.alias(k) for k, c in features(F.col("x")).items()],
-    )
-    names = list(features(F.struct(*[F.lit("").alias(k) for k in ("hit", "before", "after")])))
-    rows = staged(rows, "candidates")
-    sample = staged(boosting.bounded_classes(rows.filter("NOT held"), "label", F.col("place"), max_docs), "fitting-candidates")
-    trees = boosting.fit(sample, names, "label", rounds, depth)
-    cut = boosting.threshold(rows.filter("held").withColumn("p", trees.probability(F.col)), "label", precision)
-    return PiiModel(trees, cut)
+    rows = staged(planted_candidates(plants(spark, n_plants)), "planted")
+    held = F.pmod(F.xxhash64(F.lit("fold"), "place"), F.lit(4)) == 0
+    names = [c for c in rows.columns if c not in ("place", "kind", "label")]
+    trees = boosting.fit(rows.filter(~held), names, "label", rounds, depth)
+    scored = staged(rows.filter(held).select("kind", "label", trees.probability(F.col).alias("p")), "scored")
+    return PiiModel(trees, tuple((k, boosting.threshold(scored.filter(F.col("kind") == k), "label", precision)) for k in ALL_KINDS))
 
 
 def find(docs: DataFrame, model: PiiModel, text: str = "text") -> DataFrame:
     """``docs`` with ``base`` and ``added``: array<struct<kind,s,e>>, by kind as listed in KINDS, then start.
 
     Columns of these names are replaced. Null texts count as empty and have none. Every span is found inside its row,
-    so neither long texts nor repeated rows move any data.
+    so neither long texts nor repeated rows move any data. No added span touches a base span; added ones of different
+    generators may overlap.
     """
     docs = docs.drop("base", "added").withColumn("__t", F.coalesce(F.col(text), F.lit("")))
     raw = docs.withColumn("__b", F.struct(*[c.alias(k) for k, c in base_spans(F.col("__t")).items()]))
     tagged = lambda k: F.transform(F.col("__b")[k], lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     out = raw.withColumn("base", F.concat(*[tagged(k) for k in KINDS]))
-    if model.cut > 1:
+    if model.trees is None:
         return out.withColumn("added", F.array().cast("array<struct<kind:string,s:int,e:int>>")).drop("__t", "__b")
-    fresh = F.filter(candidates(F.col("__t")), lambda x: ~_touches(x, F.col("base")))
-    added = F.transform(F.filter(fresh, model.accepts), lambda x: F.struct(kind_of(x).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+    fresh = F.filter(candidates(F.col("__t")), lambda x: ~_is_base(x["hit"]) & ~_touches(x, F.col("base")))
+    known = F.transform(fresh, lambda x: F.struct(kind_of(x).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.struct(*[c.alias(k) for k, c in features(x).items()]).alias("f")))
+    added = F.transform(F.filter(known, lambda x: model.accepts(x["kind"], x["f"])), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     return out.withColumn("added", added).drop("__t", "__b")
 
 
 def in_order(found: Column) -> Column:
     """Spans by kind as listed, then start."""
-    return F.concat(*[F.array_sort(F.filter(found, is_kind(k))) for k in KINDS])
+    return F.concat(*[F.array_sort(F.filter(found, is_kind(k))) for k in ALL_KINDS])
 
 
 def written(found: Column) -> Column:

@@ -74,12 +74,12 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """n_* count the base spans."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = pii.find(docs, pii.fit(docs, key="doc_id"))
+    """n_<kind> count the base spans, n_spans all of them and n_secret the added keys and tokens."""
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"), pii.fit(spark))
     counts = [F.size(F.filter("base", pii.is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     base, everything = pii.in_order(F.col("base")), pii.in_order(F.concat("base", "added"))
-    return found.select("doc_id", *counts, F.sha2(pii.written(base).cast("binary"), 256).alias("base_sha256"), pii.written(everything).alias("spans"))
+    added = [F.size(F.filter("added", pii.is_kind("secret"))).cast("long").alias("n_secret"), (F.size("base") + F.size("added")).cast("long").alias("n_spans")]
+    return found.select("doc_id", *counts, F.sha2(pii.written(base).cast("binary"), 256).alias("base_sha256"), pii.written(everything).alias("spans"), *added)
 
 
 URL_RULES = [

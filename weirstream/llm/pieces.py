@@ -3,7 +3,8 @@
 The best segmentation is the path with the highest sum of log scores (Viterbi),
 over a double-array trie of the pieces' UTF-8. Characters that no piece covers
 become byte pieces. Blanks are written as the marker U+2581, with one in front
-of the text; decoding joins pieces and bytes and turns markers into blanks.
+of the text; decoding joins pieces and bytes and turns markers into blanks, so
+that a U+2581 of the text itself comes back as a blank.
 """
 
 from __future__ import annotations
@@ -130,7 +131,7 @@ class Codec:
     def __init__(self, v: Vocabulary):
         self.v = v
         self.base, self.check, self.value = (np.frombuffer(a, np.int32).tolist() for a in (v.base, v.check, v.value))
-        self.arrays = [np.frombuffer(a, np.int32).astype(np.int64) for a in (v.base, v.check, v.value)] + [np.array(v.scores)]
+        self.arrays = [*(np.frombuffer(a, np.int32) for a in (v.base, v.check, v.value)), np.array(v.scores)]
         self.unknown_score = min((s for s in v.scores if s > -math.inf), default=0.0) - UNKNOWN_PENALTY
         matchable = [p for p, s in zip(v.pieces, v.scores, strict=True) if s > -math.inf]
         # A piece never goes over a border between another character and a marker, nor holds a line end, unless
@@ -194,65 +195,83 @@ class Codec:
         return self.chunks(MARK + text.replace(" ", MARK))
 
     def remember(self, chunks: set[str]) -> None:
-        """Segment the chunks that the cache lacks: short ones many at a time, long ones each for itself."""
+        """Segment the chunks that the cache lacks: those of like length many at a time, a few very long ones each for itself."""
         if len(self.cache) > CACHE:
             self.cache.clear()
-        short = []
-        for c in chunks.difference(self.cache):
-            data = c.encode()
-            if len(data) <= 40:
-                short.append((len(data), data, c))
+        new = list(chunks.difference(self.cache))
+        data = [c.encode() for c in new]
+        size = np.fromiter(map(len, data), np.int64, len(data))
+        order = np.argsort(size, kind="stable")
+        ends = np.cumsum(size[order])
+        start = 0
+        while start < len(order):  # about half a million bytes and at most 20,000 chunks at a time
+            stop = max(start + 1, min(start + 20_000, int(np.searchsorted(ends, ends[start] + 500_000))))
+            part = order[start:stop].tolist()
+            if len(part) < 16:
+                self.cache.update((new[i], _packed(self._segment(new[i]))) for i in part)
             else:
-                self.cache[c] = _packed(self._segment(c))
-        short.sort()
-        for start in range(0, len(short), 20_000):
-            self._segment_many(short[start : start + 20_000])
-
-    def _segment_many(self, short: list[tuple[int, bytes, str]]) -> None:
-        """The Viterbi of ``_segment`` for many chunks in step, position by position."""
-        m, longest = len(short), short[-1][0]
-        size = np.array([n for n, _, _ in short])
-        data = np.frombuffer(b"".join(d.ljust(longest + 1, b"\0") for _, d, _ in short), np.uint8).reshape(m, longest + 1)
+                self._segment_many([new[i] for i in part], [data[i] for i in part], size[order[start:stop]])
+            start = stop
+
+    def _segment_many(self, chunks: list[str], data: list[bytes], size: np.ndarray) -> None:
+        """The Viterbi of ``_segment`` for many chunks in step, position by position; ``size`` ascends."""
+        m, longest = len(chunks), int(size[-1])
+        # a row for each position, so that a step reads and writes within one row
+        codes = np.ascontiguousarray(np.frombuffer(b"".join(d.ljust(longest + 1, b"\0") for d in data), np.uint8).reshape(m, longest + 1).T)
         base, check, value, scores = self.arrays
-        best = np.full((m, longest + 5), -np.inf)
-        came, by = np.zeros((m, longest + 5), np.int16), np.full((m, longest + 5), -1, np.int32)
-        best[:, 0] = 0.0
+        best = np.full((longest + 5, m), -np.inf)
+        came, by = np.zeros((longest + 5, m), np.int32), np.full((longest + 5, m), -1, np.int32)
+        best[0] = 0.0
         for at in range(longest):
-            rows = active = np.flatnonzero((best[:, at] > -np.inf) & (size > at))
-            if not len(rows):
+            here = best[at]
+            active = np.flatnonzero((here > -np.inf) & (size > at))
+            if not len(active):
                 continue
-            first = data[rows, at]
-            width = np.where(first < 0x80, 1, np.where(first < 0xE0, 2, np.where(first < 0xF0, 3, 4)))
+            rows, node, i = active, None, at
+            first = codes[at][rows]
+            width = 1 + (first >= 0xC0).astype(np.int64) + (first >= 0xE0) + (first >= 0xF0)
             ends = np.zeros(m, np.int64)
             ends[rows] = at + width
             single = np.zeros(m, bool)
-            node, i = np.zeros(len(rows), np.int64), at
             while len(rows):
-                nxt = base[node] + data[rows, i]
-                go = (check[nxt] == node) & (size[rows] > i)
+                nxt = codes[i][rows] + (base[node] if node is not None else base[0])
+                go = np.flatnonzero((check[nxt] == (node if node is not None else 0)) & (size[rows] > i) & (nxt > 0))
                 rows, node = rows[go], nxt[go]
                 i += 1
                 piece = value[node]
-                hit = piece >= 0
+                hit = np.flatnonzero(piece >= 0)
+                if not len(hit):
+                    continue
                 r, piece = rows[hit], piece[hit]
                 single[r] |= ends[r] == i
-                score = best[r, at] + scores[piece]
-                better = score > best[r, i]
+                score = here[r] + scores[piece]
+                better = np.flatnonzero(score > best[i][r])
                 r = r[better]
-                best[r, i], came[r, i], by[r, i] = score[better], at, piece[better]
+                best[i][r], came[i][r], by[i][r] = score[better], at, piece[better]
             r = active[~single[active]]
-            end, score = ends[r], best[r, at] + self.unknown_score
-            better = score > best[r, end]
-            r, end = r[better], end[better]
-            best[r, end], came[r, end], by[r, end] = score[better], at, -1
-        came_from, pieces = came.tolist(), by.tolist()
-        for (n, _, chunk), back, piece in zip(short, came_from, pieces, strict=True):
-            path, at = [], n
-            while at:
-                path.append(piece[at])
-                at = back[at]
-            path.reverse()
-            self.cache[chunk] = _packed(self._segment(chunk) if -1 in path else path)
+            if len(r):
+                end, score = ends[r], here[r] + self.unknown_score
+                better = score > best[end, r]
+                r, end = r[better], end[better]
+                best[end, r], came[end, r], by[end, r] = score[better], at, -1
+        # all paths at once, from the ends of the chunks
+        at, steps = size.copy(), []
+        while True:
+            open_rows = np.flatnonzero(at)
+            if not len(open_rows):
+                break
+            step = np.full(m, -2, np.int32)
+            step[open_rows] = by[at[open_rows], open_rows]
+            at[open_rows] = came[at[open_rows], open_rows]
+            steps.append(step)
+        paths = np.stack(steps[::-1], axis=1)
+        used = paths != -2
+        ids, ends = paths[used].tobytes(), np.cumsum(4 * used.sum(axis=1)).tolist()
+        plain = (paths != -1).all(axis=1).tolist()
+        begin, cache = 0, self.cache
+        for chunk, end, good in zip(chunks, ends, plain, strict=True):
+            cache[chunk] = ids[begin:end] if good else _packed(self._segment(chunk))
+            begin = end
 
     def encode_all(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin and end (one number more than texts)."""
@@ -265,6 +284,18 @@ class Codec:
     def encode(self, text: str | None) -> list[int]:
         return self.encode_all([text])[0].tolist()
 
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """Texts of lists of ids. Spelled bytes are joined by Arrow; only texts that aren't UTF-8 are decoded one by one."""
+        flat = pa.array(self.spelled, pa.binary()).take(lists.flatten())
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat), pa.scalar(b"", pa.binary()))
+        try:
+            texts = pc.replace_substring(whole.cast(pa.string()), MARK, " ")
+        except pa.ArrowInvalid:
+            return pa.array([None if x is None else self.decode(x) for x in lists.to_pylist()], pa.string())
+        texts = pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
+        return pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts) if lists.null_count else texts
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
@@ -314,7 +345,7 @@ def encoded(docs: DataFrame, v: Vocabulary, text: str = "text") -> DataFrame:
 
 
 def decoded(rows: DataFrame, v: Vocabulary, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``rows`` with the text of ``ids``. Null gives null. Bytes that aren't UTF-8 become U+FFFD."""
+    """``rows`` with the text of ``ids``. Null gives null. Bytes that aren't UTF-8 become U+FFFD, a U+2581 of the encoded text a blank."""
     rows = rows.drop(out)
     shared = rows.sparkSession.sparkContext.broadcast(v)
 
@@ -323,7 +354,7 @@ def decoded(rows: DataFrame, v: Vocabulary, ids: str = "ids", out: str = "decode
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                texts = pa.array([None if x is None else c.decode(x) for x in batch.column(ids).to_pylist()], pa.string())
+                texts = c.decode_all(batch.column(ids))
                 yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, out])
 
     return rows.mapInArrow(decode, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))

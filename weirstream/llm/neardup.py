@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import keyed_min, n_salts, staged
@@ -178,44 +178,13 @@ def _chunk_keys(nodes: DataFrame, plan: NearDup) -> DataFrame:
 def _shared(keys: DataFrame) -> DataFrame:
     """key, node, center for keys with two different nodes or more; the center is the least.
 
-    Rows come in the order of key and node, so one pass with one row of memory
-    does, however many rows a key has.
+    Least and greatest nodes are told in the map tasks already, so a key that very
+    many nodes have is no burden there; in the merge join back such a key has one
+    row on one side and is split on the other.
     """
-
-    def pair_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key = held_node = None  # the last row of the batch before
-        center, told = None, True  # its key's center; whether that row went out
-        for batch in batches:
-            key, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "node"))
-            if not len(key):
-                continue
-            if held_key is not None:
-                key, node = np.concatenate([[held_key], key]), np.concatenate([[held_node], node])
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            if held_key is not None:
-                fresh_first = not told
-            else:
-                fresh_first = True
-            first = np.ones(len(key), bool)
-            first[1:] = key[1:] != key[:-1]
-            group = np.cumsum(first) - 1
-            centers = node[first].copy()
-            if held_key is not None:
-                centers[0] = center
-            distinct = np.bincount(group, fresh)
-            if held_key is not None and center != held_node:
-                distinct[0] += 1
-            many = distinct[group] > 1
-            out = many & fresh
-            out[0] = many[0] and fresh_first
-            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out]), pa.array(centers[group[out]])], names=["key", "node", "center"])
-            same_as_before = len(key) > 1 and not fresh[-1]
-            last = np.flatnonzero(fresh)[-1] if same_as_before else len(key) - 1
-            told = bool(out[last])
-            held_key, held_node, center = key[-1], node[-1], centers[group[-1]]
-
-    return keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(pair_up, "key long, node long, center long")
+    keys = staged(keys, "keys")
+    centers = keys.groupBy("key").agg(F.min("node").alias("center"), F.max("node").alias("last")).filter("center < last")
+    return keys.join(centers.select("key", "center").hint("merge"), "key").select("key", "node", "center")
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, plan: NearDup) -> DataFrame:
@@ -299,39 +268,53 @@ def _groups(key: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, int]]:
     return zip(edges.tolist(), [*edges[1:].tolist(), len(key)], strict=True)
 
 
+def _grid(component: str, main: str) -> Column:
+    """Where a row with ``parts``, ``slices``, ``part`` and ``slice`` goes: (part, slice, role), role 0 to be held and 1 to stream.
+
+    Rows outside the main component are held in one of ``parts`` blocks, in every
+    slice; every row streams in its slice past every block. So each pair with a
+    held row meets once, a task has about ``block`` held and 4 * ``block``
+    streaming rows, and n rows with h outside the main component make about
+    n * h / block * 5 / 4 rows.
+    """
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    streams = F.transform(every("parts"), lambda i: F.struct(i.alias("part"), F.col("slice").alias("slice"), F.lit(1).alias("role")))
+    holds = F.transform(every("slices"), lambda i: F.struct(F.col("part").alias("part"), i.alias("slice"), F.lit(0).alias("role")))
+    return F.explode(F.when(F.col(component) != F.col(main), F.concat(holds, streams)).otherwise(streams)).alias("at")
+
+
 def _clusters(shared: DataFrame, labels: DataFrame, plan: NearDup, nodes: DataFrame) -> DataFrame:
     """component, cluster: components with members of others near them under a common key, that is ``reach`` places away at most.
 
     Of each key with several components, rows outside the largest one are held
-    and all rows stream past them. If more than ``block`` are to be held, they
-    are dealt over as many tasks as needed, each of which sees all rows of the
-    key.
+    in blocks and all rows stream past them in slices (see ``_grid``), so no task
+    has all rows of a key.
     """
     tagged = staged(shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "tagged")
     sizes = tagged.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    mixed = mixed.select("key", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / F.lit(plan.block)).cast("int").alias("parts"))
+    blocks = lambda n, size: F.ceil(n / F.lit(size)).cast("int")
+    mixed = mixed.select("key", F.col("main.component").alias("main"), blocks(F.col("n") - F.col("main.n"), plan.block).alias("parts"), blocks(F.col("n"), 4 * plan.block).alias("slices"))
     rows = tagged.join(staged(mixed, "mixed"), "key").join(nodes.select("node", "sig"), "node")
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    held = (F.col("component") != F.col("main")) & (F.pmod(F.xxhash64("node"), F.col("parts")) == F.col("part"))
-    rows = rows.select("key", "part", held.alias("held"), "node", "component", "sig")
-    rows = rows.repartition("key", "part").sortWithinPartitions("key", "part", F.col("held").desc(), "node")
+    deal = lambda n: F.pmod(F.xxhash64(F.lit(n), "node"), F.col(n)).cast("int")
+    rows = rows.withColumn("part", deal("parts")).withColumn("slice", deal("slices")).select("key", "node", "component", "sig", _grid("component", "main"))
+    rows = rows.select("key", "at.part", "at.slice", "at.role", "node", "component", "sig").repartition("key", "part", "slice").sortWithinPartitions("key", "part", "slice", "role", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, forest, sigs = None, Forest(), np.empty((0, plan.hashes), np.uint16)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, part, hold, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "held", "component"))
-            mine, hold = _unpacked(batch.column("sig"), plan), hold.astype(bool)
+            key, part, cut, role, comp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "part", "slice", "role", "component"))
+            mine = _unpacked(batch.column("sig"), plan)
             found = []
-            for lo, hi in _groups(key, part):
-                if (key[lo], part[lo]) != now:
-                    now, forest, sigs = (key[lo], part[lo]), Forest(), np.empty((0, plan.hashes), np.uint16)
-                if hold[lo]:
-                    kept = slice(lo, lo + int(hold[lo:hi].sum()))
-                    forest.hold(comp[kept])
-                    sigs = np.concatenate([sigs, mine[kept]])
+            for lo, hi in _groups(key, part, cut, role):
+                if (key[lo], part[lo], cut[lo]) != now:
+                    now, forest, sigs = (key[lo], part[lo], cut[lo]), Forest(), np.empty((0, plan.hashes), np.uint16)
+                if role[lo] == 0:
+                    forest.hold(comp[lo:hi])
+                    sigs = np.concatenate([sigs, mine[lo:hi]])
+                    continue
                 step = max(1, 20_000 // max(1, len(sigs)))
                 for at in range(lo, hi, step):
                     y = slice(at, min(at + step, hi))
@@ -358,8 +341,8 @@ def _cluster_links(clusters: DataFrame, labels: DataFrame, docs: DataFrame, plan
     about = about.select(
         "cluster", F.col("main.component").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / F.lit(plan.block)).cast("int").alias("parts"), F.ceil(F.col("n") / F.lit(4 * plan.block)).cast("int").alias("slices")
     )
-    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    wanted = member.join(about, "cluster").select("node", "component", "cluster", "parts", "slices", (F.col("component") != F.col("main")).alias("held"), deal("parts").alias("part"), deal("slices").alias("slice"))
+    deal = lambda n: F.pmod(F.xxhash64(F.lit(n), "node"), F.col(n)).cast("int")
+    wanted = member.join(about, "cluster").select("node", "component", "cluster", "main", "parts", "slices", deal("parts").alias("part"), deal("slices").alias("slice"))
     wanted = staged(wanted, "wanted")
 
     def sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -369,12 +352,9 @@ def _cluster_links(clusters: DataFrame, labels: DataFrame, docs: DataFrame, plan
 
     # both sides grow with the documents, so they are merged at every size
     texts = docs.select(F.col("doc_id").alias("node"), "text").hint("merge").join(wanted, "node")
-    columns = ["node", "component", "cluster", "parts", "slices", "held", "part", "slice"]
-    found = texts.select(*columns, "text").mapInPandas(sets, "node long, component long, cluster long, parts int, slices int, held boolean, part int, slice int, s binary")
-    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    streams = F.transform(every("parts"), lambda i: F.struct(i.alias("part"), F.col("slice").alias("slice"), F.lit(1).alias("role")))
-    holds = F.transform(every("slices"), lambda i: F.struct(F.col("part").alias("part"), i.alias("slice"), F.lit(0).alias("role")))
-    rows = found.select("node", "component", "cluster", "s", F.explode(F.when(F.col("held"), F.concat(holds, streams)).otherwise(streams)).alias("at"))
+    columns = ["node", "component", "cluster", "main", "parts", "slices", "part", "slice"]
+    found = texts.select(*columns, "text").mapInPandas(sets, "node long, component long, cluster long, main long, parts int, slices int, part int, slice int, s binary")
+    rows = found.select("node", "component", "cluster", "s", _grid("component", "main"))
     rows = rows.select("cluster", "at.part", "at.slice", "at.role", "node", "component", "s").repartition("cluster", "part", "slice").sortWithinPartitions("cluster", "part", "slice", "role", "node")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,21 +10,25 @@ def files(spark, body):
 
 
 def test_vtt(spark):
-    body = "WEBVTT\n\n00:01.000 --> 00:02.000\nhello\n\nWEBVTT\n\n00:01.000 --> 00:02.000\nhello\n\n1\n00:00:03,000 --> 00:00:04,000 align:left\nworld\nagain\n00:05.000 --> 00:05.000\nnever\n\n00:06.000 --> 00:07.500\nagain\n"
+    body = "WEBVTT - made here\n\n00:07.250 --> 00:09.000\nrain\n\nWEBVTT\n\n00:07.250 --> 00:09.000\nrain\n\n8\n00:01:10,500 --> 00:01:12,000 position:10%\nwind\nand snow\n00:20.000 --> 00:20.000\nnothing\n\n01:30.000 --> 01:31.125\nsun\n"
     rows = cues.merged(subtitles.parse_vtt(files(spark, body))).orderBy("cue_no").collect()
-    assert [(r.start, r.end, r.text) for r in rows] == [(1.0, 2.0, "hello"), (3.0, 4.0, "world\nagain"), (6.0, 7.5, "again")]
+    assert [(r.start, r.end, r.text) for r in rows] == [(7.25, 9.0, "rain"), (70.5, 72.0, "wind\nand snow"), (90.0, 91.125, "sun")]
 
 
 def test_ttml(spark):
-    body = '<tt tickRate="10"><p begin="00:00:01.500" end="00:00:03.000">line one<br/>line two</p><p xml:id="x" begin="4.5s" end="6s"><span>styled</span> text &amp; more</p><p begin="70t" end="80t">ticks</p></tt>'
+    body = '<tt tickRate="25"><body><p begin="00:00:02.250" end="00:00:04.000">sun<br/>rain</p><p id="b" begin="5.5s" end="7s"><span>wind</span> &lt;east&gt;</p><p begin="200t" end="250t">by ticks</p><p>no times</p></body></tt>'
     rows = subtitles.parse_ttml(files(spark, body)).orderBy("start").collect()
-    assert [(r.start, r.end, r.text) for r in rows] == [(1.5, 3.0, "line one\nline two"), (4.5, 6.0, "styled text & more"), (7.0, 8.0, "ticks")]
-    assert [r.text for r in subtitles.parse_ttml(files(spark, '<p end="2s" begin="1s">ok</b></p>')).collect()] == ["ok"]
+    assert [(r.start, r.end, r.text) for r in rows] == [(2.25, 4.0, "sun\nrain"), (5.5, 7.0, "wind <east>"), (8.0, 10.0, "by ticks")]
+    assert [r.text for r in subtitles.parse_ttml(files(spark, '<p end="900ms" begin="0.2s">turned</i></p>')).collect()] == ["turned"]
 
 
 def test_sniff(spark):
-    rows = spark.createDataFrame([("WEBVTT\n",), ("<?xml?><tt xml",), ("\0\0\0\x18ftypmp42",), ("1\n00:00:01,0 --> x",), ("?",)], "b string").select(subtitles.sniff(F.col("b")).alias("k")).collect()
-    assert [r.k for r in rows] == ["vtt", "ttml", "fmp4", "srt", "unknown"]
+    cases = {
+        "WEBVTT\n": "vtt", "\ufeff WEBVTT": "vtt", "<?xml version='1.0'?><x/>": "ttml", "<tt xml:lang='en'>": "ttml", "junk <tt:tt>": "ttml", "see note:tt": "unknown",
+        "\0\0\0\x18ftypmp42": "fmp4", "\0\0\0\x08free\0\0\0\x08moofx": "fmp4", "moof": "unknown", "12\n00:00:01,500 --> 00:00:02,000": "srt", "1\r\n00:00:01,500 --> x": "srt", "a --> b": "unknown", "?": "unknown",
+    }
+    rows = spark.createDataFrame([(b,) for b in cases], "b string").select("b", subtitles.sniff(F.col("b")).alias("k")).collect()
+    assert {r.b: r.k for r in rows} == cases
 
 
 def test_merge_and_rebase(spark):

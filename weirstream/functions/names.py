@@ -58,6 +58,16 @@ def segment_mime(name: Column) -> Column:
     return F.when(name.endswith(".ts"), F.lit("video/mp2t")).otherwise(F.lit("video/mp4"))
 
 
+def stream_format(text: Column) -> Column:
+    """The format asked for in lower case; hls if none was."""
+    return F.when(F.trim(or_empty(text)) == "", F.lit("hls")).otherwise(F.lower(F.trim(text)))
+
+
+def display_name(name: Column, language: Column, track_id: Column) -> Column:
+    """What a rendition is called in a playlist: its name, else its language, else its id."""
+    return first_non_empty(name, language, track_id)
+
+
 def refresh_seconds(target: Column, minimum: Column, depth: Column) -> Column:
     """How often to look again: half the target duration; for manifests the minimum update period, else half the depth, 2 s at least; else 4 s."""
     dash = F.when(minimum > 0, minimum).when(depth > 0, F.greatest(depth / 2, F.lit(2.0)))

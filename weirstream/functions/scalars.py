@@ -13,13 +13,16 @@ VIDEO_CODECS = ("avc", "hvc", "hev", "dvh", "vp09", "vp9", "av01", "mp4v")
 # HTTP statuses worth another try.
 RETRIABLE = (408, 429, 500, 502, 503, 504)
 # ISO 639-1 codes with their ISO 639-2 codes.
-LANGUAGES = (
-    "aa aar ab abk af afr am amh ar ara as asm az aze be bel bg bul bn ben bs bos ca cat cs ces cy cym da dan de deu el ell en eng eo epo"
-    " es spa et est eu eus fa fas fi fin fil fil fr fra ga gle gl glg gu guj he heb hi hin hr hrv hu hun hy hye id ind is isl it ita iw heb"
-    " ja jpn ka kat kk kaz km khm kn kan ko kor ku kur ky kir lo lao lt lit lv lav mk mkd ml mal mn mon mr mar ms msa mt mlt my mya ne nep"
-    " nl nld no nor pa pan pl pol ps pus pt por ro ron ru rus si sin sk slk sl slv sq sqi sr srp sv swe sw swa ta tam te tel th tha tl tgl"
-    " tr tur uk ukr ur urd uz uzb vi vie zh zho zu zul"
-).split()
+LANGUAGES = {
+    "aa": "aar", "ab": "abk", "af": "afr", "am": "amh", "ar": "ara", "as": "asm", "az": "aze", "be": "bel", "bg": "bul", "bn": "ben", "bs": "bos",
+    "ca": "cat", "cs": "ces", "cy": "cym", "da": "dan", "de": "deu", "el": "ell", "en": "eng", "eo": "epo", "es": "spa", "et": "est", "eu": "eus",
+    "fa": "fas", "fi": "fin", "fil": "fil", "fr": "fra", "ga": "gle", "gl": "glg", "gu": "guj", "he": "heb", "hi": "hin", "hr": "hrv", "hu": "hun",
+    "hy": "hye", "id": "ind", "is": "isl", "it": "ita", "iw": "heb", "ja": "jpn", "ka": "kat", "kk": "kaz", "km": "khm", "kn": "kan", "ko": "kor",
+    "ku": "kur", "ky": "kir", "lo": "lao", "lt": "lit", "lv": "lav", "mk": "mkd", "ml": "mal", "mn": "mon", "mr": "mar", "ms": "msa", "mt": "mlt",
+    "my": "mya", "ne": "nep", "nl": "nld", "no": "nor", "pa": "pan", "pl": "pol", "ps": "pus", "pt": "por", "ro": "ron", "ru": "rus", "si": "sin",
+    "sk": "slk", "sl": "slv", "sq": "sqi", "sr": "srp", "sv": "swe", "sw": "swa", "ta": "tam", "te": "tel", "th": "tha", "tl": "tgl", "tr": "tur",
+    "uk": "ukr", "ur": "urd", "uz": "uzb", "vi": "vie", "zh": "zho", "zu": "zul",
+}
 
 
 def resolution(width: Column, height: Column) -> Column:
@@ -60,6 +63,13 @@ def range_header(span: Column) -> Column:
     return F.when(span.isNotNull(), F.concat(F.lit("bytes="), span["start"].cast("string"), F.lit("-"), end))
 
 
+def resumed_span(span: Column, had: Column) -> Column:
+    """What is left of a range, or of a whole file, once ``had`` bytes are there; an end of -1 is open."""
+    start = F.coalesce(span["start"], F.lit(0).cast("bigint"))
+    left = F.struct((start + had).alias("start"), F.coalesce(span["end"], F.lit(-1).cast("bigint")).alias("end"))
+    return F.when(had > 0, left).otherwise(span)
+
+
 def bytes_text(n: Column) -> Column:
     """A byte count for people."""
     x = n.cast("double")
@@ -85,7 +95,7 @@ def language3(tag: Column) -> Column:
     """ISO 639-2 of a BCP 47 tag; tags of three letters keep their base, unknown ones pass."""
     base = F.regexp_extract(F.lower(tag), "^([^-_]*)", 1)
     base = F.when(base == "", F.lower(tag)).otherwise(base)
-    known = F.create_map(*[F.lit(x) for x in LANGUAGES])
+    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     return F.when(tag == "", F.lit("")).when(F.length(base) == 3, base).otherwise(F.coalesce(F.try_element_at(known, base), tag))
 
 

@@ -53,7 +53,7 @@ def duration(text: str) -> float:
         pass
     found = re.findall(r"(\d+(?:\.\d*)?|\.\d+)(ns|us|µs|ms|s|m|h)", text.lstrip("+-"))
     if not found or "".join(a + b for a, b in found) != text.lstrip("+-"):
-        raise SelectorError(f"bad duration {text!r}")
+        raise SelectorError(f"{text!r} is no length of time")
     return (-1 if text.startswith("-") else 1) * sum(float(a) * _UNITS[b] for a, b in found)
 
 
@@ -72,7 +72,7 @@ def parse(text: str) -> Selector:
     for item in text.split(":"):
         key, equals, value = item.partition("=")
         if not equals:
-            raise SelectorError(f"bad selector part {item!r} (want key=value)")
+            raise SelectorError(f"{item!r} has no value: a part is written key=value")
         key, value = key.strip().lower(), value.strip()
         negated = key.endswith("!")
         key = key.removesuffix("!")
@@ -91,11 +91,11 @@ def parse(text: str) -> Selector:
                 re.compile(value)
                 parts.append(Part(key, value, negated))
             else:
-                raise SelectorError(f"unknown selector key {key!r}")
+                raise SelectorError(f"streams have no property {key!r}")
         except SelectorError:
             raise
         except (ValueError, re.error) as e:
-            raise SelectorError(f"bad {key}={value!r}") from e
+            raise SelectorError(f"{key} can't be {value!r}") from e
     return Selector(*take, tuple(parts))
 
 

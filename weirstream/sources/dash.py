@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import byte_span, frame_rate, iso_seconds, zero_filled
+from ..functions.scalars import byte_span, frame_rate, iso_seconds
 from ..functions.urls import resolve
 from ..schemas import first_non_empty, number, or_empty
 
@@ -114,19 +114,19 @@ def representations(manifests: DataFrame, now: str | None = None) -> DataFrame:
 def _timeline(rows: DataFrame) -> DataFrame:
     """Explicit times: cursors run on from the last given time; a negative repeat fills the period."""
     key = ["manifest_id", "period", "track"]
-    s = rows.filter("templated AND timeline IS NOT NULL").select("*", F.posexplode("timeline").alias("at", "s"))
-    s = s.withColumns({"t": F.col("s._t").try_cast("bigint"), "d": number(F.col("s._d")), "rep": number(F.col("s._r"))})
-    order = Window.partitionBy(*key).orderBy("at")
-    s = s.withColumn("island", F.count("t").over(order))
-    inside = Window.partitionBy(*key, "island").orderBy("at")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    # a negative repeat counts from its own start; one more after it in the same island would need it, so its length is taken first
-    plain = F.when(F.col("rep") < 0, F.lit(0)).otherwise(F.col("rep") + 1) * F.col("d")
-    s = s.withColumn("cur", F.coalesce(F.first("t").over(inside), F.lit(0)) + F.coalesce(F.sum(plain).over(before), F.lit(0)))
     end = F.floor(F.col("period_dur") * F.col("timescale")).cast("bigint")
-    fits = F.greatest(F.floor(F.try_divide(F.greatest(end - F.col("cur"), F.lit(0)), F.col("d"))).cast("bigint") - 1, F.lit(0))
-    repeat = F.when(F.col("rep") >= 0, F.col("rep")).when((F.col("period_dur") > 0) & (F.col("d") > 0), fits).otherwise(F.lit(0))
-    s = s.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), repeat)))
+
+    def step(a: Column, x: Column) -> Column:
+        start = F.coalesce(x["_t"].try_cast("bigint"), a["next"])
+        d, given = number(x["_d"]), number(x["_r"])
+        fits = F.greatest(F.floor(F.try_divide(F.greatest(end - start, F.lit(0)), d)).cast("bigint") - 1, F.lit(0).cast("bigint"))
+        repeat = F.when(given >= 0, given).when((F.col("period_dur") > 0) & (d > 0), fits).otherwise(F.lit(0).cast("bigint"))
+        entry = F.struct(start.alias("cur"), d.alias("d"), repeat.alias("rep"))
+        return F.struct((start + (repeat + 1) * d).alias("next"), F.concat(a["out"], F.array(entry)).alias("out"))
+
+    begin = F.struct(F.lit(0).cast("bigint").alias("next"), F.array().cast("array<struct<cur:bigint,d:bigint,rep:bigint>>").alias("out"))
+    s = rows.filter("templated AND timeline IS NOT NULL").select("*", F.posexplode(F.aggregate("timeline", begin, step, lambda a: a["out"])).alias("at", "e"))
+    s = s.select("*", F.col("e.cur").alias("cur"), F.col("e.d").alias("d"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("e.rep"))).alias("i"))
     every = Window.partitionBy(*key).orderBy("at", "i")
     return s.select("*", (F.col("start_number") + F.row_number().over(every) - 1).alias("num"), (F.col("cur") + F.col("i") * F.col("d")).alias("time"), (F.col("d") / F.col("timescale")).alias("dur"))
 
@@ -143,7 +143,7 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def parse_segments(manifests: DataFrame, now: str | None = None) -> DataFrame:
-    """Segments of all tracks, periods joined: manifest_id, stream_id, seg_ord, url, duration, range, kid, init, seq, discontinuity.
+    """Segments of all tracks, periods joined: manifest_id, stream_id, period, track, seg_ord, url, duration, range, kid, init, seq, discontinuity.
 
     A track that comes back in a later period with the same codecs, size, init
     URL and key as the first time goes on, with a discontinuity and running
@@ -182,10 +182,24 @@ def parse_segments(manifests: DataFrame, now: str | None = None) -> DataFrame:
     seg_ord = (F.row_number().over(stream) - 1).cast("long")
     first_of_period = F.row_number().over(Window.partitionBy("manifest_id", "stream_id", "period").orderBy("n")) == 1
     return segs.select(
-        "manifest_id", "stream_id", seg_ord.alias("seg_ord"), "url", "duration", "range", "kid", "init",
+        "manifest_id", "stream_id", "period", "track", seg_ord.alias("seg_ord"), "url", "duration", "range", "kid", "init",
         F.when(same & begins, seg_ord).otherwise(F.col("seq")).alias("seq"), (same & begins & first_of_period).alias("discontinuity"),
     )
 
 
-def zero_padded(num: Column, width: int) -> Column:
-    return zero_filled(num.cast("string"), width)
+def streams(manifests: DataFrame, now: str | None = None) -> DataFrame:
+    """Tracks as a catalog that ``select_streams`` takes, with n_segs and dur_s of their segments.
+
+    A track that goes on over periods is one row, described as in its first period.
+    """
+    own = parse_segments(manifests, now).groupBy("manifest_id", "stream_id", "track").agg(F.min("period").alias("period"), F.count(F.lit(1)).alias("n_segs"), F.sum("duration").alias("dur_s"))
+    about = representations(manifests, now).select("manifest_id", "track", "period", "ai", "ri", "url", "media_type", "bandwidth", "width", "height", "frame_rate", "codecs", "language", "channels", "live")
+    rows = own.join(about, ["manifest_id", "track", "period"])
+    order = Window.partitionBy("manifest_id").orderBy("period", "ai", "ri")
+    kind = F.col("media_type")
+    return rows.select(
+        "manifest_id", F.col("stream_id").alias("id"), (F.row_number().over(order) - 1).cast("long").alias("ord"), "media_type",
+        F.when(kind == "video", 0).when(kind == "audio", 1).when(kind == "subtitles", 2).otherwise(3).alias("type_ord"), F.col("url").alias("playlist_url"),
+        "bandwidth", "width", "height", "frame_rate", "codecs", "language", F.lit("").alias("name"), "channels", F.lit(False).alias("is_default"),
+        F.lit("").alias("audio_group"), F.lit("").alias("subs_group"), F.lit("").alias("group_id"), F.lit(False).alias("muxed_audio"), "live", "n_segs", "dur_s",
+    )

@@ -48,7 +48,7 @@ def lines_of(playlists: DataFrame) -> DataFrame:
 
 
 def _after(tag: str) -> Column:
-    return F.substring(F.col("line"), len(tag) + 1, 1 << 20)
+    return F.substr(F.col("line"), F.lit(len(tag) + 1))
 
 
 def _has(tag: str) -> Column:
@@ -69,7 +69,8 @@ def parse_masters(playlists: DataFrame) -> DataFrame:
     A variant is closed by the next URI line; of several before it only the last
     counts, but all use up a number. Average bandwidth goes before peak. Variants
     without a size whose codecs have no video are audio. Renditions without URI
-    and closed captions are left out.
+    and closed captions are left out. A media playlist on its own is the one
+    video v1.
     """
     inf, media = "#EXT-X-STREAM-INF:", "#EXT-X-MEDIA:"
     rows = lines_of(playlists.filter(is_master(F.col("body"))))
@@ -107,7 +108,11 @@ def parse_masters(playlists: DataFrame) -> DataFrame:
         F.lit("").alias("codecs"), _at("a", "LANGUAGE").alias("language"), _at("a", "NAME").alias("name"), _at("a", "CHANNELS").alias("channels"), (_at("a", "DEFAULT") == "YES").alias("is_default"),
         F.lit("").alias("audio_group"), F.lit("").alias("subs_group"), _at("a", "GROUP-ID").alias("group_id"), F.lit(False).alias("muxed_audio"),
     )
-    both = variants.unionByName(renditions)
+    bare = lines_of(playlists.filter(~is_master(F.col("body")))).select("manifest_id", "base").distinct()
+    empty = dict.fromkeys(("codecs", "language", "name", "channels", "audio_group", "subs_group", "group_id"), F.lit(""))
+    zero = {"bandwidth": F.lit(0).cast("bigint"), "width": F.lit(0), "height": F.lit(0), "frame_rate": F.lit(0.0), "is_default": F.lit(False), "muxed_audio": F.lit(False)}
+    alone = bare.select("manifest_id", "base", F.lit(0).alias("line_no"), F.col("base").alias("uri"), F.lit("v1").alias("id"), F.lit("video").alias("media_type"), *[c.alias(n) for n, c in (empty | zero).items()])
+    both = variants.unionByName(renditions).unionByName(alone)
     type_ord = F.when(F.col("media_type") == "video", 0).when(F.col("media_type") == "audio", 1).otherwise(2)
     return both.select(
         "manifest_id", "id", (F.row_number().over(order) - 1).cast("long").alias("ord"), "media_type", type_ord.alias("type_ord"), resolve(F.col("base"), F.col("uri")).alias("playlist_url"),
@@ -115,13 +120,26 @@ def parse_masters(playlists: DataFrame) -> DataFrame:
     )
 
 
+def bad_iv(text: Column) -> Column:
+    """Whether an IV that is given isn't whole bytes in hexadecimal."""
+    return (text != "") & ~text.rlike("^(?:[0-9A-Fa-f]{2})+$")
+
+
+def rejected(playlists: DataFrame) -> DataFrame:
+    """manifest_id, line_no, reason: key lines that make a playlist unusable; ``parse_media`` gives no segments for it."""
+    rows = lines_of(playlists).filter(_has("#EXT-X-KEY:")).withColumn("a", attributes(_after("#EXT-X-KEY:")))
+    iv = F.regexp_replace(_at("a", "IV"), "^0[xX]", "")
+    return rows.filter(bad_iv(iv) & (_at("a", "METHOD") != "NONE")).select("manifest_id", "line_no", F.concat(F.lit("bad IV "), iv).alias("reason"))
+
+
 def parse_media(playlists: DataFrame) -> DataFrame:
     """Segments of media playlists (see ``schemas.SEGMENTS``, stream_id is the manifest_id).
 
     A segment is its URI line with the tags since the URI before. The last of
     repeated tags counts. Keys and init maps hold until they are replaced; a key
     of method NONE ends one. A byte range without offset goes on where the one
-    before ended, unless a segment without range lies between.
+    before ended, unless a segment without range lies between. A playlist with an
+    IV that isn't hexadecimal has no segments (see ``rejected``).
     """
     rows = lines_of(playlists.filter(~is_master(F.col("body"))))
     order = Window.partitionBy("manifest_id").orderBy("line_no")
@@ -135,7 +153,7 @@ def parse_media(playlists: DataFrame) -> DataFrame:
     iv = F.regexp_replace(_at("a", "IV"), "^0[xX]", "")
     rows = rows.withColumns({
         # NONE is a value too, so that it replaces the key before
-        "key": F.when(_has(key), F.struct(name.alias("method"), F.when(drm, F.lit("")).otherwise(uri).alias("uri"), F.when(iv != "", F.unhex(iv)).alias("iv"), (method == "NONE").alias("none"))),
+        "key": F.when(_has(key), F.struct(name.alias("method"), F.when(drm, F.lit("")).otherwise(uri).alias("uri"), F.when(iv != "", F.unhex(iv)).alias("iv"), (method == "NONE").alias("none"), ((method != "NONE") & bad_iv(iv)).alias("bad"))),
         "init": F.when(_has(init), F.struct(uri.alias("uri"), F.nullif(_at("a", "BYTERANGE"), F.lit("")).alias("span"))),
     })
     last = lambda c, w=order: F.last(c, ignorenulls=True).over(w)
@@ -150,7 +168,7 @@ def parse_media(playlists: DataFrame) -> DataFrame:
         "disc": F.bool_or(F.col("line") == "#EXT-X-DISCONTINUITY").over(group),
         "seq0": F.coalesce(last(F.when(_has(first), number(_after(first)))), F.lit(0)),
     })
-    segs = rows.filter(_is_uri())
+    segs = rows.withColumn("rejected", F.coalesce(F.bool_or("key.bad").over(whole), F.lit(False))).filter(_is_uri() & ~F.col("rejected"))
     length = number(F.split_part("span", F.lit("@"), F.lit(1)))
     offset = F.when(F.contains("span", F.lit("@")), number(F.split_part("span", F.lit("@"), F.lit(2))))
     # a chain begins at an offset, at a segment without range, and after one

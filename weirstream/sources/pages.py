@@ -2,42 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import resolve
 
 
-def link_patterns(suffixes: str = "m3u8|mpd") -> tuple[str, str]:
-    """Absolute URLs anywhere, and values of linking attributes, that end in one of the suffixes (and a query)."""
-    return (
-        rf"""https?:(?:\\?/){{2}}[^\s"'<>\\]+?\.(?:{suffixes})(?:\?[^\s"'<>\\]*)?""",
-        rf"""(?:src|href|file|source|data-src|content)\s*=\s*["']([^"']+?\.(?:{suffixes})(?:\?[^"']*)?)["']""",
-    )
+#: Names of attributes that link to media; longer names that end so count as well.
+LINKING = ("src", "href", "file", "source", "content")
+
+
+def _attribute_values(markup: Column, names: tuple[str, ...]) -> Column:
+    """Quoted values of attributes with these names, in order."""
+    rx = F.lit(r"""([\w-]+)\s*=\s*["']([^"']*)["']""")
+    pairs = F.arrays_zip(F.regexp_extract_all(markup, rx, 1).alias("name"), F.regexp_extract_all(markup, rx, 2).alias("value"))
+    return F.transform(F.filter(pairs, lambda x: x["name"].rlike("(?:" + "|".join(names) + ")$")), lambda x: x["value"])
 
 
 def links(page: Column, suffixes: str = "m3u8|mpd") -> Column:
-    """Distinct links: all absolute URLs first, then attribute values; slashes unescaped."""
-    whole, attribute = link_patterns(suffixes)
-    found = F.concat(F.regexp_extract_all(page, F.lit(whole), 0), F.regexp_extract_all(page, F.lit(attribute), 1))
-    return F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit("\\/"), F.lit("/"))))
+    """Distinct links to files of these types: all absolute addresses first, then attribute values; slashes unescaped.
+
+    An address is cut behind its file type and query; an attribute's whole value
+    has to end with them.
+    """
+    text = F.replace(page, F.lit("\\/"), F.lit("/"))
+    addresses = F.regexp_extract_all(text, F.lit(r"""https?://[^\s"'<>\\]+"""), 0)
+    cut = F.transform(addresses, lambda a: F.regexp_extract(a, rf"^.{{9,}}?\.(?:{suffixes})(?:\?.*)?", 0))
+    values = F.filter(_attribute_values(text, LINKING), lambda v: v.rlike(rf"(?s)^.+?\.(?:{suffixes})(?:\?.*)?$"))
+    return F.array_distinct(F.filter(F.concat(cut, values), lambda x: x != ""))
 
 
 def page_links(pages: DataFrame, suffixes: str = "m3u8|mpd") -> DataFrame:
     """page_id, place, link: links of each page as seen from its URL, in order, without repeats."""
     rows = pages.select("page_id", "url", F.posexplode(links(F.col("html"), suffixes)).alias("place", "link"))
-    return rows.select("page_id", "place", resolve(F.col("url"), F.col("link")).alias("link")).groupBy("page_id", "link").agg(F.min("place").alias("place")).select("page_id", "place", "link")
+    return rows.select("page_id", "place", resolve(F.col("url"), F.trim("link")).alias("link")).groupBy("page_id", "link").agg(F.min("place").alias("place")).select("page_id", "place", "link")
 
 
 def iframes(page: Column) -> Column:
-    return F.regexp_extract_all(page, F.lit(r"""<iframe[^>]+src\s*=\s*["']([^"']+)["']"""), 1)
+    """Addresses of a page's frames, but for about: ones."""
+    tags = F.regexp_extract_all(page, F.lit("<iframe([^>]*)"), 1)
+    return F.filter(F.flatten(F.transform(tags, lambda t: F.slice(_attribute_values(t, ("src",)), 1, 1))), lambda x: (x != "") & ~x.startswith("about:"))
+
+
+def found_links(pages: DataFrame, fetched: DataFrame, suffixes: str = "m3u8|mpd") -> DataFrame:
+    """page_id, place, link: a page's own links, or if it has none those of its frames, one level deep.
+
+    ``fetched`` (url, html) holds the bodies of frames; those it lacks give nothing.
+    """
+    own = page_links(pages, suffixes)
+    frames = pages.join(own.select("page_id").distinct(), "page_id", "left_anti").select("page_id", "url", F.posexplode(iframes(F.col("html"))).alias("frame", "ref"))
+    frames = frames.select("page_id", "frame", resolve(F.col("url"), F.trim("ref")).alias("url")).join(fetched.select("url", "html"), "url")
+    inside = frames.select("page_id", "frame", "url", F.posexplode(links(F.col("html"), suffixes)).alias("n", "link"))
+    inside = inside.select("page_id", F.struct("frame", "n").alias("at"), resolve(F.col("url"), F.trim("link")).alias("link")).groupBy("page_id", "link").agg(F.min("at").alias("at"))
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("at")) - 1
+    return own.unionByName(inside.select("page_id", place.alias("place"), "link"))
 
 
 def cookies(lines: DataFrame) -> DataFrame:
     """Rows of a cookies.txt (line): domain, subdomains, path, secure, expires, name, value."""
     clean = F.regexp_replace("line", "^#HttpOnly_", "")
     parts = F.split(clean, "\t")
-    rows = lines.select(clean.alias("l"), parts.alias("f")).filter((F.size("f") == 7) & ~F.col("l").startswith("#"))
+    rows = lines.select(clean.alias("l"), parts.alias("f")).filter((F.size("f") >= 7) & ~F.col("l").startswith("#"))
     get = lambda i: F.col("f")[i]
     return rows.select(
         F.lower(F.regexp_replace(get(0), r"^\.", "")).alias("domain"), (F.upper(get(1)) == "TRUE").alias("subdomains"), get(2).alias("path"), (F.upper(get(3)) == "TRUE").alias("secure"),

@@ -9,23 +9,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.window import TAIL, VISIBLE
+from ..plans.segments import fetch_key
 
 WINDOW = "track_id long, arrival long, seq long, dur double, start_ms long, discontinuity boolean, published long, retained int"
 
 
 def fresh_segments(refreshes: DataFrame, patterns: list[str] | None = None, horizon: str | None = None, time: str = "ts") -> DataFrame:
-    """Segments not seen before in their stream, ads left out.
+    """Segments (URL and byte range) not seen before in their stream, ads left out.
 
     The ad filter looks at the URL alone, so it goes before the dedupe and keeps
     state small. Without ``horizon`` every key is remembered; with it, only keys
     of the last such while of event time.
     """
-    rows = refreshes
+    rows = refreshes.withColumn("_piece", fetch_key()) if "range" in refreshes.columns else refreshes.withColumn("_piece", refreshes["url"])
     for p in patterns or []:
         rows = rows.filter(~rows["url"].rlike(p))
     if horizon:
-        return rows.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["stream_id", "url"])
-    return rows.dropDuplicates(["stream_id", "url"])
+        return rows.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["stream_id", "_piece"]).drop("_piece")
+    return rows.dropDuplicates(["stream_id", "_piece"]).drop("_piece")
 
 
 def live_window(arrivals: DataFrame) -> DataFrame:

@@ -111,90 +111,98 @@ def representations(manifests: DataFrame, now: str | None = None) -> DataFrame:
     return rows.drop("p", "s", "r")
 
 
-def _timeline(rows: DataFrame) -> DataFrame:
-    """Explicit times: cursors run on from the last given time; a negative repeat fills the period."""
-    key = ["manifest_id", "period", "track"]
+_ENTRY = "struct<time:bigint,dur:double,media:string,range:struct<start:bigint,end:bigint>>"
+
+
+def _timeline() -> Column:
+    """Entries of explicit times: the cursor runs on from the last given time; a negative repeat fills the period."""
+    zero = F.lit(0).cast("bigint")
     end = F.floor(F.col("period_dur") * F.col("timescale")).cast("bigint")
 
     def step(a: Column, x: Column) -> Column:
         start = F.coalesce(x["_t"].try_cast("bigint"), a["next"])
         d, given = number(x["_d"]), number(x["_r"])
-        fits = F.greatest(F.floor(F.try_divide(F.greatest(end - start, F.lit(0)), d)).cast("bigint") - 1, F.lit(0).cast("bigint"))
-        repeat = F.when(given >= 0, given).when((F.col("period_dur") > 0) & (d > 0), fits).otherwise(F.lit(0).cast("bigint"))
+        fits = F.greatest(F.floor(F.try_divide(F.greatest(end - start, zero), d)).cast("bigint") - 1, zero)
+        repeat = F.when(given >= 0, given).when((F.col("period_dur") > 0) & (d > 0), fits).otherwise(zero)
         entry = F.struct(start.alias("cur"), d.alias("d"), repeat.alias("rep"))
         return F.struct((start + (repeat + 1) * d).alias("next"), F.concat(a["out"], F.array(entry)).alias("out"))
 
-    begin = F.struct(F.lit(0).cast("bigint").alias("next"), F.array().cast("array<struct<cur:bigint,d:bigint,rep:bigint>>").alias("out"))
-    s = rows.filter("templated AND timeline IS NOT NULL").select("*", F.posexplode(F.aggregate("timeline", begin, step, lambda a: a["out"])).alias("at", "e"))
-    s = s.select("*", F.col("e.cur").alias("cur"), F.col("e.d").alias("d"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("e.rep"))).alias("i"))
-    every = Window.partitionBy(*key).orderBy("at", "i")
-    return s.select("*", (F.col("start_number") + F.row_number().over(every) - 1).alias("num"), (F.col("cur") + F.col("i") * F.col("d")).alias("time"), (F.col("d") / F.col("timescale")).alias("dur"))
+    begin = F.struct(zero.alias("next"), F.array().cast("array<struct<cur:bigint,d:bigint,rep:bigint>>").alias("out"))
+    runs = F.aggregate("timeline", begin, step, lambda a: a["out"])
+    return F.flatten(F.transform(runs, lambda e: F.transform(F.sequence(zero, e["rep"]), lambda i: _entry(e["cur"] + i * e["d"], e["d"] / F.col("timescale")))))
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """Equal durations: as many as fill the period, or the time-shift window up to the wall clock."""
-    c = rows.filter("templated AND timeline IS NULL AND duration > 0").withColumn("dur", F.col("duration") / F.col("timescale"))
+def _entry(time: Column, dur: Column, media: Column | None = None, span: Column | None = None) -> Column:
+    none = F.lit(None).cast("struct<start:bigint,end:bigint>")
+    return F.struct(time.alias("time"), dur.alias("dur"), (F.lit("") if media is None else media).alias("media"), (none if span is None else span).alias("range"))
+
+
+def _counted() -> tuple[Column, Column]:
+    """Entries of equal durations, as many as fill the period or the time-shift window up to the wall clock; and how many went before."""
+    zero = F.lit(0).cast("bigint")
+    dur = F.col("duration") / F.col("timescale")
     window = F.when(F.col("tsbd") > 0, F.col("tsbd")).otherwise(F.lit(60.0))
-    count = F.ceil(F.when(F.col("live"), window).otherwise(F.col("period_dur")) / F.col("dur")).cast("bigint")
+    count = F.ceil(F.when(F.col("live"), window).otherwise(F.col("period_dur")) / dur).cast("bigint")
     elapsed = F.unix_timestamp("now") - F.unix_timestamp("ast") - F.col("period_start")
-    ahead = F.greatest(F.coalesce((elapsed / F.col("dur")).cast("bigint") - count, F.lit(0)), F.lit(0))
-    c = c.withColumn("i", F.explode(F.when(count > 0, F.sequence(F.lit(0).cast("bigint"), count - 1)).otherwise(F.array().cast("array<bigint>"))))
-    return c.select("*", (F.col("start_number") + F.when(F.col("live"), ahead).otherwise(F.lit(0)) + F.col("i")).alias("num"), (F.col("i") * F.col("duration")).alias("time"))
+    ahead = F.when(F.col("live"), F.greatest(F.coalesce((elapsed / dur).cast("bigint") - count, zero), zero)).otherwise(zero)
+    return F.when(count > 0, F.transform(F.sequence(zero, count - 1), lambda i: _entry(i * F.col("duration"), dur))).otherwise(F.array().cast(f"array<{_ENTRY}>")), ahead
 
 
-def parse_segments(manifests: DataFrame, now: str | None = None) -> DataFrame:
-    """Segments of all tracks, periods joined: manifest_id, stream_id, period, track, seg_ord, url, duration, range, kid, init, seq, discontinuity.
-
-    A track that comes back in a later period with the same codecs, size, init
-    URL and key as the first time goes on, with a discontinuity and running
-    numbers; otherwise it is a track of its own, <id>.p<period>.
-    """
+def _segments(manifests: DataFrame, now: str | None) -> DataFrame:
+    """Segments with stream_id and what is known of their track. Every manifest is parsed once: each track's entries are an array, whatever form it has."""
     rows = representations(manifests, now)
-    fill = lambda template, num, time: resolve(F.col("base"), expanded(F.col(template), F.col("rep_id"), F.col("bandwidth"), num, time))
-    none = F.lit(None).cast("struct<start:bigint,end:bigint>")
-    keep = ["manifest_id", "period", "track", "codecs", "width", "height", "kid"]
     zero = F.lit(0).cast("bigint")
-    init_url = F.when(F.col("initialization") != "", fill("initialization", zero, zero))
-    init = F.when(F.col("initialization") != "", F.struct(init_url.alias("url"), none.alias("range")))
-    made = [
-        t.select(*keep, F.col("num").alias("n"), fill("media", F.col("num"), F.col("time")).alias("url"), F.col("dur").alias("duration"), none.alias("range"), init.alias("init"), F.col("num").alias("seq"))
-        for t in (_timeline(rows), _counted(rows))
-    ]
-    source, span = or_empty(F.col("listed.Initialization._sourceURL")), byte_span(F.col("listed.Initialization._range"))
-    list_init = F.when(F.col("listed.Initialization").isNotNull(), F.struct(resolve(F.col("base"), source).alias("url"), span.alias("range")))
-    made.append(
-        rows.filter("NOT templated AND listed IS NOT NULL").select("*", F.posexplode("listed.SegmentURL").alias("i", "u")).select(
-            *keep, F.col("i").cast("bigint").alias("n"), resolve(F.col("base"), or_empty(F.col("u._media"))).alias("url"),
-            (number(F.col("listed._duration")) / F.greatest(number(F.col("listed._timescale")), F.lit(1))).alias("duration"), byte_span(F.col("u._mediaRange")).alias("range"), list_init.alias("init"), F.col("i").cast("bigint").alias("seq"),
-        )
-    )
-    made.append(rows.filter("NOT templated AND listed IS NULL").select(*keep, zero.alias("n"), F.col("base").alias("url"), F.col("period_dur").alias("duration"), none.alias("range"), F.lit(None).cast("struct<url:string,range:struct<start:bigint,end:bigint>>").alias("init"), zero.alias("seq")))
-    segs = made[0]
-    for m in made[1:]:
-        segs = segs.unionByName(m)
+    timed, counted = F.col("templated") & F.col("timeline").isNotNull(), F.col("templated") & F.col("timeline").isNull() & (F.col("duration") > 0)
+    equal, ahead = _counted()
+    list_dur = number(F.col("listed._duration")) / F.greatest(number(F.col("listed._timescale")), F.lit(1))
+    listed = F.transform("listed.SegmentURL", lambda u: _entry(zero, list_dur, or_empty(u["_media"]), byte_span(u["_mediaRange"])))
+    single = F.array(_entry(zero, F.col("period_dur")))
+    entries = F.when(timed, _timeline()).when(counted, equal).when(F.col("templated"), F.array().cast(f"array<{_ENTRY}>")).when(F.col("listed").isNotNull(), listed).otherwise(single)
+    rows = rows.withColumn("first_num", F.when(F.col("templated"), F.col("start_number") + F.when(counted, ahead).otherwise(zero)).otherwise(zero))
+    rows = rows.select("*", F.posexplode(entries).alias("pos", "e")).withColumn("n", F.col("first_num") + F.col("pos"))
+    fill = lambda template, num, time: expanded(F.col(template), F.col("rep_id"), F.col("bandwidth"), num, time)
+    reference = F.when(F.col("templated"), fill("media", F.col("n"), F.col("e.time"))).otherwise(F.col("e.media"))
+    start = F.col("listed.Initialization")
+    init_ref = F.when(F.col("templated") & (F.col("initialization") != ""), fill("initialization", zero, zero)).when(~F.col("templated") & start.isNotNull(), or_empty(start["_sourceURL"]))
+    init_span = F.when(~F.col("templated"), byte_span(start["_range"]))
+    segs = rows.withColumns({"seg_url": resolve(F.col("base"), reference), "init_url": resolve(F.col("base"), init_ref)}).withColumns({
+        "init": F.when(F.col("init_url").isNotNull(), F.struct(F.col("init_url").alias("url"), init_span.alias("range"))), "seg_dur": F.col("e.dur"), "range": F.col("e.range"), "seq": F.col("n"),
+    })
     track = Window.partitionBy("manifest_id", "track").orderBy("period", "n")
     like = F.struct("codecs", "width", "height", F.col("init.url").alias("init"), "kid")
     segs = segs.withColumn("_first", F.first(F.struct("period", like.alias("like"))).over(track))
     same = F.col("_first.like").eqNullSafe(like)
     begins = F.col("period") > F.col("_first.period")
-    segs = segs.withColumn("stream_id", F.when(same, F.col("track")).otherwise(F.concat("track", F.lit(".p"), F.col("period").cast("string"))))
+    return segs.withColumns({"stream_id": F.when(same, F.col("track")).otherwise(F.concat("track", F.lit(".p"), F.col("period").cast("string"))), "goes_on": same & begins})
+
+
+def parse_segments(manifests: DataFrame, now: str | None = None) -> DataFrame:
+    """Segments of all tracks, periods joined: manifest_id, stream_id, period, track, seg_ord, url, duration, range, kid, init, seq, discontinuity.
+
+    A track that comes back in a later period with the same codecs, size, init
+    URL and key as the first time goes on, with a discontinuity and running
+    numbers; otherwise it is a track of its own, <id>.p<period>.
+    """
+    segs = _segments(manifests, now)
     stream = Window.partitionBy("manifest_id", "stream_id").orderBy("period", "n")
     seg_ord = (F.row_number().over(stream) - 1).cast("long")
     first_of_period = F.row_number().over(Window.partitionBy("manifest_id", "stream_id", "period").orderBy("n")) == 1
     return segs.select(
-        "manifest_id", "stream_id", "period", "track", seg_ord.alias("seg_ord"), "url", "duration", "range", "kid", "init",
-        F.when(same & begins, seg_ord).otherwise(F.col("seq")).alias("seq"), (same & begins & first_of_period).alias("discontinuity"),
+        "manifest_id", "stream_id", "period", "track", seg_ord.alias("seg_ord"), F.col("seg_url").alias("url"), F.col("seg_dur").alias("duration"), "range", "kid", "init",
+        F.when(F.col("goes_on"), seg_ord).otherwise(F.col("seq")).alias("seq"), (F.col("goes_on") & first_of_period).alias("discontinuity"),
     )
 
 
+_ABOUT = ("period", "ai", "ri", "url", "media_type", "bandwidth", "width", "height", "frame_rate", "codecs", "language", "channels", "live")
+
+
 def streams(manifests: DataFrame, now: str | None = None) -> DataFrame:
     """Tracks as a catalog that ``select_streams`` takes, with n_segs and dur_s of their segments.
 
     A track that goes on over periods is one row, described as in its first period.
     """
-    own = parse_segments(manifests, now).groupBy("manifest_id", "stream_id", "track").agg(F.min("period").alias("period"), F.count(F.lit(1)).alias("n_segs"), F.sum("duration").alias("dur_s"))
-    about = representations(manifests, now).select("manifest_id", "track", "period", "ai", "ri", "url", "media_type", "bandwidth", "width", "height", "frame_rate", "codecs", "language", "channels", "live")
-    rows = own.join(about, ["manifest_id", "track", "period"])
+    about = F.min_by(F.struct(*_ABOUT), F.struct("period", "n")).alias("a")
+    rows = _segments(manifests, now).groupBy("manifest_id", "stream_id").agg(about, F.count(F.lit(1)).alias("n_segs"), F.sum("seg_dur").alias("dur_s")).select("manifest_id", "stream_id", "a.*", "n_segs", "dur_s")
     order = Window.partitionBy("manifest_id").orderBy("period", "ai", "ri")
     kind = F.col("media_type")
     return rows.select(

@@ -117,7 +117,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cumulative bytes of each user, a sample an event."""
     total = F.sum(F.floor(F.col("value") * 100).cast("bigint")).over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf_dir, "events").select(F.col("user_id").alias("channel"), F.col("event_id"), (F.floor(F.col("event_id") * 700)).cast("bigint").alias("t_ms"), total.alias("total_bytes"))
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("channel"), F.col("event_id"), (F.floor(F.col("event_id") * 7)).cast("bigint").alias("t_ms"), total.alias("total_bytes"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +187,7 @@ SQL = {
                count(*) FILTER (event_type = 'error' AND value > 400) AS errs
         FROM events GROUP BY ALL""",
     "v_samples": """
-        SELECT user_id AS channel, event_id, event_id * 700 AS t_ms, (sum(floor(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id))::BIGINT AS total_bytes FROM events""",
+        SELECT user_id AS channel, event_id, event_id * 7 AS t_ms, (sum(floor(value * 100)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id))::BIGINT AS total_bytes FROM events""",
     "v_jobs": """
         SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'O' THEN 'running' WHEN 'F' THEN 'done' ELSE 'error' END AS state, o_orderdate AS ended FROM orders""",
     "v_packets": """

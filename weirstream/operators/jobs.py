@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,11 +14,14 @@ def health(jobs: DataFrame, most: int) -> DataFrame:
 
 def retained(jobs: DataFrame, now, retain_s: int, most: int = 5000) -> DataFrame:
     """Jobs that stay: finished ones older than ``retain_s`` go, then the oldest finished ones while there are over ``most``."""
-    running = jobs.filter("state = 'running'")
     oldest = F.unix_timestamp(F.lit(now).cast("timestamp")) - retain_s
     finished = jobs.filter("state <> 'running'").filter(F.unix_timestamp("ended") >= oldest)
-    room = max(0, most - running.count())
-    return running.unionByName(finished.orderBy(F.col("ended").desc(), F.col("id").desc()).limit(room))
+    # never more than ``most`` rows are ranked; how many of them have room is told by a join with one row
+    newest = finished.orderBy(F.col("ended").desc(), F.col("id").desc()).limit(most)
+    place = F.row_number().over(Window.orderBy(F.col("ended").desc(), F.col("id").desc()))
+    room = jobs.agg((F.lit(most) - F.count_if(F.col("state") == "running")).alias("_room"))
+    kept = newest.withColumn("_place", place).join(F.broadcast(room)).filter("_place <= _room").select(*jobs.columns)
+    return jobs.filter("state = 'running'").unionByName(kept)
 
 
 def kept_log(jobs: DataFrame, most: int = 256 << 10, keep: int = 128 << 10) -> DataFrame:

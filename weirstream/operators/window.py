@@ -1,8 +1,9 @@
 """The rolling live window and what is published from it.
 
 Input: arrivals (track_id, arrival, duration, discontinuity, n_bytes) and tracks
-(track_id, ord, media_type, live, ended, fmp4, has_init, bandwidth, codecs, width,
-height, frame_rate, language, name, channels, is_default).
+(presentation, track_id, ord, media_type, live, ended, fmp4, has_init, bandwidth, codecs, width,
+height, frame_rate, language, name, channels, is_default). What tracks make up
+together is told by ``presentation``; without that column all are one.
 """
 
 from __future__ import annotations
@@ -11,12 +12,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed3, resolution, zero_filled
-from ..schemas import first_non_empty
+from ..schemas import first_non_empty, or_empty
 
 #: Segments that a live playlist shows, and how many more stay fetchable.
 VISIBLE, TAIL = 6, 3
 
 
+PRESENTATION = "presentation"
+
+
+def _told(tracks: DataFrame) -> DataFrame:
+    return tracks if PRESENTATION in tracks.columns else tracks.withColumn(PRESENTATION, F.lit(0).cast("long"))
+
+
 def numbered(arrivals: DataFrame) -> DataFrame:
     """Arrivals with ``dur`` (never 0), ``seq`` from 0, ``start_ms`` and ``newest`` (1 is the last).
 
@@ -67,14 +75,14 @@ def track_stats(window: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def ready(stats: DataFrame) -> DataFrame:
-    """One row: whether every track has a segment."""
-    return stats.agg(F.coalesce(F.bool_and(F.col("published") > 0), F.lit(False)).alias("ready"))
+    """Per presentation: whether every track has a segment."""
+    return _told(stats).groupBy(PRESENTATION).agg(F.coalesce(F.bool_and(F.col("published") > 0), F.lit(False)).alias("ready"))
 
 
 def presentation(stats: DataFrame) -> DataFrame:
-    """One row: live, target duration (2 if unknown) and length of the whole."""
+    """Per presentation: live, target duration (2 if unknown) and length of the whole."""
     target = F.max("target_dur")
-    return stats.agg(F.bool_or("live").alias("live"), F.when(target > 0, target).otherwise(F.lit(2.0)).alias("target_dur"), F.max("end_ms").alias("length_ms"))
+    return _told(stats).groupBy(PRESENTATION).agg(F.bool_or("live").alias("live"), F.when(target > 0, target).otherwise(F.lit(2.0)).alias("target_dur"), F.max("end_ms").alias("length_ms"))
 
 
 def media_playlists(window: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -120,9 +128,10 @@ def _attribute(name: str, value: Column, given: Column, quoted: bool = True) ->
 
 
 def master_playlist(stats: DataFrame, audio_group: str = "aud", subs_group: str = "subs") -> DataFrame:
-    """One row, ``body``: the multivariant playlist. Tracks in the order of ``ord``; tables are as small as one presentation."""
+    """presentation, body: the multivariant playlist of each. Tracks in the order of ``ord``."""
+    stats = _told(stats)
     kind = F.col("media_type")
-    first = F.row_number().over(Window.partitionBy("media_type").orderBy("ord")) == 1
+    first = F.row_number().over(Window.partitionBy(PRESENTATION, "media_type").orderBy("ord")) == 1
     shown = first_non_empty(F.col("name"), F.col("language"), F.col("track_id").cast("string"))
     flag = F.when(first | F.col("is_default"), F.lit("YES")).otherwise(F.lit("NO"))
     group = F.when(kind == "audio", F.lit(audio_group)).otherwise(F.lit(subs_group))
@@ -142,9 +151,9 @@ def master_playlist(stats: DataFrame, audio_group: str = "aud", subs_group: str
         F.lit("\n"),
     )
     renditions = stats.filter(kind.isin("audio", "subtitles")).withColumn("line", media).withColumn("at", F.struct("media_type", "ord"))
-    sound = stats.filter(kind == "audio").agg(F.min_by(F.struct("bitrate", "codecs", "track_id"), "ord").alias("a"), F.count(F.lit(1)).alias("n_audio"))
-    texts = stats.agg(F.count_if(kind == "subtitles").alias("n_subs"), F.count_if(kind == "video").alias("n_video"))
-    about = sound.join(texts)  # one row each
+    of_kind = lambda k: F.count_if(kind == k)
+    first_sound = F.min_by(F.struct("bitrate", "codecs", "track_id"), F.when(kind == "audio", F.col("ord"))).alias("a")
+    about = stats.groupBy(PRESENTATION).agg(first_sound, of_kind("audio").alias("n_audio"), of_kind("subtitles").alias("n_subs"), of_kind("video").alias("n_video"))
     rate = F.col("bitrate") + F.coalesce("a.bitrate", F.lit(0))
     codecs = F.when((F.col("codecs") != "") & (F.coalesce("a.codecs", F.lit("")) != ""), F.concat("codecs", F.lit(","), "a.codecs")).otherwise(F.col("codecs"))
     size = resolution(F.col("width"), F.col("height"))
@@ -163,7 +172,7 @@ def master_playlist(stats: DataFrame, audio_group: str = "aud", subs_group: str
         F.col("track_id"),
         F.lit("/index.m3u8\n"),
     )
-    variants = _ordered(stats.filter(kind == "video").join(F.broadcast(about)).withColumn("line", variant), "ord", F.col("line"))
+    variants = _ordered(stats.filter(kind == "video").join(about, PRESENTATION).withColumn("line", variant), "ord", F.col("line"), PRESENTATION)
     alone = F.concat(
         F.lit("#EXT-X-STREAM-INF:BANDWIDTH="),
         F.when(F.col("a.bitrate") == 0, F.lit(128_000)).otherwise(F.col("a.bitrate")).cast("string"),
@@ -172,22 +181,20 @@ def master_playlist(stats: DataFrame, audio_group: str = "aud", subs_group: str
         F.col("a.track_id"),
         F.lit("/index.m3u8\n"),
     )
-    head = _ordered(renditions, "at", F.col("line")).withColumnRenamed("text", "media")
-    whole = about.join(head).join(variants)
+    head = _ordered(renditions, "at", F.col("line"), PRESENTATION).withColumnRenamed("text", "media")
+    whole = about.join(head, PRESENTATION, "left").join(variants, PRESENTATION, "left")
     only = F.when((F.col("n_video") == 0) & (F.col("n_audio") > 0), alone).otherwise(F.lit(""))
-    return whole.select(F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:6\n"), "media", "text", only).alias("body"))
+    return whole.select(PRESENTATION, F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:6\n"), or_empty(F.col("media")), or_empty(F.col("text")), only).alias("body"))
 
 
-def _seconds(ms: Column, digits: int) -> Column:
-    """Milliseconds as seconds with one or no decimal, half up."""
-    if digits == 0:
-        return F.floor((ms + 500) / 1000).cast("bigint").cast("string")
-    tenths = F.floor((ms + 50) / 100).cast("bigint")
-    return F.concat(F.floor(tenths / 10).cast("bigint").cast("string"), F.lit("."), (tenths % 10).cast("string"))
+def _seconds(seconds: Column, digits: int) -> Column:
+    """Seconds with one or no decimal; what lies half-way goes to the even neighbour."""
+    return F.format_string(f"%.{digits}f", F.bround(seconds, digits))
 
 
 def dash_manifest(window: DataFrame, tracks: DataFrame, started: str, now: str) -> DataFrame:
-    """One row, ``body``: the MPD. ``started`` and ``now`` are its wall-clock times, written as given."""
+    """presentation, body: the MPD of each. ``started`` and ``now`` are its wall-clock times, written as given."""
+    tracks = _told(tracks)
     stats = track_stats(window, tracks).filter(F.col("media_type").isin("video", "audio"))
     entry = F.concat(
         F.lit('            <S t="'), F.col("t").cast("string"), F.lit('" d="'), F.col("d").cast("string"), F.lit('"'),
@@ -211,17 +218,18 @@ def dash_manifest(window: DataFrame, tracks: DataFrame, started: str, now: str)
         F.lit("          </SegmentTimeline>\n        </SegmentTemplate>\n      </Representation>\n    </AdaptationSet>\n"),
     )
     sets = stats.join(lines, "track_id", "left").join(starts, "track_id", "left").withColumn("block", block).withColumn("at", F.struct((~video).alias("late"), "ord"))
-    body = _ordered(sets, "at", F.col("block"))
-    whole = presentation(track_stats(window, tracks)).join(body)  # one row each
-    td = F.floor(F.col("target_dur") * 1000 + 0.5).cast("bigint")
+    body = _ordered(sets, "at", F.col("block"), PRESENTATION)
+    whole = presentation(track_stats(window, tracks)).join(body, PRESENTATION, "left")
+    td = F.col("target_dur")
     live = F.col("live")
     return whole.select(
+        PRESENTATION,
         F.concat(
             F.lit('<?xml version="1.0" encoding="utf-8"?>\n<MPD xmlns="urn:mpeg:dash:schema:mpd:2011" profiles="urn:mpeg:dash:profile:isoff-'),
             F.when(live, F.lit('live:2011" type="dynamic"')).otherwise(F.lit('on-demand:2011" type="static"')),
             F.lit(' minBufferTime="PT'), _seconds(td, 1), F.lit('S"'),
             F.when(live, F.concat(F.lit(f' availabilityStartTime="{started}" publishTime="{now}" minimumUpdatePeriod="PT'), _seconds(td, 0), F.lit('S" timeShiftBufferDepth="PT'), _seconds(td * VISIBLE, 0), F.lit('S" suggestedPresentationDelay="PT'), _seconds(td * 3, 0), F.lit('S"')))
             .otherwise(F.concat(F.lit(' mediaPresentationDuration="PT'), fixed3(F.col("length_ms")), F.lit('S"'))),
-            F.lit('>\n  <Period id="0" start="PT0S">\n'), "text", F.lit("  </Period>\n</MPD>\n"),
+            F.lit('>\n  <Period id="0" start="PT0S">\n'), or_empty(F.col("text")), F.lit("  </Period>\n</MPD>\n"),
         ).alias("body")
     )

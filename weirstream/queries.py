@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import catalog_queries, views
 from .functions import binary, scalars
-from .operators import cues, jobs, telemetry, window
+from .operators import cues, jobs, status, telemetry, window
 from .plans import segments, select
 from .sources import dash, hls, pages, subtitles
 from .streaming import live
@@ -116,7 +116,7 @@ def track_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def presentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = window.track_stats(*_window(spark, sf_dir))
-    return window.presentation(stats).join(window.ready(stats))  # one row each
+    return window.presentation(stats).join(window.ready(stats), "presentation")
 
 
 def master_playlist(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,6 +127,10 @@ def mpd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window.dash_manifest(*_window(spark, sf_dir), "2024-01-01T00:00:00Z", "2024-01-01T01:00:00Z")
 
 
+def status_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return status.status_lines(window.track_stats(*_window(spark, sf_dir)))
+
+
 def aimd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telemetry.adaptive_limit(views.ticks(spark, sf_dir))
 
@@ -169,16 +173,22 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _replayed(rows: DataFrame, step) -> DataFrame:
     """Run a streaming step over ``rows`` as a file stream of four batches in the order of the second column, and read what it wrote."""
     spark = rows.sparkSession
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{uuid.uuid4().hex}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="weirstream-")
+    root = f"{shared}/stream-{uuid.uuid4().hex}"
     at = rows.columns[1]
     lo, hi = rows.agg(F.min(at), F.max(at)).first()
-    for i in range(4):  # the file source takes the oldest file first
-        quarter = F.least(F.floor((F.col(at) - lo) * 4 / F.lit(max(1, (hi or 0) - (lo or 0)))), F.lit(3))
-        rows.filter(quarter == i).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    out = step(source)
-    run = out.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out")
-    run.awaitTermination()
+    quarter = F.least(F.floor((F.col(at) - lo) * 4 / F.lit(max(1, (hi or 0) - (lo or 0)))), F.lit(3)).cast("int")
+    rows.withColumn("_quarter", quarter).write.partitionBy("_quarter").parquet(f"{root}/in")
+    out = None
+    for i in range(4):  # a run for each quarter, with as many files as its rows make; state goes on between them
+        source = spark.readStream.schema(rows.schema).parquet(f"{root}/in/_quarter={'{' + ','.join(map(str, range(i + 1))) + '}'}")
+        out = step(source)
+        run = out.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out")
+        run.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
@@ -211,7 +221,7 @@ def hls_byterange(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dash_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timelines of the published windows, parsed from MPD text again."""
-    return dash.parse_segments(mpd(spark, sf_dir).select(F.lit("m").alias("manifest_id"), F.lit("https://ex.com/live.mpd").alias("url"), "body")).select("stream_id", "seq", "duration", "url")
+    return dash.parse_segments(mpd(spark, sf_dir).select(F.col("presentation").alias("manifest_id"), F.lit("https://ex.com/live.mpd").alias("url"), "body")).select("stream_id", "seq", "duration", "url")
 
 
 def vtt_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,6 +288,7 @@ QUERIES = {
     "media_playlist": media_playlist,
     "master_playlist": master_playlist,
     "mpd": mpd,
+    "status_line": status_line,
     "track_stats": track_stats,
     "presentation": presentation,
     "aimd": aimd,
@@ -361,7 +372,7 @@ ORACLE = {
         b AS (SELECT *, coalesce(first_value(o) OVER (PARTITION BY stream_id, chain ORDER BY event_id), 0) + (sum(n) OVER (PARTITION BY stream_id, chain ORDER BY event_id) - n)::BIGINT AS first_byte FROM a)
         SELECT stream_id, seg_ord, first_byte, first_byte + n - 1 AS last_byte FROM b""",
     "dash_timeline": with_views(
-        """, t AS (SELECT track_id, media_type, (row_number() OVER (PARTITION BY media_type ORDER BY track_id)) - 1 AS i, count(*) FILTER (media_type = 'video') OVER () AS n_video FROM v_tracks WHERE media_type IN ('video', 'audio'))
+        """, t AS (SELECT track_id, media_type, (row_number() OVER (PARTITION BY presentation, media_type ORDER BY track_id)) - 1 AS i, count(*) FILTER (media_type = 'video') OVER (PARTITION BY presentation) AS n_video FROM v_tracks WHERE media_type IN ('video', 'audio'))
         SELECT track_id || '.' || (CASE media_type WHEN 'video' THEN i ELSE n_video + i END) || '.0' AS stream_id, seq, ms / 1000.0::DOUBLE AS duration,
                'https://ex.com/' || track_id || '/' || CASE WHEN len(seq::VARCHAR) < 6 THEN lpad(seq::VARCHAR, 6, '0') ELSE seq::VARCHAR END || '.m4s' AS url
         FROM v_visible JOIN t USING (track_id)""",
@@ -434,24 +445,48 @@ ORACLE = {
     ).replace(") , l AS", "), l AS"),
     "track_stats": with_views(_STATS + " SELECT track_id, published, in_window, target_dur, end_ms, bitrate FROM stats", *_WINDOW).replace(") \n    , per", "), per"),
     "presentation": with_views(
-        _STATS + " SELECT bool_or(live) AS live, CASE WHEN max(target_dur) > 0 THEN max(target_dur) ELSE 2.0 END AS target_dur, max(end_ms) AS length_ms, bool_and(published > 0) AS ready FROM stats", *_WINDOW
+        _STATS + " SELECT presentation, bool_or(live) AS live, CASE WHEN max(target_dur) > 0 THEN max(target_dur) ELSE 2.0 END AS target_dur, max(end_ms) AS length_ms, bool_and(published > 0) AS ready FROM stats GROUP BY 1", *_WINDOW
     ).replace(") \n    , per", "), per"),
     "master_playlist": with_views(
         _STATS
         + """, m AS (
-            SELECT string_agg('#EXT-X-MEDIA:TYPE=' || upper(media_type) || ',GROUP-ID="' || CASE media_type WHEN 'audio' THEN 'aud' ELSE 'subs' END || '",NAME="' || coalesce(nullif(language, ''), track_id::VARCHAR)
+            SELECT presentation, string_agg('#EXT-X-MEDIA:TYPE=' || upper(media_type) || ',GROUP-ID="' || CASE media_type WHEN 'audio' THEN 'aud' ELSE 'subs' END || '",NAME="' || coalesce(nullif(language, ''), track_id::VARCHAR)
                 || '",DEFAULT=' || yes || ',AUTOSELECT=' || yes || CASE WHEN language <> '' THEN ',LANGUAGE="' || language || '"' ELSE '' END || CASE WHEN media_type = 'audio' THEN ',CHANNELS="2"' ELSE '' END
                 || ',URI="' || track_id || '/index.m3u8"' || chr(10), '' ORDER BY media_type, ord) AS body
-            FROM (SELECT *, CASE WHEN is_default OR row_number() OVER (PARTITION BY media_type ORDER BY ord) = 1 THEN 'YES' ELSE 'NO' END AS yes FROM stats) WHERE media_type <> 'video'
-        ), a AS (SELECT bitrate, codecs FROM stats WHERE media_type = 'audio' ORDER BY ord LIMIT 1),
+            FROM (SELECT *, CASE WHEN is_default OR row_number() OVER (PARTITION BY presentation, media_type ORDER BY ord) = 1 THEN 'YES' ELSE 'NO' END AS yes FROM stats) WHERE media_type <> 'video' GROUP BY 1
+        ), a AS (SELECT presentation, count(*) FILTER (media_type = 'audio') AS n_audio, count(*) FILTER (media_type = 'subtitles') AS n_subs, arg_min(bitrate, ord) FILTER (media_type = 'audio') AS rate, arg_min(codecs, ord) FILTER (media_type = 'audio') AS sound FROM stats GROUP BY 1),
         v AS (
-            SELECT string_agg('#EXT-X-STREAM-INF:BANDWIDTH=' || (s.bitrate + a.bitrate) || CASE WHEN s.codecs <> '' THEN ',CODECS="' || s.codecs || CASE WHEN a.codecs <> '' THEN ',' || a.codecs ELSE '' END || '"' ELSE '' END
-                || ',RESOLUTION=1280x720,FRAME-RATE=25.000,AUDIO="aud",SUBTITLES="subs"' || chr(10) || track_id || '/index.m3u8' || chr(10), '' ORDER BY ord) AS body
-            FROM stats s, a WHERE media_type = 'video'
+            SELECT s.presentation, string_agg('#EXT-X-STREAM-INF:BANDWIDTH=' || (s.bitrate + coalesce(rate, 0)) || CASE WHEN s.codecs <> '' THEN ',CODECS="' || s.codecs || CASE WHEN coalesce(sound, '') <> '' THEN ',' || sound ELSE '' END || '"' ELSE '' END
+                || ',RESOLUTION=1280x720,FRAME-RATE=25.000' || CASE WHEN n_audio > 0 THEN ',AUDIO="aud"' ELSE '' END || CASE WHEN n_subs > 0 THEN ',SUBTITLES="subs"' ELSE '' END || chr(10) || track_id || '/index.m3u8' || chr(10), '' ORDER BY ord) AS body
+            FROM stats s JOIN a USING (presentation) WHERE media_type = 'video' GROUP BY 1
         )
-        SELECT '#EXTM3U' || chr(10) || '#EXT-X-VERSION:6' || chr(10) || m.body || v.body AS body FROM m, v""",
+        SELECT presentation, '#EXTM3U' || chr(10) || '#EXT-X-VERSION:6' || chr(10) || coalesce(m.body, '') || coalesce(v.body, '') AS body FROM a LEFT JOIN m USING (presentation) LEFT JOIN v USING (presentation)""",
+        *_WINDOW,
+    ).replace(") \n    , per", "), per"),
+    "mpd": with_views(
+        _STATS
+        + """, e AS (SELECT *, CASE WHEN lag(ms) OVER (PARTITION BY track_id ORDER BY seq) = ms THEN 0 ELSE 1 END AS fresh FROM v_visible),
+        r AS (SELECT *, sum(fresh) OVER (PARTITION BY track_id ORDER BY seq) AS run FROM e),
+        g AS (SELECT track_id, run, min(start_ms) AS t, min(ms) AS d, count(*) - 1 AS r FROM r GROUP BY ALL),
+        l AS (SELECT track_id, string_agg('            <S t="' || t || '" d="' || d || '"' || CASE WHEN r > 0 THEN ' r="' || r || '"' ELSE '' END || '/>' || chr(10), '' ORDER BY run) AS entries FROM g GROUP BY 1),
+        f AS (SELECT track_id, min(seq) AS first_seq FROM v_visible GROUP BY 1),
+        s AS (SELECT presentation, string_agg('    <AdaptationSet contentType="' || media_type || '" mimeType="' || media_type || '/mp4" segmentAlignment="true"' || CASE WHEN language <> '' THEN ' lang="' || language || '"' ELSE '' END || '>' || chr(10)
+                || '      <Representation id="' || track_id || '" bandwidth="' || CASE WHEN bitrate = 0 THEN 2000000 ELSE bitrate END || '"' || CASE WHEN codecs <> '' THEN ' codecs="' || codecs || '"' ELSE '' END
+                || CASE media_type WHEN 'video' THEN ' width="1280" height="720" frameRate="25"' ELSE '' END || '>' || chr(10)
+                || CASE media_type WHEN 'audio' THEN '        <AudioChannelConfiguration schemeIdUri="urn:mpeg:dash:23003:3:audio_channel_configuration:2011" value="2"/>' || chr(10) ELSE '' END
+                || '        <SegmentTemplate timescale="1000" initialization="$RepresentationID$/init.mp4" media="$RepresentationID$/$Number%06d$.m4s" startNumber="' || first_seq || '">' || chr(10)
+                || '          <SegmentTimeline>' || chr(10) || entries || '          </SegmentTimeline>' || chr(10) || '        </SegmentTemplate>' || chr(10) || '      </Representation>' || chr(10) || '    </AdaptationSet>' || chr(10),
+                '' ORDER BY media_type = 'audio', ord) AS text FROM stats JOIN l USING (track_id) JOIN f USING (track_id) WHERE media_type <> 'subtitles' GROUP BY 1),
+        p AS (SELECT presentation, bool_or(live) AS live, max(target_dur) AS td, max(end_ms) AS ms FROM stats GROUP BY 1)
+        SELECT presentation, '<?xml version="1.0" encoding="utf-8"?>' || chr(10) || '<MPD xmlns="urn:mpeg:dash:schema:mpd:2011" profiles="urn:mpeg:dash:profile:isoff-' || CASE WHEN live THEN 'live:2011" type="dynamic"' ELSE 'on-demand:2011" type="static"' END
+               || ' minBufferTime="PT' || printf('%.1f', round_even(td, 1)) || 'S"' || CASE WHEN live THEN ' availabilityStartTime="2024-01-01T00:00:00Z" publishTime="2024-01-01T01:00:00Z" minimumUpdatePeriod="PT' || printf('%.0f', round_even(td, 0))
+               || 'S" timeShiftBufferDepth="PT' || printf('%.0f', round_even(td * 6, 0)) || 'S" suggestedPresentationDelay="PT' || printf('%.0f', round_even(td * 3, 0)) || 'S"' ELSE ' mediaPresentationDuration="PT' || """ + _FIXED3 + """ || 'S"' END
+               || '>' || chr(10) || '  <Period id="0" start="PT0S">' || chr(10) || coalesce(text, '') || '  </Period>' || chr(10) || '</MPD>' || chr(10) AS body FROM p LEFT JOIN s USING (presentation)""",
         *_WINDOW,
     ).replace(") \n    , per", "), per"),
+    "status_line": with_views(
+        _STATS + " SELECT presentation, string_agg(track_id || ': ' || in_window || ' segs' || CASE WHEN ended THEN ' (ended)' ELSE '' END, ' | ' ORDER BY ord) AS line FROM stats GROUP BY 1", *_WINDOW
+    ).replace(") \n    , per", "), per"),
     "aimd": _fold_sql(
         "16::BIGINT AS lim, true AS slow, 0 AS cool, 0.0::DOUBLE AS prev FROM (SELECT DISTINCT channel FROM v_ticks)",
         """CASE WHEN errs > 0 THEN greatest(4, lim // 2) WHEN cool > 0 THEN lim WHEN slow THEN CASE WHEN bytes > prev * 1.05::DOUBLE THEN least(64, lim * 2) ELSE lim END

@@ -89,10 +89,10 @@ def arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A track per user: a third live, a quarter with a declared bitrate."""
+    """A track per user, nine to a presentation: two thirds live, a quarter with a declared bitrate."""
     u = table(spark, sf_dir, "events").select("user_id").distinct()
     return u.select(
-        F.col("user_id").alias("track_id"), F.col("user_id").alias("ord"), _choice(["video", "audio", "subtitles"], F.col("user_id") % 3).alias("media_type"),
+        F.floor(F.col("user_id") / 9).cast("bigint").alias("presentation"), F.col("user_id").alias("track_id"), F.col("user_id").alias("ord"), _choice(["video", "audio", "subtitles"], F.col("user_id") % 3).alias("media_type"),
         (F.col("user_id") % 3 != 0).alias("live"), (F.col("user_id") % 3 == 0).alias("ended"), (F.col("user_id") % 2 == 0).alias("fmp4"), (F.col("user_id") % 4 != 1).alias("has_init"),
         F.when(F.col("user_id") % 4 == 0, F.col("user_id") * 1000 + 64000).otherwise(F.lit(0)).alias("bandwidth"),
         F.when(F.col("user_id") % 5 == 0, F.lit("")).otherwise(F.lit("avc1.64001f")).alias("codecs"), F.when(F.col("user_id") % 3 == 0, F.lit(1280)).otherwise(F.lit(0)).alias("width"),
@@ -163,7 +163,7 @@ SQL = {
                event_type = 'error' AS discontinuity, floor(value * 1000)::BIGINT AS n_bytes
         FROM events""",
     "v_tracks": """
-        SELECT DISTINCT user_id AS track_id, user_id AS ord, ['video', 'audio', 'subtitles'][user_id % 3 + 1] AS media_type, user_id % 3 <> 0 AS live,
+        SELECT DISTINCT user_id // 9 AS presentation, user_id AS track_id, user_id AS ord, ['video', 'audio', 'subtitles'][user_id % 3 + 1] AS media_type, user_id % 3 <> 0 AS live,
                user_id % 3 = 0 AS ended, user_id % 2 = 0 AS fmp4, user_id % 4 <> 1 AS has_init, CASE WHEN user_id % 4 = 0 THEN user_id * 1000 + 64000 ELSE 0 END::BIGINT AS bandwidth,
                CASE WHEN user_id % 5 = 0 THEN '' ELSE 'avc1.64001f' END AS codecs, CASE WHEN user_id % 2 = 0 THEN 'en' ELSE '' END AS language,
                user_id % 10 = 0 AS is_default

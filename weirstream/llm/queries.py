@@ -21,8 +21,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def default_model_file() -> str:
-    """The public SentencePiece model this machine has; any model file can be given to ``pieces.load``."""
+def default_model_file(spark: SparkSession | None = None) -> str:
+    """The SentencePiece model that ``spark.weirstream.model`` names, else the public one that this machine has."""
+    if spark is not None and (given := spark.conf.get("spark.weirstream.model", None)):
+        return given
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
@@ -30,7 +32,7 @@ def default_model_file() -> str:
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ids of every whole text, and whether decoding them gives the text again."""
-    vocabulary = pieces.load(default_model_file())
+    vocabulary = pieces.load(default_model_file(spark))
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length("text").alias("size"), F.xxhash64("text").alias("hash"))
     rows = pieces.encoded(docs, vocabulary).drop("text")
     rows = pieces.decoded(rows, vocabulary)

@@ -28,7 +28,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 80 percent of their five-word shingles or more, over any path, the one with the least id stays."""
+    """Of documents linked by 80 percent of their five-word shingles or more, over any path, the one with the least id stays.
+
+    Rows without id are no nodes of the links and all stay.
+    """
     kept = neardup.near_duplicates(docs, neardup.NearDup(words=5, similarity=80)).filter("kept")
     with_id = docs.join(kept.filter("doc_id IS NOT NULL").select("doc_id").distinct(), "doc_id", "left_semi")
     return with_id.union(docs.filter("doc_id IS NULL")).select(*docs.columns)
@@ -41,7 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ``ids`` and ``n_bytes`` (ids that spell bytes)."""
-    return pieces.encoded(docs, pieces.load(default_model_file()))
+    return pieces.encoded(docs, pieces.load(default_model_file(spark)))
 
 
 STAGES = [

@@ -17,13 +17,6 @@ def test_boxes(spark):
     assert bytes(binary.media_data(frame).first().body) == b"onetwoend"
 
 
-def test_protection(spark):
-    tenc = box(b"tenc", bytes([1, 0, 0, 0, 0, 0x19, 1, 0]) + bytes(range(16)) + bytes([16]) + b"\x11" * 16)
-    data = box(b"sinf", box(b"schm", bytes(4) + b"cbcs" + bytes(4)) + box(b"schi", tenc))
-    r = binary.protection(spark.createDataFrame([(1, bytearray(data)), (2, bytearray(b"x"))], "id long, data binary")).collect()
-    assert len(r) == 1 and (r[0].scheme, r[0].crypt, r[0].skip, r[0].iv_size) == ("cbcs", 1, 9, 0) and bytes(r[0].kid) == bytes(range(16)) and bytes(r[0].constant_iv) == b"\x11" * 16
-
-
 def test_image_prefix(spark):
     packet = b"\x47" + bytes(187)
     rows = [bytearray(b"\x89PNG1234567" + packet * 3), bytearray(b"GIF8" + b"\0\0\0\x08moof"), bytearray(packet), None]

@@ -9,7 +9,7 @@ from . import views
 from .functions import binary, names, scalars
 from .operators import status
 from .plans import segments, select
-from .sources import dash, hls, pages, resolver, subtitles
+from .sources import dash, fetch, hls, pages, resolver, subtitles
 from .streaming import sink
 from .views import table, with_views
 
@@ -347,12 +347,65 @@ def aes_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", F.lower(F.hex("ctr")).alias("ctr"), F.lower(F.hex("cbc")).alias("cbc"))
 
 
+def _hex_box(kind: str, *parts: str) -> str:
+    body = "".join(parts)
+    return f"{8 + len(body) // 2:08x}{kind.encode().hex()}{body}"
+
+
+def _sealed_fragment(cipher: str, iv: str) -> str:
+    """Hex of a fragment with one encrypted sample of 32 bytes and 8 bytes to come behind it."""
+    trun = lambda offset: _hex_box("trun", "00000201", "00000001", f"{offset:08x}", "00000020")
+    moof = lambda offset: _hex_box("moof", _hex_box("traf", _hex_box("tfhd", "00000000", "00000001"), trun(offset), _hex_box("senc", "00000000", "00000001", iv)))
+    return moof(len(moof(0)) // 2 + 8) + "00000030" + b"mdat".hex() + cipher
+
+
+def _sealed_init(scheme: str, iv_size: int, constant: str) -> str:
+    """Hex of an init segment: a clear track, then one with an encrypted entry."""
+    tenc = _hex_box("tenc", "00000000", "0000", "01", f"{iv_size:02x}", NIST_KEY, f"{len(constant) // 2:02x}{constant}" if constant else "")
+    sinf = _hex_box("sinf", _hex_box("frma", b"avc1".hex()), _hex_box("schm", "00000000", scheme.encode().hex(), "00010000"), _hex_box("schi", tenc))
+    track = lambda entry: _hex_box("trak", _hex_box("mdia", _hex_box("minf", _hex_box("stbl", _hex_box("stsd", "00000000", "00000001", entry)))))
+    return _hex_box("moov", track(_hex_box("mp4a", "00" * 28)), track(_hex_box("encv", "00" * 78, sinf)))
+
+
+def _chain_pieces(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A media piece of each stream, by counters or chaining in turn, and the streams' init segments."""
+    rows = _suppliers(spark, sf_dir).withColumnRenamed("k", "stream_id")
+    counters = F.col("stream_id") % 2 == 0
+    media = F.when(counters, F.lit(_sealed_fragment(NIST_CTR[1], NIST_CTR[0]))).otherwise(F.lit(_sealed_fragment(NIST_CBC[1], "")))
+    data = F.concat(F.unhex(media), F.lpad(F.col("stream_id").cast("string"), 8, "0").cast("binary"))
+    init = F.when(counters, F.lit(_sealed_init("cenc", 16, ""))).otherwise(F.lit(_sealed_init("cbcs", 0, NIST_CBC[0])))
+    none = F.lit(None).cast("binary")
+    pieces = rows.select("stream_id", F.lit(False).alias("is_init"), data.alias("data"), none.alias("aes_key"), none.alias("iv"), F.lit(0).alias("seq"), F.when(F.col("stream_id") % 5 != 4, F.unhex(F.lit(NIST_KEY))).alias("cenc_key"))
+    return pieces, rows.select("stream_id", F.unhex(init).alias("data"))
+
+
+def transform_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published vectors as samples of encrypted fragments; every fifth stream has no key and keeps its bytes."""
+    out = sink.transformed(*_chain_pieces(spark, sf_dir))
+    return out.select("stream_id", F.lower(F.hex(F.substring("data", -40, 40))).alias("tail"))
+
+
+def init_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What init segments say of their encrypted tracks."""
+    inits = _chain_pieces(spark, sf_dir)[1].withColumnRenamed("stream_id", "id")
+    return binary.protection(inits).select(F.col("id").alias("stream_id"), "track", "scheme", F.lower(F.hex("kid")).alias("kid"), "iv_size", F.coalesce(F.lower(F.hex("constant_iv")), F.lit("")).alias("constant_iv"))
+
+
+def file_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte ranges of files that a sink hasn't got yet."""
+    k = K("k")
+    files = _suppliers(spark, sf_dir).select(k.alias("stream_id"), _text("https://ex.com/", k, ".ts").alias("url"), F.when(k % 7 != 3, k % 11 * 1000).alias("length"))
+    pieces = fetch.file_ranges(files, 2048)
+    left = fetch.missing(pieces, pieces.filter("(stream_id + idx) % 3 = 0"))
+    return left.select("stream_id", "idx", F.col("span.start").alias("first_byte"), F.col("span.end").alias("last_byte"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         hls_master, hls_keys, hls_info, dash_streams, dash_select, dash_live, dash_periods, manifest_catalog, manifest_kinds, refresh_match, page_links, page_links_resolved, cookie_match, key_specs, data_keys,
         subtitle_kinds, ttml_parse, resume_points, track_names, file_names, sidecar_names, http_scalars, piece_keys, selector_errors, request_refusals, job_view, channel_health, viewers, pressure, stop_rules,
-        sink_offsets, sink_checkpoints, image_headers, box_walk, media_data, aes_vectors,
+        sink_offsets, sink_checkpoints, image_headers, box_walk, media_data, aes_vectors, transform_chain, init_tracks, file_ranges,
     )
 } | {"dash_counted": _dash("^r"), "dash_list": _dash("^a"), "dash_single": _dash("^t")}
 
@@ -475,4 +528,11 @@ ORACLE = {
             ('/free', 24 + s_suppkey % 6, 16 + s_suppkey % 6), ('/mdat', 40 + 2 * (s_suppkey % 6), 8 + len(s_suppkey::VARCHAR))) x(path, "at", size)""",
     "media_data": "SELECT s_suppkey AS id, 'abc' || s_suppkey AS body FROM supplier",
     "aes_vectors": f"SELECT s_suppkey AS k, '{NIST_PLAIN}'[1:2 * (s_suppkey % 33)] AS ctr, '{NIST_PLAIN}'[1:32 * (s_suppkey % 33 // 16)] AS cbc FROM supplier",
+    "transform_chain": f"""SELECT s_suppkey AS stream_id, CASE WHEN s_suppkey % 5 <> 4 THEN '{NIST_PLAIN[:64]}' WHEN s_suppkey % 2 = 0 THEN '{NIST_CTR[1]}' ELSE '{NIST_CBC[1]}' END
+        || lower(hex(encode(lpad(s_suppkey::VARCHAR, 8, '0')))) AS tail FROM supplier""",
+    "init_tracks": f"""SELECT s_suppkey AS stream_id, 1::INT AS track, CASE WHEN s_suppkey % 2 = 0 THEN 'cenc' ELSE 'cbcs' END AS scheme, '{NIST_KEY}' AS kid, CASE WHEN s_suppkey % 2 = 0 THEN 16 ELSE 0 END::INT AS iv_size,
+        CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE '{NIST_CBC[0]}' END AS constant_iv FROM supplier""",
+    "file_ranges": """WITH f AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 7 <> 3 THEN s_suppkey % 11 * 1000 END AS n FROM supplier),
+        p AS (SELECT k, n, unnest(CASE WHEN n IS NULL THEN [0] ELSE range(ceil(n / 2048.0)::BIGINT) END) AS i FROM f)
+        SELECT k AS stream_id, i::BIGINT AS idx, (i * 2048)::BIGINT AS first_byte, CASE WHEN n IS NULL THEN -1 ELSE least((i + 1) * 2048, n) - 1 END::BIGINT AS last_byte FROM p WHERE (k + i) % 3 <> 0""",
 }

@@ -98,27 +98,32 @@ def without_image_header(data: pd.Series) -> pd.Series:
 CONTAINERS = (b"moov", b"trak", b"mdia", b"minf", b"stbl", b"moof", b"traf", b"mvex", b"edts", b"sinf", b"schi")
 
 
-def boxes(segments: DataFrame, data: str = "data") -> DataFrame:
-    """id, path, type, at, size, payload: every box of ISO media (id, data), containers before what they hold.
+def box_spans(b: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int, int]]:
+    """type, place, payload start and end of the boxes in a stretch.
 
     Sizes of 32 and 64 bits and up to the end; a box that doesn't fit ends the walk.
     """
+    while start + 8 <= end:
+        size, head = int.from_bytes(b[start : start + 4], "big"), 8
+        if size == 1:
+            size, head = int.from_bytes(b[start + 8 : start + 16], "big"), 16
+        elif size == 0:
+            size = end - start
+        if size < head or start + size > end:
+            return
+        yield b[start + 4 : start + 8], start, start + head, start + size
+        start += size
+
+
+def boxes(segments: DataFrame, data: str = "data") -> DataFrame:
+    """id, path, type, at, size, payload: every box of ISO media (id, data), containers before what they hold."""
 
     def walk(b: bytes, start: int, end: int, path: str) -> Iterator[tuple]:
-        while start + 8 <= end:
-            size, kind, head = int.from_bytes(b[start : start + 4], "big"), b[start + 4 : start + 8], 8
-            if size == 1:
-                size, head = int.from_bytes(b[start + 8 : start + 16], "big"), 16
-            elif size == 0:
-                size = end - start
-            if size < head or start + size > end:
-                return
-            name = kind.decode("latin-1")
-            inside = kind in CONTAINERS
-            yield f"{path}/{name}", name, start, size, None if inside else b[start + head : start + size]
+        for kind, at, first, last in box_spans(b, start, end):
+            name, inside = kind.decode("latin-1"), kind in CONTAINERS
+            yield f"{path}/{name}", name, at, last - at, None if inside else b[first:last]
             if inside:
-                yield from walk(b, start + head, start + size, f"{path}/{name}")
-            start += size
+                yield from walk(b, first, last, f"{path}/{name}")
 
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -136,30 +141,63 @@ def media_data(segments: DataFrame) -> DataFrame:
     return rows.groupBy("id").agg(F.unhex(joined).alias("body"))
 
 
+def _found(b: bytes, start: int, end: int, *path: bytes) -> Iterator[tuple[int, int]]:
+    """Payloads of the boxes at a path."""
+    for kind, _, first, last in box_spans(b, start, end):
+        if kind == path[0]:
+            if path[1:]:
+                yield from _found(b, first, last, *path[1:])
+            else:
+                yield first, last
+
+
+def _entry_head(b: bytes, kind: bytes, first: int) -> int:
+    """Bytes of a sample entry before its boxes: 78 of video; 28 of audio, more in its versions 1 and 2."""
+    if kind == b"encv":
+        return 78
+    return {1: 44, 2: 64}.get(int.from_bytes(b[first + 8 : first + 10], "big"), 28)
+
+
+def _tracks(b: bytes) -> Iterator[tuple]:
+    """track, scheme, kid, iv_size, crypt, skip, constant_iv of the encrypted tracks of an init segment."""
+    for track, (x, y) in enumerate(_found(b, 0, len(b), b"moov", b"trak")):
+        entries = [e for s, t in _found(b, x, y, b"mdia", b"minf", b"stbl", b"stsd") for e in box_spans(b, s + 8, t)]
+        for kind, _, first, last in entries:
+            if kind not in (b"encv", b"enca"):
+                continue
+            inside = first + _entry_head(b, kind, first)
+            tenc = next(_found(b, inside, last, b"sinf", b"schi", b"tenc"), None)
+            if tenc is None or tenc[1] - tenc[0] < 24:
+                continue
+            schm = next(_found(b, inside, last, b"sinf", b"schm"), None)
+            scheme = b[schm[0] + 4 : schm[0] + 8].decode("latin-1") if schm else "cenc"
+            t = b[tenc[0] : tenc[1]]
+            pattern = t[5] if t[0] > 0 else 0
+            constant = bytes(t[25 : 25 + t[24]]) if t[6] == 1 and t[7] == 0 and len(t) > 24 else None
+            yield track, scheme, bytes(t[8:24]), t[7], pattern >> 4, pattern & 15, constant
+            break
+
+
 def protection(inits: DataFrame) -> DataFrame:
-    """id, scheme, kid, iv_size, crypt, skip, constant_iv of init segments with a tenc box; the scheme is cenc unless an schm says otherwise.
+    """id, track (from 0), scheme, kid, iv_size, crypt, skip, constant_iv of the encrypted tracks of init segments (id, data).
 
-    Sample entries hide their boxes behind fixed fields, so schm and tenc are
-    found by name.
+    Of a track's sample entries the first encrypted one with a whole tenc box counts; the
+    scheme is cenc unless an schm says otherwise. Other data and null have no rows.
     """
+    names = ["id", "track", "scheme", "kid", "iv_size", "crypt", "skip", "constant_iv"]
 
     def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for i, b in zip(frame["id"], frame["data"], strict=True):
-                at = b.find(b"tenc") if b is not None else -1
-                if at < 4:
-                    continue
-                t = b[at + 4 :]
-                scheme = b.find(b"schm")
-                name = b[scheme + 8 : scheme + 12].decode("latin-1") if scheme >= 0 else "cenc"
-                pattern = t[5] if t[0] > 0 else 0
-                iv_size, kid = t[7], t[8:24]
-                constant = t[25 : 25 + t[24]] if iv_size == 0 and len(t) > 24 else None
-                rows.append((i, name, bytes(kid), iv_size, pattern >> 4, pattern & 15, constant))
-            yield pd.DataFrame(rows, columns=["id", "scheme", "kid", "iv_size", "crypt", "skip", "constant_iv"])
+            rows = [(i, *x) for i, b in zip(frame["id"], frame["data"], strict=True) if b is not None for x in _tracks(b)]
+            yield pd.DataFrame(rows, columns=names)
+
+    kind = inits.schema["id"].dataType.simpleString()
+    return inits.select("id", "data").mapInPandas(look, f"id {kind}, track int, scheme string, kid binary, iv_size int, crypt int, skip int, constant_iv binary")
+
 
-    return inits.select("id", "data").mapInPandas(look, "id long, scheme string, kid binary, iv_size int, crypt int, skip int, constant_iv binary")
+def counting() -> Column:
+    """Packets that count: with payload, and no null packets."""
+    return F.col("afc").isin(1, 3) & (F.col("pid") != 0x1FFF)
 
 
 def continuity(packets: DataFrame) -> DataFrame:
@@ -167,7 +205,7 @@ def continuity(packets: DataFrame) -> DataFrame:
 
     Null packets and packets without payload keep their counter.
     """
-    counts = F.col("afc").isin(1, 3) & (F.col("pid") != 0x1FFF)
+    counts = counting()
     earlier = Window.partitionBy("_st", "_pid").orderBy("_seg").rowsBetween(Window.unboundedPreceding, -1)
     sizes = packets.filter(counts).groupBy(F.col("stream").alias("_st"), F.col("pid").alias("_pid"), F.col("segment").alias("_seg")).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_st", "_pid", "_seg", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))

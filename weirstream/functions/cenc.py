@@ -1,9 +1,9 @@
 """Common encryption of fragments: cenc, cens (counter), cbc1, cbcs (block chaining).
 
 A fragment's tables say where its samples lie and which of their bytes are
-encrypted. Those byte ranges become rows; the ranges of one cipher run (a sample
-for counters, a subsample or sample for chaining) are gathered, decrypted by
-Spark's AES functions, and put back into the fragment.
+encrypted. The ranges of one cipher run (a sample for counters, a subsample or
+sample for chaining) are gathered inside the segment's row, go through Spark's AES
+functions as an array, and are put back: nothing leaves the row.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,16 +24,7 @@ SAMPLES = "id long, sample int, at long, size long, iv binary, subsamples array<
 
 def _boxes(b: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int]]:
     """type, payload start, end of the boxes in a stretch."""
-    while start + 8 <= end:
-        size, head = int.from_bytes(b[start : start + 4], "big"), 8
-        if size == 1:
-            size, head = int.from_bytes(b[start + 8 : start + 16], "big"), 16
-        elif size == 0:
-            size = end - start
-        if size < head or start + size > end:
-            return
-        yield b[start + 4 : start + 8], start + head, start + size
-        start += size
+    return ((kind, first, last) for kind, _, first, last in binary.box_spans(b, start, end))
 
 
 def _sizes(b: bytes, start: int, end: int) -> tuple[int | None, list[int]]:
@@ -142,59 +134,88 @@ def samples(segments: DataFrame) -> DataFrame:
     return segments.select("id", "data", "iv_size").mapInPandas(read, SAMPLES)
 
 
+def _spots(start: int, length: int, crypt: int, skip: int, chained: bool) -> list[tuple[int, int]]:
+    """Places and sizes of the encrypted bytes in a stretch; a pattern and chaining take whole blocks only."""
+    striped = crypt > 0 and skip > 0
+    found = [(start + o, min(crypt * 16, length - o)) for o in range(0, length, (crypt + skip) * 16)] if striped else [(start, length)]
+    cut = [(at, n - n % 16 if striped or chained else n) for at, n in found]
+    return [(at, n) for at, n in cut if n > 0]
+
+
+CHAINED = ("cbc1", "cbcs")
+_LONGS, _BYTES = T.ArrayType(T.LongType()), T.BinaryType()
+_RUN = T.StructType([T.StructField("at", _LONGS), T.StructField("n", _LONGS), *[T.StructField(c, _BYTES) for c in ("iv", "body", "mask")]])
+
+
+def _cipher_runs(b: bytes, scheme: str, iv_size: int, crypt: int, skip: int, constant: bytes | None) -> list[dict]:
+    """What each cipher run (a sample, with cbcs a subsample) gives to AES: counter blocks, or its bytes and what pads them."""
+    out = []
+    chained = scheme in CHAINED
+    for _, at, size, own, parts in fragment_samples(b, iv_size):
+        iv = (own or constant or b"").ljust(16, b"\0")[:16]
+        units: list[list] = [[]]
+        for part in parts or [{"clear": 0, "encrypted": size}]:
+            units[-1] += _spots(at + part["clear"], part["encrypted"], crypt, skip, chained)
+            at += part["clear"] + part["encrypted"]
+            if scheme == "cbcs":
+                units.append([])
+        for unit in filter(None, units):
+            mask = b""
+            if chained:
+                body = b"".join(b[x : x + n] for x, n in unit)
+                mask = (np.frombuffer(body[-16:], np.uint8) ^ 16).tobytes()
+            else:
+                blocks = -(-sum(n for _, n in unit) // 16)
+                counters = np.empty((blocks, 2), ">u8")
+                counters[:, 0] = int.from_bytes(iv[:8], "big")
+                counters[:, 1] = np.arange(blocks, dtype=np.uint64) + np.uint64(int.from_bytes(iv[8:], "big"))
+                body = counters.tobytes()
+            out.append({"at": [x for x, _ in unit], "n": [n for _, n in unit], "iv": iv, "body": body, "mask": mask})
+    return out
+
+
+@F.pandas_udf(T.ArrayType(_RUN))
+def _runs(data: pd.Series, scheme: pd.Series, iv_size: pd.Series, crypt: pd.Series, skip: pd.Series, constant: pd.Series) -> pd.Series:
+    rows = zip(data, scheme, iv_size, crypt, skip, constant, strict=True)
+    return pd.Series([None if b is None else _cipher_runs(b, s, int(i), int(c), int(k), v) for b, s, i, c, k, v in rows], dtype=object)
+
+
 @F.pandas_udf(T.BinaryType())
-def _with_pieces(data: pd.Series, pieces: pd.Series) -> pd.Series:
-    """Bytes with each (at, plain) put in place."""
+def _in_place(data: pd.Series, runs: pd.Series, texts: pd.Series, chained: pd.Series) -> pd.Series:
+    """Bytes with every run in the clear: ``texts`` are its plain bytes, or the key stream over them."""
 
-    def put(b: bytes | None, found) -> bytes | None:
+    def put(b: bytes | None, found, streams, plain: bool) -> bytes | None:
         if b is None or found is None:
             return b
-        out = bytearray(b)
-        for p in found:
-            out[p["at"] : p["at"] + len(p["plain"])] = p["plain"]
-        return bytes(out)
+        out = np.frombuffer(b, np.uint8).copy()
+        for run, stream in zip(found, streams, strict=True):
+            text, used = np.frombuffer(stream, np.uint8), 0
+            for at, n in zip(run["at"], run["n"], strict=True):
+                piece = text[used : used + n]
+                out[at : at + n] = piece if plain else out[at : at + n] ^ piece
+                used += n
+        return out.tobytes()
 
-    return pd.Series([put(b, p) for b, p in zip(data, pieces, strict=True)], dtype=object)
+    return pd.Series([put(*row) for row in zip(data, runs, texts, chained, strict=True)], dtype=object)
 
 
-def decrypted(segments: DataFrame) -> DataFrame:
-    """id, data: segments (id, data, key, scheme, iv_size, crypt, skip, constant_iv) in the clear.
+def clear(data: Column, key: Column, scheme: Column, iv_size: Column, crypt: Column, skip: Column, constant_iv: Column) -> Column:
+    """A segment in the clear; one without key stays as it is.
 
     A pattern encrypts ``crypt`` of every ``crypt + skip`` blocks. Counters run on
     over a sample's encrypted bytes. Chaining takes whole blocks only; cbcs starts
     again with its constant IV in every subsample, cbc1 runs on over the sample.
-    A null key leaves a segment as it is.
+    All of it happens inside the row, so segments are neither copied nor shuffled.
     """
-    about = segments.filter("key IS NOT NULL").select("id", "data", "key", "scheme", "crypt", "skip", "constant_iv")
-    rows = samples(segments.filter("key IS NOT NULL")).join(about, "id")
-    chained = F.col("scheme").isin("cbc1", "cbcs")
-    whole = F.array(F.struct(F.lit(0).alias("clear"), F.col("size").alias("encrypted")))
-    rows = rows.select("*", F.posexplode(F.when(F.size("subsamples") > 0, F.col("subsamples")).otherwise(whole)).alias("sub", "part"))
-    # a subsample's place: after all of the sample's earlier ones
-    earlier = F.aggregate(F.slice("subsamples", 1, F.col("sub")), F.lit(0).cast("bigint"), lambda a, x: a + x["clear"] + x["encrypted"])
-    start = F.col("at") + F.when(F.size("subsamples") > 0, earlier).otherwise(F.lit(0)) + F.col("part.clear")
-    length = F.col("part.encrypted")
-    striped = (F.col("crypt") > 0) & (F.col("skip") > 0)
-    period, stripe = (F.col("crypt") + F.col("skip")) * 16, F.col("crypt") * 16
-    stripes = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(length / period) - 1, F.lit(0)).cast("bigint")),
-        lambda i: F.struct((start + i * period).alias("at"), F.least(stripe.cast("bigint"), length - i * period).alias("n")),
-    )
-    runs = F.when(striped, stripes).otherwise(F.array(F.struct(start.alias("at"), length.alias("n"))))
-    runs = F.transform(runs, lambda r: F.struct(r["at"].alias("at"), F.when(chained | striped, F.floor(r["n"] / 16).cast("bigint") * 16).otherwise(r["n"]).alias("n")))
-    pieces = rows.select("id", "key", "scheme", "iv", "constant_iv", "sample", F.when(F.col("scheme") == "cbcs", F.col("sub")).otherwise(F.lit(0)).alias("unit"), "data", F.explode(F.filter(runs, lambda r: r["n"] > 0)).alias("r"))
-    cut = F.substr("data", (F.col("r.at") + 1).cast("int"), F.col("r.n").cast("int"))
-    pieces = pieces.select("id", "key", "scheme", "iv", "constant_iv", "sample", "unit", F.struct(F.col("r.at").alias("at"), cut.alias("b")).alias("p"))
-    units = pieces.groupBy("id", "sample", "unit").agg(F.array_sort(F.collect_list("p")).alias("ps"), *[F.first(c).alias(c) for c in ("key", "scheme", "iv", "constant_iv")])
-    joined = F.unhex(F.array_join(F.transform("ps", lambda p: F.hex(p["b"])), ""))
-    iv = F.when(F.octet_length("iv") > 0, F.col("iv")).otherwise(F.col("constant_iv"))
-    filled = F.unhex(F.rpad(F.hex(iv), 32, "0"))
-    units = units.withColumn("sealed", joined).withColumn("iv", filled)
-    counter = units.filter(~chained).withColumn("plain", binary.ctr_decrypt(F.col("sealed"), F.col("key"), F.col("iv")))
-    chain = units.filter(chained).withColumn("plain", binary.cbc_decrypt(F.col("sealed"), F.col("key"), F.col("iv")))
-    both = counter.unionByName(chain)
-    # the plain bytes of a unit, dealt out over its pieces again
-    before = lambda i: F.aggregate(F.slice("ps", 1, i), F.lit(0), lambda a, x: a + F.octet_length(x["b"]))
-    dealt = F.transform("ps", lambda p, i: F.struct(p["at"].alias("at"), F.substr("plain", before(i) + 1, F.octet_length(p["b"])).alias("plain")))
-    back = both.select("id", F.explode(dealt).alias("p")).groupBy("id").agg(F.collect_list("p").alias("pieces"))
-    return segments.select("id", "data").join(back, "id", "left").select("id", _with_pieces("data", "pieces").alias("data"))
+    chained = F.coalesce(scheme.isin(*CHAINED), F.lit(False))
+    zero = F.lit(0)
+    runs = _runs(F.when(key.isNotNull(), data), F.coalesce(scheme, F.lit("cenc")), F.coalesce(iv_size, zero), F.coalesce(crypt, zero), F.coalesce(skip, zero), constant_iv)
+    ecb = lambda block: F.aes_encrypt(block, key, F.lit("ECB"), F.lit("PKCS"))
+    chain = lambda r: F.aes_decrypt(F.concat(r["iv"], r["body"], F.substring(ecb(r["mask"]), 1, 16)), key, F.lit("CBC"), F.lit("PKCS"))
+    texts = F.transform(runs, lambda r: F.when(chained, chain(r)).otherwise(ecb(r["body"])))
+    return _in_place(data, runs, texts, chained)
+
+
+def decrypted(segments: DataFrame) -> DataFrame:
+    """id, data: segments (id, data, key, scheme, iv_size, crypt, skip, constant_iv) in the clear (see ``clear``)."""
+    return segments.select("id", clear(*map(F.col, ("data", "key", "scheme", "iv_size", "crypt", "skip", "constant_iv"))).alias("data"))

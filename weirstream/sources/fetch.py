@@ -1,59 +1,125 @@
-"""A batch data source that fetches URLs: ``spark.read.format("fetch")``.
-
-Options: ``urls`` (one a line), ``retries``, ``timeout``. Each URL is one
-partition, so fetching spreads over executors and a lost one is fetched again.
-Local paths and file URLs work as well.
+"""Fetching: ``spark.read.format("fetch")`` for a list of URLs, ``fetched`` for a table of requests.
+
+Options of the source: ``urls`` (one a line, a byte range ``a-b`` behind a tab if
+wanted), ``headers`` (``Name: value``, one a line), ``method`` (``get`` or
+``head``), ``retries``, ``timeout``. Each URL is one partition, so fetching
+spreads over executors and a lost one is fetched again. Local paths and file URLs
+work as well. Long files are cut into ranges (``file_ranges``), and what a sink
+already holds is left out (``missing``), so a download goes on where it stopped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-SCHEMA = "url string, final_url string, status int, body binary, error string"
+from ..functions.scalars import RETRIABLE
+
+#: ``length`` is what the server says of the body, ``pressure`` counts retriable statuses on the way.
+REPLY = "final_url string, status int, body binary, length long, pressure int, error string"
+SCHEMA = f"url string, {REPLY}"
+
+
+def wait_of(value: str | None) -> float:
+    """Seconds that a Retry-After header asks for, as a number or a date, 30 at most; 0 if it can't be read."""
+    from datetime import UTC, datetime
+    from email.utils import parsedate_to_datetime
+
+    text = (value or "").strip()
+    if text.lstrip("+-").isdigit():
+        return float(min(30, max(0, int(text))))
+    try:
+        at = parsedate_to_datetime(text)
+    except (TypeError, ValueError):
+        return 0.0
+    return min(30.0, max(0.0, ((at if at.tzinfo else at.replace(tzinfo=UTC)) - datetime.now(UTC)).total_seconds()))
+
+
+def get(url: str, span: tuple[int, int] | None = None, headers: dict | None = None, method: str = "GET", retries: int = 5, timeout: float = 30.0) -> tuple:
+    """The reply (see REPLY) to one request; a span's end of -1 is open.
+
+    Retriable statuses, lost connections and bodies that break off are tried
+    again, HEAD is not. After a break only what is missing is asked for. A whole
+    file that comes instead of a range is cut to it.
+    """
+    import http.client
+    import random
+    import time
+    import urllib.error
+    import urllib.request
+
+    address = url if "://" in url else f"file://{url}"
+    first, last = span or (0, -1)
+    got, status, pressure, pause, error = bytearray(), 0, 0, 0.5, ""
+    tries = 1 if method == "HEAD" else retries + 1
+    for at in range(tries):
+        request = urllib.request.Request(address, headers=headers or {}, method=method)  # noqa: S310
+        if span or got:
+            request.add_header("Range", f"bytes={first + len(got)}-{last if last >= 0 else ''}")
+        wait = pause * (1 + random.random() / 2)  # noqa: S311
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as r:  # noqa: S310
+                status = getattr(r, "status", None) or 200
+                length = r.headers.get("Content-Length")
+                length = int(length) if length and length.isdigit() else None
+                if method == "HEAD":
+                    return r.geturl(), status, None, length, pressure, ""
+                if status != 206:  # the file from its beginning
+                    got.clear()
+                had = len(got)
+                while piece := r.read(1 << 20):
+                    got += piece
+                if length is not None and len(got) - had < length:
+                    raise ConnectionError("body breaks off")
+                body = bytes(got)
+                if span and status != 206:
+                    body = body[first : last + 1 if last >= 0 else None]
+                return r.geturl(), status, body, length, pressure, ""
+        except urllib.error.HTTPError as e:
+            status, error = e.code, f"HTTP {e.code}"
+            if status not in RETRIABLE:
+                break
+            pressure += 1
+            wait = wait_of(e.headers.get("Retry-After")) or wait
+        except (OSError, http.client.HTTPException) as e:
+            status, error = 0, str(e)
+            if address.startswith("file:"):
+                break
+        if at + 1 < tries:
+            time.sleep(wait)
+            pause = min(8.0, pause * 2)
+    return address, status, None, None, pressure, error
 
 
-class _Url(InputPartition):
-    def __init__(self, url: str):
-        super().__init__(url)
+class _Request(InputPartition):
+    def __init__(self, url: str, span: tuple[int, int] | None):
+        super().__init__((url, span))
 
 
 class FetchReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.urls = [u.strip() for u in options.get("urls", "").splitlines() if u.strip()]
-        self.retries, self.timeout = int(options.get("retries", "5")) or 5, float(options.get("timeout", "30"))
+        lines = [u.strip() for u in options.get("urls", "").splitlines() if u.strip()]
+        self.requests = [(url, self._span(span)) for url, _, span in (line.partition("\t") for line in lines)]
+        pairs = [line.partition(":") for line in options.get("headers", "").splitlines() if ":" in line]
+        self.headers = {name.strip(): value.strip() for name, _, value in pairs}
+        self.method = options.get("method", "get").upper()
+        self.retries, self.timeout = int(options.get("retries", "5")), float(options.get("timeout", "30"))
+
+    @staticmethod
+    def _span(text: str) -> tuple[int, int] | None:
+        a, dash, b = text.strip().partition("-")
+        return (int(a), int(b) if b else -1) if dash else None
 
     def partitions(self) -> list[InputPartition]:
-        return [_Url(u) for u in self.urls]
+        return [_Request(*r) for r in self.requests]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import time
-        import urllib.error
-        import urllib.request
-
-        url = partition.value
-        address = url if "://" in url else f"file://{url}"
-        wait, error = 0.5, ""
-        for _ in range(self.retries):
-            try:
-                with urllib.request.urlopen(address, timeout=self.timeout) as r:  # noqa: S310
-                    yield url, r.geturl(), getattr(r, "status", None) or 200, r.read(), ""
-                    return
-            except urllib.error.HTTPError as e:
-                error = f"HTTP {e.code}"
-                if e.code not in (408, 429, 500, 502, 503, 504):
-                    yield url, address, e.code, None, error
-                    return
-                wait = min(30.0, float(e.headers.get("Retry-After") or wait))
-            except OSError as e:
-                error = str(e)
-                if address.startswith("file:"):
-                    break
-            time.sleep(wait)
-            wait = min(8.0, wait * 2)
-        yield url, address, 0, None, error
+        url, span = partition.value
+        yield url, *get(url, span, self.headers, self.method, self.retries, self.timeout)
 
 
 class FetchSource(DataSource):
@@ -70,3 +136,37 @@ class FetchSource(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(FetchSource)
+
+
+def fetched(requests: DataFrame, retries: int = 5, timeout: float = 30.0) -> DataFrame:
+    """Requests (url, span struct<start,end>, headers map) with their replies, one body in memory at a time.
+
+    Null spans and headers ask for the whole file with none; a null url has no reply. A partition of
+    requests is fetched one after the other: repartition them for more at a time.
+    """
+
+    def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for url, span, headers in frame.itertuples(index=False):
+                place = (int(span["start"]), int(span["end"])) if span is not None else None
+                reply = get(url, place, dict(headers or {}), "GET", retries, timeout) if url is not None else (None,) * 6
+                yield pd.DataFrame([(url, span, *reply)], columns=names)
+
+    schema = f"url string, span struct<start:bigint,end:bigint>, {REPLY}"
+    names = [field.split()[0] for field in ("url x", "span x", *REPLY.split(", "))]
+    return requests.select("url", F.col("span").cast("struct<start:bigint,end:bigint>").alias("span"), F.col("headers").cast("map<string,string>").alias("headers")).mapInPandas(load, schema)
+
+
+def file_ranges(files: DataFrame, piece_bytes: int) -> DataFrame:
+    """Files (stream_id, url, length) as pieces ``idx`` with their ``span``; one open piece where the length isn't known, none of empty files."""
+    last = F.greatest(F.ceil(F.col("length") / piece_bytes).cast("long") - 1, F.lit(0).cast("long"))
+    places = F.when(F.col("length").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("length") > 0, F.sequence(F.lit(0).cast("long"), last))
+    begin = F.col("idx") * piece_bytes
+    end = F.coalesce(F.least(begin + piece_bytes, F.col("length")) - 1, F.lit(-1).cast("long"))
+    end = F.when(F.col("length").isNull(), F.lit(-1).cast("long")).otherwise(end)
+    return files.select("stream_id", "url", "length", F.explode(places).alias("idx")).select("stream_id", "url", "idx", F.struct(begin.alias("start"), end.alias("end")).alias("span"))
+
+
+def missing(pieces: DataFrame, written: DataFrame) -> DataFrame:
+    """Pieces (stream_id, idx) that aren't written yet."""
+    return pieces.join(written.select("stream_id", "idx"), ["stream_id", "idx"], "left_anti")

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from weirstream.operators import jobs, telemetry
@@ -52,6 +54,43 @@ def test_fixed_limit(spark):
     assert limits(telemetry.fixed_limit(ticks(spark, [(1, 1), (1, 0), (1, 0), (1, 0), (1, 0)]), most=16)) == [8, 8, 8, 9, 10]
 
 
+def test_limits_over_blocks_match_a_plain_loop(spark):
+    rng = random.Random(3)
+    rows = [(c, t, float(rng.choice([0, 50, 100, 104, 107, 120, 400])), int(rng.random() < 0.06)) for c, n in (("a", 300), (None, 90), ("one", 1)) for t in sorted(rng.sample(range(-400, 400), n))]
+    rows += [("a", 500, None, None), ("a", 501, 7.0, 0)]
+    frame = spark.createDataFrame(rows, "channel string, tick long, bytes double, errs long")
+
+    def loop(fixed: bool) -> set:
+        out = set()
+        for name in {r[0] for r in rows}:
+            limit, doubling, hold, prev = (32, False, 0, 0.0) if fixed else (16, True, 0, 0.0)
+            for _, tick, n, errs in (r for r in rows if r[0] == name):
+                told = n is not None and prev is not None
+                grows, rises, falls = (told and n > prev * 1.05, told and n > prev * 1.10, told and n < prev * 0.90)
+                step = max(1, limit // 8)
+                if errs:
+                    limit, doubling, hold = max(4, limit // 2), False, 2
+                elif hold:
+                    hold -= 1
+                elif fixed:
+                    limit = min(32, limit + step)
+                elif doubling:
+                    limit, doubling = min(64, limit * 2) if grows else limit, grows
+                elif rises:
+                    limit = min(64, limit + step)
+                elif falls:
+                    limit = max(4, limit - step)
+                out.add((name, tick, limit))
+                prev = n
+        return out
+
+    for fixed, rule in ((False, telemetry.adaptive_limit), (True, telemetry.fixed_limit)):
+        for block in (1, 7, 512):
+            got = rule(frame, block=block).collect()
+            assert len(got) == len(rows) and {tuple(r) for r in got} == loop(fixed)
+    assert telemetry.adaptive_limit(frame.limit(0)).count() == 0
+
+
 def test_progress(spark):
     rows = spark.createDataFrame([(10, 20, 1000, 10.0), (5, 20, 1000, 10.0), (10, 20, 1000, 0.5), (0, 0, 0, 0.0)], "done long, total long, bytes long, speed double")
     assert [(r.percent, r.eta) for r in telemetry.progress(rows).collect()] == [(50, "100"), (25, "?"), (50, "?"), (0, "?")]

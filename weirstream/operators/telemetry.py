@@ -2,74 +2,142 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ticks of a channel that one row of a control rule's run holds.
+BLOCK = 512
 
-def _fold(ticks: DataFrame, start: dict, step) -> DataFrame:
-    """Run a rule over each channel's ticks in order, keeping every step.
-
-    The rule is a sequence by nature: one channel's ticks are one array. Channels
-    run side by side.
-    """
-    series = F.array_sort(F.collect_list(F.struct("tick", "bytes", "errs")))
-    rows = ticks.groupBy("channel").agg(series.alias("s"))
-    state = F.struct(*[v.alias(k) for k, v in start.items()])
-
-    def keep(acc: Column, x: Column) -> Column:
-        nxt = step(acc["now"], x)
-        now = F.struct(*[nxt[k].alias(k) for k in start])
-        return F.struct(now.alias("now"), F.concat(acc["out"], F.array(F.struct(x["tick"].alias("tick"), nxt["limit"].alias("limit")))).alias("out"))
-
-    empty = F.array().cast("array<struct<tick:bigint,limit:int>>")
-    steps = F.aggregate("s", F.struct(state.alias("now"), empty.alias("out")), keep, lambda acc: acc["out"])
-    return rows.select("channel", F.explode(steps).alias("x")).select("channel", "x.tick", "x.limit")
-
+State = tuple[int, bool, int]  # limit, still in the doubling phase, ticks to hold
 
-def _eighth(limit: Column) -> Column:
-    return F.greatest(F.lit(1), F.floor(limit / 8).cast("int"))
 
+def _table(start: State, rule: Callable[..., State]) -> tuple[np.ndarray, np.ndarray]:
+    """The limits of all states that ``rule`` reaches from ``start`` (state 0), and [kind of tick, state] -> next state.
 
-def adaptive_limit(ticks: DataFrame, start: int = 16, least: int = 4, most: int = 64) -> DataFrame:
+    A tick's kind is 8 for errors plus 4, 2 and 1 for throughput that grows, rises and falls; kind 16 keeps the state.
+    """
+    states, place = [start], {start: 0}
+    after = []
+    for state in states:  # grows as it is walked
+        follow = [rule(*state, *(bool(kind & bit) for bit in (8, 4, 2, 1))) for kind in range(16)]
+        for found in follow:
+            if found not in place:
+                place[found] = len(states)
+                states.append(found)
+        after.append([*(place[x] for x in follow), place[state]])
+    return np.array([s[0] for s in states], np.int32), np.array(after, np.int32).T.copy()
+
+
+def _kinds(codes: pd.Series) -> np.ndarray:
+    """A row of kinds for each block, short ones filled with 16."""
+    sizes = codes.str.len().to_numpy()
+    out = np.full((len(codes), int(sizes.max(initial=0))), 16, np.uint8)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.frombuffer("".join(codes).encode(), np.uint8) - ord("a")
+    return out
+
+
+def _run(ticks: DataFrame, start: State, rule: Callable[..., State], block: int) -> DataFrame:
+    """channel, tick, limit: a rule over each channel's ticks in order (ticks that are equal go by bytes, then errors).
+
+    The rule is a sequence, but has few states. So a channel is cut into blocks of
+    ``block`` tick numbers that are worked on apart: each block but the last tells
+    where every state leads, these are chained to the state each block starts in,
+    and then all blocks run. One task sees a channel as a whole only as a few bytes a tick.
+    """
+    limits, after = _table(start, rule)
+
+    @F.pandas_udf("array<int>")
+    def leads(codes: pd.Series) -> pd.Series:
+        kinds = _kinds(codes)
+        states = np.tile(np.arange(len(limits), dtype=np.int32), (len(kinds), 1))
+        for kind in kinds.T:
+            states = after[kind[:, None], states]
+        return pd.Series(list(states))
+
+    @F.pandas_udf("array<int>")
+    def steps(codes: pd.Series, first: pd.Series) -> pd.Series:
+        kinds, state = _kinds(codes), first.to_numpy()
+        out = np.empty(kinds.shape, np.int32)
+        for i, kind in enumerate(kinds.T):
+            state = after[kind, state]
+            out[:, i] = limits[state]
+        return pd.Series([row[:n] for row, n in zip(out, codes.str.len(), strict=True)])
+
+    def chain(table: pa.Table) -> pa.Table:
+        table = table.sort_by("block")
+        state, firsts = 0, []
+        for row in table.column("leads").to_pylist():
+            state = row[state]
+            firsts.append(state)
+        return pa.table({"channel": table.column("channel"), "block": table.column("next"), "first": pa.array(firsts, pa.int32())})
+
+    entry = F.struct("tick", "bytes", "errs")
+    rows = ticks.withColumn("block", F.floor(F.col("tick") / block).cast("long"))
+    inner = Window.partitionBy("channel").orderBy("block")
+    edges = rows.groupBy("channel", "block").agg(F.max_by("bytes", entry).alias("last"))
+    edges = edges.select("channel", "block", F.lag("last", 1, 0.0).over(inner).alias("before"), F.lead("block").over(inner).alias("next"))
+    series = rows.groupBy("channel", "block").agg(F.array_sort(F.collect_list(entry)).alias("s"))
+
+    def same():
+        return [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("channel", "block")]
+
+    def code(x: Column, prev: Column) -> Column:
+        told = ((x["errs"] > 0, 8), (x["bytes"] > prev * 1.05, 4), (x["bytes"] > prev * 1.10, 2), (x["bytes"] < prev * 0.90, 1))
+        number = sum((F.when(is_so, n).otherwise(0) for is_so, n in told), F.lit(1))
+        return F.substr(F.lit("abcdefghijklmnop"), number, F.lit(1))
+
+    earlier = F.concat(F.array("before"), F.transform(F.slice("s", 1, F.size("s") - 1), lambda x: x["bytes"]))
+    joined = series.alias("a").join(edges.alias("b"), same()).select("a.channel", "a.block", "s", "before", "next")
+    joined = joined.select("channel", "block", "s", "next", F.array_join(F.zip_with("s", earlier, code), "").alias("codes"))
+
+    channel = ticks.schema["channel"].dataType.simpleString()
+    led = joined.filter("next IS NOT NULL").select("channel", "block", "next", leads("codes").alias("leads"))
+    firsts = led.groupBy("channel").applyInArrow(chain, f"channel {channel}, block long, first int")
+    begun = joined.alias("a").join(firsts.alias("b"), same(), "left").select("a.channel", "s", "codes", F.coalesce("b.first", F.lit(0)).alias("first"))
+    done = begun.select("channel", F.explode(F.arrays_zip(F.col("s.tick").alias("tick"), steps("codes", "first").alias("limit"))).alias("x"))
+    return done.select("channel", "x.tick", "x.limit")
+
+
+def _eighth(limit: int) -> int:
+    return max(1, limit // 8)
+
+
+def adaptive_limit(ticks: DataFrame, start: int = 16, least: int = 4, most: int = 64, block: int = BLOCK) -> DataFrame:
     """channel, tick, limit: the concurrency limit after each tick (channel, tick, bytes, errs).
 
     Errors halve it and hold it for two ticks. At first it doubles while
     throughput grows by over 5 %; later it moves by an eighth when throughput
-    changes by over 10 %.
+    changes by over 10 %. Throughput that is null neither grows nor falls.
     """
 
-    def step(s: Column, x: Column) -> dict[str, Column]:
-        tp, prev, limit = x["bytes"], s["prev"], s["limit"]
-        error, cooling = x["errs"] > 0, s["cooldown"] > 0
-        grows = tp > prev * 1.05
-        down, up = F.greatest(F.lit(least), limit - _eighth(limit)), F.least(F.lit(most), limit + _eighth(limit))
-        return {
-            "limit": F.when(error, F.greatest(F.lit(least), F.floor(limit / 2).cast("int")))
-            .when(cooling, limit)
-            .when(s["slow"], F.when(grows, F.least(F.lit(most), limit * 2)).otherwise(limit))
-            .when(tp > prev * 1.10, up)
-            .when(tp < prev * 0.90, down)
-            .otherwise(limit),
-            "slow": F.when(error, F.lit(False)).when(cooling, s["slow"]).otherwise(s["slow"] & grows),
-            "cooldown": F.when(error, F.lit(2)).when(cooling, s["cooldown"] - 1).otherwise(s["cooldown"]),
-            "prev": tp,
-        }
-
-    return _fold(ticks, {"limit": F.lit(start), "slow": F.lit(True), "cooldown": F.lit(0), "prev": F.lit(0.0)}, step)
-
-
-def fixed_limit(ticks: DataFrame, most: int = 32, least: int = 4) -> DataFrame:
+    def rule(limit: int, doubling: bool, hold: int, errors: bool, grows: bool, rises: bool, falls: bool) -> State:
+        if errors:
+            return max(least, limit // 2), False, 2
+        if hold:
+            return limit, doubling, hold - 1
+        if doubling:
+            return (min(most, limit * 2) if grows else limit), grows, 0
+        return (min(most, limit + _eighth(limit)) if rises else max(least, limit - _eighth(limit)) if falls else limit), False, 0
+
+    return _run(ticks, (start, True, 0), rule, block)
+
+
+def fixed_limit(ticks: DataFrame, most: int = 32, least: int = 4, block: int = BLOCK) -> DataFrame:
     """The rule for a limit the user set: halve on errors, hold two ticks, climb back by eighths."""
 
-    def step(s: Column, x: Column) -> dict[str, Column]:
-        limit = s["limit"]
-        error, cooling = x["errs"] > 0, s["cooldown"] > 0
-        return {
-            "limit": F.when(error, F.greatest(F.lit(least), F.floor(limit / 2).cast("int"))).when(cooling, limit).when(limit < most, F.least(F.lit(most), limit + _eighth(limit))).otherwise(limit),
-            "cooldown": F.when(error, F.lit(2)).when(cooling, s["cooldown"] - 1).otherwise(s["cooldown"]),
-        }
+    def rule(limit: int, doubling: bool, hold: int, errors: bool, *_: bool) -> State:
+        if errors:
+            return max(least, limit // 2), False, 2
+        if hold:
+            return limit, False, hold - 1
+        return (min(most, limit + _eighth(limit)) if limit < most else limit), False, 0
 
-    return _fold(ticks, {"limit": F.lit(most), "cooldown": F.lit(0)}, step)
+    return _run(ticks, (most, False, 0), rule, block)
 
 
 def speed(samples: DataFrame, seconds: int = 5) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -32,21 +33,24 @@ def fresh_segments(refreshes: DataFrame, patterns: list[str] | None = None, hori
 def live_window(arrivals: DataFrame) -> DataFrame:
     """Each new segment of a track with its number, start and the track's count so far (see WINDOW).
 
-    State per track is four numbers. A batch's rows come in any order and are
+    State per track is three numbers. A batch's rows come in any order and are
     sorted by ``arrival`` first. ``retained`` is how many segments can be fetched
     once the row is in.
     """
 
     def take(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seq, start, longest = state.get if state.exists else (0, 0, 0.0)
-        rows = []
-        for r in pd.concat(frames).sort_values("arrival").itertuples(index=False):
-            dur = r.duration if r.duration > 0 else (longest or 2.0)
-            longest = max(longest, dur)
-            rows.append((key[0], r.arrival, seq, dur, start, r.discontinuity, seq + 1, min(seq + 1, VISIBLE + TAIL)))
-            seq, start = seq + 1, start + int(dur * 1000 + 0.5)
-        state.update((seq, start, longest))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in WINDOW.split(", ")])
+        new = pd.concat(frames).sort_values("arrival", kind="stable")
+        told = new["duration"].fillna(0.0).clip(lower=0.0).to_numpy(np.float64)
+        if not longest and not told[0]:
+            told[0] = 2.0
+        reach = np.maximum.accumulate(np.concatenate([[longest], told]))
+        dur = np.where(told > 0, told, reach[:-1])
+        ends = start + np.cumsum((dur * 1000 + 0.5).astype(np.int64))
+        seqs = seq + np.arange(len(new))
+        state.update((seq + len(new), int(ends[-1]), float(reach[-1])))
+        columns = (key[0], new["arrival"].to_numpy(), seqs, dur, np.concatenate([[start], ends[:-1]]), new["discontinuity"].to_numpy(), seqs + 1, np.minimum(seqs + 1, VISIBLE + TAIL))
+        yield pd.DataFrame(dict(zip((c.split()[0] for c in WINDOW.split(", ")), columns, strict=True)))
 
     keyed = arrivals.select("track_id", "arrival", "duration", "discontinuity").groupBy("track_id")
     return keyed.applyInPandasWithState(take, WINDOW, "seq long, start long, longest double", "append", GroupStateTimeout.NoTimeout)

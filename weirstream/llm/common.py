@@ -63,6 +63,17 @@ def _drop_staged() -> None:
             return
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for temporary columns: ``names``, with underscores added until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def n_salts(spark: SparkSession) -> int:
     """Into how many parts a hot key is dealt: as many as shuffles have partitions."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -100,10 +100,14 @@ def _matched(row, same_label: bool):
     anchor, own = _longs(row.anchors), _longs(row.owns)
     score = scores_of(_longs(row.adata).reshape(len(anchor), row.awidth), _longs(row.data).reshape(len(uid), row.width))
     last, found = -1, None
-    for w, p in enumerate(_longs(row.place)):
+    for w, p in enumerate(_longs(row.place).tolist()):
         if p != last:  # the windows of an anchor follow one another
-            times = copies - (uid == anchor[p])  # an anchor isn't its own partner, but other rows with its id and vector are
-            keep = ((labels == own[p]) == same_label) & (times > 0)
+            keep = labels == own[p] if same_label else labels != own[p]
+            itself = uid == anchor[p]
+            times = copies
+            if same_label and itself.any():  # an anchor isn't its own partner, but other rows with its id and vector are
+                times = copies - itself
+                keep &= times > 0
             last, found = p, (score[p][keep], ids[keep], times[keep])
         yield w, *found
 
@@ -157,11 +161,15 @@ def select_first(anchors: DataFrame, blocks: DataFrame, windows: DataFrame, ids:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 wid, top, least, cut = (_longs(getattr(row, c)) for c in ("wid", "top", "least", "cut"))
+                found = []
                 for w, score, vid, times in _matched(row, how.same_label):
-                    ok = (score <= top[w]) & ((score > least[w]) | ((score == least[w]) & (vid <= cut[w])))
-                    if ok.any():
-                        rows = pd.DataFrame({"wid": wid[w], "id": vid[ok], "score": score[ok], "times": times[ok]})
-                        yield rows.groupby(["wid", "id", "score"], as_index=False)["times"].sum()
+                    ok = np.flatnonzero((score >= least[w]) & (score <= top[w]))
+                    if cut[w] != MOST:
+                        ok = ok[(score[ok] > least[w]) | (vid[ok] <= cut[w])]
+                    if len(ok):
+                        found.append((np.full(len(ok), wid[w]), vid[ok], score[ok], times[ok]))
+                if found:
+                    yield pd.DataFrame(dict(zip(("wid", "id", "score", "times"), map(np.concatenate, zip(*found, strict=True)), strict=True)))
 
     def met(asked: DataFrame) -> DataFrame:
         return _anchor_blocks(anchors, asked, slots).join(blocks, "slot").drop("slot")

@@ -116,15 +116,16 @@ def _folded(log: DataFrame) -> DataFrame:
     ).filter(F.col("kind").isin(*KINDS) & F.col("place.seq").isNotNull())
     last = lambda value, *kinds: F.max(F.when(F.col("kind").isin(*kinds), value))
     place = F.col("place")
+    written = F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.col("text"))
     messages = (
         _keyed(events)
         .repartition("c", "r")
         .groupBy("c", "r", "turn", "branch")
         .agg(
             F.first("conv_id").alias("conv_id"),
-            F.collect_list(F.when(F.col("kind").isin("begin", "edit", "delta"), F.struct("place", "text"))).alias("pieces"),
-            last(F.struct("place", "role"), "begin").alias("begun"),
-            last(place, "begin", "regenerate", "edit").alias("reset"),
+            F.collect_list(F.when(F.col("kind") == "delta", F.struct("place", "text"))).alias("deltas"),
+            last(F.struct("place", "text", "role"), "begin").alias("begun"),
+            last(F.struct("place", written.alias("text")), "begin", "regenerate", "edit").alias("reset"),
             last(place, "regenerate").alias("again"),
             last(place, "delete").alias("deleted"),
         )
@@ -140,10 +141,9 @@ def _folded(log: DataFrame) -> DataFrame:
     messages = messages.withColumn("cut", F.greatest("inside", F.when(F.col("turn").isNotNull(), F.col("before"))))
     gone = F.greatest("cut", "deleted")
     messages = messages.filter(F.col("begun").isNotNull() & (gone.isNull() | (F.col("begun.place") > gone)))
-    since = F.greatest("reset", "cut")
-    pieces = F.array_sort(F.filter("pieces", lambda x: x["place"] >= F.col("since")))
-    messages = messages.withColumn("since", since).withColumn("text", F.array_join(F.transform(pieces, lambda x: x["text"]), ""))
-    return messages.select("c", "r", "conv_id", "turn", "branch", F.col("begun.role").alias("role"), "text")
+    since = F.array_sort(F.filter("deltas", lambda x: x["place"] > F.col("reset.place")))
+    text = F.concat(F.col("reset.text"), F.array_join(F.transform(since, lambda x: x["text"]), ""))
+    return messages.select("c", "r", "conv_id", "turn", "branch", F.col("begun.role").alias("role"), text.alias("text"))
 
 
 def fold(log: DataFrame) -> DataFrame:
@@ -157,8 +157,9 @@ def fold(log: DataFrame) -> DataFrame:
     last ``begin``. Null roles and texts are empty; null ids, turns and branches
     are values of their own, and a ``regenerate`` without a turn empties its
     message only. Events without a known kind or a seq do nothing. Events of a
-    message with the same seq are taken in the order of ``KINDS``, and deltas
-    among them by text. Repeated events count each. An empty log gives no rows.
+    message with the same seq are taken in the order of ``KINDS``, those of one
+    kind by text and role. A delta that is there twice counts twice. An empty
+    log gives no rows.
     """
     return _folded(log).drop("c", "r")
 

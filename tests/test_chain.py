@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weirstream.functions import binary
-from weirstream.sources import fetch
+from weirstream.sources import fetch, pages, transport
 from weirstream.streaming import sink
 
 BODY = bytes(random.Random(9).randbytes(5000))
@@ -36,6 +36,8 @@ class Handler(BaseHTTPRequestHandler):
             body, size = body[:2000], len(body)
         if self.path == "/echo":
             body = (self.headers.get("Cookie") or "").encode()
+        if self.path == "/key16":
+            body = BODY[:8] + (self.headers.get("Cookie") or "").encode()
         if self.path == "/gone" or (self.path == "/busy" and nth == 1):
             code, body = (404 if self.path == "/gone" else 503), b""
         self.send_response(code)
@@ -117,12 +119,35 @@ def test_tracks_of_an_init_segment(spark):
 
 
 def test_counters_run_on_over_batches(spark, tmp_path):
+    """Three runs over more and more files, then one that finds nothing new; against counting at once."""
     rng = random.Random(5)
-    rows = [(rng.randrange(2), seg, i, rng.choice([256, 257, 0x1FFF]), rng.choice([0, 1, 2, 3]), rng.randrange(16)) for seg in range(6) for i in range(20)]
-    packets = spark.createDataFrame(rows, "stream long, segment long, pkt_no long, pid long, afc int, cc int")
-    out = sink.CounterSink(str(tmp_path / "cc"))
-    for n in (0, 1, 1, 2):  # one batch comes twice
-        out.write(packets.filter(f"segment DIV 2 = {n}"), n)
-    seen = sorted(tuple(r) for r in out.read(spark).select("stream", "segment", "pkt_no", "pid", "afc", "out_cc").collect())
-    want = sorted(tuple(r) for r in binary.continuity(packets).select("stream", "segment", "pkt_no", "pid", "afc", "out_cc").collect())
-    assert seen == want and len(seen) == 120
+    rows = []
+    for seg in range(6):
+        for stream in ("a", "b"):
+            packets = [(rng.choice([256, 257, 0x1FFF]), rng.choice([0, 1, 2, 3]), rng.randrange(16)) for _ in range(20)]
+            rows.append((stream, seg, b"".join(bytes([0x47, pid >> 8, pid & 255, afc << 4 | cc]) + bytes(184) for pid, afc, cc in packets)))
+    frame = spark.createDataFrame(rows, "stream string, segment long, data binary")
+    out = sink.Counters(str(tmp_path / "cc"))
+    for n in (0, 1, 2, 2):
+        if not (tmp_path / f"in/part={n}").exists():
+            frame.filter(f"segment DIV 2 = {n}").write.parquet(str(tmp_path / f"in/part={n}"))
+        out.counting(spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in/part=*")), availableNow=True).awaitTermination()
+    seen = {(r.stream, r.segment): bytes(r.data) for r in out.read(frame).collect()}
+    assert seen == {(r.stream, r.segment): bytes(r.data) for r in transport.continued(frame).collect()} and len(seen) == 12
+
+
+def test_keys_are_fetched_once(spark, site):
+    uris = [f"{site}/key16", f"{site}/key16", f"{site}/whole", f"{site}/gone", "data:;base64,MDEyMzQ1Njc4OWFiY2RlZg==", "data:,short", "", None]
+    jar = spark.createDataFrame([("127.0.0.1", True, "/", False, 0, "b", "2"), ("127.0.0.1", True, "/key", False, 0, "a", "1"), ("127.0.0.1", True, "/", True, 0, "c", "3")], "domain string, subdomains boolean, path string, secure boolean, expires long, name string, value string")
+    frame = spark.createDataFrame([(u,) for u in uris], "uri string")
+    headers = pages.cookie_headers(frame.filter("uri LIKE 'http%'").withColumnRenamed("uri", "url"), jar)
+    assert {r.url.rsplit("/", 1)[1]: r.headers["Cookie"] for r in headers.collect()} == {"key16": "a=1; b=2", "whole": "b=2", "gone": "b=2"}
+    keys = pages.keys_by_uri(frame, headers, retries=1)
+    got = {r.uri.removeprefix(site): (r.key and bytes(r.key), r.error) for r in keys.collect()}
+    assert got == {
+        "/key16": (BODY[:8] + b"a=1; b=2", None), "/whole": (None, "key of 5000 bytes"), "/gone": (None, "not fetched: status 404"),
+        "data:;base64,MDEyMzQ1Njc4OWFiY2RlZg==": (b"0123456789abcdef", None), "data:,short": (None, "not a key of 16 bytes"),
+    }
+    assert Handler.seen["/key16"] == 1
+    segments = spark.createDataFrame([(1, (f"{site}/gone",)), (2, None)], "id long, key struct<uri:string>")
+    assert [(r.id, r.aes_key, r.key_error) for r in pages.with_keys(segments, keys).orderBy("id").collect()] == [(1, None, "not fetched: status 404"), (2, None, None)]

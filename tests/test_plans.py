@@ -100,11 +100,22 @@ def test_jobs(spark):
     rows = spark.createDataFrame([(1, "running", None), (2, "done", "2024-01-01 00:00:00"), (3, "error", "2024-01-02 00:00:00"), (4, "done", "2023-01-01 00:00:00")], "id long, state string, ended string").withColumn("ended", F.col("ended").cast("timestamp"))
     assert sorted(r.id for r in jobs.retained(rows, "2024-01-03 00:00:00", 7 * 86400, 2).collect()) == [1, 3]
     assert jobs.health(rows, 1).first().admits is False
-    log = spark.createDataFrame([("a\n1 segs | x\n2 segs | y\nend",), ("z" * 20,)], "log string")
-    got = jobs.kept_log(log, 25, 8).collect()
-    assert got[0].progress == "" and got[0].log == "| y\nend"[-8:] or got[0].log.endswith("end")
-    assert jobs.kept_log(log).first().progress == "2 segs | y"
+    writes = spark.createDataFrame([(1, 1, "a\n1 segs | x\n"), (1, 2, "2 segs | y \nend"), (1, 3, None), (2, 1, "z" * 20 + "é"), (3, 1, "")], "id long, n long, text string")
+    got = {r.id: (r.log, r.progress) for r in jobs.captured(writes, 20).collect()}
+    assert got == {1: ("gs | y \nend"[-10:], "2 segs | y"), 2: ("z" * 8 + "é", ""), 3: ("", "")}
+    assert {r.id: r.log for r in jobs.captured(writes).collect()}[1] == "a\n1 segs | x\n2 segs | y \nend"
+    asked = spark.createDataFrame([(1, 1), (2, 2), (3, 9), (4, 1)], "request_id long, id long")
+    answers = jobs.stop_answers(asked, rows)
+    assert {r.request_id: r.answer for r in answers.collect()} == {1: "stopping", 2: "job not running", 3: "no such job", 4: "stopping"}
+    assert {r.id: r.state for r in jobs.stopped(rows, answers).collect()} == {1: "stopped", 2: "done", 3: "error", 4: "done"}
     events = spark.createDataFrame([(1, 1, "running", ""), (1, 2, "done", ""), (2, 1, "running", "")], "id long, at long, state string, error string")
     assert {r.id: r.state for r in jobs.latest(events).collect()} == {1: "done", 2: "running"}
-    bad = spark.createDataFrame([("ok", "u", "hls"), ("no good", "u", ""), ("x", "", ""), ("y", "u", "avi")], "id string, url string, format string")
-    assert sorted(r.reason for r in jobs.violations(bad).collect()) == ["bad format", "bad id", "no url"]
+
+
+def test_progress_text(spark):
+    rows = [(49, 400, 3 << 20, 5000.9, False, 0.0), (9, 10, 100, 2.0, False, 0.0), (0, 0, 0, 0.0, False, 0.0), (3, 9, 1536, float(1 << 30), True, 3723.5), (5, 9, 2500, 10.0, True, 59.4)]
+    got = [r.line for r in telemetry.progress_text(spark.createDataFrame(rows, "done long, total long, bytes long, speed double, live boolean, elapsed_s double")).collect()]
+    assert got == [
+        " 12.2% | 49/400 segs | 3.0MiB | 5KiB/s | ETA 1h15m6s", " 90.0% | 9/10 segs | 100B | 2B/s | ETA 5s", "  0.0% | 0/0 segs | 0B | 0B/s | ETA ?",
+        "REC 1h2m4s | 3 segs | 2KiB | 1.00GiB/s", "REC 59s | 5 segs | 2KiB | 10B/s",
+    ]

@@ -6,6 +6,7 @@ box parsing are batch UDFs, as Spark has no such functions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,11 +152,27 @@ def _found(b: bytes, start: int, end: int, *path: bytes) -> Iterator[tuple[int,
                 yield first, last
 
 
-def _entry_head(b: bytes, kind: bytes, first: int) -> int:
-    """Bytes of a sample entry before its boxes: 78 of video; 28 of audio, more in its versions 1 and 2."""
-    if kind == b"encv":
-        return 78
-    return {1: 44, 2: 64}.get(int.from_bytes(b[first + 8 : first + 10], "big"), 28)
+#: What may lie between a sample entry's head and its boxes: of video, of audio in its three versions, nothing.
+ENTRY_HEADS = (78, 28, 44, 36, 8)
+_BOX_TYPE = re.compile(rb"[A-Za-z0-9 ]{4}")
+
+
+def tiles(b: bytes, start: int, end: int) -> bool:
+    """Whether boxes fill a stretch to the byte."""
+    while start < end:
+        size = int.from_bytes(b[start : start + 4], "big")
+        if size == 1 and start + 16 <= end:
+            size = int.from_bytes(b[start + 8 : start + 16], "big")
+        if start + 8 > end or size < 8 or start + size > end or not _BOX_TYPE.fullmatch(b, start + 4, start + 8):
+            return False
+        start += size
+    return True
+
+
+def entry_boxes(b: bytes, first: int, last: int) -> int | None:
+    """Where a sample entry's boxes begin: at the first known head after which boxes tile it exactly and a sinf is among them, else at the first with any tiling."""
+    fits = [first + head for head in ENTRY_HEADS if first + head <= last and tiles(b, first + head, last)]
+    return next((at for at in fits if any(kind == b"sinf" for kind, *_ in box_spans(b, at, last))), fits[0] if fits else None)
 
 
 def _tracks(b: bytes) -> Iterator[tuple]:
@@ -165,7 +182,9 @@ def _tracks(b: bytes) -> Iterator[tuple]:
         for kind, _, first, last in entries:
             if kind not in (b"encv", b"enca"):
                 continue
-            inside = first + _entry_head(b, kind, first)
+            inside = entry_boxes(b, first, last)
+            if inside is None:
+                continue
             tenc = next(_found(b, inside, last, b"sinf", b"schi", b"tenc"), None)
             if tenc is None or tenc[1] - tenc[0] < 24:
                 continue

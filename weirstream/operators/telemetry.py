@@ -154,3 +154,34 @@ def progress(counts: DataFrame) -> DataFrame:
     told = (F.col("speed") > 1) & (F.col("total") > F.col("done")) & (F.col("done") > 8) & (eta < 360_000)
     percent = F.when(F.col("total") > 0, F.floor(F.col("done") * 100 / F.col("total")).cast("bigint")).otherwise(F.lit(0))
     return counts.withColumns({"percent": percent.cast("long"), "eta": F.when(told, F.floor(eta).cast("bigint").cast("string")).otherwise(F.lit("?"))})
+
+
+def size_text(n: Column) -> Column:
+    """Bytes as a progress line tells them."""
+    x = n.cast("double")
+    of = lambda unit, digits: F.bround(x / unit, digits)
+    return (
+        F.when(x >= 1 << 30, F.format_string("%.2fGiB", of(1 << 30, 2)))
+        .when(x >= 1 << 20, F.format_string("%.1fMiB", of(1 << 20, 1)))
+        .when(x >= 1 << 10, F.format_string("%.0fKiB", of(1 << 10, 0)))
+        .otherwise(F.format_string("%dB", n.cast("long")))
+    )
+
+
+def seconds_text(seconds: Column) -> Column:
+    """Whole seconds as ``1h2m3s``, without leading parts that are none."""
+    s = seconds.cast("long")
+    h, m = F.floor(s / 3600).cast("long"), F.floor(s / 60).cast("long") % 60
+    return F.concat(F.when(h > 0, F.format_string("%dh", h)).otherwise(F.lit("")), F.when((h > 0) | (m > 0), F.format_string("%dm", m)).otherwise(F.lit("")), F.format_string("%ds", s % 60))
+
+
+def progress_text(counts: DataFrame) -> DataFrame:
+    """Counts (done, total, bytes, speed, live, elapsed_s) with ``line``: of live streams how long and how much, of others also how far and how long still."""
+    share = F.coalesce(F.try_divide(F.col("done"), F.col("total")), F.lit(0.0)) * 100
+    eta = F.try_divide(F.try_divide(F.col("bytes").cast("double"), F.col("done").cast("double")) * (F.col("total") - F.col("done")).cast("double"), F.col("speed"))
+    told = (F.col("speed") > 1) & (F.col("total") > F.col("done")) & (F.col("done") > 8) & (eta < 360_000)
+    left = F.when(told, seconds_text(F.floor(eta))).otherwise(F.lit("?"))
+    moved = [size_text(F.col("bytes")), F.lit(" | "), size_text(F.floor("speed")), F.lit("/s")]
+    live = F.concat(F.lit("REC "), seconds_text(F.floor(F.col("elapsed_s") + 0.5)), F.lit(" | "), F.col("done").cast("string"), F.lit(" segs | "), *moved)
+    vod = F.concat(F.format_string("%5.1f%%", F.bround(share, 1)), F.lit(" | "), F.col("done").cast("string"), F.lit("/"), F.col("total").cast("string"), F.lit(" segs | "), *moved, F.lit(" | ETA "), left)
+    return counts.withColumn("line", F.when(F.col("live"), live).otherwise(vod))

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog_queries, views
+from . import catalog_queries, live_queries, views
 from .functions import binary, scalars
 from .operators import cues, jobs, status, telemetry, window
 from .plans import segments, select
+from .scratch import replayed
 from .sources import dash, hls, pages, subtitles
 from .streaming import live
 from .views import table, with_views
@@ -170,37 +168,15 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "file", (F.floor(F.col("n") / 1024)).cast("bigint").alias("kib"))
 
 
-def _replayed(rows: DataFrame, step) -> DataFrame:
-    """Run a streaming step over ``rows`` as a file stream of four batches in the order of the second column, and read what it wrote."""
-    spark = rows.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.mkdtemp(prefix="weirstream-")
-    root = f"{shared}/stream-{uuid.uuid4().hex}"
-    at = rows.columns[1]
-    lo, hi = rows.agg(F.min(at), F.max(at)).first()
-    quarter = F.least(F.floor((F.col(at) - lo) * 4 / F.lit(max(1, (hi or 0) - (lo or 0)))), F.lit(3)).cast("int")
-    rows.withColumn("_quarter", quarter).write.partitionBy("_quarter").parquet(f"{root}/in")
-    out = None
-    for i in range(4):  # a run for each quarter, with as many files as its rows make; state goes on between them
-        source = spark.readStream.schema(rows.schema).parquet(f"{root}/in/_quarter={'{' + ','.join(map(str, range(i + 1))) + '}'}")
-        out = step(source)
-        run = out.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start(f"{root}/out")
-        run.awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{root}/out")
-
-
 def live_dedupe_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which of equal segments comes first depends on batches, so the result has the keys."""
     rows = views.segments(spark, sf_dir).select("stream_id", "seg_ord", "url")
-    return _replayed(rows, lambda s: live.fresh_segments(s, ["^error-"])).select("stream_id", "url")
+    return replayed(rows, lambda s: live.fresh_segments(s, ["^error-"])).select("stream_id", "url")
 
 
 def live_window_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.arrivals(spark, sf_dir).select("track_id", "arrival", "duration", "discontinuity")
-    return _replayed(rows, live.live_window).select("track_id", "seq", "dur", "start_ms", "discontinuity")
+    return replayed(rows, live.live_window).select("track_id", "seq", "dur", "start_ms", "discontinuity")
 
 
 def hls_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,7 +276,7 @@ QUERIES = {
     "cc_rewrite": cc_rewrite,
     "lang639": lang639,
     "url_parts": url_parts,
-} | catalog_queries.QUERIES
+} | catalog_queries.QUERIES | live_queries.QUERIES
 
 
 def _take_sql(where: str, take: str = "") -> str:
@@ -524,4 +500,4 @@ ORACLE = {
     ),
     "lang639": "SELECT doc_id, CASE coalesce(lang, '') WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' ELSE coalesce(lang, '') END AS lang3 FROM documents",
     "url_parts": "SELECT page_id, regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g') AS file, octet_length(encode(html)) // 1024 AS kib FROM pages",
-} | catalog_queries.ORACLE
+} | catalog_queries.ORACLE | live_queries.ORACLE

@@ -176,6 +176,14 @@ def _segments(manifests: DataFrame, now: str | None) -> DataFrame:
     return segs.withColumns({"stream_id": F.when(same, F.col("track")).otherwise(F.concat("track", F.lit(".p"), F.col("period").cast("string"))), "goes_on": same & begins})
 
 
+def rejected(manifests: DataFrame) -> DataFrame:
+    """manifest_id, period, track, reason: tracks whose template can't be counted out; they have no segments."""
+    rows = representations(manifests).filter(F.col("templated") & F.col("timeline").isNull())
+    no_length = ~F.col("live") & (F.col("period_dur") <= 0)
+    reason = F.when(F.col("duration") <= 0, F.lit("template without timeline and duration")).when(no_length, F.lit("no length of the period to count segments to"))
+    return rows.select("manifest_id", "period", "track", reason.alias("reason")).filter("reason IS NOT NULL")
+
+
 def parse_segments(manifests: DataFrame, now: str | None = None) -> DataFrame:
     """Segments of all tracks, periods joined: manifest_id, stream_id, period, track, seg_ord, url, duration, range, kid, init, seq, discontinuity.
 

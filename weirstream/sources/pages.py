@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.urls import resolve
+from . import fetch
 
 
 #: Names of attributes that link to media; longer names that end so count as well.
@@ -110,6 +111,28 @@ def data_uri_keys(uris: DataFrame) -> DataFrame:
     return rows.select("uri", F.when(F.octet_length(key) == 16, key).alias("key"))
 
 
+def keys_by_uri(uris: DataFrame, headers: DataFrame | None = None, tasks: int = 8, retries: int = 5, timeout: float = 30.0) -> DataFrame:
+    """uri, key, error of all distinct URIs (uri): ``data:`` ones are read, the others fetched, each once. Keys must have 16 bytes; what fails is a row with its error.
+
+    ``headers`` (url, headers map) go with the requests, such as ``cookie_headers``.
+    """
+    every = uris.select("uri").filter("uri IS NOT NULL AND uri <> ''").distinct()
+    plain = data_uri_keys(every).withColumn("error", F.when(F.col("key").isNull(), F.lit("not a key of 16 bytes")))
+    asked = every.filter(~F.col("uri").startswith("data:")).select(F.col("uri").alias("url"), F.lit(None).cast("struct<start:bigint,end:bigint>").alias("span"))
+    asked = asked.join(headers, "url", "left") if headers is not None else asked.withColumn("headers", F.lit(None).cast("map<string,string>"))
+    got = fetch.fetched(asked.repartition(tasks, "url"), retries, timeout)
+    whole = F.octet_length("body") == 16
+    error = F.when(F.col("body").isNull(), F.concat(F.lit("not fetched: status "), F.col("status").cast("string"))).when(~whole, F.concat(F.lit("key of "), F.octet_length("body").cast("string"), F.lit(" bytes")))
+    return plain.unionByName(got.select(F.col("url").alias("uri"), F.when(whole, F.col("body")).alias("key"), error.alias("error")))
+
+
+def cookie_headers(urls: DataFrame, jar: DataFrame) -> DataFrame:
+    """url, headers: the ``Cookie`` header of each URL that cookies go with, in the order of their names and values."""
+    pairs = F.array_sort(F.collect_list(F.concat("name", F.lit("="), F.col("value"))))
+    return cookies_for(urls.select("url").distinct(), jar).groupBy("url").agg(F.create_map(F.lit("Cookie"), F.array_join(pairs, "; ")).alias("headers"))
+
+
 def with_keys(segments: DataFrame, keys: DataFrame) -> DataFrame:
-    """Segments with ``aes_key`` by their key's URI; each URI is looked up once."""
-    return segments.withColumn("uri", F.col("key.uri")).join(keys.select("uri", F.col("key").alias("aes_key")), "uri", "left").drop("uri")
+    """Segments with ``aes_key`` by their key's URI, and ``key_error`` if ``keys`` has errors; each URI is looked up once."""
+    told = [F.col("error").alias("key_error")] if "error" in keys.columns else []
+    return segments.withColumn("uri", F.col("key.uri")).join(keys.select("uri", F.col("key").alias("aes_key"), *told), "uri", "left").drop("uri")

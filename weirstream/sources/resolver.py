@@ -46,17 +46,24 @@ def catalog(bodies: DataFrame, fetched: DataFrame, now: str | None = None) -> Da
     return of_hls.unionByName(of_dash, allowMissingColumns=True)
 
 
-def refreshed(known: DataFrame, snapshots: DataFrame, now: str | None = None) -> DataFrame:
+def refreshed(known: DataFrame, snapshots: DataFrame, now: str | None = None, kinds: tuple[str, ...] = ("hls", "dash")) -> DataFrame:
     """Segments of the known streams (manifest_id, id) after a refresh, with ``lost`` rows for those that the new manifest lacks.
 
     ``snapshots`` (manifest_id, url, body) are the bodies as fetched again. HLS
     playlists are their stream; tracks of a DASH manifest are matched by id.
+    ``kinds``: those that can be among them, which spares the plan of the other.
     """
     rows = snapshots.withColumn("kind", kind_of(F.col("body")))
-    playlist = hls.parse_media(rows.filter("kind = 'hls'")).withColumnRenamed("stream_id", "manifest_id")
-    of_hls = known.select("manifest_id", "id").join(playlist.select("manifest_id", "seg_ord", "url", "duration", "range"), "manifest_id")
-    tracks = dash.parse_segments(rows.filter("kind = 'dash'"), now).withColumnRenamed("stream_id", "id")
-    of_dash = known.select("manifest_id", "id").join(tracks.select("manifest_id", "id", "seg_ord", "url", "duration", "range"), ["manifest_id", "id"])
-    found = of_hls.unionByName(of_dash).withColumn("lost", F.lit(False))
-    gone = known.select("manifest_id", "id").join(found.select("manifest_id", "id").distinct(), ["manifest_id", "id"], "left_anti").withColumn("lost", F.lit(True))
-    return found.unionByName(gone, allowMissingColumns=True)
+    found = []
+    if "hls" in kinds:
+        playlist = hls.parse_media(rows.filter("kind = 'hls'")).withColumnRenamed("stream_id", "manifest_id")
+        found.append(known.select("manifest_id", "id").join(playlist.select("manifest_id", "seg_ord", "url", "duration", "range"), "manifest_id"))
+    if "dash" in kinds:
+        tracks = dash.parse_segments(rows.filter("kind = 'dash'"), now).withColumnRenamed("stream_id", "id")
+        found.append(known.select("manifest_id", "id").join(tracks.select("manifest_id", "id", "seg_ord", "url", "duration", "range"), ["manifest_id", "id"]))
+    if not found:
+        return known.select("manifest_id", "id", *[F.lit(None).cast(t).alias(c) for c, t in (("seg_ord", "long"), ("url", "string"), ("duration", "double"), ("range", "struct<start:bigint,end:bigint>"))], F.lit(True).alias("lost"))
+    both = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    both = both.withColumn("lost", F.lit(False))
+    gone = known.select("manifest_id", "id").join(both.select("manifest_id", "id").distinct(), ["manifest_id", "id"], "left_anti").withColumn("lost", F.lit(True))
+    return both.unionByName(gone, allowMissingColumns=True)

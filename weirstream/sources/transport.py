@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.binary import continuity
+from ..functions import tscipher
 
 SIZE = 188
 
@@ -39,36 +41,99 @@ def packets(segments: DataFrame) -> DataFrame:
     })
 
 
-def continued(segments: DataFrame) -> DataFrame:
-    """Segments with continuity counters that run on over all of a stream's segments."""
-    rows = continuity(packets(segments))
-    head, tail = F.substring("raw", 1, 3), F.substr("raw", F.lit(5), F.lit(SIZE))
-    fourth = F.unhex(F.lpad(F.hex((F.floor(_byte(F.col("raw"), 3) / 16) * 16 + F.col("out_cc")).cast("bigint")), 2, "0"))
-    changed = F.when(F.col("aligned") & (F.col("out_cc") != F.col("cc")), F.concat(head, fourth, tail)).otherwise(F.col("raw"))
-    out = rows.groupBy("stream", "segment").agg(F.array_sort(F.collect_list(F.struct("pkt_no", F.hex(changed).alias("h")))).alias("p"))
-    return out.select("stream", "segment", F.unhex(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("data"))
+def _counting(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a segment's packets those that count (with payload, no null packets, before the first without sync byte): their places, PIDs, and numbers among those of the PID."""
+    n = len(b) // SIZE
+    head = np.frombuffer(b[: n * SIZE], np.uint8).reshape(n, SIZE)[:, :4]
+    lost = np.flatnonzero(head[:, 0] != 0x47)
+    head = head[: lost[0]] if len(lost) else head
+    pid = (head[:, 1].astype(np.int32) & 31) << 8 | head[:, 2]
+    places = np.flatnonzero((head[:, 3] >> 4 & 1 == 1) & (pid != 0x1FFF))
+    pid = pid[places]
+    by_pid = np.argsort(pid, kind="stable")
+    ordered = pid[by_pid]
+    nth = np.empty(len(pid), np.int64)
+    nth[by_pid] = np.arange(len(pid)) - np.searchsorted(ordered, ordered)
+    return places, pid, nth
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("n", T.LongType())])))
+def payload_counts(data: pd.Series) -> pd.Series:
+    """How many packets of each PID count in a segment."""
+
+    def count(b: bytes | None) -> list[dict]:
+        pids, n = np.unique(_counting(b or b"")[1], return_counts=True)
+        return [{"pid": p, "n": k} for p, k in zip(pids.tolist(), n.tolist(), strict=True)]
+
+    return data.map(count)
+
 
+@F.pandas_udf(T.BinaryType())
+def recounted(data: pd.Series, starts: pd.Series) -> pd.Series:
+    """Segments whose counters go on from ``starts``, an array of struct<pid, before>."""
 
-def _payload(packet: bytes) -> bytes:
-    afc = packet[3] >> 4 & 3
-    return b"" if not afc & 1 else packet[5 + packet[4] :] if afc == 3 else packet[4:]
+    def write(b: bytes | None, given) -> bytes | None:
+        if b is None:
+            return None
+        out = np.frombuffer(b, np.uint8).copy()
+        places, pid, nth = _counting(b)
+        before = {s["pid"]: s["before"] for s in (given if given is not None else ())}
+        first = np.array([before.get(p, 0) for p in pid.tolist()], np.int64)
+        at = places * SIZE + 3
+        out[at] = out[at] & 0xF0 | ((first + nth) % 16).astype(np.uint8)
+        return out.tobytes()
+
+    return pd.Series([write(*x) for x in zip(data, starts, strict=True)], dtype=object)
+
+
+def counts_of(segments: DataFrame) -> DataFrame:
+    """stream, segment, pid, n of segments (stream, segment, data), batch or stream."""
+    rows = segments.select("stream", "segment", F.explode(payload_counts("data")).alias("c"))
+    return rows.select("stream", "segment", F.col("c.pid").alias("pid"), F.col("c.n").alias("n"))
+
+
+def rewritten(segments: DataFrame, starts: DataFrame) -> DataFrame:
+    """Segments with counters that go on from ``starts`` (stream, segment, pid, before); the bytes are changed in their rows."""
+    by_segment = starts.groupBy(F.col("stream").alias("_st"), F.col("segment").alias("_seg")).agg(F.collect_list(F.struct("pid", "before")).alias("_starts"))
+    rows = segments.join(by_segment, F.col("stream").eqNullSafe(F.col("_st")) & F.col("segment").eqNullSafe(F.col("_seg")), "left")
+    return rows.select("stream", "segment", recounted("data", "_starts").alias("data"))
+
+
+def continued(segments: DataFrame) -> DataFrame:
+    """Segments with continuity counters that run on over all of a stream's segments. Only the counts are added up across segments."""
+    counts = counts_of(segments)
+    earlier = Window.partitionBy("stream", "pid").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    return rewritten(segments, counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
 
 
 def sections(b: bytes, pid: int) -> Iterator[bytes]:
     """Whole PSI sections of one PID, put together over packets."""
-    held = b""
+    held = tscipher.Sections()
     for at in range(0, len(b) - SIZE + 1, SIZE):
         packet = b[at : at + SIZE]
-        if packet[0] != 0x47 or ((packet[1] & 31) << 8 | packet[2]) != pid:
-            continue
-        load = _payload(packet)
-        if packet[1] & 0x40:
-            held = load[1 + load[0] :] if load else b""
-        elif held:
-            held += load
-        if len(held) >= 3 and len(held) >= (size := 3 + ((held[1] & 15) << 8 | held[2])):
-            yield held[:size]
-            held = b""
+        if packet[0] == 0x47 and (packet[1] & 31) << 8 | packet[2] == pid and (found := held.push(packet)):
+            yield found
+
+
+def services(segments: DataFrame) -> DataFrame:
+    """stream, segment, service, provider, name, iv of the services that a segment's tables name.
+
+    ``iv`` is what the name holds for the cipher over packets (see ``tscipher``),
+    16 bytes, or null. Names are read as UTF-8.
+    """
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for stream, segment, b in zip(frame["stream"], frame["segment"], frame["data"], strict=True):
+                for section in sections(b, tscipher.SERVICES) if b is not None else ():
+                    for service, provider, name in tscipher.service_names(section):
+                        iv = tscipher.iv_of(name)
+                        rows.append((stream, segment, service, provider.decode("utf-8", "replace"), name.decode("utf-8", "replace"), iv and iv.ljust(16, b"\0")))
+            yield pd.DataFrame(rows, columns=["stream", "segment", "service", "provider", "name", "iv"]).drop_duplicates()
+
+    kinds = {c: segments.schema[c].dataType.simpleString() for c in ("stream", "segment")}
+    return segments.select("stream", "segment", "data").mapInPandas(read, f"stream {kinds['stream']}, segment {kinds['segment']}, service int, provider string, name string, iv binary")
 
 
 def programs(segments: DataFrame) -> DataFrame:

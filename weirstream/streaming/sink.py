@@ -4,18 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.binary import continuity, counting, protection, segment_decrypt, without_image_header
+from ..functions.binary import protection, segment_decrypt, without_image_header
 from ..functions.cenc import clear
+from ..functions.tscipher import ts_decrypt
 from ..plans.segments import committed
+from ..sources import transport
+from . import ordering
 
 
 def transformed(pieces: DataFrame, inits: DataFrame | None = None) -> DataFrame:
-    """Pieces (stream_id, is_init, data, aes_key, iv, seq) as they are written: image headers off, then common encryption, then AES-128.
+    """Pieces (stream_id, is_init, data, aes_key, iv, seq) as they are written: image headers off, then common encryption, AES-128, and the packet cipher.
 
     With ``inits`` (stream_id, data), media pieces with a ``cenc_key`` are decrypted by what the
     stream's init segment says of its first encrypted track; streams without such a track, and init
-    pieces, keep their bytes. AES-128 is undone where there is an ``aes_key``, of init pieces too.
+    pieces, keep their bytes. AES-128 is undone where there is an ``aes_key``, of init pieces too. Media
+    pieces with a ``ts_key`` (a column that may be missing) are deciphered by the IV in their own tables.
     """
     rows = pieces.withColumn("data", without_image_header(F.col("data")))
     if inits is not None:
@@ -24,7 +29,11 @@ def transformed(pieces: DataFrame, inits: DataFrame | None = None) -> DataFrame:
         how = lambda name: F.col(f"_how.{name}")
         key = F.when(~F.col("is_init") & F.col("_how").isNotNull(), F.col("cenc_key"))
         rows = rows.join(about, "stream_id", "left").withColumn("data", clear(F.col("data"), key, *map(how, ("scheme", "iv_size", "crypt", "skip", "constant_iv")))).drop("_how")
-    return rows.withColumn("data", F.when(F.col("aes_key").isNotNull(), segment_decrypt(F.col("data"), F.col("aes_key"), F.col("iv"), F.col("seq"))).otherwise(F.col("data")))
+    rows = rows.withColumn("data", F.when(F.col("aes_key").isNotNull(), segment_decrypt(F.col("data"), F.col("aes_key"), F.col("iv"), F.col("seq"))).otherwise(F.col("data")))
+    if "ts_key" in rows.columns:
+        key = F.when(~F.col("is_init"), F.col("ts_key"))
+        rows = rows.withColumn("data", F.when(key.isNotNull(), ts_decrypt(F.when(key.isNotNull(), F.col("data")), key)).otherwise(F.col("data")))
+    return rows
 
 
 def placed(pieces: DataFrame) -> DataFrame:
@@ -51,38 +60,30 @@ class SegmentSink:
         self.path = path
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
-        batch.repartition("stream_id").sortWithinPartitions("stream_id", "idx").write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
+        batch.repartitionByRange("stream_id", "idx").sortWithinPartitions("stream_id", "idx").write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*").drop("batch")
 
 
-class CounterSink:
-    """Continuity counters that run on over the batches of a stream of packets.
+class Counters:
+    """Continuity counters that run on over the batches of a stream of segments (stream, segment, data).
 
-    ``write`` is for ``foreachBatch`` and takes packets (see ``continuity``). How many packets
-    of each PID have counted so far is kept beside the packets by batch, so a batch that comes again
-    gets the same counters; a stream's batches must come in the order of its segments.
+    ``counting`` keeps, for each stream and PID, how many packets have counted so far as state, and writes
+    down where each segment's counters begin; ``read`` rewrites segments by that. A stream's batches
+    must come in the order of its segments.
     """
 
     def __init__(self, path: str):
         self.path = path
 
-    def _counts(self, spark: SparkSession, batch_id: int) -> DataFrame:
-        if batch_id < 0:
-            return spark.createDataFrame([], "stream long, pid long, so_far long")
-        return spark.read.parquet(f"{self.path}/counts/{batch_id}")
+    def counting(self, segments: DataFrame, **trigger) -> StreamingQuery:
+        ordering.use_rocksdb(segments.sparkSession)
+        starts = ordering.running_starts(transport.counts_of(segments))
+        out = starts.writeStream.format("parquet").option("checkpointLocation", f"{self.path}/checkpoint")
+        return (out.trigger(**trigger) if trigger else out).start(f"{self.path}/starts")
 
-    def write(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = self._counts(spark, batch_id - 1).select(F.col("stream").alias("_st"), F.col("pid").alias("_pid"), "so_far")
-        same = F.col("stream").eqNullSafe(F.col("_st")) & (F.col("pid") == F.col("_pid"))
-        rows = continuity(batch).join(earlier, same, "left")
-        on = F.when(counting(), ((F.col("out_cc") + F.coalesce("so_far", F.lit(0))) % 16).cast("int")).otherwise(F.col("out_cc"))
-        rows.withColumn("out_cc", on).drop("_st", "_pid", "so_far").write.mode("overwrite").parquet(f"{self.path}/packets/batch={batch_id}")
-        new = batch.filter(counting()).groupBy(F.col("stream").cast("long").alias("stream"), F.col("pid").cast("long").alias("pid")).agg(F.count(F.lit(1)).alias("so_far"))
-        total = self._counts(spark, batch_id - 1).unionByName(new).groupBy("stream", "pid").agg(F.sum("so_far").alias("so_far"))
-        total.write.mode("overwrite").parquet(f"{self.path}/counts/{batch_id}")
-
-    def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", f"{self.path}/packets").parquet(f"{self.path}/packets/batch=*").drop("batch")
+    def read(self, segments: DataFrame) -> DataFrame:
+        kinds = dict(segments.dtypes)
+        starts = segments.sparkSession.read.schema(f"stream {kinds['stream']}, pid int, segment {kinds['segment']}, before long").parquet(f"{self.path}/starts")
+        return transport.rewritten(segments, starts)

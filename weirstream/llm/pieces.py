@@ -25,8 +25,10 @@ from pyspark.sql import types as T
 MARK = "▁"
 #: An unknown character scores this much below the least piece.
 UNKNOWN_PENALTY = 10.0
-#: Segmentations of text chunks that a worker remembers.
-CACHE = 400_000
+#: Segmentations of text chunks that a worker remembers, each of a chunk of at most so many bytes.
+CACHE, CACHED_BYTES = 400_000, 256
+#: Positions times chunks that are segmented in step at a time, at some 20 bytes each.
+CELLS = 2_000_000
 
 
 class DoubleArray:
@@ -47,7 +49,7 @@ class DoubleArray:
                     children.append({})
                 node = nxt
             ends[node] = number
-        size = 4 * len(children) + 1024
+        size = 4 * len(children) + 8192
         base, check, value = np.zeros(size, np.int32), np.full(size, -1, np.int32), np.full(size, -1, np.int32)
         check[0] = 0
         flags = bytearray(size)
@@ -65,6 +67,10 @@ class DoubleArray:
             low = int(codes.min())
             free = start = flags.find(0, free)
             while True:  # the first place where all children's slots are free
+                if start + 4096 > size:  # room for another stretch of places and for what lies behind the last of them
+                    base, check, value = (np.concatenate([a, np.full(size, fill, np.int32)]) for a, fill in ((base, 0), (check, -1), (value, -1)))
+                    flags = bytearray(taken.tobytes()) + bytes(size)
+                    taken, size = np.frombuffer(flags, np.bool_), 2 * size
                 places = np.flatnonzero(~taken[start : start + 2048]) + start - low
                 places = places[places > 0]
                 fits = np.flatnonzero(~taken[places[:, None] + codes].any(axis=1))
@@ -140,6 +146,7 @@ class Codec:
         line = "\n" if not any("\n" in p for p in matchable) else ""
         self.chunks = re.compile(f"{MARK}*[^{MARK}{line}]+|{MARK}+" + (f"|{line}" if line else "") if apart else "(?s).+").findall
         self.cache: dict[str, bytes] = {}  # a chunk's ids as 32-bit numbers in a row
+        self.long: list[str] = []  # chunks that are forgotten after their batch
         self.spelled = [p.encode() for p in v.pieces]
         for b, i in enumerate(v.byte_ids):
             self.spelled[i] = bytes([b])
@@ -147,11 +154,11 @@ class Codec:
             if s == -math.inf and i not in v.byte_ids:
                 self.spelled[i] = " ⁇ ".encode() if i == v.unknown else b""
 
-    def _segment(self, chunk: str) -> tuple[int, ...]:
-        """Viterbi over byte positions; of equal paths the one whose last piece is longer."""
+    def _segment(self, chunk: str) -> array:
+        """Viterbi over byte positions, 16 bytes of memory for each; of equal paths the one whose last piece is longer."""
         data, base, check, value, scores = chunk.encode(), self.base, self.check, self.value, self.v.scores
         n = len(data)
-        best, came, by = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best, came, by = array("d", [-math.inf]) * (n + 1), array("i", [0]) * (n + 1), array("i", [-1]) * (n + 1)
         best[0] = 0.0
         at = 0
         while at < n:
@@ -177,7 +184,7 @@ class Codec:
                 if score > best[i]:
                     best[i], came[i], by[i] = score, at, -1
             at += width
-        path = []
+        path = array("i")
         at = n
         while at:
             start = came[at]
@@ -188,26 +195,31 @@ class Codec:
             elif not (path and path[-1] == self.v.unknown):
                 path.append(self.v.unknown)
             at = start
-        return tuple(reversed(path))
+        path.reverse()
+        return path
 
     def split(self, text: str) -> list[str]:
         """The text as pieces write it, in chunks that can be segmented each for itself."""
         return self.chunks(MARK + text.replace(" ", MARK))
 
     def remember(self, chunks: set[str]) -> None:
-        """Segment the chunks that the cache lacks: those of like length many at a time, a few very long ones each for itself."""
+        """Segment the chunks that the cache lacks: those of like length many at a time, as many as ``CELLS`` allow, long ones each for itself."""
         if len(self.cache) > CACHE:
             self.cache.clear()
         new = list(chunks.difference(self.cache))
         data = [c.encode() for c in new]
         size = np.fromiter(map(len, data), np.int64, len(data))
+        self.long += [c for c, n in zip(new, size.tolist(), strict=True) if n > CACHED_BYTES]
         order = np.argsort(size, kind="stable")
-        ends = np.cumsum(size[order])
+        ascending = size[order]
         start = 0
-        while start < len(order):  # about half a million bytes and at most 20,000 chunks at a time
-            stop = max(start + 1, min(start + 20_000, int(np.searchsorted(ends, ends[start] + 500_000))))
+        while start < len(order):
+            # the longest has at most twice the bytes of the shortest, and memory is that of the longest for each
+            alike = int(np.searchsorted(ascending, 2 * ascending[start] + 8, "right"))
+            cells = ascending[start : min(alike, start + 20_000)] * np.arange(1, min(alike, start + 20_000) - start + 1)
+            stop = start + max(1, int(np.searchsorted(cells, CELLS, "right")))
             part = order[start:stop].tolist()
-            if len(part) < 16:
+            if len(part) < 16 or ascending[start] > CELLS // 16:
                 self.cache.update((new[i], _packed(self._segment(new[i]))) for i in part)
             else:
                 self._segment_many([new[i] for i in part], [data[i] for i in part], size[order[start:stop]])
@@ -279,6 +291,9 @@ class Codec:
         self.remember(set(chain.from_iterable(split)))
         cached = self.cache.__getitem__
         found = [b"".join(map(cached, chunks)) for chunks in split]
+        for chunk in self.long:
+            del self.cache[chunk]
+        self.long = []
         return np.frombuffer(b"".join(found), np.int32), np.cumsum([0, *map(len, found)]) // 4
 
     def encode(self, text: str | None) -> list[int]:
@@ -318,8 +333,8 @@ def encoded(docs: DataFrame, v: Vocabulary, text: str = "text") -> DataFrame:
 
     Whole texts are encoded. Null gives null ids; an empty text gives none.
     Columns named ``ids`` or ``n_bytes`` are replaced. Rows are encoded where
-    they are, without a shuffle; a worker holds one batch of texts and a bounded
-    cache.
+    they are, without a shuffle; a worker holds one batch of texts, some 20 bytes
+    for each of a chunk's, and a bounded cache. Repeated rows are encoded each.
     """
     docs = docs.drop("ids", "n_bytes")
     shared = docs.sparkSession.sparkContext.broadcast(v)

@@ -95,3 +95,42 @@ def test_sharding_query(spark, folder):
     text = {d[0]: (d[1] or "").encode() for d in docs}
     got = {r.doc_id: (r["size"], r.text_crc32, r.law, r.shard, r.slot, r.grown_shard) for r in queries.op10_sharding(spark, path).collect()}
     assert got == {d: (len(text[d]) + 1, zlib.crc32(text[d]), "rows", *want[at], None) for at, d in enumerate(order)}
+
+
+def test_sentencepiece_query(spark, folder):
+    """Every text segmented character by character over the model's own pieces; of equal paths the one whose last piece is longer."""
+    import math
+
+    import numpy as np
+    import sentencepiece
+
+    path, docs, _ = folder
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.default_model_file())
+    plain = [i for i in range(sp.vocab_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    ranked = sorted(plain, key=lambda i: (-sp.get_score(i), i))
+    score = {sp.id_to_piece(i): (float(np.float32(-math.log(rank + 10))), i) for rank, i in enumerate(ranked)}
+    least, longest = min(s for s, _ in score.values()) - 10, max(map(len, score))
+    byte = {sp.id_to_piece(i): i for i in range(sp.vocab_size()) if sp.is_byte(i)}
+
+    def segmented(text):
+        text = "▁" + text.replace(" ", "▁")
+        best = [(0.0, 0, [])] + [(-math.inf, 0, [])] * len(text)
+        for end in range(1, len(text) + 1):
+            for start in range(max(0, end - longest), end):
+                found = score.get(text[start:end])
+                if found and best[start][0] + found[0] > best[end][0]:
+                    best[end] = (best[start][0] + found[0], start, [found[1]])
+            if text[end - 1] not in score and best[end - 1][0] + least > best[end][0]:
+                best[end] = (best[end - 1][0] + least, end - 1, [byte[f"<0x{b:02X}>"] for b in text[end - 1].encode()])
+        ids, at = [], len(text)
+        while at:
+            ids = best[at][2] + ids
+            at = best[at][1]
+        return ids
+
+    rows = {r.doc_id: r for r in queries.op3_sentencepiece(spark, path).collect()}
+    assert len(rows) == len(docs)
+    for i, text, *_ in docs:
+        want = segmented(text) if text else []
+        assert (rows[i].ids or []) == want and rows[i].n_tokens == len(want) and rows[i].round_trip
+        assert rows[i].n_byte_tokens == sum(x in byte.values() for x in want)

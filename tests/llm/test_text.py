@@ -216,3 +216,40 @@ def test_personal_data_query(spark, tmp_path):
         assert every == sorted(every, key=order) and rows[i].n_spans == len(every) and set(base) <= set(every)
         assert not any(a[1] < b[2] and b[1] < a[2] for a in more for b in base)
     assert {x.split(":")[0] for x in rows[len(texts) - 1].spans.split(",")} == {"phone", "email"}
+
+
+def test_small_vocabularies_have_tries():
+    for names in (["a", "b"], ["a", "ab", "\u2581"], [chr(i) for i in range(1, 256)], ["a" * i for i in range(1, 400)]):
+        v = pieces.vocabulary(["<unk>", *names], {i + 1: -1.0 - i * 0.01 for i in range(len(names))}, (), 0)
+        trie = pieces.DoubleArray([n.encode() for n in names])
+        for number, name in enumerate(names):
+            node = 0
+            for b in name.encode():
+                node = trie.base[node] + b
+            assert trie.value[node] == number
+        assert pieces.Codec(v).encode(names[0])[-1] == 1
+
+
+def test_chunks_of_all_lengths_in_bounded_memory():
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import random, resource
+resource.setrlimit(resource.RLIMIT_AS, (2 << 30, 2 << 30))
+from weirstream.llm import pieces, queries
+rng = random.Random(1)
+word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+c = pieces.Codec(pieces.load(queries.default_model_file()))
+texts = [" ".join(word(5) for _ in range(7000)), word(120_000), "x" * 1_000_000, " ".join(word(n) for n in range(1, 1500))]
+ids, ends = c.encode_all(texts)
+for t, a, b in zip(texts, ends[:-1], ends[1:]):
+    assert c.decode(ids[a:b].tolist()) == t
+    assert max(map(len, c.cache)) <= pieces.CACHED_BYTES
+d = pieces.Codec(c.v)
+for chunk in texts[3].split(" ")[::50]:
+    assert list(d._segment(pieces.MARK + chunk)) == c.encode(chunk)
+"""
+    env = {**os.environ, "OPENBLAS_NUM_THREADS": "1", "ARROW_NUM_THREADS": "1"}
+    subprocess.run([sys.executable, "-c", code], check=True, env=env, timeout=240)

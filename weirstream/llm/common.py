@@ -74,6 +74,16 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns that begin with two underscores called otherwise, and their names now and before.
+
+    The operators call temporary columns so; ``withColumnsRenamed`` by the second result puts the names back.
+    """
+    private = [c for c in df.columns if c.startswith("__")]
+    names = fresh(df, *[f"column{i}" for i in range(len(private))])
+    return df.withColumnsRenamed(dict(zip(private, names, strict=True))), dict(zip(names, private, strict=True))
+
+
 def n_salts(spark: SparkSession) -> int:
     """Into how many parts a hot key is dealt: as many as shuffles have partitions."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -11,10 +11,10 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import drop_at_end, n_salts, shared_dir, staged
+from .common import aside, drop_at_end, n_salts, shared_dir, staged
 
 _INDEX_SCHEMA = "digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING"
 
@@ -55,9 +55,13 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
+def digest_of(text: Column) -> Column:
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+
+
 def with_digest(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``digest``: SHA-256 of the text in UTF-8; null counts as empty."""
-    return docs.withColumn("digest", F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
+    return docs.withColumn("digest", digest_of(F.col(text)))
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -112,14 +116,15 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     Repeated rows (same id, same text) leave one row; which of them is not told
     apart, but for other columns the least row in their order stays.
     """
-    key = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__no_id"), F.col("digest").alias("__d")]
-    kept = exact_dedup(docs, index).filter("kept").select(*key)
+    docs, names = aside(docs)
+    key = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__no_id")]
+    kept = exact_dedup(docs, index).filter("kept").select(*key, F.col("digest").alias("__d"))
     rank = Window.partitionBy("__id", "__no_id", "__d").orderBy(*[F.col(c) for c, kind in docs.dtypes if c not in ("doc_id", "text") and not kind.startswith("map")] or [F.lit(1)])
     return (
-        with_digest(docs)
-        .select(*docs.columns, *key)
+        docs.select(*docs.columns, *key, digest_of(F.col("text")).alias("__d"))
         .join(kept, ["__id", "__no_id", "__d"], "left_semi")
         .withColumn("__rn", F.row_number().over(rank))
         .filter("__rn = 1")
         .select(*docs.columns)
+        .withColumnsRenamed(names)
     )

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import aside
+
 WORDS = re.compile(r"[^\W\d_]+")
 #: Entries of a task's counters before they are handed on.
 BOUND = 200_000
@@ -182,7 +184,8 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
     names are replaced; other columns pass as they are. Rows are judged each for
     itself, so nothing is shuffled.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs, names = aside(docs.drop("lang_pred", "score"))
+    text = next((now for now, before in names.items() if before == text), text)
 
     @F.pandas_udf("lang_pred string, score double")
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -190,4 +193,4 @@ def predict(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFram
         for texts in batches:
             yield pd.DataFrame([ranker.judge(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("__j", judge(F.col(text))).select(*docs.columns, "__j.lang_pred", "__j.score")
+    return docs.withColumn("__j", judge(F.col(text))).select(*docs.columns, "__j.lang_pred", "__j.score").withColumnsRenamed(names)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import staged
+from .common import aside, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of added spans: ``secret`` has no base pattern.
@@ -318,16 +318,18 @@ def find(docs: DataFrame, model: PiiModel, text: str = "text") -> DataFrame:
     so neither long texts nor repeated rows move any data. No added span touches a base span; added ones of different
     generators may overlap.
     """
-    docs = docs.drop("base", "added").withColumn("__t", F.coalesce(F.col(text), F.lit("")))
+    docs, names = aside(docs.drop("base", "added"))
+    text = next((now for now, before in names.items() if before == text), text)
+    docs = docs.withColumn("__t", F.coalesce(F.col(text), F.lit("")))
     raw = docs.withColumn("__b", F.struct(*[c.alias(k) for k, c in base_spans(F.col("__t")).items()]))
     tagged = lambda k: F.transform(F.col("__b")[k], lambda x: F.struct(F.lit(k).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
     out = raw.withColumn("base", F.concat(*[tagged(k) for k in KINDS]))
     if model.trees is None:
-        return out.withColumn("added", F.array().cast("array<struct<kind:string,s:int,e:int>>")).drop("__t", "__b")
+        return out.withColumn("added", F.array().cast("array<struct<kind:string,s:int,e:int>>")).drop("__t", "__b").withColumnsRenamed(names)
     fresh = F.filter(candidates(F.col("__t")), lambda x: ~_is_base(x["hit"]) & ~_touches(x, F.col("base")))
     known = F.transform(fresh, lambda x: F.struct(kind_of(x).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.struct(*[c.alias(k) for k, c in features(x).items()]).alias("f")))
     added = F.transform(F.filter(known, lambda x: model.accepts(x["kind"], x["f"])), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
-    return out.withColumn("added", added).drop("__t", "__b")
+    return out.withColumn("added", added).drop("__t", "__b").withColumnsRenamed(names)
 
 
 def in_order(found: Column) -> Column:

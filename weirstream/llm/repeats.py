@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import aside, staged
 
 #: Bytes of a document that are hashed at a time.
 SEGMENT = 1 << 22
@@ -376,7 +376,8 @@ def without_repeats(docs: DataFrame, plan: Repeats = Repeats(), id_col: str = "d
     count as different places, so they repeat each other. Columns named ``spans``
     or ``kept`` are replaced; an empty table gives an empty result.
     """
-    docs = docs.drop("spans", "kept")
+    docs, names = aside(docs.drop("spans", "kept"))
+    id_col, text = ({b: a for a, b in names.items()}.get(c, c) for c in (id_col, text))
     columns = docs.columns
     spans = staged(repeated_spans(docs, plan, id_col, text), "spans").withColumnsRenamed({"k": "__k", "th": "__th"})
     joined = _keyed(docs, id_col, text).join(spans, ["__k", "__th"], "left").select(*columns, "spans")
@@ -393,4 +394,4 @@ def without_repeats(docs: DataFrame, plan: Repeats = Repeats(), id_col: str = "d
                 kept.append(body)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.binary())], names=[*batch.schema.names, "kept"])
 
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(cut, schema).withColumnsRenamed(names)

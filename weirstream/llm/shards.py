@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import aside
+
 
 def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     """A permutation of 0..n-1 that (seed, bucket) decide: ``numpy`` shuffles in place by Fisher-Yates."""
@@ -36,12 +38,16 @@ def external_shuffle(
     text, and a bucket is put in the order of (hash, id, text) before it is
     shuffled, so how Spark dealt the rows doesn't matter. Rows that repeat id
     and text fall into one bucket and may swap places, which can't be seen but
-    in other columns. Null ids and texts hash as such. Input columns named
-    ``shard`` or ``slot`` are replaced. An empty table gives an empty result.
+    in other columns. Equal texts under different ids are dealt like any other
+    rows: law ``rows`` knows rows, not groups. Null ids and texts hash as such.
+    Input columns named ``shard`` or ``slot`` are replaced, all others pass, however
+    they are called. An empty table gives an empty result.
 
-    ``bucket_bytes`` is the mean bucket's text; that is all one task holds.
+    ``bucket_bytes`` is the mean bucket's text; that is all one task holds, but for
+    a single text, or rows that repeat id and text, of more than that.
     """
-    docs = docs.drop("shard", "slot")
+    docs, names = aside(docs.drop("shard", "slot"))
+    id_col, text = ({b: a for a, b in names.items()}.get(c, c) for c in (id_col, text))
     columns = docs.columns
     size = F.coalesce(F.octet_length(text), F.lit(0)) + 32
     h = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text))
@@ -49,8 +55,8 @@ def external_shuffle(
     n_rows = total[1]
     n_buckets = max(1, -(-(total[0] or 0) // bucket_bytes))
     light = docs.select(F.pmod(h, F.lit(n_buckets)).alias("__bucket"))
-    counts = light.groupBy("__bucket").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select("__bucket", (F.sum("_n").over(Window.orderBy("__bucket")) - F.col("_n")).alias("__offset"))
+    counts = light.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket")) - F.col("__n")).alias("__offset"))
     if n_buckets <= MAX_BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
     dealt = docs.withColumn("__h", h).withColumn("__bucket", F.pmod("__h", F.lit(n_buckets))).join(offsets, "__bucket").select(*columns, "__h", "__bucket", "__offset")
@@ -67,7 +73,7 @@ def external_shuffle(
         slot = place - shard * base - np.minimum(shard, extra)
         return table.select(columns).append_column("shard", pa.array(shard, pa.int32())).append_column("slot", pa.array(slot, pa.int64()))
 
-    return dealt.groupBy("__bucket").applyInArrow(shuffle_bucket, schema)
+    return dealt.groupBy("__bucket").applyInArrow(shuffle_bucket, schema).withColumnsRenamed(names)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import n_salts, staged
+from .common import aside, n_salts, staged
 
 #: Folds of labelled URLs; what a URL is fitted on was counted over the others.
 FOLDS = 4
@@ -128,7 +128,8 @@ def judge(
     without any, the verdict is ``allow``. Input columns named like the new ones
     are replaced.
     """
-    pages = pages.drop("host", "path", "rule", "score", "verdict")
+    pages, names = aside(pages.drop("host", "path", "rule", "score", "verdict"))
+    url = next((now for now, before in names.items() if before == url), url)
     host, path = host_and_path(F.col(url))
     rows = pages.withColumn("host", host).withColumn("path", path)
     rule = verdict = F.lit(None).cast("string")
@@ -157,4 +158,5 @@ def judge(
         scored.withColumn("score", score)
         .withColumn("verdict", F.coalesce("__ruled", F.when(F.col("score") > 0.5, F.lit("block")).otherwise(F.lit("allow"))))
         .drop("__f", "__ruled", *[k for k in scored.columns if k.startswith("__share_")])
+        .withColumnsRenamed(names)
     )

@@ -27,22 +27,22 @@ p43.m4s
 
 
 def playlists(spark, **bodies):
-    return spark.createDataFrame([(k, "https://ex.com/hls/main.m3u8", v) for k, v in bodies.items()], "manifest_id string, url string, body string")
+    return spark.createDataFrame([(k, "https://stage.example.org/vault/catalog.m3u8", v) for k, v in bodies.items()], "manifest_id string, url string, body string")
 
 
 def test_master(spark):
     rows = {r.id: r for r in hls.parse_masters(playlists(spark, m=MASTER)).collect()}
     assert sorted(rows) == ["a1", "s1", "v1", "v2"]
     low, top, sound, text = rows["v1"], rows["v2"], rows["a1"], rows["s1"]
-    assert (low.bandwidth, low.audio_group, low.subs_group, low.playlist_url) == (640000, "sound", "text", "https://ex.com/hls/low/list.m3u8?a=1")
+    assert (low.bandwidth, low.audio_group, low.subs_group, low.playlist_url) == (640000, "sound", "text", "https://stage.example.org/vault/low/list.m3u8?a=1")
     assert (low.width, low.height, low.frame_rate, low.muxed_audio, low.media_type) == (640, 360, 24.0, True, "video")
-    assert (top.bandwidth, top.playlist_url, top.muxed_audio) == (4300000, "https://ex.com/top/list.m3u8", False)
-    assert (sound.language, sound.is_default, sound.channels, sound.group_id) == ("fi", False, "6", "sound") and text.playlist_url == "https://ex.com/hls/no/text.m3u8"
+    assert (top.bandwidth, top.playlist_url, top.muxed_audio) == (4300000, "https://stage.example.org/top/list.m3u8", False)
+    assert (sound.language, sound.is_default, sound.channels, sound.group_id) == ("fi", False, "6", "sound") and text.playlist_url == "https://stage.example.org/vault/no/text.m3u8"
 
 
 def test_a_media_playlist_is_a_catalog_of_one(spark):
     rows = hls.parse_masters(playlists(spark, m=MEDIA)).collect()
-    assert [(r.id, r.media_type, r.playlist_url, r.bandwidth) for r in rows] == [("v1", "video", "https://ex.com/hls/main.m3u8", 0)]
+    assert [(r.id, r.media_type, r.playlist_url, r.bandwidth) for r in rows] == [("v1", "video", "https://stage.example.org/vault/catalog.m3u8", 0)]
 
 
 def test_unpaired_variant_uses_a_number(spark):
@@ -53,8 +53,8 @@ def test_unpaired_variant_uses_a_number(spark):
 def test_media(spark):
     rows = hls.parse_media(playlists(spark, s=MEDIA)).orderBy("seg_ord").collect()
     assert [(r.seq, r.duration, r.discontinuity) for r in rows] == [(41, 8.5, False), (42, 8.25, False), (43, 3.0, True)]
-    assert rows[1].key.method == "AES-128" and bytes(rows[1].key.iv) == bytes(range(16)) and rows[1].key.uri == "https://ex.com/hls/keys/7" and rows[2].key is None
-    assert rows[2].init.url == "https://ex.com/hls/head.mp4" and (rows[2].init.range.start, rows[2].init.range.end) == (16, 79)
+    assert rows[1].key.method == "AES-128" and bytes(rows[1].key.iv) == bytes(range(16)) and rows[1].key.uri == "https://stage.example.org/vault/keys/7" and rows[2].key is None
+    assert rows[2].init.url == "https://stage.example.org/vault/head.mp4" and (rows[2].init.range.start, rows[2].init.range.end) == (16, 79)
     info = hls.media_info(playlists(spark, s=MEDIA)).first()
     assert (info.live, info.media_seq, info.target_dur, info.refresh_s) == (True, 41, 9.0, 4.5)
     assert not hls.media_info(playlists(spark, s=MEDIA + "#EXT-X-ENDLIST\n")).first().live

@@ -116,6 +116,6 @@ def test_progress_text(spark):
     rows = [(49, 400, 3 << 20, 5000.9, False, 0.0), (9, 10, 100, 2.0, False, 0.0), (0, 0, 0, 0.0, False, 0.0), (3, 9, 1536, float(1 << 30), True, 3723.5), (5, 9, 2500, 10.0, True, 59.4)]
     got = [r.line for r in telemetry.progress_text(spark.createDataFrame(rows, "done long, total long, bytes long, speed double, live boolean, elapsed_s double")).collect()]
     assert got == [
-        " 12.2% | 49/400 segs | 3.0MiB | 5KiB/s | ETA 1h15m6s", " 90.0% | 9/10 segs | 100B | 2B/s | ETA 5s", "  0.0% | 0/0 segs | 0B | 0B/s | ETA ?",
+        " 12.2% | 49/400 segs | 3.0MiB | 5KiB/s | ETA 1h15m5s", " 90.0% | 9/10 segs | 100B | 2B/s | ETA 5s", "  0.0% | 0/0 segs | 0B | 0B/s | ETA ?",
         "REC 1h2m4s | 3 segs | 2KiB | 1.00GiB/s", "REC 59s | 5 segs | 2KiB | 10B/s",
     ]

@@ -55,3 +55,10 @@ def test_errors(text):
 
 def test_durations():
     assert select.duration("1h30m") == 5400 and select.duration("20") == 20 and select.duration("1.5s") == 1.5
+
+
+def test_selectors_of_a_table(spark):
+    rows = spark.createDataFrame([(1, "best2:x", "n"), (2, "all", "n"), (3, None, "n"), (4, "lang=fi:for=worst3", "n"), (5, "id=(", "n")], "k long, selector string, n string")
+    got = {r.k: (r.ok, r.take, r.n, r.parts, bool(r.error)) for r in select.checked(rows).collect()}
+    assert got == {1: (False, "", 0, 0, True), 2: (True, "all", 1, 0, False), 3: (False, "", 0, 0, True), 4: (True, "worst", 3, 1, False), 5: (False, "", 0, 0, True)}
+    assert select.checked(rows.limit(0)).count() == 0

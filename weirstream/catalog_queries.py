@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,11 +98,12 @@ def dash_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dash_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracks that go on in a second period, or don't when their size changes."""
+    """A show of three chapters: a track that goes on, one whose picture changes and one that comes in the last only."""
     k = K("k")
-    one = lambda n, h: ('<Period duration="PT4S"><AdaptationSet mimeType="video/mp4"><SegmentTemplate duration="2" media="p', n, '-$Number$.m4s"/><Representation id="v" width="1280" height="', h, '"/></AdaptationSet></Period>')
-    body = _text("<MPD>", *one("1", F.lit(720)), *one("2", F.when(k % 2 == 0, F.lit(720)).otherwise(F.lit(480))), "</MPD>")
-    rows = _suppliers(spark, sf_dir).select(k.alias("manifest_id"), F.lit("https://ex.com/d/x.mpd").alias("url"), body.alias("body"))
+    chapter = lambda n, size, more: ('<Period id="c', n, '" duration="PT', k % 3 + 4, 'S"><AdaptationSet contentType="video"><Representation id="film" codecs="av01" width="', size, '" height="', size, '"><SegmentList timescale="1" duration="', k % 3 + 4, '"><SegmentURL media="reel/', n, '/', k, '.mp4"/></SegmentList></Representation></AdaptationSet>', more, "</Period>")
+    late = '<AdaptationSet contentType="audio"><Representation id="talk"><BaseURL>talk.mp3</BaseURL></Representation></AdaptationSet>'
+    body = _text("<MPD>", *chapter("a", F.lit(300), ""), *chapter("b", F.when(k % 2 == 0, 300).otherwise(900), ""), *chapter("c", F.lit(300), late), "</MPD>")
+    rows = _suppliers(spark, sf_dir).select(k.alias("manifest_id"), F.lit("https://ex.com/cinema/show/").alias("url"), body.alias("body"))
     return dash.parse_segments(rows).select("manifest_id", "stream_id", "seg_ord", "seq", "url", "discontinuity")
 
 
@@ -173,12 +176,12 @@ def data_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.data_uri_keys(_suppliers(spark, sf_dir).select(uri.alias("uri"))).select("uri", F.lower(F.hex("key")).alias("key"))
 
 
-SNIFFED = {"WEBVTT\n\n": "vtt", "<?xml version='1.0'?>": "ttml", " <tt lang='x'>": "ttml", "7\n00:00:01,000 --> 00:00:02,000\nx": "srt", "abcdmoofxyz": "fmp4", "a --> b": "unknown"}
-
-
 def subtitle_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = F.element_at(F.array(*map(F.lit, SNIFFED)), (K("k") % len(SNIFFED) + 1).cast("int"))
-    return _suppliers(spark, sf_dir).select("k", subtitles.sniff(body).alias("kind"))
+    """Bodies of six kinds around each part's own name, some behind blanks or an XML head."""
+    k, name = K("p_partkey"), K("p_name")
+    body = F.when(k % 6 == 0, _text(F.repeat(F.lit(" "), (k % 5).cast("int")), "WEBVTT ", name, "\n\n")).when(k % 6 == 1, _text("<?xml version='1.0'?>\n<!-- ", name, " -->"))
+    body = body.when(k % 6 == 2, _text("<!--", k, "--><tt:tt id='", name, "'>")).when(k % 6 == 3, _text(k, "\n00:00:0", k % 10, ",000 --> 00:01:00,000\n", name)).when(k % 6 == 4, _text("abcdmoof", name, k))
+    return table(spark, sf_dir, "part").select(k.alias("k"), subtitles.sniff(body.otherwise(_text(name, " --> ", k))).alias("kind"))
 
 
 def ttml_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,20 +241,16 @@ def piece_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.deduplicated(rows).select("stream_id", "seg_ord", segments.fetch_key().alias("piece"))
 
 
-SELECTORS = ["best2", "", "none", "all", "lang=fi:for=worst3", "bwmin=x", "nokey=1", "for=some", "id=(", "plistdurmin=1h30m", "plistdurmax=soon", "lang", "segsmin=1.5", "codecs!=avc"]
+#: Selectors with places for a row's own number and word.
+SELECTORS = ["best{0}", "", "none", "all", "lang={1}:for=worst{0}", "bwmin={1}", "{1}=1", "for={1}", "id=({0}", "plistdurmin={0}h30m", "plistdurmax={1}", "{1}", "segsmin={0}.5", "codecs!={1}:bwmax={0}"]
 
 
 def selector_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which selectors can be read, and what they take."""
-
-    def read(text: str) -> tuple:
-        try:
-            s = select.parse(text)
-        except select.SelectorError:
-            return text, False, "", 0, 0
-        return text, True, "nothing" if s.nothing else s.take, s.n, len(s.parts)
-
-    return spark.createDataFrame([read(s) for s in SELECTORS], "selector string, ok boolean, take string, n int, parts int")
+    """Selectors that customers have saved, one in a row: which can be read, and what they take."""
+    k, word = K("c_custkey"), F.lower(K("c_mktsegment"))
+    texts = [_text(*[(k if x == "{0}" else word if x == "{1}" else x) for x in re.split(r"(\{[01]\})", t) if x] or [""]) for t in SELECTORS]
+    saved = table(spark, sf_dir, "customer").select(k.alias("k"), F.element_at(F.array(*texts), (k % len(SELECTORS) + 1).cast("int")).alias("selector"))
+    return select.checked(saved).select("k", "selector", "ok", "take", "n", "parts")
 
 
 def request_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -448,9 +447,10 @@ ORACLE = {
         WITH c AS (SELECT s_suppkey AS k, s_suppkey % 5 + 2 AS d, ceil(20 / (s_suppkey % 5 + 2)::DOUBLE)::BIGINT AS n FROM supplier)
         SELECT k AS manifest_id, i AS seg_ord, k + greatest(600 // d - n, 0) + i AS seq, 'https://ex.com/d/' || (k + greatest(600 // d - n, 0) + i) AS url FROM (SELECT *, unnest(range(n)) AS i FROM c)""",
     "dash_periods": """
-        SELECT s_suppkey AS manifest_id, CASE WHEN s_suppkey % 2 = 1 AND p = 2 THEN 'v.0.0.p1' ELSE 'v.0.0' END AS stream_id, (CASE WHEN s_suppkey % 2 = 0 AND p = 2 THEN 2 ELSE 0 END + i)::BIGINT AS seg_ord,
-               (CASE WHEN s_suppkey % 2 = 0 AND p = 2 THEN 2 + i ELSE 1 + i END)::BIGINT AS seq, 'https://ex.com/d/p' || p || '-' || (i + 1) || '.m4s' AS url, s_suppkey % 2 = 0 AND p = 2 AND i = 0 AS discontinuity
-        FROM supplier, (VALUES (1), (2)) a(p), (VALUES (0), (1)) b(i)""",
+        WITH r AS (SELECT s_suppkey AS k, c, p, s_suppkey % 2 = 1 AND p = 1 AS other FROM supplier, (VALUES ('a', 0), ('b', 1), ('c', 2)) t(c, p)),
+        f AS (SELECT k AS manifest_id, CASE WHEN other THEN 'film.0.0.p1' ELSE 'film.0.0' END AS stream_id, (row_number() OVER (PARTITION BY k, other ORDER BY p) - 1) AS seg_ord, 'https://ex.com/cinema/show/reel/' || c || '/' || k || '.mp4' AS url FROM r)
+        SELECT manifest_id, stream_id, seg_ord, seg_ord AS seq, url, seg_ord > 0 AS discontinuity FROM f
+        UNION ALL SELECT s_suppkey, 'talk.1.0', 0, 0, 'https://ex.com/cinema/show/talk.mp3', false FROM supplier""",
     "manifest_catalog": """
         SELECT s_suppkey AS manifest_id, 'v1' AS id, 'video' AS media_type, CASE s_suppkey % 4 WHEN 0 THEN 'https://ex.com/w/x.m3u8' ELSE 'https://ex.com/m/' || s_suppkey || '.m3u8' END AS playlist_url,
                CASE s_suppkey % 4 WHEN 0 THEN s_suppkey + 1 ELSE 0 END AS bandwidth FROM supplier WHERE s_suppkey % 4 <> 1
@@ -470,7 +470,7 @@ ORACLE = {
     "data_keys": """
         SELECT CASE k % 3 WHEN 0 THEN 'data:text/plain;base64,' || base64(unhex(h)) WHEN 1 THEN 'data:,' || h[1:16] ELSE 'data:,' || h END AS uri, CASE k % 3 WHEN 0 THEN h WHEN 1 THEN lower(hex(encode(h[1:16]))) END AS key
         FROM (SELECT s_suppkey AS k, md5(s_suppkey::VARCHAR) AS h FROM supplier)""",
-    "subtitle_kinds": "SELECT s_suppkey AS k, ['vtt', 'ttml', 'ttml', 'srt', 'fmp4', 'unknown'][s_suppkey % 6 + 1] AS kind FROM supplier",
+    "subtitle_kinds": "SELECT p_partkey AS k, ['vtt', 'ttml', 'ttml', 'srt', 'fmp4', 'unknown'][p_partkey % 6 + 1] AS kind FROM part",
     "ttml_parse": """SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS cue_ord, event_id + 0.5::DOUBLE AS start, (event_id + 2)::DOUBLE AS "end", event_type || chr(10) || '& ' || event_id AS text FROM events""",
     "resume_points": "SELECT k AS stream_id, CASE WHEN ok THEN k ELSE 0 END AS next_idx, CASE WHEN ok THEN k * 10 ELSE 0 END AS \"offset\" FROM (SELECT s_suppkey AS k, s_suppkey % 5 <> 4 AND s_suppkey % 3 <> 0 AS ok FROM supplier)",
     "track_names": with_views(
@@ -499,9 +499,10 @@ ORACLE = {
         SELECT stream_id, seg_ord, piece FROM (SELECT user_id AS stream_id, event_id AS seg_ord, 'f.mp4' || CASE WHEN event_id % 3 <> 0 THEN '@' || event_id % 40 || '-' || (event_id % 40 + 9) ELSE '' END AS piece FROM events)
         QUALIFY row_number() OVER (PARTITION BY stream_id, piece ORDER BY seg_ord) = 1""",
     "selector_errors": """
-        SELECT * FROM (VALUES ('best2', true, 'best', 2, 0), ('', true, 'nothing', 1, 0), ('none', true, 'nothing', 1, 0), ('all', true, 'all', 1, 0), ('lang=fi:for=worst3', true, 'worst', 3, 1), ('bwmin=x', false, '', 0, 0),
-            ('nokey=1', false, '', 0, 0), ('for=some', false, '', 0, 0), ('id=(', false, '', 0, 0), ('plistdurmin=1h30m', true, 'all', 1, 1), ('plistdurmax=soon', false, '', 0, 0), ('lang', false, '', 0, 0),
-            ('segsmin=1.5', false, '', 0, 0), ('codecs!=avc', true, 'all', 1, 1)) t(selector, ok, take, n, parts)""",
+        WITH a AS (SELECT c_custkey AS k, lower(c_mktsegment) AS w, c_custkey % 14 AS r FROM customer)
+        SELECT k, ['best' || k, '', 'none', 'all', 'lang=' || w || ':for=worst' || k, 'bwmin=' || w, w || '=1', 'for=' || w, 'id=(' || k, 'plistdurmin=' || k || 'h30m', 'plistdurmax=' || w, w, 'segsmin=' || k || '.5', 'codecs!=' || w || ':bwmax=' || k][r + 1] AS selector,
+               r IN (0, 1, 2, 3, 4, 9, 13) AS ok, CASE r WHEN 0 THEN 'best' WHEN 1 THEN 'nothing' WHEN 2 THEN 'nothing' WHEN 3 THEN 'all' WHEN 4 THEN 'worst' WHEN 9 THEN 'all' WHEN 13 THEN 'all' ELSE '' END AS take,
+               CASE WHEN r IN (0, 4) THEN k WHEN r IN (1, 2, 3, 9, 13) THEN 1 ELSE 0 END::INT AS n, CASE r WHEN 4 THEN 1 WHEN 9 THEN 1 WHEN 13 THEN 2 ELSE 0 END::INT AS parts FROM a""",
     "request_refusals": """
         SELECT id, reason FROM (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 29 = 0 THEN 'channel id' WHEN o_orderkey % 23 = 0 THEN 'no address' WHEN o_orderkey % 5 = 4 THEN 'unknown format'
             WHEN o_orderkey % 4 = 2 AND o_orderkey % 3 = 0 THEN 'open address needs a secret' WHEN o_orderkey % 7 = 0 THEN 'nothing selected' WHEN o_orderkey % 11 = 0 THEN 'no segments' WHEN o_orderkey % 13 = 0 THEN 'sample encryption'

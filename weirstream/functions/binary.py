@@ -116,30 +116,40 @@ def box_spans(b: bytes, start: int, end: int) -> Iterator[tuple[bytes, int, int,
         start += size
 
 
+def _walk(b: bytes, start: int, end: int, path: str) -> Iterator[tuple]:
+    for kind, at, first, last in box_spans(b, start, end):
+        name, inside = kind.decode("latin-1"), kind in CONTAINERS
+        yield f"{path}/{name}", name, at, last - at, None if inside else b[first:last]
+        if inside:
+            yield from _walk(b, first, last, f"{path}/{name}")
+
+
 def boxes(segments: DataFrame, data: str = "data") -> DataFrame:
     """id, path, type, at, size, payload: every box of ISO media (id, data), containers before what they hold."""
 
-    def walk(b: bytes, start: int, end: int, path: str) -> Iterator[tuple]:
-        for kind, at, first, last in box_spans(b, start, end):
-            name, inside = kind.decode("latin-1"), kind in CONTAINERS
-            yield f"{path}/{name}", name, at, last - at, None if inside else b[first:last]
-            if inside:
-                yield from walk(b, first, last, f"{path}/{name}")
-
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for i, b in zip(frame["id"], frame["data"], strict=True):
-                rows = [(i, *x) for x in walk(b, 0, len(b), "")] if b is not None else []
+                rows = [(i, *x) for x in _walk(b, 0, len(b), "")] if b is not None else []
                 yield pd.DataFrame(rows, columns=["id", "path", "type", "at", "size", "payload"])
 
     return segments.select("id", F.col(data).alias("data")).mapInPandas(split, "id long, path string, type string, at long, size long, payload binary")
 
 
+@F.pandas_udf(T.BinaryType())
+def media_of(data: pd.Series) -> pd.Series:
+    """The payloads of a segment's mdat boxes in a row; null without any."""
+
+    def joined(b: bytes | None) -> bytes | None:
+        found = [x[4] for x in _walk(b, 0, len(b), "") if x[1] == "mdat"] if b is not None else []
+        return b"".join(found) if found else None
+
+    return data.map(joined)
+
+
 def media_data(segments: DataFrame) -> DataFrame:
-    """id, body: the mdat payloads of each segment in a row."""
-    rows = boxes(segments).filter("type = 'mdat'")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.hex("payload").alias("h")))), lambda x: x["h"]), "")
-    return rows.groupBy("id").agg(F.unhex(joined).alias("body"))
+    """id, body: the mdat payloads of each segment (id, data) that has any, put together in its row."""
+    return segments.select("id", media_of("data").alias("body")).filter("body IS NOT NULL")
 
 
 def _found(b: bytes, start: int, end: int, *path: bytes) -> Iterator[tuple[int, int]]:

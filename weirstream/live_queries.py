@@ -309,7 +309,7 @@ def subtitle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sample_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks behind sample entries of every layout, found by how their boxes tile."""
     k = K("s_suppkey")
-    box = lambda kind, load: F.concat(F.lpad(F.hex((F.length(load) / 2 + 8).cast("long")), 8, "0"), F.lit(kind.encode().hex().upper()), load)
+    box = _boxed
     kid = F.upper(F.md5(k.cast("string").cast("binary")))
     tenc = box("tenc", F.concat(F.lit("00000000"), F.lit("0000"), F.lit("01"), F.lpad(F.hex((k % 2 * 8 + 8).cast("long")), 2, "0"), kid))
     sinf = box("sinf", F.concat(box("schm", F.lit("00000000" + b"cbcs".hex() + "00010000")), box("schi", tenc)))
@@ -323,11 +323,47 @@ def sample_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return binary.protection(rows).select("id", "scheme", F.lower(F.hex("kid")).alias("kid"), "iv_size")
 
 
+def cenc_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fragments of two samples around each part's name and type, with sizes, clear stretches, IVs and keys of their own, sealed by Spark and opened by what their boxes say."""
+    k = K("p_partkey")
+    size = lambda c: F.octet_length(c)
+    hexed = lambda n, digits: F.lpad(F.hex(n.cast("long")), digits, "0")
+    box = lambda kind, *load: _boxed(kind, F.concat(*load))
+    p = table(spark, sf_dir, "part").select(k.alias("k"), K("p_name").cast("binary").alias("one"), _text(K("p_type"), " in ", K("p_brand")).cast("binary").alias("two"), (k % 7).cast("int").alias("c"), F.unhex(F.md5(k.cast("string").cast("binary"))).alias("key"))
+    iv = lambda n: F.upper(F.substring(F.md5(_text(K("k"), f"/{n}").cast("binary")), 1, 16))
+    p = p.withColumn("e1", F.floor((size("two") - K("c") - 1) / 2).cast("int"))
+    cut = lambda c, at, n=None: F.substr(K(c), at + 1, F.lit(1 << 20) if n is None else n)
+    first = cut("one", K("c"))
+    second = F.concat(cut("two", K("c"), K("e1")), cut("two", K("c") + K("e1") + 1))
+
+    def sealed(data: Column, n: int) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(size(data) / 16).cast("int") - 1), lambda i: F.concat(iv(n), hexed(i, 16)))
+        return binary.xor_bytes(data, F.aes_encrypt(F.unhex(F.array_join(blocks, "")), "key", F.lit("ECB"), F.lit("PKCS")))
+
+    p = p.withColumn("s1", sealed(first, 1)).withColumn("s2", sealed(second, 2))
+    body = F.concat(cut("one", F.lit(0), K("c")), "s1", cut("two", F.lit(0), K("c")), cut("s2", F.lit(0), K("e1")), cut("two", K("c") + K("e1"), F.lit(1)), cut("s2", K("e1")))
+    trun = box("trun", F.lit("00000201" "00000002" "0000007A"), hexed(size("one"), 8), hexed(size("two"), 8))
+    senc = box("senc", F.lit("00000002" "00000002"), iv(1), F.lit("0001"), hexed(K("c"), 4), hexed(size("s1"), 8), iv(2), F.lit("0002"), hexed(K("c"), 4), hexed(K("e1"), 8), F.lit("0001"), hexed(size("s2") - K("e1"), 8))
+    data = F.unhex(F.concat(box("moof", box("traf", box("tfhd", F.lit("0000000000000001")), trun, senc)), box("mdat", F.hex(body))))
+    none = F.lit(None).cast("binary")
+    pieces = p.select(K("k").alias("stream_id"), F.lit(False).alias("is_init"), data.alias("data"), none.alias("aes_key"), none.alias("iv"), F.lit(0).alias("seq"), K("key").alias("cenc_key"))
+    tenc = box("tenc", F.lit("00000000" "0000" "01" "08"), F.hex("key"))
+    entry = box("encv", F.lit("00" * 78), box("sinf", box("schm", F.lit("00000000" + b"cenc".hex() + "00010000")), box("schi", tenc)))
+    moov = box("moov", box("trak", box("mdia", box("minf", box("stbl", box("stsd", F.lit("0000000000000001"), entry))))))
+    clear = sink.transformed(pieces, p.select(K("k").alias("stream_id"), F.unhex(moov).alias("data")))
+    return clear.select(K("stream_id").alias("p_partkey"), F.md5(F.substr("data", F.lit(123))).alias("md5"), (size("data") - 122).cast("long").alias("n_bytes"))
+
+
+def _boxed(kind: str, load: Column) -> Column:
+    """A box in hexadecimal."""
+    return F.concat(F.lpad(F.hex((F.length(load) / 2 + 8).cast("long")), 8, "0"), F.lit(kind.encode().hex().upper()), load)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         live_poll, commit_live_stream, commit_prefix_stream, stop_stream, ordered_files, live_files, downloads, fetched_keys, ts_cipher, ts_services, cc_segments, cc_stream,
-        progress_text, job_logs, job_states, job_stops, selector_hits, dash_merged, dash_rejected, subtitle_files, sample_entries,
+        progress_text, job_logs, job_states, job_stops, selector_hits, dash_merged, dash_rejected, subtitle_files, sample_entries, cenc_samples,
     )
 }
 
@@ -400,5 +436,6 @@ ORACLE = {
         c AS (SELECT *, (s * 1000)::BIGINT AS x, (s * 1000 + 1250)::BIGINT AS y FROM b)
         SELECT user_id AS track_id, string_agg(n || chr(10) || printf('%02d:%02d:%02d,%03d --> %02d:%02d:%02d,%03d', x // 3600000, x // 60000 % 60, x // 1000 % 60, x % 1000, y // 3600000, y // 60000 % 60, y // 1000 % 60, y % 1000)
                || chr(10) || text || chr(10) || chr(10), '' ORDER BY n) AS body FROM c GROUP BY 1""",
+    "cenc_samples": "SELECT p_partkey, md5(p_name || p_type || ' in ' || p_brand) AS md5, strlen(p_name || p_type || ' in ' || p_brand) AS n_bytes FROM part",
     "sample_entries": "SELECT s_suppkey AS id, 'cbcs' AS scheme, md5(s_suppkey::VARCHAR) AS kid, (s_suppkey % 2 * 8 + 8)::INT AS iv_size FROM supplier WHERE s_suppkey % 7 <> 6",
 }

@@ -13,10 +13,13 @@ duration like 1h30m. Parts are all to hold. A selector without "for" takes all.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import resolution
 
@@ -99,6 +102,27 @@ def parse(text: str) -> Selector:
     return Selector(*take, tuple(parts))
 
 
+def checked(selectors: DataFrame, column: str = "selector") -> DataFrame:
+    """Rows with what their selector says: ok, take (nothing, best, worst or all), n, parts (conditions), error. A null one can't be read."""
+    kept = selectors.drop("ok", "take", "n", "parts", "error")
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for text in frame[column]:
+                try:
+                    if text is None:
+                        raise SelectorError("no selector")
+                    found = parse(text)
+                    out.append((True, "nothing" if found.nothing else found.take, found.n, len(found.parts), ""))
+                except SelectorError as e:
+                    out.append((False, "", 0, 0, str(e)))
+            yield frame.assign(**dict(zip(("ok", "take", "n", "parts", "error"), map(list, zip(*out, strict=True)), strict=True))) if out else frame.assign(ok=[], take=[], n=[], parts=[], error=[])
+
+    added = [T.StructField(c, t) for c, t in (("ok", T.BooleanType()), ("take", T.StringType()), ("n", T.IntegerType()), ("parts", T.IntegerType()), ("error", T.StringType()))]
+    return kept.mapInPandas(read, T.StructType([*kept.schema.fields, *added]))
+
+
 def condition(selector: Selector) -> Column:
     """The rows of a streams table that a selector's parts let through.
 

@@ -24,19 +24,19 @@ REPLY = "final_url string, status int, body binary, length long, pressure int, e
 SCHEMA = f"url string, {REPLY}"
 
 
-def wait_of(value: str | None) -> float:
-    """Seconds that a Retry-After header asks for, as a number or a date, 30 at most; 0 if it can't be read."""
+def wait_of(value: str | None, most: float = 30.0) -> float:
+    """Seconds that a Retry-After header asks for, as a number or a date, ``most`` at most; 0 if it can't be read."""
     from datetime import UTC, datetime
     from email.utils import parsedate_to_datetime
 
     text = (value or "").strip()
     if text.lstrip("+-").isdigit():
-        return float(min(30, max(0, int(text))))
+        return float(min(most, max(0, int(text))))
     try:
         at = parsedate_to_datetime(text)
     except (TypeError, ValueError):
         return 0.0
-    return min(30.0, max(0.0, ((at if at.tzinfo else at.replace(tzinfo=UTC)) - datetime.now(UTC)).total_seconds()))
+    return min(most, max(0.0, ((at if at.tzinfo else at.replace(tzinfo=UTC)) - datetime.now(UTC)).total_seconds()))
 
 
 def get(url: str, span: tuple[int, int] | None = None, headers: dict | None = None, method: str = "GET", retries: int = 5, timeout: float = 30.0) -> tuple:

@@ -108,7 +108,7 @@ def parse_masters(playlists: DataFrame) -> DataFrame:
         F.lit("").alias("codecs"), _at("a", "LANGUAGE").alias("language"), _at("a", "NAME").alias("name"), _at("a", "CHANNELS").alias("channels"), (_at("a", "DEFAULT") == "YES").alias("is_default"),
         F.lit("").alias("audio_group"), F.lit("").alias("subs_group"), _at("a", "GROUP-ID").alias("group_id"), F.lit(False).alias("muxed_audio"),
     )
-    bare = lines_of(playlists.filter(~is_master(F.col("body")))).select("manifest_id", "base").distinct()
+    bare = playlists.filter(~is_master(F.col("body")) & F.contains("body", F.lit("#EXTM3U"))).select("manifest_id", F.col("url").alias("base"))
     empty = dict.fromkeys(("codecs", "language", "name", "channels", "audio_group", "subs_group", "group_id"), F.lit(""))
     zero = {"bandwidth": F.lit(0).cast("bigint"), "width": F.lit(0), "height": F.lit(0), "frame_rate": F.lit(0.0), "is_default": F.lit(False), "muxed_audio": F.lit(False)}
     alone = bare.select("manifest_id", "base", F.lit(0).alias("line_no"), F.col("base").alias("uri"), F.lit("v1").alias("id"), F.lit("video").alias("media_type"), *[c.alias(n) for n, c in (empty | zero).items()])

@@ -50,9 +50,12 @@ def found_links(pages: DataFrame, fetched: DataFrame, suffixes: str = "m3u8|mpd"
 
     ``fetched`` (url, html) holds the bodies of frames; those it lacks give nothing.
     """
-    own = page_links(pages, suffixes)
-    frames = pages.join(own.select("page_id").distinct(), "page_id", "left_anti").select("page_id", "url", F.posexplode(iframes(F.col("html"))).alias("frame", "ref"))
-    frames = frames.select("page_id", "frame", resolve(F.col("url"), F.trim("ref")).alias("url")).join(fetched.select("url", "html"), "url")
+    # each page is read once: its own links, and its frames where it has none
+    read = pages.select("page_id", "url", links(F.col("html"), suffixes).alias("found"), iframes(F.col("html")).alias("frames"))
+    both = read.select("page_id", "url", F.when(F.size("found") > 0, F.col("found")).otherwise(F.col("frames")).alias("refs"), (F.size("found") > 0).alias("own"))
+    refs = both.select("page_id", "url", "own", F.posexplode("refs").alias("place", "ref")).withColumn("link", resolve(F.col("url"), F.trim("ref")))
+    own = refs.filter("own").groupBy("page_id", "link").agg(F.min("place").alias("place")).select("page_id", "place", "link")
+    frames = refs.filter("NOT own").select("page_id", F.col("place").alias("frame"), F.col("link").alias("url")).join(fetched.select("url", "html"), "url")
     inside = frames.select("page_id", "frame", "url", F.posexplode(links(F.col("html"), suffixes)).alias("n", "link"))
     inside = inside.select("page_id", F.struct("frame", "n").alias("at"), resolve(F.col("url"), F.trim("link")).alias("link")).groupBy("page_id", "link").agg(F.min("at").alias("at"))
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("at")) - 1

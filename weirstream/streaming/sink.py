@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -60,10 +61,18 @@ class SegmentSink:
         self.path = path
 
     def write(self, batch: DataFrame, batch_id: int) -> None:
+        # by ranges, so that a stream with most of a batch's bytes is written by many tasks
         batch.repartitionByRange("stream_id", "idx").sortWithinPartitions("stream_id", "idx").write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
 
-    def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.option("basePath", self.path).parquet(f"{self.path}/batch=*").drop("batch")
+    def read(self, spark: SparkSession, schema: str | None = None) -> DataFrame:
+        """The pieces of all batches; with their ``schema`` also before the first, when there are none."""
+        try:
+            source = spark.read.schema(f"{schema}, batch long") if schema else spark.read
+            return source.option("basePath", self.path).parquet(self.path).drop("batch")
+        except AnalysisException as e:
+            if schema is None or e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
 
 
 class Counters:

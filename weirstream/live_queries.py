@@ -102,6 +102,19 @@ def live_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.states(spark, path).select("stream", "next_idx", "offset")
 
 
+def streamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces that come in any order, over four batches, put into files by a streaming writer; failures are holes."""
+    root = folder(spark, "streamed").removeprefix("file:")
+    came = F.pmod(F.xxhash64("stream", "idx"), F.lit(4)).cast("int")
+    _pieces(spark, sf_dir).withColumn("part", came).write.partitionBy("part").parquet(f"{root}/in")
+    schema = "stream string, idx long, ok boolean, data binary"
+    for i in range(4):
+        source = spark.readStream.schema(schema).parquet(f"{root}/in/part={'{' + ','.join(map(str, range(i + 1))) + '}'}")
+        files.stream_into(source, f"{root}/out", f"{root}/state", availableNow=True).awaitTermination()
+    bodies = spark.read.format("binaryFile").option("pathGlobFilter", "*.ts").load(f"{root}/out")
+    return bodies.select(F.element_at(F.split("path", "/"), -1).alias("stream"), F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("md5"))
+
+
 def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole files fetched by ranges of 100 bytes, some of which a first attempt had got, put together."""
     root = folder(spark, "download").removeprefix("file:")
@@ -362,7 +375,7 @@ def _boxed(kind: str, load: Column) -> Column:
 QUERIES = {
     f.__name__: f
     for f in (
-        live_poll, commit_live_stream, commit_prefix_stream, stop_stream, ordered_files, live_files, downloads, fetched_keys, ts_cipher, ts_services, cc_segments, cc_stream,
+        live_poll, commit_live_stream, commit_prefix_stream, stop_stream, ordered_files, live_files, streamed_files, downloads, fetched_keys, ts_cipher, ts_services, cc_segments, cc_stream,
         progress_text, job_logs, job_states, job_stops, selector_hits, dash_merged, dash_rejected, subtitle_files, sample_entries, cenc_samples,
     )
 }
@@ -393,6 +406,7 @@ ORACLE = {
         SELECT stream_id, n, ended AS last FROM a QUALIFY NOT coalesce(bool_or(ended) OVER (PARTITION BY stream_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false)""",
     "ordered_files": _FILE + ", count(*) AS next_idx, n_bytes AS \"offset\" FROM events GROUP BY user_id",
     "live_files": f"SELECT 'user-' || user_id || '.ts' AS stream, count(*) AS next_idx, coalesce(sum(strlen({_PIECE})) FILTER (NOT (event_type = 'error' AND value > 300)), 0)::BIGINT AS \"offset\" FROM events GROUP BY user_id",
+    "streamed_files": _FILE.replace("sum(", "coalesce(sum(").replace(")::BIGINT", ") FILTER (ok), 0)::BIGINT").replace("ORDER BY event_id)", "ORDER BY event_id) FILTER (ok)") .replace("md5(string_agg", "md5(coalesce(string_agg").replace("FILTER (ok)) AS md5", "FILTER (ok), '')) AS md5") + " FROM (SELECT *, NOT (event_type = 'error' AND value > 300) AS ok FROM events) GROUP BY user_id",
     "downloads": _FILE + " FROM events GROUP BY user_id",
     "fetched_keys": """
         WITH a AS (SELECT o_orderkey AS id, o_custkey % 100 + 1 AS k, o_orderkey % 7 = 0 AS plain FROM orders), b AS (SELECT *, k <= (SELECT max(s_suppkey) FROM supplier) AND k % 5 <> 4 AS there FROM a)

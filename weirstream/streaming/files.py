@@ -19,9 +19,12 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamArrowWriter, WriterCommitMessage
 
-from ..plans.segments import committed, pending, resume_points
+from pyspark.sql.streaming import StreamingQuery
+
+from ..plans.segments import committed, resume_points
+from . import ordering
 
 STATE = ".state"
 
@@ -72,13 +75,19 @@ class OrderedWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[Written | None]) -> None:
         """New states, of streams whose pieces go on without a gap from the state before; else none is changed."""
+        self._commit(messages, False)
+
+    def _commit(self, messages: list[Written | None], again: bool) -> None:
         whole: dict[str, tuple[int, int, int, int, int, int]] = {}
         for message in messages:
             for stream, (a, z, low, high, size, n) in (message.files if message else {}).items():
                 b = whole.get(stream, (a, z, low, high, 0, 0))
                 whole[stream] = (min(a, b[0]), max(z, b[1]), min(low, b[2]), max(high, b[3]), size + b[4], n + b[5])
-        for stream, (a, z, low, high, size, n) in whole.items():
+        for stream, (a, z, low, high, size, n) in list(whole.items()):
             next_idx, offset = _state_of(os.path.join(self.path, stream))
+            if again and (z + 1, high) == (next_idx, offset):  # this batch was committed before
+                del whole[stream]
+                continue
             if (a, low) != (next_idx, offset) or high - low != size or z - a + 1 != n:
                 raise ValueError(f"pieces of {stream} don't go on from {next_idx} at {offset}: {a} to {z}, {n} of them, at {low} to {high}")
         for stream, (_, z, _, high, _, _) in whole.items():
@@ -97,6 +106,17 @@ class OrderedWriter(DataSourceArrowWriter):
             os.truncate(path, _state_of(path)[1])
 
 
+class OrderedStreamWriter(OrderedWriter, DataSourceStreamArrowWriter):
+    """The same for the batches of a stream; one that comes again after it was committed changes nothing."""
+
+    def commit(self, messages: list[Written | None], batchId: int) -> None:
+        os.makedirs(self.path, exist_ok=True)
+        self._commit(messages, True)
+
+    def abort(self, messages: list[Written | None], batchId: int) -> None:
+        OrderedWriter.abort(self, messages)
+
+
 class OrderedFiles(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -108,6 +128,9 @@ class OrderedFiles(DataSource):
     def writer(self, schema, overwrite: bool) -> OrderedWriter:
         return OrderedWriter(self.options)
 
+    def streamWriter(self, schema, overwrite: bool) -> OrderedStreamWriter:
+        return OrderedStreamWriter(self.options)
+
 
 def states(spark: SparkSession, path: str) -> DataFrame:
     """stream, next_idx, offset of the files in a folder, as their state files tell (see ``segments.resume_points``)."""
@@ -141,6 +164,22 @@ def append(pieces: DataFrame, path: str, live: bool = False) -> None:
     rows.write.format("ordered_files").mode("append").save(path)
 
 
+def stream_into(pieces: DataFrame, path: str, checkpoint: str, live: bool = True, patience_s: float = 0.0, **trigger) -> StreamingQuery:
+    """Start a query that puts the pieces (stream, idx, ok, data) of a stream of batches, in any order, into their files.
+
+    Pieces are put in order, and their places counted, as keyed state (see
+    ``ordering.in_order``); files of an earlier run go on only with its checkpoint.
+    """
+    spark = pieces.sparkSession
+    ordering.use_rocksdb(spark)
+    spark.dataSource.register(OrderedFiles)
+    os.makedirs(path, exist_ok=True)
+    placed = ordering.in_order(pieces.select("stream", "idx", "ok", "data"), live, patience_s, "stream", "data")
+    rows = placed.select("stream", "idx", "offset", F.when(~F.col("hole"), F.col("data")).alias("data"))
+    out = rows.writeStream.format("ordered_files").option("path", path).option("checkpointLocation", checkpoint)
+    return (out.trigger(**trigger) if trigger else out).start()
+
+
 class FileSink:
     """``write`` is for ``foreachBatch``: a batch that comes again finds its pieces written and adds nothing."""
 

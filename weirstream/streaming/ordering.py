@@ -23,16 +23,26 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 
 class _Reorder(StatefulProcessor):
-    def __init__(self, key: str, carried: list[tuple[str, str]], live: bool, patience_s: float):
+    def __init__(self, key: str, carried: list[tuple[str, str]], live: bool, patience_s: float, sized: str | None):
         self.key, self.carried, self.live, self.patience_ms = key, carried, live, int(patience_s * 1000)
+        self.sized = [c for c, _ in carried].index(sized) if sized else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.next = handle.getValueState("next", "idx long")
+        if self.sized is not None:
+            self.offset = handle.getValueState("offset", "n long")
         self.waiting = handle.getMapState("waiting", "idx long", ", ".join(["ok boolean", *(f"`{c}` {kind}" for c, kind in self.carried)]))
 
     def _out(self, key, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame([(key, idx, not ok, *rest) for idx, ok, *rest in rows], columns=[self.key, "idx", "hole", *(c for c, _ in self.carried)])
+        out = pd.DataFrame([(key, idx, not ok, *rest) for idx, ok, *rest in rows], columns=[self.key, "idx", "hole", *(c for c, _ in self.carried)])
+        if self.sized is not None:
+            begin = self.offset.get()[0] if self.offset.exists() else 0
+            sizes = [len(rest[self.sized] or b"") if ok else 0 for _, ok, *rest in rows]
+            ends = begin + pd.Series(sizes, dtype="int64").cumsum()
+            self.offset.update((int(ends.iloc[-1]),))
+            out["offset"] = (ends - sizes).to_numpy()
+        return out
 
     def _follow(self, at: int, out: list[tuple]) -> int:
         """Take the waiting pieces from ``at`` on."""
@@ -78,21 +88,22 @@ class _Reorder(StatefulProcessor):
         pass
 
 
-def in_order(outcomes: DataFrame, live: bool = True, patience_s: float = 0.0, key: str = "stream_id") -> DataFrame:
+def in_order(outcomes: DataFrame, live: bool = True, patience_s: float = 0.0, key: str = "stream_id", sized: str | None = None) -> DataFrame:
     """Outcomes (``key``, idx from 0, ok, more columns) of a stream of batches in any order, as they are committed: ``key``, idx, hole, the other columns.
 
     A piece is given once all before it are. Live, one that failed is a hole, and
     so is one that isn't there ``patience_s`` after a later one came (0: it is
     waited for). Else a failed piece holds up what follows until it comes after
     all. Pieces that come twice, or after their hole, are left out. What waits is
-    kept by stream and piece.
+    kept by stream and piece. With ``sized``, the name of a binary column, ``offset``
+    tells where a piece begins in its stream's file; holes have no bytes.
     """
     carried = [(c, kind) for c, kind in outcomes.dtypes if c not in (key, "idx", "ok")]
     kinds = dict(outcomes.dtypes)
-    schema = ", ".join([f"`{key}` {kinds[key]}", "idx long", "hole boolean", *(f"`{c}` {kind}" for c, kind in carried)])
+    schema = ", ".join([f"`{key}` {kinds[key]}", "idx long", "hole boolean", *(f"`{c}` {kind}" for c, kind in carried), *(["offset long"] if sized else [])])
     rows = outcomes.withColumn("idx", F.col("idx").cast("long"))
     mode = "ProcessingTime" if live and patience_s else "None"
-    return rows.groupBy(key).transformWithStateInPandas(_Reorder(key, carried, live, patience_s), schema, "Append", mode)
+    return rows.groupBy(key).transformWithStateInPandas(_Reorder(key, carried, live, patience_s, sized), schema, "Append", mode)
 
 
 class _Ending(StatefulProcessor):

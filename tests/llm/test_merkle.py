@@ -56,8 +56,7 @@ def table(spark, docs, path):
     spark.createDataFrame(docs, "doc_id long, source string, lang string, n_chars long, text string").write.parquet(f"{path}/documents.parquet")
 
 
-@pytest.mark.parametrize("levels", [10, 2])
-@pytest.mark.parametrize("n_langs", [3, 40])
+@pytest.mark.parametrize("levels, n_langs", [(10, 3), (2, 40)])
 def test_query_matches_brute_force(spark, tmp_path, monkeypatch, levels, n_langs):
     """With two levels a task, trees take several rounds."""
     monkeypatch.setattr(merkle, "LEVELS", levels)

@@ -34,7 +34,7 @@ def cases():
 @pytest.mark.parametrize("name, rows", list(cases()), ids=lambda x: x if isinstance(x, str) else "")
 def test_mining_matches_brute_force(spark, name, rows):
     """With few bits a pass, so that scores and ids are refined more than once."""
-    digit, spare = (8, 64) if name == "plain" else (5, 1)
+    digit, spare = {"plain": (8, 64), "great numbers": (16, 1)}.get(name, (6, 1))
     frame = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, label int, v array<long>, rank string").repartition(3)
     got = sorted(map(tuple, negatives.mine(frame, F.col("vec_id") % 100 == 0, digit=digit, spare=spare).collect()))
     want = brute(rows)

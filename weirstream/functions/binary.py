@@ -61,14 +61,25 @@ def segment_decrypt(data: Column, key: Column, iv: Column, seq: Column) -> Colum
     return without_padding(cbc_decrypt(data, key, F.coalesce(iv, sequence_iv(seq))))
 
 
+@F.pandas_udf(T.BinaryType())
+def counter_blocks(iv: pd.Series, size: pd.Series) -> pd.Series:
+    """As many counter blocks as ``size`` bytes need, one at least; the counter is the low 8 bytes and starts over after its greatest value."""
+
+    def blocks(start: bytes | None, n: int | None) -> bytes | None:
+        if start is None or n is None or n != n:
+            return None
+        high, low = (int.from_bytes(start.ljust(16, b"\0")[i : i + 8], "big") for i in (0, 8))
+        out = np.full((max(1, -(-int(n) // 16)), 2), high, ">u8")
+        out[:, 1] = np.uint64(low) + np.arange(len(out), dtype=np.uint64)
+        return out.tobytes()
+
+    return pd.Series([blocks(*x) for x in zip(iv, size, strict=True)], dtype=object)
+
+
 def counter_stream(key: Column, iv: Column, size: Column) -> Column:
     """AES-CTR key stream of at least ``size`` bytes; ``iv`` of 8 bytes is filled with zeros, the counter is its low 8 bytes."""
-    start = F.rpad(F.hex(iv), 32, "0")
-    low = F.conv(F.substring(start, 17, 16), 16, -10).cast("bigint")
-    every = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.ceil(size / 16) - 1, F.lit(0)).cast("bigint"))
-    counters = F.transform(every, lambda i: F.concat(F.substring(start, 1, 16), F.lpad(F.hex(low + i), 16, "0")))
     # all blocks in one call; the padding block that ECB adds lies behind them
-    return F.aes_encrypt(F.unhex(F.array_join(counters, "")), key, F.lit("ECB"), F.lit("PKCS"))
+    return F.aes_encrypt(counter_blocks(iv, size), key, F.lit("ECB"), F.lit("PKCS"))
 
 
 def ctr_decrypt(data: Column, key: Column, iv: Column) -> Column:

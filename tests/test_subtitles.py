@@ -43,3 +43,10 @@ def test_render(spark):
     assert cues.rendered(rows, "srt").first().body == "1\n00:00:01,000 --> 00:00:02,500\nhi\n\n2\n00:00:03,000 --> 00:00:04,000\nyo\n\n"
     assert cues.rendered(rows, "vtt").first().body.startswith("WEBVTT\n\n00:00:01.000 --> 00:00:02.500\nhi\n\n")
     assert spark.range(1).select(clock(F.lit(3723.5), ",").alias("c")).first().c == "01:02:03,500"
+
+
+def test_paragraphs_go_without_their_file(spark):
+    rows = subtitles.parse_ttml(files(spark, '<p begin="1s" end="2s">a</p>').repartition(2))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    assert "body" not in plan[: plan.index("Generate")] and "body" not in plan[plan.index("Generate") :].split("\n")[0]

@@ -186,11 +186,12 @@ def subtitle_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ttml_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A file per user; in every third one paragraphs give their end first."""
-    e = K("event_id")
-    begin, end = _text('begin="', e, '.5s"'), _text('end="', (e + 2) * 20, 't"')
-    times = F.when(K("user_id") % 3 == 0, F.concat_ws(" ", end, begin)).otherwise(F.concat_ws(" ", begin, end))
-    p = _text("<p id='", e, "' ", times, "><span>", K("event_type"), "</span><br />&amp; ", e, "</p>")
-    files = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("track_id")).agg(F.concat(F.lit('<tt ttp:tickRate="20">'), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", p.alias("p")))), lambda x: x["p"]), "\n"), F.lit("</tt>")).alias("body"))
+    begin, end = lambda e: _text('begin="', e, '.5s"'), lambda e: _text('end="', (e + 2) * 20, 't"')
+    times = lambda e: F.when(K("user_id") % 3 == 0, F.concat_ws(" ", end(e), begin(e))).otherwise(F.concat_ws(" ", begin(e), end(e)))
+    p = lambda x: _text("<p id='", x["event_id"], "' ", times(x["event_id"]), "><span>", x["event_type"], "</span><br />&amp; ", x["event_id"], "</p>")
+    events = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
+    files = table(spark, sf_dir, "events").groupBy("user_id").agg(events.alias("e"))
+    files = files.select(K("user_id").alias("track_id"), F.concat(F.lit('<tt ttp:tickRate="20">'), F.array_join(F.transform("e", p), "\n"), F.lit("</tt>")).alias("body"))
     return subtitles.parse_ttml(files).select("track_id", "cue_ord", "start", "end", "text")
 
 

@@ -84,3 +84,21 @@ def test_scalars(spark):
     assert [get(scalars.retry_after(F.lit(t), now)) for t in ("5", "", "-3", "Mon, 01 Jan 2024 00:00:07 GMT")] == [5, 0, 0, 7]
     assert get(scalars.range_header(F.struct(F.lit(30).alias("start"), F.lit(-1).alias("end")))) == "bytes=30-"
     assert get(scalars.safe_name(F.lit("a b/ç.ts"))) == "a_b_.ts"
+
+
+def test_key_ids_of_suppliers_and_nations_are_apart(spark, tmp_path):
+    from hashlib import md5
+
+    from weirstream import queries
+
+    spark.createDataFrame([(1000, 3), (1002, 3), (1001, 2)], "s_suppkey long, s_nationkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(5).select(F.col("id").alias("n_nationkey")).write.parquet(f"{tmp_path}/nation.parquet")
+    got = sorted((r.stream_id, r.key_hex) for r in queries.key_resolve(spark, str(tmp_path)).collect())
+    twice = lambda n: md5(md5(n).digest()).hexdigest()
+    assert got == [(1000, None), (1001, twice(b"2")), (1002, twice(b"1002"))]
+
+
+def test_repeated_key_ids_repeat_no_stream(spark):
+    wanted = spark.createDataFrame([("s", bytearray(b"k"), None)], "stream_id string, tenc_kid binary, manifest_kid binary")
+    known = spark.createDataFrame([(bytearray(b"k"), bytearray(b"2")), (bytearray(b"k"), bytearray(b"1"))], "kid binary, key binary")
+    assert [bytes(r.key) for r in pages.resolve_keys(wanted, known).collect()] == [b"1"]

@@ -98,7 +98,11 @@ def keys(lines: DataFrame) -> DataFrame:
 
 
 def resolve_keys(wanted: DataFrame, known: DataFrame) -> DataFrame:
-    """``wanted`` (stream_id, tenc_kid, manifest_kid) with ``key``: by the first KID that hits, else the only key if it has the zero KID."""
+    """``wanted`` (stream_id, tenc_kid, manifest_kid) with ``key``: by the first KID that hits, else the only key if it has the zero KID.
+
+    A KID that ``known`` (kid, key) has more than once counts with its least key.
+    """
+    known = known.groupBy("kid").agg(F.min("key").alias("key"))
     lookup = lambda c: known.select(F.col("kid").alias(c), F.col("key").alias(f"key_of_{c}"))
     zero = F.unhex(F.lit("0" * 32))
     only = known.agg(F.when((F.count(F.lit(1)) == 1) & (F.max("kid") == zero), F.max("key")).alias("only"))  # one row

@@ -50,3 +50,11 @@ def test_paragraphs_go_without_their_file(spark):
     plan = rows._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
     assert "body" not in plan[: plan.index("Generate")] and "body" not in plan[plan.index("Generate") :].split("\n")[0]
+
+
+def test_files_of_more_than_99_hours(spark, tmp_path):
+    from weirstream import live_queries
+
+    spark.createDataFrame([(1, 359999, "a"), (1, 360000, "b"), (2, 360001, "c"), (3, 720000, "d")], "user_id long, event_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.track_id: r.body for r in live_queries.subtitle_files(spark, str(tmp_path)).collect()}
+    assert got[2] == "1\n00:00:00,000 --> 00:00:01,250\nc & 360001\n\n" and got[1].count("-->") == 2 and got[3].count("-->") == 1

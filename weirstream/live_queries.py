@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import views
-from .functions import binary
+from .functions import binary, scalars
 from .operators import jobs, telemetry
 from .plans import select
 from .scratch import folder, replayed
@@ -309,7 +309,7 @@ def subtitle_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subtitle files of three kinds, one of them TTML inside fragments, as SRT."""
     e, u = K("event_id"), K("user_id")
     paragraph = _text('<p begin="', e, '.25s" end="', e + 1, '.5s">', K("event_type"), " &amp; <b>", e, "</b></p>")
-    clock = lambda s: F.concat(F.lpad(F.floor(s / 3600).cast("string"), 2, "0"), F.lit(":"), F.lpad((F.floor(s / 60) % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
+    clock = lambda s: F.concat(scalars.zero_filled(F.floor(s / 3600).cast("string"), 2), F.lit(":"), F.lpad((F.floor(s / 60) % 60).cast("string"), 2, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"))
     line = _text(clock(e), ".250 --> ", clock(e + 1), ".500\n", K("event_type"), " & ", e, "\n\n")
     text = F.when(u % 3 == 2, line).otherwise(paragraph)
     whole = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", text.alias("t")))), lambda x: x["t"]), "").alias("t"))

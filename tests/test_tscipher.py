@@ -216,3 +216,12 @@ def test_chain_ends_with_the_packet_cipher(spark):
     frame = spark.createDataFrame([(s, i, d, None, None, 0, k) for s, i, d, k in pieces], "stream_id string, is_init boolean, data binary, aes_key binary, iv binary, seq long, ts_key binary")
     got = [bytes(r.data) for r in sink.transformed(frame).orderBy("stream_id", "is_init").collect()]
     assert got == [model(b), b, b] and model(b) != b
+
+
+def test_sealed_texts_hold_no_start_codes(spark):
+    from weirstream import live_queries
+
+    loads = [bytes(7), b"\0\0\1a", b"a\0\0\3\0\0\2", b"\1\0\0", b"\x10\0\0\x10", b"\x30\0\0\0\x01"]
+    rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(loads)], "i int, b binary").withColumn("e", F.unhex(live_queries._without_start_codes(F.hex("b"))))
+    for r in rows.collect():
+        assert not any(bytes((0, 0, n)) in bytes(r.e) for n in (0, 1, 2)) and tscipher._stripped(bytes(r.e)) == loads[r.i]

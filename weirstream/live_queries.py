@@ -154,6 +154,11 @@ def _ts_iv(c: Column) -> Column:
     return F.regexp_replace(F.translate(F.upper(F.substring(F.md5(c.cast("string").cast("binary")), 1, 12)), "01234567", "89ABCDEF"), "(.)", "F$1")
 
 
+def _without_start_codes(load: Column) -> Column:
+    """Bytes (hexadecimal) with a 03 put before each that would make a start code, or look like such a 03, after two zeros, as NAL units are written."""
+    return F.regexp_replace(load, r"\G((?:..)*?0000)(?=0[0-3])", "$103")
+
+
 def _hex_packet(pid: str, load: Column, size: Column) -> Column:
     """A packet of up to 184 bytes (hexadecimal); shorter ones are filled by an adaptation field."""
     room = F.lit(183) - size
@@ -169,7 +174,7 @@ def _ts_sealed(docs: DataFrame) -> DataFrame:
     sealed = lambda i: F.hex(F.substring(F.aes_encrypt(F.unhex(counter(i)), F.unhex(F.lit("00112233445566778899AABBCCDDEEFF")), F.lit("ECB"), F.lit("PKCS")), 1, 16))
     stream = F.transform(F.sequence(F.lit(0), blocks - 1), lambda i: F.when((i % 10 == 0) | (i == blocks - 1), sealed(i)).otherwise(counter(i)))
     d = d.withColumn("cipher", binary.xor_bytes(K("plain"), F.unhex(F.array_join(stream, ""))))
-    pes = F.concat(F.lit("000001E0000080000000000165"), F.hex("cipher"), F.lit("8080"))
+    pes = F.concat(F.lit("000001E0000080000000000165"), _without_start_codes(F.hex("cipher")), F.lit("8080"))
     d = d.withColumn("pes", pes).withColumn("cut", F.sequence(F.lit(0), F.ceil(F.length("pes") / 368).cast("int") - 1))
     parts = F.transform("cut", lambda i: F.substr(K("pes"), i * 368 + 1, F.lit(368)))
     packets = F.transform(parts, lambda x: _hex_packet("0100", x, (F.length(x) / 2).cast("int")))

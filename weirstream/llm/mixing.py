@@ -76,7 +76,7 @@ def position(demand: Column, target: Column, tilt: Column) -> Column:
 
 
 def laid_out(docs: DataFrame, plan: Curriculum, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, rank, target, at.
+    """One row per document: doc_id, source, size, source_size, rank, target, at; ``rank``, ``part``, ``nth`` name the row.
 
     ``at`` is the number of the source's words before the document, in the order
     of a seeded hash. Each source is cut into parts of about ``rows_per_part``
@@ -98,8 +98,9 @@ def laid_out(docs: DataFrame, plan: Curriculum, id_col: str = "doc_id", text: st
     inside = Window.partitionBy("rank", "part").orderBy("h", F.col("doc_id").asc_nulls_first(), "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         rows.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
+        .withColumn("nth", F.row_number().over(inside))
         .join(starts, ["rank", "part"])
-        .select("doc_id", "source", "size", "tie", "source_size", "rank", "target", (F.col("start") + F.col("inside")).alias("at"))
+        .select("doc_id", "source", "size", "tie", "source_size", "rank", "target", (F.col("start") + F.col("inside")).alias("at"), "part", "nth")
     )
 
 
@@ -117,7 +118,26 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum(), **columns) -> DataFram
     same id and text lie next to each other, each taken for itself. An empty
     table gives an empty result.
     """
-    rows = laid_out(docs, plan, **columns)
+    return _passes(laid_out(docs, plan, **columns), plan).select("doc_id", "source", "size", "tie", "source_size", "target", "taken", "positions")
+
+
+def sequence(docs: DataFrame, plan: Curriculum = Curriculum(), **columns) -> DataFrame:
+    """The mix in training order: a row for each pass that takes something of a document, range-sorted by position.
+
+    doc_id, source, size, source_size, target, ``position`` (training time), ``words`` (taken by this pass), and
+    rank, part, nth, which name the document's row. Documents that nothing is taken of come last, with null
+    position and no words. Written down, so that its files are in that order.
+    """
+    rows = _passes(laid_out(docs, plan, **columns), plan)
+    one = F.explode_outer(F.arrays_zip(F.col("positions").alias("t"), F.filter("got", lambda x: x > 0).alias("w")))
+    rows = rows.select("rank", "part", "nth", "doc_id", "source", "size", "source_size", "target", one.alias("p"))
+    rows = rows.select("rank", "part", "nth", "doc_id", "source", "size", "source_size", "target", F.col("p.t").alias("position"), F.coalesce("p.w", F.lit(0).cast("long")).alias("words"))
+    order = [F.col("position").asc_nulls_last(), F.col("rank"), F.col("part"), F.col("nth")]
+    return staged(rows.repartitionByRange(*order).sortWithinPartitions(*order), "sequence")
+
+
+def _passes(rows: DataFrame, plan: Curriculum) -> DataFrame:
+    """Documents as ``laid_out`` with got (words by pass), taken, positions (of the passes that take something)."""
     tilt = F.when(F.col("rank") % 2 == 0, F.lit(plan.tilt)).otherwise(F.lit(-plan.tilt))
     goal = F.floor("target")
     passes = F.sequence(F.lit(0), F.ceil(F.lit(plan.cap)).cast("int"))
@@ -127,7 +147,6 @@ def mix(docs: DataFrame, plan: Curriculum = Curriculum(), **columns) -> DataFram
         rows.withColumn("got", got)
         .withColumn("taken", F.aggregate("got", F.lit(0).cast("long"), lambda a, x: a + x))
         .withColumn("positions", F.transform(F.filter(F.arrays_zip(F.col("got").alias("w"), middle.alias("t")), lambda x: x["w"] > 0), lambda x: x["t"]))
-        .select("doc_id", "source", "size", "tie", "source_size", "target", "taken", "positions")
     )
 
 

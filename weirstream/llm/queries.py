@@ -18,7 +18,10 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    """What the documents' passes in the training sequence take together."""
+    passes = mixing.sequence(_table(spark, sf_dir, "documents"))
+    about = ["doc_id", "size", "source_size", "target"]
+    return passes.groupBy("rank", "part", "nth").agg(*[F.first(c).alias(c) for c in about], F.sum("words").alias("taken")).select(*about, "taken")
 
 
 def default_model_file(spark: SparkSession | None = None) -> str:

@@ -6,6 +6,7 @@ import threading
 import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,3 +199,49 @@ def test_streamed_pieces_are_put_in_order(spark, tmp_path):
     files.stream_into(spark.readStream.schema(schema).parquet(str(tmp_path / "in/part=*")), str(tmp_path / "out"), str(tmp_path / "state"), availableNow=True).awaitTermination()
     assert {n: open(tmp_path / "out" / n, "rb").read() for n in want} == want
     assert json.load(open(tmp_path / "out/a.state")) == {"next_idx": 4, "offset": 12} and json.load(open(tmp_path / "out/b.state")) == {"next_idx": 2, "offset": 1}
+
+
+class Kept(dict):
+    """A state variable that counts what is asked of it."""
+
+    calls = 0
+
+    def _count(self, x=None):
+        Kept.calls += 1
+        return x
+
+    def get(self):
+        return self._count(dict.get(self, ()))
+
+    def update(self, row):
+        self._count(self.__setitem__((), row))
+
+    def getValue(self, key):
+        return self._count(dict.get(self, key))
+
+    def containsKey(self, key):
+        return self._count(key in self)
+
+    def updateValue(self, key, row):
+        self._count(self.__setitem__(key, row))
+
+    def removeKey(self, key):
+        self._count(self.pop(key))
+
+
+class Handle:
+    def getValueState(self, *about):
+        return Kept()
+
+    getMapState = getValueState
+
+
+def test_waiting_pieces_are_kept_by_runs():
+    step = ordering._Reorder("s", [("data", "binary")], True, 0.0, "data")
+    step.init(Handle())
+    take = lambda ids: [f for f in step.handleInputRows(("a",), iter([pd.DataFrame({"idx": ids, "ok": True, "data": [b"x" * (1 + i % 3) if i != 7 else b"y" * 99999 for i in ids]})]), None)]
+    Kept.calls = 0
+    assert take(list(range(600, 0, -1))) == [] and Kept.calls < 12
+    (out,) = take([0])
+    assert Kept.calls < 30 and out["idx"].tolist() == list(range(601)) and len(out["data"][7]) == 99999
+    assert (out["offset"].diff().dropna().astype(int) == out["data"].map(len)[:-1].to_numpy()).all() and not step.stored and not step.own

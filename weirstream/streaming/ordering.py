@@ -6,8 +6,10 @@ The processors keep their state in the session's state store, which must be Rock
 
 from __future__ import annotations
 
+import pickle
 import threading
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,64 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+#: So many pieces' places make a run, which is one value of the state; pieces above ``OWN_BYTES`` have values of their own.
+RUN, OWN_BYTES = 256, 1 << 14
+
+
+class _Waiting:
+    """The pieces of one key that wait, by index. What a batch needs of them is read and written by runs, not piece by piece."""
+
+    def __init__(self, stored, own, there: list[int]):
+        self.stored, self.own, self.there = stored, own, set(there)
+        self.runs: dict[int, dict[int, tuple | None]] = {}  # None: the piece has a value of its own
+        self.changed: set[int] = set()
+
+    def _run(self, idx: int) -> dict[int, tuple | None]:
+        n = idx // RUN
+        if n not in self.runs:
+            self.runs[n] = pickle.loads(self.stored.getValue((n,))[0]) if n in self.there else {}
+        return self.runs[n]
+
+    def __contains__(self, idx: int) -> bool:
+        return idx in self._run(idx)
+
+    def get(self, idx: int) -> tuple:
+        row = self._run(idx)[idx]
+        return pickle.loads(self.own.getValue((idx,))[0]) if row is None else row
+
+    def put(self, idx: int, row: tuple) -> None:
+        large = sum(len(x) for x in row if isinstance(x, (bytes, str))) > OWN_BYTES
+        if large:
+            self.own.updateValue((idx,), (pickle.dumps(row),))
+        elif self._run(idx).get(idx, row) is None:
+            self.own.removeKey((idx,))
+        self._run(idx)[idx] = None if large else row
+        self.changed.add(idx // RUN)
+
+    def pop(self, idx: int) -> tuple:
+        row = self.get(idx)
+        if self._run(idx).pop(idx) is None:
+            self.own.removeKey((idx,))
+        self.changed.add(idx // RUN)
+        return row
+
+    def places(self) -> list[int]:
+        """All indexes, in order."""
+        return sorted(i for n in self.there | self.runs.keys() for i in self._run(n * RUN))
+
+    def save(self) -> list[int]:
+        """Write down what has changed; the runs that are there."""
+        for n in self.changed:
+            if self.runs[n]:
+                self.stored.updateValue((n,), (pickle.dumps(self.runs[n]),))
+                self.there.add(n)
+            elif n in self.there:
+                self.stored.removeKey((n,))
+                self.there.remove(n)
+        self.changed.clear()
+        return sorted(self.there)
+
+
 class _Reorder(StatefulProcessor):
     def __init__(self, key: str, carried: list[tuple[str, str]], live: bool, patience_s: float, sized: str | None):
         self.key, self.carried, self.live, self.patience_ms = key, carried, live, int(patience_s * 1000)
@@ -29,60 +89,66 @@ class _Reorder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.next = handle.getValueState("next", "idx long")
-        if self.sized is not None:
-            self.offset = handle.getValueState("offset", "n long")
-        self.waiting = handle.getMapState("waiting", "idx long", ", ".join(["ok boolean", *(f"`{c}` {kind}" for c, kind in self.carried)]))
+        self.place = handle.getValueState("place", "idx long, offset long, runs array<long>")
+        self.stored = handle.getMapState("runs", "n long", "pieces binary")
+        self.own = handle.getMapState("own", "idx long", "piece binary")
 
-    def _out(self, key, rows: list[tuple]) -> pd.DataFrame:
+    def _known(self) -> tuple[int, int, _Waiting]:
+        at, offset, runs = self.place.get() or (0, 0, [])
+        return at, offset, _Waiting(self.stored, self.own, runs)
+
+    def _out(self, key, rows: list[tuple], begin: int) -> tuple[pd.DataFrame, int]:
+        """The rows, and where their stream's file ends behind them."""
         out = pd.DataFrame([(key, idx, not ok, *rest) for idx, ok, *rest in rows], columns=[self.key, "idx", "hole", *(c for c, _ in self.carried)])
         if self.sized is not None:
-            begin = self.offset.get()[0] if self.offset.exists() else 0
-            sizes = [len(rest[self.sized] or b"") if ok else 0 for _, ok, *rest in rows]
-            ends = begin + pd.Series(sizes, dtype="int64").cumsum()
-            self.offset.update((int(ends.iloc[-1]),))
-            out["offset"] = (ends - sizes).to_numpy()
-        return out
-
-    def _follow(self, at: int, out: list[tuple]) -> int:
+            ends = list(accumulate((len(rest[self.sized] or b"") if ok else 0 for _, ok, *rest in rows), initial=begin))
+            out["offset"], begin = ends[:-1], ends[-1]
+        return out, begin
+
+    @staticmethod
+    def _follow(waiting: _Waiting, at: int, out: list[tuple]) -> int:
         """Take the waiting pieces from ``at`` on."""
-        while self.waiting.containsKey((at,)):
-            out.append((at, *self.waiting.getValue((at,))))
-            self.waiting.removeKey((at,))
+        while at in waiting:
+            out.append((at, *waiting.pop(at)))
             at += 1
         return at
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        at = self.next.get()[0] if self.next.exists() else 0
-        new = pd.concat(rows)
+        at, offset, waiting = self._known()
+        names = ["idx", "ok", *(c for c, _ in self.carried)]
+        new = [row for frame in rows for row in frame[names].itertuples(index=False, name=None)]
         if not self.live:
-            new = new[new["ok"]]  # a failure is no result; the piece may still come
+            new = [row for row in new if row[1]]  # a failure is no result; the piece may still come
+        new.sort(key=lambda row: (row[0], not row[1]))
         out, held = [], not at
-        for idx, ok, *rest in new[["idx", "ok", *(c for c, _ in self.carried)]].sort_values(["idx", "ok"], ascending=[True, False], kind="stable").itertuples(index=False, name=None):
+        for idx, ok, *rest in new:
             if idx == at:
                 out.append((at, bool(ok), *rest))
-                at = self._follow(at + 1, out)
-            elif idx > at and not (self.waiting.containsKey((idx,)) and self.waiting.getValue((idx,))[0]):
-                self.waiting.updateValue((idx,), (bool(ok), *rest))
+                at = self._follow(waiting, at + 1, out)
+            elif idx > at and not (idx in waiting and waiting.get(idx)[0]):
+                waiting.put(idx, (bool(ok), *rest))
                 held = True
-        self.next.update((at,))
+        frame, offset = self._out(key[0], out, offset)
+        self.place.update((at, offset, waiting.save()))
         if self.live and self.patience_ms and held and not list(self.handle.listTimers()):
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
         if out:
-            yield self._out(key[0], out)
+            yield frame
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """What was waited for has become a hole."""
-        waiting = sorted(k[0] for k in self.waiting.keys())
-        if not waiting:
+        at, offset, waiting = self._known()
+        places = waiting.places()
+        if not places:
             return
-        at, out = self.next.get()[0], []
-        out += [(i, False, *[None] * len(self.carried)) for i in range(at, waiting[0])]
-        at = self._follow(waiting[0], out)
-        self.next.update((at,))
-        if len(waiting) > len(out):
+        out = [(i, False, *[None] * len(self.carried)) for i in range(at, places[0])]
+        n_holes = len(out)
+        at = self._follow(waiting, places[0], out)
+        frame, offset = self._out(key[0], out, offset)
+        self.place.update((at, offset, waiting.save()))
+        if len(places) > len(out) - n_holes:
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience_ms)
-        yield self._out(key[0], out)
+        yield frame
 
     def close(self) -> None:
         pass
@@ -95,7 +161,7 @@ def in_order(outcomes: DataFrame, live: bool = True, patience_s: float = 0.0, ke
     so is one that isn't there ``patience_s`` after a later one came (0: it is
     waited for). Else a failed piece holds up what follows until it comes after
     all. Pieces that come twice, or after their hole, are left out. What waits is
-    kept by stream and piece. With ``sized``, the name of a binary column, ``offset``
+    kept by stream and runs of places. With ``sized``, the name of a binary column, ``offset``
     tells where a piece begins in its stream's file; holes have no bytes.
     """
     carried = [(c, kind) for c, kind in outcomes.dtypes if c not in (key, "idx", "ok")]

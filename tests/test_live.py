@@ -10,6 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from weirstream.sources import fetch
 from weirstream.streaming import files, ordering, polling
 
 SEEN: dict[str, int] = {}
@@ -245,3 +246,12 @@ def test_waiting_pieces_are_kept_by_runs():
     (out,) = take([0])
     assert Kept.calls < 30 and out["idx"].tolist() == list(range(601)) and len(out["data"][7]) == 99999
     assert (out["offset"].diff().dropna().astype(int) == out["data"].map(len)[:-1].to_numpy()).all() and not step.stored and not step.own
+
+
+def test_of_a_file_only_the_range_is_read(tmp_path):
+    with open(tmp_path / "large", "wb") as f:
+        f.truncate(1 << 40)  # would not fit
+        f.seek(5)
+        f.write(b"here")
+    url, status, body, length, _, error = fetch.get(f"file://{tmp_path}/large", (5, 8))
+    assert (status, body, length, error) == (200, b"here", 1 << 40, "")

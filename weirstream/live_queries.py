@@ -123,10 +123,10 @@ def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranges = fetch.file_ranges(known, 100)
 
     def take(pieces: DataFrame) -> None:
-        asked = pieces.withColumn("headers", F.lit(None)).repartition(8)
-        got = fetch.fetched(asked).select("url", K("span.start").alias("start"), K("status").isin(200, 206).alias("ok"), K("body").alias("data"))
-        rows = pieces.select("stream_id", "url", "idx", K("span.start").alias("start")).join(got, ["url", "start"])
-        files.append(rows.select(K("stream_id").alias("stream"), "idx", "ok", "data"), f"{root}/here")
+        tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        got = fetch.fetched(pieces.withColumn("headers", F.lit(None)).repartition(tasks))
+        stream = F.element_at(F.split("url", "/"), -1)
+        files.append(got.select(stream.alias("stream"), F.expr("span.start div 100").alias("idx"), K("status").isin(200, 206).alias("ok"), K("body").alias("data")), f"{root}/here")
 
     take(ranges.filter("idx < 3"))
     told = files.states(spark, f"{root}/here").select(K("stream").alias("stream_id"), "next_idx")

@@ -14,8 +14,10 @@ import json
 import os
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from ..plans.segments import committed, resume_points
 from . import ordering
 
 STATE = ".state"
+#: So many states are written side by side, as each waits for its disk.
+COMMITS = 32
 
 
 @dataclass
@@ -83,14 +87,20 @@ class OrderedWriter(DataSourceArrowWriter):
             for stream, (a, z, low, high, size, n) in (message.files if message else {}).items():
                 b = whole.get(stream, (a, z, low, high, 0, 0))
                 whole[stream] = (min(a, b[0]), max(z, b[1]), min(low, b[2]), max(high, b[3]), size + b[4], n + b[5])
-        for stream, (a, z, low, high, size, n) in list(whole.items()):
-            next_idx, offset = _state_of(os.path.join(self.path, stream))
+        with ThreadPoolExecutor(COMMITS) as pool:
+            self._put(whole, pool, again)
+
+    def _put(self, whole: dict[str, tuple[int, int, int, int, int, int]], pool: ThreadPoolExecutor, again: bool) -> None:
+        before = pool.map(_state_of, [os.path.join(self.path, stream) for stream in whole])
+        for (stream, (a, z, low, high, size, n)), (next_idx, offset) in zip(list(whole.items()), before, strict=True):
             if again and (z + 1, high) == (next_idx, offset):  # this batch was committed before
                 del whole[stream]
                 continue
             if (a, low) != (next_idx, offset) or high - low != size or z - a + 1 != n:
                 raise ValueError(f"pieces of {stream} don't go on from {next_idx} at {offset}: {a} to {z}, {n} of them, at {low} to {high}")
-        for stream, (_, z, _, high, _, _) in whole.items():
+
+        def tell(stream: str) -> None:
+            _, z, _, high, _, _ = whole[stream]
             path = os.path.join(self.path, stream)
             temporary = f"{path}{STATE}.{uuid.uuid4().hex}"
             with open(temporary, "w", encoding="utf-8") as f:
@@ -99,6 +109,8 @@ class OrderedWriter(DataSourceArrowWriter):
                 os.fsync(f.fileno())
             os.replace(temporary, path + STATE)
 
+        list(pool.map(tell, whole))
+
     def abort(self, messages: list[Written | None]) -> None:
         """Files as their states say. Those of tasks that told nothing are cut when they are next written."""
         for stream in {s for m in messages if m for s in m.files}:
@@ -142,6 +154,17 @@ def states(spark: SparkSession, path: str) -> DataFrame:
     return resume_points(rows).withColumnRenamed("stream_id", "stream")
 
 
+def _told(path: str):
+    """next_idx and offset of streams by name, read where the function runs."""
+
+    @F.pandas_udf("next_idx long, offset long")
+    def told(streams: pd.Series) -> pd.DataFrame:
+        found = {s: _state_of(os.path.join(path, s)) for s in streams.dropna().unique()}
+        return pd.DataFrame([found.get(s, (0, 0)) for s in streams], columns=["next_idx", "offset"])
+
+    return told
+
+
 def append(pieces: DataFrame, path: str, live: bool = False) -> None:
     """Put pieces (stream, idx, ok, data) behind what their files hold; ``stream`` is the file's name.
 
@@ -151,9 +174,12 @@ def append(pieces: DataFrame, path: str, live: bool = False) -> None:
     spark = pieces.sparkSession
     spark.dataSource.register(OrderedFiles)
     os.makedirs(path, exist_ok=True)
-    known = states(spark, path) if any(n.endswith(STATE) for n in os.listdir(path)) else spark.createDataFrame([], "stream string, next_idx long, offset long")
-    rows = pieces.select("stream", F.col("idx").cast("long").alias("idx"), "ok", "data").join(known, "stream", "left")
-    rows = rows.withColumns({"next_idx": F.coalesce("next_idx", F.lit(0)), "offset": F.coalesce("offset", F.lit(0))}).filter("idx >= next_idx")
+    rows = pieces.select("stream", F.col("idx").cast("long").alias("idx"), "ok", "data")
+    if any(n.name.endswith(STATE) for n in os.scandir(path)):
+        told = _told(path)(F.col("stream"))  # once a stream in each task, where its pieces come together anyway
+        rows = rows.repartition("stream").withColumn("_told", told).select("*", F.col("_told.next_idx").alias("next_idx"), F.col("_told.offset").alias("offset")).drop("_told").filter("idx >= next_idx")
+    else:
+        rows = rows.withColumns({"next_idx": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     if live:
         rows = rows.withColumns({"data": F.when(F.col("ok"), F.col("data")), "ok": F.lit(True)})
     rows = committed(rows.withColumn("idx", F.col("idx") - F.col("next_idx")).withColumnRenamed("stream", "stream_id")).withColumnRenamed("stream_id", "stream")

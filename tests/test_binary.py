@@ -102,3 +102,14 @@ def test_repeated_key_ids_repeat_no_stream(spark):
     wanted = spark.createDataFrame([("s", bytearray(b"k"), None)], "stream_id string, tenc_kid binary, manifest_kid binary")
     known = spark.createDataFrame([(bytearray(b"k"), bytearray(b"2")), (bytearray(b"k"), bytearray(b"1"))], "kid binary, key binary")
     assert [bytes(r.key) for r in pages.resolve_keys(wanted, known).collect()] == [b"1"]
+
+
+def test_xor_of_arrow_arrays():
+    import pyarrow as pa
+
+    a = pa.array([b"skipped", b"ab", None, b"", b"\xff\x00\x01", b"z"], pa.binary())
+    b = pa.array([b"skipped", b"\x01\x02\x03", b"x", b"", b"\x0f\x0f\x0f", None], pa.binary())
+    want = [b"``", None, b"", b"\xf0\x0f\x0e", None]
+    xor = binary.xor_bytes.func
+    assert xor(a.slice(1), b.slice(1)).to_pylist() == want == xor(a.slice(1).cast(pa.large_binary()), b.slice(1)).to_pylist()
+    assert xor(a.slice(0, 0), b.slice(0, 0)).to_pylist() == [] and xor(pa.nulls(2, pa.binary()), b.slice(0, 2)).to_pylist() == [None, None]

@@ -44,3 +44,16 @@ def test_packets_are_numbered_within_segments(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     numbering = [x for x in plan.splitlines() if "row_number" in x]
     assert numbering and not any(re.search(r"segment#\d+ ASC", x) for x in numbering)
+
+
+def test_only_tables_go_to_python(spark):
+    name = b"mdcm|p|s|?" + b"0a" * 16
+    body = bytes([0, 1, 0xFF, 0, 5, 0xFC, 0, len(name) + 5, 0x48, len(name) + 3, 1, 0, len(name)]) + name
+    section = bytes([0x42, 0xF0, len(body) + 10, 0, 1, 0xC1, 0, 0]) + body + bytes(4)
+    table, video = packet(17, 0, b"\0" + section, True), packet(256, 0, b"x") * 500
+    data = video + table + packet(0x1111, 0) + b"\0" + table[1:] + video + table[:100]
+    frame_ = frame(spark, data, data + table).union(spark.createDataFrame([("s", 2, None), ("s", 3, b"")], "stream string, segment long, data binary"))
+    assert [bytes(r.t) for r in frame_.select("segment", transport.of_pid(frame_["data"], 17).alias("t")).orderBy("segment").collect()] == [table, table + table[:100] + table[:88], b"", b""]
+    twice = frame(spark, data + bytes(88) + table).union(frame(spark, data)).coalesce(1)
+    got = [(r.segment, r.service, r.name, bytes(r.iv)) for r in transport.services(twice).collect()]
+    assert got == [(0, 5, name.decode(), b"\n" * 12 + bytes(4))] * 2  # rows are told apart whatever the frames, names of one are given once

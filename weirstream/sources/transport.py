@@ -115,25 +115,37 @@ def sections(b: bytes, pid: int) -> Iterator[bytes]:
             yield found
 
 
+def of_pid(data: Column, pid: int) -> Column:
+    """The whole packets of one PID of a segment, one behind another; none of null data."""
+    heads = [F.lit(bytes([0x47, flags << 5 | pid >> 8, pid & 255])) for flags in range(8)]
+    count = F.floor(F.octet_length(data) / SIZE).cast("int")
+    places = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    kept = F.filter(places, lambda i: F.substr(data, i * SIZE + 1, F.lit(3)).isin(heads))
+    return F.unhex(F.array_join(F.transform(kept, lambda i: F.hex(F.substr(data, i * SIZE + 1, F.lit(SIZE)))), ""))
+
+
 def services(segments: DataFrame) -> DataFrame:
     """stream, segment, service, provider, name, iv of the services that a segment's tables name.
 
     ``iv`` is what the name holds for the cipher over packets (see ``tscipher``),
-    16 bytes, or null. Names are read as UTF-8.
+    16 bytes, or null. Names are read as UTF-8. Only the packets of the services' PID go to Python.
     """
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for stream, segment, b in zip(frame["stream"], frame["segment"], frame["data"], strict=True):
-                for section in sections(b, tscipher.SERVICES) if b is not None else ():
+                named = {}  # of one segment, each once
+                for section in sections(b, tscipher.SERVICES):
                     for service, provider, name in tscipher.service_names(section):
                         iv = tscipher.iv_of(name)
-                        rows.append((stream, segment, service, provider.decode("utf-8", "replace"), name.decode("utf-8", "replace"), iv and iv.ljust(16, b"\0")))
-            yield pd.DataFrame(rows, columns=["stream", "segment", "service", "provider", "name", "iv"]).drop_duplicates()
+                        named[service, provider.decode("utf-8", "replace"), name.decode("utf-8", "replace"), iv and iv.ljust(16, b"\0")] = None
+                rows.extend((stream, segment, *about) for about in named)
+            yield pd.DataFrame(rows, columns=["stream", "segment", "service", "provider", "name", "iv"])
 
     kinds = {c: segments.schema[c].dataType.simpleString() for c in ("stream", "segment")}
-    return segments.select("stream", "segment", "data").mapInPandas(read, f"stream {kinds['stream']}, segment {kinds['segment']}, service int, provider string, name string, iv binary")
+    told = segments.select("stream", "segment", of_pid(F.col("data"), tscipher.SERVICES).alias("data"))
+    return told.mapInPandas(read, f"stream {kinds['stream']}, segment {kinds['segment']}, service int, provider string, name string, iv binary")
 
 
 def programs(segments: DataFrame) -> DataFrame:

@@ -255,3 +255,15 @@ def test_of_a_file_only_the_range_is_read(tmp_path):
         f.write(b"here")
     url, status, body, length, _, error = fetch.get(f"file://{tmp_path}/large", (5, 8))
     assert (status, body, length, error) == (200, b"here", 1 << 40, "")
+
+
+def test_recorded_refreshes_are_read_by_files(spark, tmp_path):
+    rows = [(f"s{i}", n, f"u{i}", None if i == 7 else f"#EXTM3U\n{i}" + "\n#EXT-X-ENDLIST" * (i % 2)) for i in range(1000) for n in (0, 2)]
+    spark.createDataFrame(rows, "stream_id string, n long, url string, body string").repartition(5).write.partitionBy("n").parquet(str(tmp_path / "recorded"))
+    reader = polling.LiveReader({"snapshots": str(tmp_path / "recorded"), "state": str(tmp_path / "told"), "refreshes": "3"})
+    assert [reader.latestOffset() for _ in range(4)] == [{"n": 1}, {"n": 2}, {"n": 3}, {"n": 3}]
+    parts = reader.partitions({"n": 0}, {"n": 3})
+    assert sorted(p.value[0] for p in parts) == [0] * 5 + [2] * 5  # nothing was recorded of the refresh between
+    batches = [b for p in parts for b in reader.read(p)]
+    got = sorted((r["stream_id"], r["n"], r["url"], r["body"]) for b in batches for r in b.to_pylist())
+    assert got == sorted(rows) and len(batches) == 10 and {r["live"] for b in batches for r in b.to_pylist() if r["body"]} == {True, False}

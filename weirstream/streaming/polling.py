@@ -2,7 +2,7 @@
 
 Options: ``streams`` (a line each: id, tab, URL), ``state`` (a folder that driver and
 executors share), ``snapshots`` (instead of fetching: a Parquet folder of recorded
-refreshes ``stream_id, n, url, body``, by ``n=``), ``refreshes`` (end after so many),
+refreshes ``stream_id, n, url, body``, by ``n=``, a task a file), ``refreshes`` (end after so many),
 ``interval`` (seconds until a body says otherwise, 4), ``headers``, ``retries``,
 ``timeout``, ``per_task`` (streams that a task asks one after the other).
 
@@ -135,11 +135,11 @@ class LiveReader(DataSourceStreamReader):
             n += 1
         if self.refreshes >= 0 and n >= self.refreshes:
             return {"n": n}
-        self._learn(n)
-        now = time.time()
         if self.snapshots:
-            tasks = [[]]
+            tasks = self._files(n)
         else:
+            self._learn(n)
+            now = time.time()
             due = self._due(now)
             if not due:
                 return {"n": n}
@@ -152,8 +152,11 @@ class LiveReader(DataSourceStreamReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         n, streams, at = partition.value
+        if self.snapshots:  # their plan doesn't depend on what a body says of its stream
+            yield from self._recorded(n, streams)
+            return
         about = []
-        for stream, url, body, status, error in self._recorded(n) if self.snapshots else self._fetched(streams):
+        for stream, url, body, status, error in self._fetched(streams):
             live, seconds = told(body) if body is not None else (True, 0.0)
             about.append((stream, live, seconds, time.time()))
             yield pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, (stream, n, url, body, live, seconds, status, error), strict=True))], schema=_ARROW)
@@ -164,18 +167,32 @@ class LiveReader(DataSourceStreamReader):
             final, status, body, _, _, error = fetch.get(url, None, self.headers, "GET", self.retries, self.timeout)
             yield stream, final or url, None if body is None else body.decode("utf-8", "replace"), status, error
 
-    def _recorded(self, n: int) -> Iterator[tuple]:
-        import pyarrow.dataset as ds
+    def _files(self, n: int) -> list[list[tuple[str, str]]]:
+        """The files of a recorded refresh, a task each."""
+        from pyarrow import fs
 
         store, path = _store(self.snapshots)
-        if store.get_file_info(f"{path}/n={n}").type.name == "NotFound":
-            return
-        for batch in ds.dataset(f"{path}/n={n}", format="parquet", filesystem=store).to_batches(columns=["stream_id", "url", "body"], batch_size=256):
-            for row in batch.to_pylist():
-                yield str(row["stream_id"]), row["url"], row["body"], 200 if row["body"] is not None else 0, "" if row["body"] is not None else "not recorded"
+        found = store.get_file_info(fs.FileSelector(f"{path}/n={n}", allow_not_found=True, recursive=True))
+        names = sorted(f.path for f in found if f.is_file and not f.base_name.startswith(("_", ".")))
+        return [[(name, "")] for name in names]
+
+    def _recorded(self, n: int, names: list[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.dataset as ds
+
+        store, _ = _store(self.snapshots)
+        for name, _ in names:
+            for batch in ds.dataset(name, format="parquet", filesystem=store).to_batches(columns=["stream_id", "url", "body"], batch_size=256):
+                rows = []
+                for row in batch.to_pylist():
+                    body = row["body"]
+                    live, seconds = told(body) if body is not None else (True, 0.0)
+                    status, error = (200, "") if body is not None else (0, "not recorded")
+                    rows.append(dict(zip(_ARROW.names, (str(row["stream_id"]), n, row["url"], body, live, seconds, status, error), strict=True)))
+                yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
     def commit(self, end: dict) -> None:
-        self._learn(end["n"])
+        if not self.snapshots:
+            self._learn(end["n"])
 
 
 class LiveSource(DataSource):

@@ -257,6 +257,27 @@ def test_of_a_file_only_the_range_is_read(tmp_path):
     assert (status, body, length, error) == (200, b"here", 1 << 40, "")
 
 
+def test_tracks_of_a_group_are_one_call():
+    from weirstream.streaming import live
+
+    class State:
+        exists, calls, get = False, 0, None
+
+        def update(self, row):
+            self.exists, self.get, self.calls = True, row, self.calls + 1
+
+    state, big = State(), (1 << 53) + 1
+    rows = [(t, n, d) for t in (big, big + 1, None, 0) for n, d in enumerate([0.0, 3.0, None, 0.0, 4.0, 0.0])]
+    frame = pd.DataFrame({"nameless": [t is None for t, *_ in rows], "track_id": [t or 0 for t, *_ in rows], "arrival": [n for _, n, _ in rows], "duration": [d for *_, d in rows], "discontinuity": False})
+    got = {}
+    for part in (frame[frame["arrival"] < 3].sample(frac=1, random_state=1), frame[frame["arrival"] >= 3]):
+        (out,) = live._take((5,), iter([part.iloc[:4], part.iloc[4:]]), state)
+        for r in out.itertuples(index=False):
+            got.setdefault(None if pd.isna(r.track_id) else int(r.track_id), []).append((r.seq, r.dur, r.start_ms, r.published))
+    one = [(0, 2.0, 0, 1), (1, 3.0, 2000, 2), (2, 3.0, 5000, 3), (3, 3.0, 8000, 4), (4, 4.0, 11000, 5), (5, 4.0, 15000, 6)]
+    assert got == dict.fromkeys((big, big + 1, None, 0), one) and state.calls == 2
+
+
 def test_recorded_refreshes_are_read_by_files(spark, tmp_path):
     rows = [(f"s{i}", n, f"u{i}", None if i == 7 else f"#EXTM3U\n{i}" + "\n#EXT-X-ENDLIST" * (i % 2)) for i in range(1000) for n in (0, 2)]
     spark.createDataFrame(rows, "stream_id string, n long, url string, body string").repartition(5).write.partitionBy("n").parquet(str(tmp_path / "recorded"))

@@ -278,6 +278,32 @@ def test_tracks_of_a_group_are_one_call():
     assert got == dict.fromkeys((big, big + 1, None, 0), one) and state.calls == 2
 
 
+def test_streams_of_a_group_are_one_value_of_the_state():
+    step = ordering._Ending(40.0, 0.0)
+    step.init(Handle())
+    ids = [(1 << 53) + i for i in range(1000)]
+    frame = lambda n: pd.DataFrame({"nameless": [False] * 1000 + [True], "stream_id": [*ids, 0], "n": n, "duration": 25.0, "live": True, "asked_to_stop": [i == 0 for i in range(1001)]})
+    Kept.calls = 0
+
+    class Timer:
+        getCurrentProcessingTimeInMs = staticmethod(lambda: 0)
+
+    outs = [list(step.handleInputRows((7,), iter([frame(n)]), Timer)) for n in range(3)]
+    assert Kept.calls == 6 and outs[2] == []
+    assert [(r.stream_id, r.n, r.last) for r in outs[0][0].itertuples()] == [(s, 0, s == ids[0]) for s in [*ids, None]]
+    assert [(r.stream_id, r.n, r.last) for r in outs[1][0].itertuples()] == [(s, 1, True) for s in [*ids[1:], None]]
+
+
+def test_streams_without_a_number_end_too(spark, tmp_path):
+    ordering.use_rocksdb(spark)
+    rows = [(s, n, None if n == 1 else 3.0, True, False) for s in ((1 << 53) + 1, 1 << 53, None) for n in range(4)]
+    source = "stream_id long, n long, duration double, live boolean, asked_to_stop boolean"
+    spark.createDataFrame(rows, source).write.parquet(str(tmp_path / "in"))
+    ordering.until_stop(spark.readStream.schema(source).parquet(str(tmp_path / "in")), 6.0).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start(str(tmp_path / "out")).awaitTermination()
+    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(s, n, d, n == 2) for s in ((1 << 53) + 1, 1 << 53, None) for n, d in ((0, 3.0), (1, 0.0), (2, 3.0))}
+
+
 def test_recorded_refreshes_are_read_by_files(spark, tmp_path):
     rows = [(f"s{i}", n, f"u{i}", None if i == 7 else f"#EXTM3U\n{i}" + "\n#EXT-X-ENDLIST" * (i % 2)) for i in range(1000) for n in (0, 2)]
     spark.createDataFrame(rows, "stream_id string, n long, url string, body string").repartition(5).write.partitionBy("n").parquet(str(tmp_path / "recorded"))

@@ -172,36 +172,55 @@ def in_order(outcomes: DataFrame, live: bool = True, patience_s: float = 0.0, ke
     return rows.groupBy(key).transformWithStateInPandas(_Reorder(key, carried, live, patience_s, sized), schema, "Append", mode)
 
 
+#: Streams are dealt into so many groups, each a call of Python and a value of the state for all of its streams.
+GROUPS = 1024
+
+
 class _Ending(StatefulProcessor):
+    """The streams of a group: seconds taken, last n, whether ended, and when the clock ends them (0: never)."""
+
     def __init__(self, limit_s: float, clock_s: float):
         self.limit_s, self.clock_ms = limit_s, int(clock_s * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("taken", "taken double, n long, ended boolean")
+        self.state = handle.getValueState("streams", "streams binary")
+
+    def _known(self) -> dict:
+        return pickle.loads(found[0]) if (found := self.state.get()) else {}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.state.exists()
-        taken, upto, ended = self.state.get() if known else (0.0, -1, False)
-        if not known and self.clock_ms:
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.clock_ms)
-        out = []
-        for n, duration, live, asked in pd.concat(rows)[["n", "duration", "live", "asked_to_stop"]].sort_values("n", kind="stable").itertuples(index=False, name=None):
-            if ended:
-                break
-            taken += duration or 0.0
-            ended = bool((self.limit_s > 0 and taken >= self.limit_s) or not live or asked)
-            upto = n
-            out.append((key[0], n, float(duration or 0.0), ended))
-        self.state.update((taken, upto, ended))
+        known, out = self._known(), []
+        until = timerValues.getCurrentProcessingTimeInMs() + self.clock_ms if self.clock_ms else 0
+        new = pd.concat(rows)[["nameless", "stream_id", "n", "duration", "live", "asked_to_stop"]].sort_values("n", kind="stable").fillna({"duration": 0.0})
+        begun = False
+        for nameless, stream, n, duration, live, asked in zip(*(new[c].tolist() for c in new), strict=True):
+            stream = None if nameless else stream
+            if stream not in known:
+                known[stream], begun = (0.0, -1, False, until), True
+            taken, _, ended, clock = known[stream]
+            if not ended:
+                taken += duration
+                ended = bool((self.limit_s > 0 and taken >= self.limit_s) or not live or asked)
+                known[stream] = (taken, n, ended, clock)
+                out.append((stream, n, duration, ended))
+        self.state.update((pickle.dumps(known),))
+        if begun and self.clock_ms:
+            self.handle.registerTimer(until)
         if out:
-            yield pd.DataFrame(out, columns=["stream_id", "n", "duration", "last"])
+            yield self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        taken, upto, ended = self.state.get()
-        if not ended:
-            self.state.update((taken, upto, True))
-            yield pd.DataFrame([(key[0], upto, 0.0, True)], columns=["stream_id", "n", "duration", "last"])
+        known, at = self._known(), expiredTimerInfo.getExpiryTimeInMs()
+        out = [(stream, n, 0.0, True) for stream, (_, n, ended, clock) in known.items() if not ended and clock <= at]
+        if out:
+            self.state.update((pickle.dumps(known | {s: (*known[s][:2], True, known[s][3]) for s, *_ in out}),))
+            yield self._rows(out)
+
+    @staticmethod
+    def _rows(out: list[tuple]) -> pd.DataFrame:
+        streams, n, duration, last = zip(*out, strict=True)
+        return pd.DataFrame({"stream_id": pd.Series(streams, dtype=object), "n": n, "duration": duration, "last": last})
 
     def close(self) -> None:
         pass
@@ -216,10 +235,12 @@ def until_stop(refreshes: DataFrame, limit_s: float, clock_s: float = 0.0) -> Da
     no duration (0: no such limit). The number of rows marked ``last`` is observed
     as ``ended`` (see ``StopWhenEnded``).
     """
-    kind = dict(refreshes.dtypes)["stream_id"]
-    rows = refreshes.select("stream_id", F.col("n").cast("long").alias("n"), F.col("duration").cast("double").alias("duration"), "live", "asked_to_stop")
+    kind, stream = dict(refreshes.dtypes)["stream_id"], F.col("stream_id")
+    named = F.coalesce(stream, F.lit(0).cast(kind)).alias("stream_id")  # no null among integers, which pandas would make floats of
+    rows = refreshes.select(named, stream.isNull().alias("nameless"), F.col("n").cast("long").alias("n"), F.col("duration").cast("double").alias("duration"), "live", "asked_to_stop")
     mode = "ProcessingTime" if clock_s else "None"
-    taken = rows.groupBy("stream_id").transformWithStateInPandas(_Ending(limit_s, clock_s), f"stream_id {kind}, n long, duration double, last boolean", "Append", mode)
+    rows = rows.withColumn("_group", F.pmod(F.xxhash64("stream_id"), F.lit(GROUPS)))
+    taken = rows.groupBy("_group").transformWithStateInPandas(_Ending(limit_s, clock_s), f"stream_id {kind}, n long, duration double, last boolean", "Append", mode)
     return taken.observe("ended", F.count_if("last").alias("n"))
 
 

@@ -57,3 +57,16 @@ def test_only_tables_go_to_python(spark):
     twice = frame(spark, data + bytes(88) + table).union(frame(spark, data)).coalesce(1)
     got = [(r.segment, r.service, r.name, bytes(r.iv)) for r in transport.services(twice).collect()]
     assert got == [(0, 5, name.decode(), b"\n" * 12 + bytes(4))] * 2  # rows are told apart whatever the frames, names of one are given once
+
+
+def test_counters_of_arrow_arrays():
+    import pyarrow as pa
+
+    one, two = packet(256, 9) * 2 + packet(0x1FFF, 7) + packet(257, 1), packet(256, 0) + b"\0" * 188 + packet(256, 3) + b"tail"
+    data = pa.array([b"skipped", one, None, b"", two], pa.binary()).slice(1)
+    counts = transport.payload_counts.func(data).to_pylist()
+    assert counts == [[{"pid": 256, "n": 2}, {"pid": 257, "n": 1}], [], [], [{"pid": 256, "n": 1}]]
+    starts = pa.array([[{"pid": 256, "before": 15}], None, None, [{"pid": 256, "before": 5}]])
+    want = [packet(256, 15) + packet(256, 0) + packet(0x1FFF, 7) + packet(257, 0), None, b"", packet(256, 5) + two[188:]]
+    assert transport.recounted.func(data, starts).to_pylist() == want and data.to_pylist() == [one, None, b"", two]
+    assert transport.recounted.func(data.slice(0, 0), starts.slice(0, 0)).to_pylist() == []

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import tscipher
+from ..functions.binary import binary_array, views_of
 
 SIZE = 188
 
@@ -41,10 +43,10 @@ def packets(segments: DataFrame) -> DataFrame:
     })
 
 
-def _counting(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _counting(b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of a segment's packets those that count (with payload, no null packets, before the first without sync byte): their places, PIDs, and numbers among those of the PID."""
     n = len(b) // SIZE
-    head = np.frombuffer(b[: n * SIZE], np.uint8).reshape(n, SIZE)[:, :4]
+    head = b[: n * SIZE].reshape(n, SIZE)[:, :4]
     lost = np.flatnonzero(head[:, 0] != 0x47)
     head = head[: lost[0]] if len(lost) else head
     pid = (head[:, 1].astype(np.int32) & 31) << 8 | head[:, 2]
@@ -57,33 +59,35 @@ def _counting(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return places, pid, nth
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("n", T.LongType())])))
-def payload_counts(data: pd.Series) -> pd.Series:
-    """How many packets of each PID count in a segment."""
+_COUNTS = pa.list_(pa.struct([("pid", pa.int32()), ("n", pa.int64())]))
 
-    def count(b: bytes | None) -> list[dict]:
-        pids, n = np.unique(_counting(b or b"")[1], return_counts=True)
-        return [{"pid": p, "n": k} for p, k in zip(pids.tolist(), n.tolist(), strict=True)]
 
-    return data.map(count)
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("pid", T.IntegerType()), T.StructField("n", T.LongType())])))
+def payload_counts(data: pa.Array) -> pa.Array:
+    """How many packets of each PID count in a segment. The segments are read where Arrow has them."""
+    b, at = views_of(data)
+    null = np.asarray(data.is_null())
+    counts = []
+    for i in range(len(data)):
+        pids, n = np.unique(_counting(b[:0] if null[i] else b[at[i] : at[i + 1]])[1], return_counts=True)
+        counts.append([{"pid": p, "n": k} for p, k in zip(pids.tolist(), n.tolist(), strict=True)])
+    return pa.array(counts, _COUNTS)
 
 
-@F.pandas_udf(T.BinaryType())
-def recounted(data: pd.Series, starts: pd.Series) -> pd.Series:
-    """Segments whose counters go on from ``starts``, an array of struct<pid, before>."""
-
-    def write(b: bytes | None, given) -> bytes | None:
-        if b is None:
-            return None
-        out = np.frombuffer(b, np.uint8).copy()
-        places, pid, nth = _counting(b)
-        before = {s["pid"]: s["before"] for s in (given if given is not None else ())}
+@F.arrow_udf(T.BinaryType())
+def recounted(data: pa.Array, starts: pa.Array) -> pa.Array:
+    """Segments whose counters go on from ``starts``, an array of struct<pid, before>. A batch is copied once and changed in the copy."""
+    b, at = views_of(data)
+    null = np.asarray(data.is_null())
+    out, borders = b[at[0] : at[-1]].copy(), at.astype(np.int64) - at[0]
+    for i in np.flatnonzero(~null).tolist():
+        segment = out[borders[i] : borders[i + 1]]
+        places, pid, nth = _counting(segment)
+        before = {s["pid"]: s["before"] for s in starts[i].as_py() or ()}
         first = np.array([before.get(p, 0) for p in pid.tolist()], np.int64)
-        at = places * SIZE + 3
-        out[at] = out[at] & 0xF0 | ((first + nth) % 16).astype(np.uint8)
-        return out.tobytes()
-
-    return pd.Series([write(*x) for x in zip(data, starts, strict=True)], dtype=object)
+        heads = places * SIZE + 3
+        segment[heads] = segment[heads] & 0xF0 | ((first + nth) % 16).astype(np.uint8)
+    return binary_array(out, borders, null)
 
 
 def counts_of(segments: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 import re
 
 import corpus_pipeline
-from weirstream.llm import pieces
+from weirstream.llm import mixing, pieces
 from weirstream.llm.common import staged
 from weirstream.llm.queries import default_model_file
 
@@ -91,3 +91,10 @@ def test_run_matches_brute_force(spark, tmp_path):
     got = sorted((r.doc_id, r.text, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     want = brute_run([(i, t, s) for i, t, _, s in docs])
     assert got == want and len({i for i, *_ in want}) < 100
+
+
+def test_a_source_of_many_parts_is_put_in_the_same_order(spark):
+    """From 128 parts of a source on, a document's place times their number is above 2^31."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "concat('some words of ', id) AS text", "if(id % 9 = 0, 's1', 's0') AS source")
+    few, many = (mixing.training_order(docs, mixing.Curriculum(rows_per_part=n)).collect() for n in (2_000, 1))
+    assert few == many and len(many) > 500

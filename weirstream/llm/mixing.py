@@ -87,7 +87,7 @@ def laid_out(docs: DataFrame, plan: Curriculum, id_col: str = "doc_id", text: st
     rows = rows.withColumn("h", F.md5(F.concat(F.lit(plan.seed), F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")))
     # null sources group as one; a flag keeps joins on plain equality
     rows = rows.withColumn("src", F.coalesce("source", F.lit(""))).withColumn("none", F.col("source").isNull())
-    rows = rows.withColumn("slice", F.conv(F.substring("h", 1, 6), 16, 10).cast("int"))  # 0 .. 2^24-1
+    rows = rows.withColumn("slice", F.conv(F.substring("h", 1, 6), 16, 10).cast("long"))  # 0 .. 2^24-1, long as it is multiplied by the number of parts
     rows = staged(rows, "sized")  # texts are read and counted once
     sizes = rows.groupBy("src", "none").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
     targets = source_targets(sizes, plan).withColumn("parts", F.least(F.lit(1 << 20), F.ceil(F.col("n") / plan.rows_per_part)).cast("int"))

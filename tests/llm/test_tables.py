@@ -214,3 +214,12 @@ def test_op2_sorts_by_position(spark, sf_dir, monkeypatch):
     queries.op2_mixing(spark, sf_dir)
     plan = dict(plans)["sequence"]
     assert "RepartitionByExpression [position" in plan and "Sort [position" in plan
+
+
+def test_mix_of_a_source_of_many_parts(spark):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('some words of ', id) AS text", "if(id % 9 = 0, 's1', 's0') AS source")
+    few, many = ({r.doc_id: (r.target, r.taken, r.positions) for r in mixing.mix(docs, mixing.Curriculum(rows_per_part=n)).collect()} for n in (2_000, 3))
+    assert few == many
+    passes = mixing.sequence(docs, mixing.Curriculum(rows_per_part=3))
+    taken = {r.doc_id: r.words for r in passes.groupBy("doc_id").agg(F.sum("words").alias("words")).collect()}
+    assert taken == {i: t for i, (_, t, _) in few.items()}

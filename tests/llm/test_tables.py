@@ -223,3 +223,28 @@ def test_mix_of_a_source_of_many_parts(spark):
     passes = mixing.sequence(docs, mixing.Curriculum(rows_per_part=3))
     taken = {r.doc_id: r.words for r in passes.groupBy("doc_id").agg(F.sum("words").alias("words")).collect()}
     assert taken == {i: t for i, (_, t, _) in few.items()}
+
+
+def test_topk_bounds_the_copies_of_queries(spark, monkeypatch):
+    """Many slots make small blocks of queries, with the same answers."""
+    rng = np.random.default_rng(5)
+    vectors = {i * 10: rng.integers(-30_000, 30_000, 16) * (1 + 7_000 * (i % 9 == 0)) for i in range(400)}
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, v array<long>")
+    sizes, blocks = [], topk._blocks
+    monkeypatch.setattr(topk, "_blocks", lambda rows, width, size: (sizes.append(size), blocks(rows, width, size))[1])
+    monkeypatch.setattr(topk, "n_salts", lambda spark: 600)
+    monkeypatch.setattr(topk, "SPREAD_BYTES", 1 << 14, raising=False)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 1 << 13, raising=False)
+    got = defaultdict(list)
+    for r in topk.search(frame, F.col("vec_id") % 50 == 0, 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got == brute_top(vectors, 5)
+    assert set(sizes[1::2]) == {64} and all(size * 8 * 8 * 16 <= 1 << 14 for size in sizes[::2])  # 8 slots at least of 4 cores
+    assert topk.n_slots(615_384, 12_308, 600, 6) == 24 and topk.n_slots(1 << 30, 1 << 20, 600, 6) == 4096 and topk.n_slots(0, 0, 8, 4) == 8
+
+
+def test_topk_packs_whole_numbers():
+    for top in (0, 127, 128, -128, -129, 32_767, -32_769, 1 << 31, (1 << 63) - 1, -(1 << 63)):
+        matrix = np.array([[top, 1, -1], [0, 5, top]], np.int64)
+        packed = topk._packed(matrix)
+        assert (topk._unpacked(packed, 3) == matrix).all() and len(packed) == 1 + 6 * (1 if -128 <= top <= 127 else 2 if abs(top) < 32_768 else 4 if abs(top) < 1 << 31 else 8)

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import n_salts, staged
 
 ITEM_BLOCK, QUERY_BLOCK, SEEDS = 4096, 2048, 4096
+#: Most bytes of a block of items, and of a block of queries in all slots together: Spark holds the copies of a row that is exploded at once.
+BLOCK_BYTES, SPREAD_BYTES = 1 << 23, 1 << 26
 #: What float rounding may take from a bound, as a share of |query| * |vector|.
 SLACK = 1e-9
 
@@ -40,6 +42,26 @@ def _matrix(vectors, width: int) -> np.ndarray:
     return out
 
 
+def _packed(matrix: np.ndarray) -> bytes:
+    """A matrix of whole numbers in the least bytes that hold each of them, whose number stands in front."""
+    low, high = matrix.min(initial=0), matrix.max(initial=0)
+    size = next(n for n in (1, 2, 4, 8) if np.iinfo(f"i{n}").min <= low and high <= np.iinfo(f"i{n}").max)
+    return bytes([size]) + matrix.astype(f"<i{size}").tobytes()
+
+
+def _unpacked(data: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64).reshape(-1, width)
+
+
+def n_slots(n: int, n_queries: int, parts: int, cores: int) -> int:
+    """Into how many slots ``n`` items are dealt, each of which all queries meet.
+
+    More slots than that many parts of a shuffle help nothing, and the queries' copies are to stay below half of
+    the items, if that leaves two slots a core. Above, a slot has 64 blocks of items at most.
+    """
+    return max(1, min(parts, max(2 * cores, n // (2 * max(1, n_queries)))), -(-n // (64 * ITEM_BLOCK)))
+
+
 def _rotation(vectors: DataFrame, width: int) -> np.ndarray:
     """Eigenvectors of the Gram matrix, greatest first. Each task sums its rows' products; width**2 sums reach the driver."""
 
@@ -66,7 +88,7 @@ def _blocks(vectors: DataFrame, width: int, size: int) -> DataFrame:
 
         def out(frame: pd.DataFrame) -> pd.DataFrame:
             longs = {name: [frame[c].to_numpy(np.int64).tobytes()] for name, c in (("uids", "uid"), ("ids", "id"), ("copies", "copies"), ("least", "least"))}
-            return pd.DataFrame({"top": [float(frame["norm"].max())], "data": [_matrix(frame["v"], width).tobytes()]} | longs)
+            return pd.DataFrame({"top": [float(frame["norm"].max())], "data": [_packed(_matrix(frame["v"], width))]} | longs)
 
         for frame in frames:
             held.append(frame)
@@ -151,7 +173,7 @@ def search(items: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     Items are taken in bands of descending length. Each query carries its k-th
     best score from band to band and leaves when no vector of a band is long
     enough to reach it. Within a band query blocks and item blocks meet in
-    slots, whose number grows with the items. What the driver holds is bounded:
+    slots (see ``n_slots``). What the driver holds is bounded:
     the Gram matrix and the ``SEEDS`` longest vectors, whose scores are the
     first bounds.
     """
@@ -161,12 +183,13 @@ def search(items: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     rows = rows.groupBy("id", "v").agg(F.max("q").alias("q"), F.count(F.lit(1)).alias("copies"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     rows = staged(rows.withColumn("norm", norm).withColumn("uid", F.monotonically_increasing_id()).withColumn("least", F.lit(-(1 << 63))), "vectors")
-    n, width, longest, edges = rows.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max("norm"), F.percentile_approx("norm", [1 - 1 / 16, 3 / 4])).first()
+    n, n_queries, width, longest, edges = rows.agg(F.count(F.lit(1)), F.count_if("q"), F.max(F.size("v")), F.max("norm"), F.percentile_approx("norm", [1 - 1 / 16, 3 / 4])).first()
     width = max(1, width or 1)
     axes = _rotation(rows, width)
     seeds = rows.orderBy(F.col("norm").desc(), "uid").limit(SEEDS).select("uid", "id", "v").collect()
     seed_uids, seed_ids, seed_vectors = np.array([r["uid"] for r in seeds], np.int64), np.array([r["id"] for r in seeds], np.int64), _matrix([r["v"] for r in seeds], width)
-    slots = max(n_salts(spark), -(-n // (64 * ITEM_BLOCK)))
+    slots = n_slots(n, n_queries, n_salts(spark), spark.sparkContext.defaultParallelism)
+    item_block, query_block = (max(1, min(most, size // (8 * width))) for most, size in ((ITEM_BLOCK, BLOCK_BYTES), (QUERY_BLOCK, SPREAD_BYTES // slots)))
 
     def first_bounds(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -180,9 +203,9 @@ def search(items: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for r in frame.itertuples(index=False):
-                quid, q, uid, vid, copies = _longs(r.uids), _longs(r.data).reshape(-1, width), _longs(r.item_uids), _longs(r.item_ids), _longs(r.item_copies)
+                quid, q, uid, vid, copies = _longs(r.uids), _unpacked(r.data, width), _longs(r.item_uids), _longs(r.item_ids), _longs(r.item_copies)
                 own = np.where(_longs(r.copies) > 1, -1, quid)
-                qi, vi, score = best_pairs(own, q, uid, vid, _longs(r.item_data).reshape(-1, width), _longs(r.least), k, axes)
+                qi, vi, score = best_pairs(own, q, uid, vid, _unpacked(r.item_data, width), _longs(r.least), k, axes)
                 yield pd.DataFrame({"uid": quid[qi], "vec_id": vid[vi], "score": score, "times": copies[vi] - (quid[qi] == uid[vi])})
 
     queries = rows.filter("q").select("uid", "id", "copies", "v", "norm", "least")
@@ -195,9 +218,9 @@ def search(items: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id
             bounds = best.groupBy("uid").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("found")).filter(F.col("found") == k)
             open_queries = queries.join(bounds, "uid", "left").withColumn("least", F.greatest("least", F.coalesce("kth", "least")))
         open_queries = open_queries.filter(F.col("norm") * F.lit(top) * (1 + SLACK) + 1 >= F.col("least"))
-        asked = _blocks(open_queries, width, QUERY_BLOCK).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+        asked = _blocks(open_queries, width, query_block).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
         band = rows.filter((F.col("norm") <= F.lit(top)) & (F.col("norm") > F.lit(bottom)))
-        blocks = _blocks(band, width, ITEM_BLOCK).drop("least").select(F.pmod(F.xxhash64("uids"), F.lit(slots)).cast("int").alias("slot"), *[F.col(c).alias(f"item_{c}") for c in ("uids", "ids", "copies", "data")])
+        blocks = _blocks(band, width, item_block).drop("least").select(F.pmod(F.xxhash64("uids"), F.lit(slots)).cast("int").alias("slot"), *[F.col(c).alias(f"item_{c}") for c in ("uids", "ids", "copies", "data")])
         pairs = asked.join(blocks, "slot").select("uids", "copies", "data", "least", "item_uids", "item_ids", "item_copies", "item_data")
         found = pairs.mapInPandas(meet, "uid long, vec_id long, score long, times long")
         if best is not None:

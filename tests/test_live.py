@@ -314,3 +314,41 @@ def test_recorded_refreshes_are_read_by_files(spark, tmp_path):
     batches = [b for p in parts for b in reader.read(p)]
     got = sorted((r["stream_id"], r["n"], r["url"], r["body"]) for b in batches for r in b.to_pylist())
     assert got == sorted(rows) and len(batches) == 10 and {r["live"] for b in batches for r in b.to_pylist() if r["body"]} == {True, False}
+
+
+def test_commits_hold_some_streams_at_a_time(tmp_path, monkeypatch):
+    import pickle
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(files, "STREAMS", 7, raising=False)
+    monkeypatch.setattr(files, "LOG_BYTES", 50, raising=False)
+    rows = [{"stream": f"s\n{i:03}", "idx": n, "offset": 4 * n, "data": b"four"} for i in range(100) for n in range(1 + i % 3)]
+    wanted = {f"s\n{i:03}": (1 + i % 3, 4 + i % 3 * 4) for i in range(100)}
+    for writer in (files.OrderedWriter, files.OrderedStreamWriter):
+        path = tmp_path / writer.__name__
+        path.mkdir()
+        task = writer({"path": str(path)})
+        messages = [task.write(iter([pa.RecordBatch.from_pylist(part)] if part else [])) for part in (rows[:50], [], rows[50:120], rows[120:])] + [None]
+        assert all(len(pickle.dumps(m)) < 400 for m in messages)
+        held = [len(part) for part in files._merged(messages)]
+        assert max(held) <= 7 and sum(held) == 100
+        gap = [task.write(iter([pa.RecordBatch.from_pylist([{"stream": "z", "idx": 1, "offset": 0, "data": b"x"}])]))]
+        about = (3,) if writer is files.OrderedStreamWriter else ()
+        with pytest.raises(ValueError, match="don't go on from 0 at 0"):
+            writer({"path": str(path)}).commit(messages + gap, *about)
+        assert not [n for n in os.listdir(path) if n.endswith(".state")]
+        writer({"path": str(path)}).abort(gap, *about)
+        writer({"path": str(path)}).commit(messages, *about)
+        assert {s: files._state_of(str(path / s)) for s in wanted} == wanted
+        assert not [n for n in os.listdir(path) if n.startswith(".")] and (path / "z").read_bytes() == b""
+
+
+def test_folders_of_files_are_listed_by_tasks(spark, tmp_path):
+    for name, body in {"a": b"12345", "b": b"12", "c": b"", ".hidden": b"x", "_aside": b"x"}.items():
+        (tmp_path / name).write_bytes(body)
+    for name, state in {"a": '{"next_idx": 3, "offset": 5}', "b": '{"next_idx": 3, "offset": 5}', "c": "{bro\xff", "lost": '{"next_idx": 3, "offset": 0}'}.items():
+        (tmp_path / f"{name}.state").write_bytes(state.encode("latin-1"))
+    told = files.states(spark, f"file://{tmp_path}")
+    assert sorted(map(tuple, told.collect())) == [("a", 3, 5), ("b", 0, 0), ("c", 0, 0)] and not told.inputFiles()
+    assert sorted((r.stream, bytes(r.content)) for r in files.bodies(spark, str(tmp_path)).collect()) == [("a", b"12345"), ("b", b"12"), ("c", b"")]

@@ -82,6 +82,11 @@ def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(_text("user-", K("stream_id"), ".ts").alias("stream"), "idx", "ok", "data")
 
 
+def _digests(spark: SparkSession, path: str) -> DataFrame:
+    """Size and digest of a folder's files."""
+    return files.bodies(spark, path, ".ts").select("stream", F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("md5"))
+
+
 def ordered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of pieces: written up to each one's first failure, then, with what failed, to the end, and a third time; read as bytes."""
     path = folder(spark, "files").removeprefix("file:")
@@ -90,9 +95,7 @@ def ordered_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     writer.write(pieces, 0)
     writer.write(pieces.withColumn("ok", F.lit(True)), 1)
     writer.write(pieces.withColumn("ok", F.lit(True)), 1)
-    bodies = spark.read.format("binaryFile").option("pathGlobFilter", "*.ts").load(path)
-    bodies = bodies.select(F.element_at(F.split("path", "/"), -1).alias("stream"), F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("md5"))
-    return bodies.join(files.states(spark, path).select("stream", "next_idx", "offset"), "stream")
+    return _digests(spark, path).join(files.states(spark, path).select("stream", "next_idx", "offset"), "stream")
 
 
 def live_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,8 +114,7 @@ def streamed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i in range(4):
         source = spark.readStream.schema(schema).parquet(f"{root}/in/part={'{' + ','.join(map(str, range(i + 1))) + '}'}")
         files.stream_into(source, f"{root}/out", f"{root}/state", availableNow=True).awaitTermination()
-    bodies = spark.read.format("binaryFile").option("pathGlobFilter", "*.ts").load(f"{root}/out")
-    return bodies.select(F.element_at(F.split("path", "/"), -1).alias("stream"), F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("md5"))
+    return _digests(spark, f"{root}/out")
 
 
 def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,8 +133,7 @@ def downloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     take(ranges.filter("idx < 3"))
     told = files.states(spark, f"{root}/here").select(K("stream").alias("stream_id"), "next_idx")
     take(ranges.join(told, "stream_id", "left").filter("idx >= coalesce(next_idx, 0)").drop("next_idx"))
-    bodies = spark.read.format("binaryFile").option("pathGlobFilter", "*.ts").load(f"{root}/here")
-    return bodies.select(F.element_at(F.split("path", "/"), -1).alias("stream"), F.octet_length("content").cast("long").alias("n_bytes"), F.md5("content").alias("md5"))
+    return _digests(spark, f"{root}/here")
 
 
 def fetched_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,12 +10,15 @@ share and that can be written at any place (a POSIX file system).
 
 from __future__ import annotations
 
+import contextlib
+import heapq
 import json
 import os
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from itertools import islice
 
 import pandas as pd
 import pyarrow as pa
@@ -29,15 +32,50 @@ from ..plans.segments import committed, resume_points
 from . import ordering
 
 STATE = ".state"
-#: So many states are written side by side, as each waits for its disk.
-COMMITS = 32
+#: So many states are written side by side, as each waits for its disk, and so many streams are held at once by a commit.
+COMMITS, STREAMS = 32, 4096
+#: Of each log so many bytes are held while logs are merged.
+LOG_BYTES = 1 << 14
+#: Bodies of files come in frames of about so many bytes.
+FRAME_BYTES = 1 << 22
 
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Of each file that a task wrote to: first and last index, first byte and the byte behind the last, the sum of lengths, the number of pieces."""
+    """The log of a task, a file that tells what it wrote: a JSON line for each stream, in the order of their names. Null if it wrote nothing."""
 
-    files: dict[str, tuple[int, int, int, int, int, int]]
+    log: str | None
+
+
+def _logs(messages: list[Written | None]) -> list[str]:
+    return [m.log for m in messages if m and m.log]
+
+
+def _lines(log: str) -> Iterator[list]:
+    """The lines of a log (stream, first and last index, first byte and the byte behind the last, sum of lengths, number of pieces); it is open only while it is read."""
+    place, rest = 0, b""
+    while True:
+        with open(log, "rb") as f:
+            f.seek(place)
+            more = f.read(LOG_BYTES)
+        if not more:
+            return
+        place += len(more)
+        *whole, rest = (rest + more).split(b"\n")
+        yield from map(json.loads, whole)
+
+
+def _merged(messages: list[Written | None]) -> Iterator[dict[str, tuple[int, int, int, int, int, int]]]:
+    """What all tasks wrote, ``STREAMS`` streams at a time: stream to first and last index, first byte and the byte behind the last, sum of lengths, number of pieces."""
+    part: dict[str, tuple[int, int, int, int, int, int]] = {}
+    for stream, a, z, low, high, size, n in heapq.merge(*(_lines(log) for log in _logs(messages)), key=lambda line: line[0]):
+        if stream not in part and len(part) == STREAMS:
+            yield part
+            part = {}
+        b = part.get(stream, (a, z, low, high, 0, 0))
+        part[stream] = (min(a, b[0]), max(z, b[1]), min(low, b[2]), max(high, b[3]), size + b[4], n + b[5])
+    if part:
+        yield part
 
 
 def _state_of(path: str) -> tuple[int, int]:
@@ -52,8 +90,11 @@ def _state_of(path: str) -> tuple[int, int]:
 
 
 class OrderedWriter(DataSourceArrowWriter):
+    """What a task wrote goes into a log in a hidden folder beside the files, so that the driver holds some streams at a time."""
+
     def __init__(self, options: dict):
         self.path = options["path"].removeprefix("file://").rstrip("/")
+        self.logs = os.path.join(self.path, f".written-{uuid.uuid4().hex}")
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files: dict[str, tuple[int, int, int, int, int, int]] = {}
@@ -71,51 +112,67 @@ class OrderedWriter(DataSourceArrowWriter):
                         view, place = view[put:], place + put
                     a, z, low, high, size, n = files.get(stream, (idx, idx, at, at, 0, 0))
                     files[stream] = (min(a, idx), max(z, idx), min(low, at), max(high, place), size + len(data or b""), n + 1)
-            return Written(files)
         finally:
             if handle is not None:
                 os.fsync(handle)
                 os.close(handle)
+        if not files:
+            return Written(None)
+        os.makedirs(self.logs, exist_ok=True)
+        log = os.path.join(self.logs, uuid.uuid4().hex)
+        with open(log, "w", encoding="utf-8") as f:
+            f.writelines(json.dumps([stream, *about]) + "\n" for stream, about in sorted(files.items()))
+        return Written(log)
 
     def commit(self, messages: list[Written | None]) -> None:
         """New states, of streams whose pieces go on without a gap from the state before; else none is changed."""
         self._commit(messages, False)
 
     def _commit(self, messages: list[Written | None], again: bool) -> None:
-        whole: dict[str, tuple[int, int, int, int, int, int]] = {}
-        for message in messages:
-            for stream, (a, z, low, high, size, n) in (message.files if message else {}).items():
-                b = whole.get(stream, (a, z, low, high, 0, 0))
-                whole[stream] = (min(a, b[0]), max(z, b[1]), min(low, b[2]), max(high, b[3]), size + b[4], n + b[5])
         with ThreadPoolExecutor(COMMITS) as pool:
-            self._put(whole, pool, again)
-
-    def _put(self, whole: dict[str, tuple[int, int, int, int, int, int]], pool: ThreadPoolExecutor, again: bool) -> None:
-        before = pool.map(_state_of, [os.path.join(self.path, stream) for stream in whole])
-        for (stream, (a, z, low, high, size, n)), (next_idx, offset) in zip(list(whole.items()), before, strict=True):
+            for part in _merged(messages):  # all are checked before the first is put
+                self._new(part, pool, again)
+            for part in _merged(messages):
+                new = self._new(part, pool, again) if again else part
+                list(pool.map(self._tell, new, [z + 1 for _, z, *_ in new.values()], [high for _, _, _, high, *_ in new.values()]))
+        self._forget(messages)
+
+    def _new(self, part: dict[str, tuple[int, int, int, int, int, int]], pool: ThreadPoolExecutor, again: bool) -> dict[str, tuple[int, int, int, int, int, int]]:
+        """The streams whose state is to change."""
+        before = list(pool.map(_state_of, [os.path.join(self.path, stream) for stream in part]))
+        new = {}
+        for (stream, about), (next_idx, offset) in zip(part.items(), before, strict=True):
+            a, z, low, high, size, n = about
             if again and (z + 1, high) == (next_idx, offset):  # this batch was committed before
-                del whole[stream]
                 continue
             if (a, low) != (next_idx, offset) or high - low != size or z - a + 1 != n:
                 raise ValueError(f"pieces of {stream} don't go on from {next_idx} at {offset}: {a} to {z}, {n} of them, at {low} to {high}")
-
-        def tell(stream: str) -> None:
-            _, z, _, high, _, _ = whole[stream]
-            path = os.path.join(self.path, stream)
-            temporary = f"{path}{STATE}.{uuid.uuid4().hex}"
-            with open(temporary, "w", encoding="utf-8") as f:
-                json.dump({"next_idx": z + 1, "offset": high}, f)
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(temporary, path + STATE)
-
-        list(pool.map(tell, whole))
+            new[stream] = about
+        return new
+
+    def _tell(self, stream: str, next_idx: int, offset: int) -> None:
+        path = os.path.join(self.path, stream)
+        temporary = f"{path}{STATE}.{uuid.uuid4().hex}"
+        with open(temporary, "w", encoding="utf-8") as f:
+            json.dump({"next_idx": next_idx, "offset": offset}, f)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(temporary, path + STATE)
+
+    def _forget(self, messages: list[Written | None]) -> None:
+        """Logs go, and their folder with them when it is empty."""
+        for log in _logs(messages):
+            with contextlib.suppress(OSError):
+                os.remove(log)
+            with contextlib.suppress(OSError):
+                os.rmdir(os.path.dirname(log))
 
     def abort(self, messages: list[Written | None]) -> None:
         """Files as their states say. Those of tasks that told nothing are cut when they are next written."""
-        for stream in {s for m in messages if m for s in m.files}:
-            path = os.path.join(self.path, stream)
-            os.truncate(path, _state_of(path)[1])
+        for part in _merged(messages):
+            for path in (os.path.join(self.path, stream) for stream in part):
+                os.truncate(path, _state_of(path)[1])
+        self._forget(messages)
 
 
 class OrderedStreamWriter(OrderedWriter, DataSourceStreamArrowWriter):
@@ -144,23 +201,64 @@ class OrderedFiles(DataSource):
         return OrderedStreamWriter(self.options)
 
 
+def _listed(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """Names of a folder's files that end so, dealt to as many tasks as shuffles have. The folder is read by one task, which holds some names at a time."""
+
+    def names(_: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with os.scandir(path) as found:
+            shown = (e.name for e in found if e.name.endswith(suffix) and e.name[0] not in "._" and e.is_file())
+            while part := list(islice(shown, STREAMS)):
+                yield pd.DataFrame({"name": part})
+
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return spark.range(0, 1, 1, 1).mapInPandas(names, "name string").repartition(tasks)
+
+
 def states(spark: SparkSession, path: str) -> DataFrame:
     """stream, next_idx, offset of the files in a folder, as their state files tell (see ``segments.resume_points``)."""
-    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("path", "length")
-    name = F.element_at(F.split("path", "/"), -1)
-    told = spark.read.option("pathGlobFilter", f"*{STATE}").text(path, wholetext=True)
-    told = told.select(F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), rf"\{STATE}$", "").alias("stream_id"), F.col("value").alias("state"))
-    rows = told.join(sizes.select(name.alias("stream_id"), F.col("length").alias("file_bytes")), "stream_id")
+    path = path.removeprefix("file://")
+
+    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for stream in frame["name"].str.removesuffix(STATE):
+                with contextlib.suppress(FileNotFoundError), open(os.path.join(path, stream + STATE), encoding="utf-8", errors="replace") as f:
+                    rows.append((stream, f.read(), os.path.getsize(os.path.join(path, stream))))
+            yield pd.DataFrame(rows, columns=["stream_id", "state", "file_bytes"]).astype({"file_bytes": "int64"})
+
+    rows = _listed(spark, path, STATE).mapInPandas(told, "stream_id string, state string, file_bytes long")
     return resume_points(rows).withColumnRenamed("stream_id", "stream")
 
 
+def bodies(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:
+    """stream, content of the files in a folder whose names end so; states are none of them."""
+    path = path.removeprefix("file://")
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows, size = [], 0
+            for stream in frame["name"]:
+                with open(os.path.join(path, stream), "rb") as f:
+                    rows.append((stream, f.read()))
+                size += len(rows[-1][1])
+                if size >= FRAME_BYTES:
+                    yield pd.DataFrame(rows, columns=["stream", "content"])
+                    rows, size = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=["stream", "content"])
+
+    return _listed(spark, path, suffix).filter(~F.col("name").endswith(STATE)).mapInPandas(read, "stream string, content binary")
+
+
 def _told(path: str):
-    """next_idx and offset of streams by name, read where the function runs."""
+    """next_idx and offset of streams by name, read where the function runs, once a task."""
 
     @F.pandas_udf("next_idx long, offset long")
-    def told(streams: pd.Series) -> pd.DataFrame:
-        found = {s: _state_of(os.path.join(path, s)) for s in streams.dropna().unique()}
-        return pd.DataFrame([found.get(s, (0, 0)) for s in streams], columns=["next_idx", "offset"])
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        found: dict[str, tuple[int, int]] = {}
+        for streams in batches:
+            found |= {s: _state_of(os.path.join(path, s)) for s in streams.dropna().unique() if s not in found}
+            yield pd.DataFrame([found.get(s, (0, 0)) for s in streams], columns=["next_idx", "offset"])
 
     return told
 

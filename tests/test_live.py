@@ -352,3 +352,17 @@ def test_folders_of_files_are_listed_by_tasks(spark, tmp_path):
     told = files.states(spark, f"file://{tmp_path}")
     assert sorted(map(tuple, told.collect())) == [("a", 3, 5), ("b", 0, 0), ("c", 0, 0)] and not told.inputFiles()
     assert sorted((r.stream, bytes(r.content)) for r in files.bodies(spark, str(tmp_path)).collect()) == [("a", b"12345"), ("b", b"12"), ("c", b"")]
+
+
+def test_downloads_are_listed_by_tasks(spark, tmp_path):
+    """The driver keeps no index of what was fetched."""
+    import hashlib
+
+    from weirstream import live_queries
+
+    rows = [(i, i % 3, ("view", "click", "error")[i % 2], 1.0) for i in range(40)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").write.parquet(str(tmp_path / "events.parquet"))
+    out = live_queries.downloads(spark, str(tmp_path))
+    want = {f"user-{u}.ts": b"".join(f"{i} {kind * (i % 7)}\n".encode() for i, user, kind, _ in rows if user == u) for u in range(3)}
+    assert sorted(map(tuple, out.collect())) == sorted((s, len(b), hashlib.md5(b).hexdigest()) for s, b in want.items())  # noqa: S324
+    assert not out.inputFiles()

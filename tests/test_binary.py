@@ -113,3 +113,17 @@ def test_xor_of_arrow_arrays():
     xor = binary.xor_bytes.func
     assert xor(a.slice(1), b.slice(1)).to_pylist() == want == xor(a.slice(1).cast(pa.large_binary()), b.slice(1)).to_pylist()
     assert xor(a.slice(0, 0), b.slice(0, 0)).to_pylist() == [] and xor(pa.nulls(2, pa.binary()), b.slice(0, 2)).to_pylist() == [None, None]
+
+
+def test_rows_are_worked_on_one_at_a_time():
+    import pyarrow as pa
+
+    column = pa.array([b"skipped", b"ab", None, b"", b"odd", b"abc"], pa.binary()).slice(1)
+    other = pa.array([b"1", b"2", b"3", b"4", None], pa.binary())
+    got = binary.by_row(lambda a, b: None if b == b"4" else a + b, column, other)
+    assert got.to_pylist() == [b"ab1", None, b"3", None, None] and got.type == pa.binary()
+    assert binary.by_row(lambda a: a, column.slice(0, 0)).to_pylist() == []
+    bare = binary.without_image_header.func
+    assert bare(column) is column  # no header, no copy
+    segment = b"G" + b"x" * 187 + b"G" + b"y" * 187 + b"G" + b"z" * 187
+    assert bare(pa.array([None, b"GIF8..." + segment, segment, b"BM"])).to_pylist() == [None, segment, segment, b"BM"]

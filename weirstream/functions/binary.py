@@ -7,7 +7,7 @@ box parsing are batch UDFs, as Spark has no such functions.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,6 +33,19 @@ def binary_array(data: np.ndarray, borders: np.ndarray, null: np.ndarray) -> pa.
     return pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), len(null), [valid, pa.py_buffer(borders.astype(np.int64 if wide else np.int32)), pa.py_buffer(data)])
 
 
+def by_row(f: Callable[..., bytes | None], *columns: pa.Array) -> pa.Array:
+    """What ``f`` makes of each row's bytes; null where a column is. A row is an object only while it is worked on, so a batch takes its own bytes and those of the result."""
+    null = np.logical_or.reduce([np.asarray(c.is_null()) for c in columns])
+    views = [views_of(c) for c in columns]
+    out, borders = bytearray(), np.zeros(len(null) + 1, np.int64)
+    for i in range(len(null)):
+        made = None if null[i] else f(*[x[at[i] : at[i + 1]].tobytes() for x, at in views])
+        null[i] = made is None
+        out += made or b""
+        borders[i + 1] = len(out)
+    return binary_array(np.frombuffer(out, np.uint8), borders, null)
+
+
 @F.arrow_udf(T.BinaryType())
 def xor_bytes(a: pa.Array, b: pa.Array) -> pa.Array:
     """a XOR b, as long as a; b must be as long at least. No row is an object of its own: a batch takes its own bytes and as many for the result."""
@@ -109,13 +122,13 @@ def ctr_decrypt(data: Column, key: Column, iv: Column) -> Column:
     return xor_bytes(data, counter_stream(key, iv, F.octet_length(data)))
 
 
-@F.pandas_udf(T.BinaryType())
-def without_image_header(data: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def without_image_header(data: pa.Array) -> pa.Array:
     """Segments that hide behind an image header, from their first TS packet or box on."""
     magic = (b"\x89PNG", b"\xff\xd8\xff", b"GIF8", b"BM")
 
-    def strip(x: bytes | None) -> bytes | None:
-        if x is None or not x.startswith(magic):
+    def strip(x: bytes) -> bytes:
+        if not x.startswith(magic):
             return x
         b = np.frombuffer(x, np.uint8)
         if len(b) > 376:
@@ -125,7 +138,9 @@ def without_image_header(data: pd.Series) -> pd.Series:
         at = min((i for i in (x.find(t) for t in (b"ftyp", b"styp", b"moof", b"sidx")) if i >= 4), default=0)
         return x[at - 4 :] if at else x
 
-    return data.map(strip)
+    x, at = views_of(data)
+    hidden = any(x[a : min(a + 4, z)].tobytes().startswith(magic) for a, z in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+    return by_row(strip, data) if hidden else data
 
 
 #: Boxes that hold boxes.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -163,8 +163,8 @@ def _without_start_codes(load: Column) -> Column:
     return F.regexp_replace(load, r"\G((?:..)*?0000)(?=0[0-3])", "$103")
 
 
-@F.pandas_udf(T.BinaryType())
-def _enciphered(plain: pd.Series, iv: pd.Series, under_aes: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def _enciphered(plain: pa.Array, iv: pa.Array, under_aes: pa.Array) -> pa.Array:
     """Texts XORed with their counters, of which each tenth and the last are under AES."""
 
     def one(b: bytes, iv: bytes, under_aes: bytes) -> bytes:
@@ -177,11 +177,11 @@ def _enciphered(plain: pd.Series, iv: pd.Series, under_aes: pd.Series) -> pd.Ser
         stream[-1] = blocks[-1]
         return (np.frombuffer(b, np.uint8) ^ stream.ravel()[: len(b)]).tobytes()
 
-    return pd.Series([one(*x) for x in zip(plain, iv, under_aes, strict=True)], dtype=object)
+    return binary.by_row(one, plain, iv, under_aes)
 
 
-@F.pandas_udf(T.BinaryType())
-def _in_packets(unit: pd.Series, name: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def _in_packets(unit: pa.Array, name: pa.Array) -> pa.Array:
     """Units as the one of a video PES in packets, the last filled by an adaptation field, behind a service table with the name and a program map."""
     head = lambda pid, section: b"G" + pid + b"\x10" + section.ljust(184, b"\xff")
     program = head(b"\x50\x00", bytes.fromhex("0002B0120001C10000E100F0001BE100F00000000000"))
@@ -197,7 +197,7 @@ def _in_packets(unit: pd.Series, name: pd.Series) -> pd.Series:
         services = bytes.fromhex("0042F0400001C1000000" "01FF" "0005FC002F" "482D01002A") + name + b"\0\0\0\0"
         return head(b"\x40\x11", services) + program + packets.tobytes() + last
 
-    return pd.Series([one(*x) for x in zip(unit, name, strict=True)], dtype=object)
+    return binary.by_row(one, unit, name)
 
 
 def _ts_sealed(docs: DataFrame) -> DataFrame:
@@ -213,8 +213,8 @@ def _ts_sealed(docs: DataFrame) -> DataFrame:
     return d.select(K("doc_id").alias("stream"), F.lit(1).cast("long").alias("segment"), "iv", "plain", data.alias("data"))
 
 
-@F.pandas_udf(T.BinaryType())
-def _payloads(data: pd.Series) -> pd.Series:
+@F.arrow_udf(T.BinaryType())
+def _payloads(data: pa.Array) -> pa.Array:
     """What the packets behind the two tables carry."""
 
     def one(b: bytes) -> bytes:
@@ -222,7 +222,7 @@ def _payloads(data: pd.Series) -> pd.Series:
         start = np.where(a[:, 3] >> 4 == 1, 4, 5 + a[:, 4].astype(np.int64))
         return a[np.arange(188) >= start[:, None]].tobytes()
 
-    return data.map(one, na_action="ignore")
+    return binary.by_row(one, data)
 
 
 def ts_cipher(spark: SparkSession, sf_dir: str) -> DataFrame:
